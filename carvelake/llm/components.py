@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_shuffles, saved
+from .common import saved
 
 
 def _to_least(edges: DataFrame, label: str) -> DataFrame:
@@ -23,7 +23,6 @@ def components(edges: DataFrame) -> DataFrame:
     Rows may repeat and point either way; loops are ignored. Isolated nodes are not listed. The steps end when the
     edge set no longer changes, after O(log^2 n) of them.
     """
-    spark = edges.sparkSession
     e = saved(edges.where("u <> v").selectExpr("greatest(u, v) as u", "least(u, v) as v").distinct(), "cc-start")
     before = _state(e)
     while before[0]:
@@ -34,7 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(_to_least(large, "cc-small"), "u")
         small = small.where("v <> least").selectExpr("v as u", "least as v").unionByName(small.selectExpr("u", "least as v"))
         e = saved(small.where("u <> v").distinct(), "cc-edges")
-        release_shuffles(spark)
         after = _state(e)
         if after == before:
             break

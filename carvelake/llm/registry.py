@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .simhash import op8_simhash_near_dedup
 from .suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
 SQL: dict[str, str] = {}

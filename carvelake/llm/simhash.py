@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release_shuffles, saved, table
+from .common import saved, table
 from .components import components
 
 WORDS, SEED, BITS_APART = 3, 42, 3
@@ -153,7 +153,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, apart
     rows = saved(fingerprints(docs, words, seed), "simhash-prints")
     distinct = saved(rows.groupBy("print").agg(F.min("doc_id").alias("least_doc")), "simhash-distinct")
     roots = saved(components(links(distinct.select("print"), apart)), "simhash-roots")
-    release_shuffles(docs.sparkSession)
     rooted = distinct.join(roots, distinct.print == roots.node, "left").select("print", "least_doc", F.coalesce("root", "print").alias("root"))
     named = saved(rooted.groupBy("root").agg(F.min("least_doc").alias("component_id")), "simhash-names")
     of_print = saved(rooted.join(named, "root").select("print", "component_id"), "simhash-components")
