@@ -26,11 +26,13 @@ def scratch_root(spark: SparkSession) -> str:
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` as Parquet into the shared scratch folder and reads it back.
 
-    A lost executor costs no more than the tasks it was running, for the files are not its own.
+    A lost executor costs no more than the tasks it was running, for the files are not its own. The shuffle files
+    behind ``df`` are let go.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import release_shuffles, saved, table, tasks
+from .common import saved, table, tasks
 
 SPAN = 200
 SEEDS = (64, 168)
 #: Bytes fingerprinted at a time; longer texts are cut into overlapping pieces, which finds the same windows.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: The key of documents without an id.
 NO_ID = -(2**63)
 
@@ -122,7 +122,6 @@ def _open_and_repeated(texts: DataFrame, span: int, seed: int, label: str) -> tu
     kept = runs.join(shared, "owner")
     counted = kept.selectExpr("places", "varied", "sum(n) over (partition by owner, ctx) as n_ctx", "row_number() over (partition by owner, ctx order by places) as nth")
     counted = saved(counted.where("varied or n_ctx > 1"), f"{label}-runs")
-    release_shuffles(texts.sparkSession)
     places = lambda df: df.mapInArrow(_unpack, PLACE)
     one = counted.where("varied and nth = 1").select(F.substring("places", 1, PLACE_BYTES).alias("places"))
     return places(one), places(counted.where("n_ctx > 1").select("places"))
@@ -228,7 +227,6 @@ def repeated_places(docs: DataFrame, span: int = SPAN, seeds: tuple[int, int] =
     texts = _keyed(docs)
     unsure, whole = _open_and_repeated(texts, span, seeds[0], "suffix-a")
     slices = saved(_cut_out(texts, unsure, span), "suffix-slices")
-    release_shuffles(docs.sparkSession)
     unsure, more = _open_and_repeated(slices, span, seeds[1], "suffix-b")
     records = _cut_out(slices, unsure, span).mapInArrow(_suffix_records(span), SUFFIXES)
     buckets = records.repartitionByRange(tasks(docs.sparkSession), *TOKENS)
