@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CACHE = 300_000
+CACHE = 200_000
 #: Characters of text whose pieces are replayed together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 
 
 class Vocabulary:
