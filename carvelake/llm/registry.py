@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from .bpe import op3_byte_level_bpe
+from .chat import OP7_SQL, op7_chat_formatting
+from .knn import OP5_SQL, op5_exact_top_k
+from .packing import op4_best_fit_packing
+from .quality import op6_quality_classifier
+from .sharding import op10_hilbert_sharding
 from .simhash import op8_simhash_near_dedup
 from .suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_byte_level_bpe": op3_byte_level_bpe,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_exact_top_k": op5_exact_top_k,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_hilbert_sharding": op10_hilbert_sharding,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_exact_top_k": OP5_SQL, "op7_chat_formatting": OP7_SQL}
