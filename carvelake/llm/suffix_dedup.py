@@ -285,9 +285,9 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, seeds: tuple[int, int] = S
 
     _kept_text drops whole characters: one goes if any of its bytes goes.
     """
-    spark = docs.sparkSession
     places = repeated_places(docs, span, seeds)
-    spans = places.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
+    # saved, so that the records' shuffle files are gone before the texts are dealt out
+    spans = saved(places.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("first", "last")).alias("_spans")), "suffix-spans")
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     left = docs.select(*[F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(docs.columns)], data.alias("_data"), F.crc32(data).alias("_crc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"))
     joined = left.join(spans, (F.col("_id") == spans.doc_id) & (F.col("_crc") == spans.crc), "left").drop("doc_id", "crc", "_crc", "_id")
