@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,5 +56,14 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_or_empty(col: str = "text"):
-    return F.coalesce(F.col(col), F.lit(""))
+#: The key of documents without an id.
+NO_ID = -(2**63)
+
+
+def text_bytes(col: str = "text") -> Column:
+    """A text as UTF-8; a null one is empty."""
+    return F.encode(F.coalesce(F.col(col), F.lit("")), "UTF-8")
+
+
+def text_crc(col: str = "text") -> Column:
+    return F.crc32(text_bytes(col))

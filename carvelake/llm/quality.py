@@ -147,6 +147,20 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(rows, learn(rows, labels))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``least``, with all their columns."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = learn(saved(document_features(ids, ["doc_id"]).withColumnRenamed("_k0", "doc_id"), "quality-features"), labels)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(t.as_py()) for t in batch.column(at)], float).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(model.scores(x) >= least if model else np.ones(len(x), bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, table, text_bytes
 
 SHARDS, BITS = 24, 4
 #: Rows numbered by one window, and buckets summed by one.
@@ -97,7 +97,7 @@ def shard_rows(rows: DataFrame, dims: list[Column], order: list[str], shards: in
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot; the curve runs through size, language and source."""
-    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    data = text_bytes()
     rows = docs.select(F.col("doc_id").cast("long"), "lang", "source", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
     top = (1 << BITS) - 1
     dims = [

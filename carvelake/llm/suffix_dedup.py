@@ -35,15 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import saved, table, tasks
+from .common import NO_ID, saved, table, tasks, text_bytes
 
 SPAN = 200
 SEEDS = (64, 168)
 #: Bytes fingerprinted at a time; longer texts are cut into overlapping pieces, which finds the same windows.
 CHUNK = 1 << 20
-#: The key of documents without an id.
-NO_ID = -(2**63)
-
 RUNS = "owner long, ctx long, n long, places binary"
 PLACE = "doc_id long, crc long, at long, first long, last long"
 PLACE_BYTES = 40
@@ -218,7 +215,7 @@ def _sorted_repeats(batches):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    data = text_bytes()
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.crc32(data).alias("crc"), F.lit(0).cast("long").alias("at"), data.alias("data"))
 
 
@@ -288,7 +285,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, seeds: tuple[int, int] = S
     places = repeated_places(docs, span, seeds)
     # saved, so that the records' shuffle files are gone before the texts are dealt out
     spans = saved(places.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("first", "last")).alias("_spans")), "suffix-spans")
-    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    data = text_bytes()
     left = docs.select(*[F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(docs.columns)], data.alias("_data"), F.crc32(data).alias("_crc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"))
     joined = left.join(spans, (F.col("_id") == spans.doc_id) & (F.col("_crc") == spans.crc), "left").drop("doc_id", "crc", "_crc", "_id")
     keep = ", ".join(f"_in{k} {t.dataType.simpleString()}" for k, t in enumerate(docs.schema.fields))
@@ -296,6 +293,19 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, seeds: tuple[int, int] = S
     return joined.mapInArrow(_removed(span), schema)
 
 
+def cut_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """The columns of ``docs``, with the texts that hold repeats cut, and their n_chars, where there is one, counted anew."""
+    columns = []
+    for k, c in enumerate(docs.columns):
+        value = F.col(f"_in{k}")
+        if c == "text":
+            value = F.when(F.col("_n_removed") > 0, F.col("_kept_text")).otherwise(value)
+        elif c == "n_chars":
+            value = F.when(F.col("_n_removed") > 0, F.length("_kept_text").cast(docs.schema[c].dataType)).otherwise(value)
+        columns.append(value.alias(c))
+    return remove_repeats(docs, span).select(*columns)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select(F.col("_in0").alias("doc_id"), F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_kept_sha256").alias("kept_sha256"))
