@@ -31,11 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import rolling
-from .common import NO_ID, saved, table, tasks, text_bytes
+from .common import NO_ID, cut_batch, saved, table, tasks, text_bytes, text_crc
 
 SPAN = 200
 SEEDS = (64, 168)
@@ -124,28 +127,48 @@ def _open_and_repeated(texts: DataFrame, span: int, seed: int, label: str) -> tu
     return places(one), places(counted.where("n_ctx > 1").select("places"))
 
 
-def _slices(span: int):
+def _squeezed(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a text or binary column compressed, for the shuffle that follows."""
+    at = rows.columns.index(column)
+
+    def run(batches):
+        for batch in (part for b in batches for part in cut_batch(b, at)):
+            press = zstandard.ZstdCompressor().compress
+            data = [press(bytes(v.as_buffer())) if v.is_valid else None for v in batch.column(at)]
+            yield batch.set_column(at, column, pa.array(data, pa.binary()))
+
+    return rows.mapInArrow(run, StructType([StructField(f.name, BinaryType() if f.name == column else f.dataType) for f in rows.schema]))
+
+
+def _spans_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of the rows, and firsts and lasts, of a column of spans. Rows without spans are empty."""
+    flat = column.flatten()
+    counts = np.array(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
+    return np.concatenate([[0], np.cumsum(counts)]), flat.field("first").to_numpy(), flat.field("last").to_numpy()
+
+
+def _slices(span: int, squeezed: bool):
     def run(batches):
-        for batch in batches:
-            doc, crc, at, first, last, data = ([], [], [], [], [], [])
-            for d, c, base, raw, spans in zip(*(batch.column(k) for k in range(5))):
-                buf = raw.as_buffer()
-                for s in spans.as_py():
-                    a, b = s["first"], s["last"]
-                    doc.append(d.as_py()), crc.append(c.as_py()), at.append(a), first.append(a), last.append(b)
-                    data.append(bytes(buf[a - base.as_py() : b - base.as_py() + span]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()) for x in (doc, crc, at)] + [pa.array(data, pa.binary())], ["doc_id", "crc", "at", "data"]
-            )
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in (part for b in batches for part in cut_batch(b, 3)):
+            offsets, firsts, lasts = _spans_of(batch.column(4))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            base = batch.column(2).to_numpy()
+            data = []
+            for k, raw in enumerate(batch.column(3)):
+                buf, at = expand(raw.as_py()) if squeezed else raw.as_buffer(), int(base[k])
+                data += [bytes(buf[a - at : b - at + span]) for a, b in zip(firsts[offsets[k] : offsets[k + 1]].tolist(), lasts[offsets[k] : offsets[k + 1]].tolist())]
+            out = [batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], firsts]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out), pa.array(data, pa.binary())], ["doc_id", "crc", "at", "data"])
 
     return run
 
 
-def _cut_out(texts: DataFrame, places: DataFrame, span: int) -> DataFrame:
-    """The bytes at each of ``places``, out of the row (doc_id, crc, at) that each lies in."""
+def _cut_out(texts: DataFrame, places: DataFrame, span: int, squeezed: bool) -> DataFrame:
+    """The bytes at each of ``places``, out of the row (doc_id, crc, at) that each lies in. squeezed: compress whole texts for the join."""
     spans = places.groupBy("doc_id", "crc", "at").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    joined = texts.join(spans, ["doc_id", "crc", "at"]).select("doc_id", "crc", "at", "data", "spans")
-    return joined.mapInArrow(_slices(span), "doc_id long, crc long, at long, data binary")
+    joined = (_squeezed(texts, "data") if squeezed else texts).join(spans, ["doc_id", "crc", "at"]).select("doc_id", "crc", "at", "data", "spans")
+    return joined.mapInArrow(_slices(span, squeezed), "doc_id long, crc long, at long, data binary")
 
 
 def _blocks(span: int) -> list[tuple[int, int]]:
@@ -223,24 +246,22 @@ def repeated_places(docs: DataFrame, span: int = SPAN, seeds: tuple[int, int] =
     """doc_id, crc, first, last: strings of ``span`` bytes that start at first .. last occur elsewhere too."""
     texts = _keyed(docs)
     unsure, whole = _open_and_repeated(texts, span, seeds[0], "suffix-a")
-    slices = saved(_cut_out(texts, unsure, span), "suffix-slices")
+    slices = saved(_cut_out(texts, unsure, span, True), "suffix-slices")
     unsure, more = _open_and_repeated(slices, span, seeds[1], "suffix-b")
-    records = _cut_out(slices, unsure, span).mapInArrow(_suffix_records(span), SUFFIXES)
+    records = _cut_out(slices, unsure, span, False).mapInArrow(_suffix_records(span), SUFFIXES)
     buckets = records.repartitionByRange(tasks(docs.sparkSession), *TOKENS)
     last = buckets.mapInArrow(_sorted_repeats, PLACE)
     return whole.unionByName(more).unionByName(last)
 
 
-def _merge(spans: list[dict], span: int) -> list[tuple[int, int]]:
+def _merge(first: np.ndarray, last: np.ndarray, span: int) -> list[tuple[int, int]]:
     """Maximal byte ranges covered by the windows."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((s["first"], s["last"] + span) for s in spans):
-        if out and a <= out[-1][1]:
-            if b > out[-1][1]:
-                out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+    if not len(first):
+        return []
+    order = np.argsort(first)
+    first, end = first[order], np.maximum.accumulate(last[order] + span)
+    cut = np.flatnonzero(first[1:] > end[:-1]) + 1
+    return list(zip(first[np.append(0, cut)].tolist(), end[np.append(cut - 1, len(end) - 1)].tolist()))
 
 
 def _cut(raw: bytes, ranges: list[tuple[int, int]], whole_chars: bool) -> bytes:
@@ -256,20 +277,26 @@ def _cut(raw: bytes, ranges: list[tuple[int, int]], whole_chars: bool) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def _removed(span: int):
+def _removed(span: int, text_at: int):
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+
     def run(batches):
-        for batch in batches:
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in (part for b in batches for part in cut_batch(b, text_at, 1 << 20)):
             out: list[list] = [[], [], [], [], [], []]
-            for raw, spans in zip(batch.column("_data").to_pylist(), batch.column("_spans").to_pylist()):
-                ranges = _merge(spans or [], span)
+            texts = []
+            offsets, first, last = _spans_of(batch.column("_spans"))
+            for k, cell in enumerate(batch.column(text_at)):
+                raw = expand(cell.as_py()) if cell.is_valid else b""
+                texts.append(raw if cell.is_valid else None)
+                ranges = _merge(first[offsets[k] : offsets[k + 1]], last[offsets[k] : offsets[k + 1]], span)
                 kept = _cut(raw, ranges, False)
                 row = (len(raw), len(raw) - len(kept), len(ranges), hashlib.sha256(kept).hexdigest(), _cut(raw, ranges, True).decode(), [{"start": a, "end": b} for a, b in ranges])
                 for o, v in zip(out, row):
                     o.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            rest = [batch.column(k) for k, n in enumerate(batch.schema.names) if n not in ("_data", "_spans")]
-            names = [n for n in batch.schema.names if n not in ("_data", "_spans")]
-            yield pa.RecordBatch.from_arrays(rest + [pa.array(o, t) for o, t in zip(out, kinds)], [*names, *REPORT])
+            rest = batch.set_column(text_at, batch.schema.names[text_at], pa.array(texts, pa.binary()).cast(pa.string()))
+            names = [n for n in batch.schema.names if n != "_spans"]
+            yield pa.RecordBatch.from_arrays([*(rest.column(n) for n in names), *(pa.array(o, t) for o, t in zip(out, kinds))], [*names, *REPORT])
 
     return run
 
@@ -285,12 +312,13 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, seeds: tuple[int, int] = S
     places = repeated_places(docs, span, seeds)
     # saved, so that the records' shuffle files are gone before the texts are dealt out
     spans = saved(places.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("first", "last")).alias("_spans")), "suffix-spans")
-    data = text_bytes()
-    left = docs.select(*[F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(docs.columns)], data.alias("_data"), F.crc32(data).alias("_crc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"))
+    left = docs.select(*[F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(docs.columns)], text_crc().alias("_crc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"))
+    at = docs.columns.index("text")
+    left = _squeezed(left, f"_in{at}")
     joined = left.join(spans, (F.col("_id") == spans.doc_id) & (F.col("_crc") == spans.crc), "left").drop("doc_id", "crc", "_crc", "_id")
     keep = ", ".join(f"_in{k} {t.dataType.simpleString()}" for k, t in enumerate(docs.schema.fields))
     schema = f"{keep}, _n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string, _kept_text string, _ranges array<struct<start:bigint,end:bigint>>"
-    return joined.mapInArrow(_removed(span), schema)
+    return joined.mapInArrow(_removed(span, at), schema)
 
 
 def cut_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
