@@ -3,14 +3,15 @@
 call sites -> literals -> signals of distinct literals -> hits (an ordered pass within each stream) -> canonical names,
 types, roles, indicators, behaviour rules -> Unsafe / Review / Low. Signals are computed once for each distinct literal,
 joined back by digest. Vocabularies are constants of the plan. The only grouped Python step picks hits within one
-stream, whose calls are bounded by the stream.
+stream, over sorted partitions.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -104,48 +105,65 @@ def literal_signals(literals: DataFrame) -> DataFrame:
     return both.withColumn("nested", F.filter(F.split(nested, ","), lambda x: x != "")).select("sha", "tags", "entropy", "type", "nested", suspicious(F.col("tags")).alias("flagged"))
 
 
-_HITS = "blob_id string, call_seq int, track string, forced boolean, placeholder boolean, primary int, reasons array<string>, text string, entropy double"
+_HITS = pa.schema(
+    [("blob_id", pa.string()), ("call_seq", pa.int32()), ("track", pa.string()), ("forced", pa.bool_()), ("placeholder", pa.bool_()), ("primary", pa.int32()), ("reasons", pa.list_(pa.string())), ("text", pa.string()), ("entropy", pa.float64())]
+)
+_HITS_DDL = "blob_id string, call_seq int, track string, forced boolean, placeholder boolean, primary int, reasons array<string>, text string, entropy double"
 
 
-def _chosen(calls: pd.DataFrame) -> pd.DataFrame:
+def chosen(calls: list[dict]) -> list[dict]:
     """Hits of one stream: calls in order, each claiming its range of opcodes unless it is a placeholder or a resolver."""
     claimed: list[tuple[int, int]] = []
     out: list[dict] = []
     byte_list = set(V.BYTES_DENYLIST)
     free = lambda a, b: all(b < x or y < a for x, y in claimed)
-    for c in calls.sort_values("call_seq").itertuples():
-        a, b = c.slice_start, c.slice_end
-        leaves = [dict(x) if isinstance(x, dict) else x.asDict() for x in (c.leaves if c.leaves is not None else [])]
-        row = {"blob_id": c.blob_id, "call_seq": c.call_seq, "forced": False, "placeholder": False, "text": "", "entropy": 0.0, "end": b}
-        if c.invoke_op.startswith("EXT"):
+    for c in calls:
+        a, b, leaves = c["slice_start"], c["slice_end"], c["leaves"] or []
+        row = {"blob_id": c["blob_id"], "call_seq": c["call_seq"], "forced": False, "placeholder": False, "text": "", "entropy": 0.0, "end": b}
+        if c["invoke_op"].startswith("EXT"):
             if free(a, b):
                 claimed.append((a, b))
                 out.append(row | {"track": "unresolvable", "primary": b, "reasons": ["unresolvable_extension"]})
             continue
-        texts = [x for x in leaves if x["kind"] == "text" and (c.denied or x["flagged"])]
-        if (c.denied or texts) and free(a, b):
-            row |= {"forced": bool(c.denied), "track": "forced_callable" if c.denied else "content"}
+        texts = [x for x in leaves if x["kind"] == "text" and (c["denied"] or x["flagged"])]
+        if (c["denied"] or texts) and free(a, b):
+            row |= {"forced": c["denied"], "track": "forced_callable" if c["denied"] else "content"}
             if texts:
                 p = min(texts, key=lambda x: x["opcode_idx"])
-                row |= {"primary": p["opcode_idx"], "reasons": list(p["tags"]), "text": p["text"] or "", "entropy": p["entropy"]}
+                row |= {"primary": p["opcode_idx"], "reasons": p["tags"], "text": p["text"] or "", "entropy": p["entropy"]}
             else:
-                row |= {"primary": c.callable_idx, "reasons": ["no_argument_literal"], "placeholder": True}
-            if texts and not c.is_resolver:
+                row |= {"primary": c["callable_idx"], "reasons": ["no_argument_literal"], "placeholder": True}
+            if texts and not c["is_resolver"]:
                 claimed.append((a, b))
             out.append(row)
-        forced = c.qualname in byte_list
+        forced = c["qualname"] in byte_list
         found = [x for x in leaves if x["kind"] == "bytes" and (forced or x["flagged"])]
         if found and free(a, b):
             claimed.append((a, b))
-            out.append(row | {"track": "bytes", "forced": forced, "placeholder": False, "primary": found[0]["opcode_idx"], "reasons": list(found[0]["tags"]), "text": "", "entropy": found[0]["entropy"]})
+            out.append(row | {"track": "bytes", "forced": forced, "placeholder": False, "primary": found[0]["opcode_idx"], "reasons": found[0]["tags"], "text": "", "entropy": found[0]["entropy"]})
     real = {r["end"] for r in out if not r["placeholder"]}
     kept, seen = [], set()
     for r in out:
         if not r["placeholder"] or (r["end"] not in real and r["end"] not in seen):
             seen.add(r["end"] if r["placeholder"] else -1)
-            kept.append(r)
-    names = ["blob_id", "call_seq", "track", "forced", "placeholder", "primary", "reasons", "text", "entropy"]
-    return pd.DataFrame([{n: r[n] for n in names} for r in kept], columns=names)
+            kept.append({n: r[n] for n in _HITS.names})
+    return kept
+
+
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams come one after another, their calls in order; only one stream's calls are held."""
+    key, held = None, []
+    for batch in batches:
+        out: list[dict] = []
+        for row in batch.to_pylist():
+            if row["blob_id"] != key:
+                out += chosen(held)
+                key, held = row["blob_id"], []
+            held.append(row)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, _HITS)
+    if held and (out := chosen(held)):
+        yield pa.RecordBatch.from_pylist(out, _HITS)
 
 
 def _lookup(key: Column, rows: list[tuple], fields: tuple[str, str]) -> Column:
@@ -185,7 +203,7 @@ def hits(calls: DataFrame) -> DataFrame:
     per_call = known.groupBy("blob_id", "call_seq").agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
     full = calls.drop("literals").join(per_call, ["blob_id", "call_seq"], "left")
     seen = full.select("blob_id", "call_seq", "invoke_op", "qualname", "denied", "is_resolver", "slice_start", "slice_end", "callable_idx", "leaves")
-    picked = seen.groupBy("blob_id").applyInPandas(_chosen, _HITS)
+    picked = seen.repartition("blob_id").sortWithinPartitions("blob_id", "call_seq").mapInArrow(_hits, _HITS_DDL)
     return picked.join(full, ["blob_id", "call_seq"])
 
 
@@ -273,6 +291,3 @@ def artifact_verdicts(artifacts: DataFrame, blobs: DataFrame, found: DataFrame,
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     final = F.when(F.col("n_unsafe") > 0, "Unsafe").when((F.col("n_review") > 0) | (F.size("unsafe_names") > 0), "Review").when(F.col("n_low") > 0, "Low").otherwise("No issue")
     return out.select("artifact_id", n("n_streams"), n("n_hits"), n("n_unsafe"), n("n_review"), n("n_low"), F.coalesce("callables", F.array().cast("array<string>")).alias("callables"), final.alias("verdict"))
-
-
-SAFE_NAME = re.compile(r"[/\\!]")
