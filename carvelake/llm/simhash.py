@@ -138,7 +138,7 @@ def _links(apart: int):
 
 
 def links(prints: DataFrame, apart: int = BITS_APART, cell: int = CELL) -> DataFrame:
-    """Spanning links (u, v) among distinct fingerprints (column print) at ``apart`` or fewer differing bits (3 at most)."""
+    """Spanning links (u, v), each from a fingerprint to the least one that its cell connects it to, among distinct fingerprints (column print) at ``apart`` or fewer differing bits (3 at most)."""
     index = _index(prints)
     shared = saved(index.groupBy("posting").count().where("count > 1").selectExpr("posting", "int(ceil(count / %d)) as blocks" % cell), "simhash-lists")
     entries = index.join(shared, "posting").withColumn("mine", F.expr("int(pmod(xxhash64(print), blocks))"))

@@ -180,6 +180,8 @@ def _literals(bits: Bits, lengths: tuple[int, ...], n: int) -> np.ndarray:
         got, add = len(out[0]), out.append
     found = np.frombuffer(b"".join(out)[:n], np.uint8)
     bits.seek(bits.at + int(np.array(lengths)[found].sum()))
+    if bits.at > most:
+        raise WebPError("the data ends early")
     return found
 
 
@@ -349,7 +351,10 @@ def decode(data: bytes) -> np.ndarray:
     """Rows of ARGB pixels of one lossless WebP file."""
     if len(data) < 21 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
         raise WebPError("not a lossless WebP file")
-    bits = Bits(data[21 : 20 + int.from_bytes(data[16:20], "little")])
+    size = int.from_bytes(data[16:20], "little")
+    if 20 + size > len(data):
+        raise WebPError("the data ends early")
+    bits = Bits(data[21 : 20 + size])
     width, height = bits.read(14) + 1, bits.read(14) + 1
     bits.read(1)
     if bits.read(3):
