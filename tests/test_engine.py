@@ -161,7 +161,7 @@ def test_overlap_fold_against_brute_force(spark):
 
 def shown(df):
     df = df[sorted(df.columns)]
-    cell = lambda x: "null" if x is None or x is pd.NA or (isinstance(x, float) and x != x) else f"{x:.6f}" if isinstance(x, float) else str(x)
+    cell = lambda x: "null" if x is None or x is pd.NA or (isinstance(x, float) and x != x) else f"{x:.6f}" if isinstance(x, float) and x != int(x) else str(int(x)) if isinstance(x, float) else str(x)
     return sorted(tuple(map(cell, r)) for r in df.values.tolist())
 
 
