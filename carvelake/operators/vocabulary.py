@@ -54,6 +54,7 @@ def alias_names() -> dict[str, frozenset[str]]:
     return out
 
 
+@lru_cache(maxsize=65_536)
 def canonical(module: str, name: str, protocol: int) -> tuple[str, bool]:
     """Canonical dotted name, and whether it names nothing under this protocol."""
     lost = False
@@ -80,6 +81,7 @@ def gateways() -> frozenset[str]:
     return frozenset(V.DENYLIST) | frozenset(V.BYTES_DENYLIST)
 
 
+@lru_cache(maxsize=65_536)
 def denied(qualname: str) -> bool:
     if qualname in denylist():
         return True

@@ -509,11 +509,12 @@ def canonical_names(spark, d):
 def verdict_counts(spark, d):
     """Flagship: every text as the argument of a harmless call, judged; counts by table and verdict."""
     texts = t(spark, d, "documents").select(F.lit("documents").alias("origin"), "text").unionByName(t(spark, d, "conversations").select(F.lit("conversations").alias("origin"), "text"))
-    tags = G.text_tags(c("text"))
-    tagged = texts.select("origin", F.transform(tags, S.base_tag).alias("tags"))
+    # copies are counted first, so each distinct text is scored once, and the texts are dealt over all tasks
+    distinct = texts.groupBy("origin", "text").agg(F.count("*").alias("copies"))
+    tagged = distinct.select("origin", "copies", F.transform(G.text_tags(c("text")), S.base_tag).alias("tags"))
     from carvelake.functions import fixed_values as X
 
     alone = F.arrays_overlap("tags", F.array(*[F.lit(r[0]) for r in X.LITERAL_STANDALONE]))
     quiet = F.forall("tags", lambda x: x.isin(*X.LITERAL_DISQUALIFIED, *V.PATH_TAGS))
     verdict = F.when(F.size("tags") == 0, "none").when(alone, "Unsafe").when(quiet, "Low").otherwise("Review")
-    return tagged.groupBy("origin", verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    return tagged.groupBy("origin", verdict.alias("verdict")).agg(F.sum("copies").alias("n"))
