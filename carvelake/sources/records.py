@@ -11,8 +11,8 @@ LEDGER = (
 )
 TRACES = "sample_id string, oracle array<struct<sha:string,chain:string,offset:bigint>>, ps_hit array<string>, ms_hit array<string>, ps_err string, ms_err string"
 MEASUREMENTS = (
-    "sample_id string, status string, n_rops int, blob_shas array<string>, blob_kinds array<string>, n_hits int, n_unsafe int, n_review int, n_low int, "
-    "rops_warn boolean, rops_confirm boolean, or_globals int, callables array<string>"
+    "sample_id string, status string, n_streams int, blob_shas array<string>, blob_kinds array<string>, n_hits int, n_unsafe int, n_review int, n_low int, "
+    "warn boolean, confirm boolean, or_globals int, callables array<string>"
 )
 STREAM_TRACE = "streams array<struct<globals:array<struct<module:string,name:string>>>>"
 
