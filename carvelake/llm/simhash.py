@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, saved, table, text_crc
+from .common import NO_ID, saved, table, text_bytes, text_crc
 from .components import components
 
 WORDS, SEED, BITS_APART = 3, 42, 3
@@ -62,14 +62,20 @@ def _fingerprints(words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(2)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["doc_id", "crc", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(values.view(np.int64))], ["doc_id", "crc", "hash", "print"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, the text's CRC and its fingerprint, as the signed long of the same 64 bits."""
-    return docs.select(F.col("doc_id").cast("long"), text_crc().alias("crc"), "text").mapInArrow(_fingerprints(words, seed), "doc_id long, crc long, print long")
+    """doc_id, the text's CRC and hash, and its fingerprint, as the signed long of the same 64 bits."""
+    rows = docs.select(F.col("doc_id").cast("long"), text_crc().alias("crc"), "text", _text_hash().alias("hash"))
+    return rows.mapInArrow(_fingerprints(words, seed), "doc_id long, crc long, hash long, print long")
+
+
+def _text_hash() -> Column:
+    """Tells texts apart whose 32-bit CRCs are equal."""
+    return F.xxhash64(text_bytes())
 
 
 def _index(prints: DataFrame) -> DataFrame:
@@ -149,26 +155,27 @@ def links(prints: DataFrame, apart: int = BITS_APART, cell: int = CELL) -> DataF
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, apart: int = BITS_APART) -> DataFrame:
-    """doc_id, crc, print, component_id of each row of ``docs`` (doc_id, text)."""
+    """doc_id, crc, hash, print, root, component_id of each row of ``docs`` (doc_id, text); root is the least fingerprint of a row's group, component_id the least id."""
     rows = saved(fingerprints(docs, words, seed), "simhash-prints")
     distinct = saved(rows.groupBy("print").agg(F.min("doc_id").alias("least_doc")), "simhash-distinct")
     roots = saved(components(links(distinct.select("print"), apart)), "simhash-roots")
     rooted = distinct.join(roots, distinct.print == roots.node, "left").select("print", "least_doc", F.coalesce("root", "print").alias("root"))
     named = saved(rooted.groupBy("root").agg(F.min("least_doc").alias("component_id")), "simhash-names")
-    of_print = saved(rooted.join(named, "root").select("print", "component_id"), "simhash-components")
-    return rows.join(of_print, "print").select("doc_id", "crc", "print", "component_id")
+    of_print = saved(rooted.join(named, "root").select("print", "root", "component_id"), "simhash-components")
+    return rows.join(of_print, "print").select("doc_id", "crc", "hash", "print", "root", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``; of each group of near duplicates the row with the smallest doc_id, once.
 
     Among rows of that doc_id the text with the smallest CRC stays; a row without doc_id stays only if none of its group has one.
+    A group is told by its root: unrelated texts without an id, or under one id, are groups of their own.
     """
     found = near_duplicates(docs.select("doc_id", "text"))
-    who = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "crc")).alias("who")
-    kept = saved(found.groupBy("component_id").agg(who).select(F.coalesce("who.doc_id", F.lit(NO_ID)).alias("_id"), F.col("who.crc").alias("_crc")).distinct(), "simhash-kept")
-    own = docs.select(*[F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(docs.columns)], F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), text_crc().alias("_crc"))
-    once = own.join(kept, ["_id", "_crc"]).withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy(F.lit(0))))
+    who = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "crc", "hash")).alias("who")
+    kept = saved(found.groupBy("root").agg(who).select(F.coalesce("who.doc_id", F.lit(NO_ID)).alias("_id"), F.col("who.crc").alias("_crc"), F.col("who.hash").alias("_hash")).distinct(), "simhash-kept")
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(docs.columns)], F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), text_crc().alias("_crc"), _text_hash().alias("_hash"))
+    once = own.join(kept, ["_id", "_crc", "_hash"]).withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_crc", "_hash").orderBy(F.lit(0))))
     return once.where("_nth = 1").select(*[F.col(f"_in{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 

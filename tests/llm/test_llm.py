@@ -176,6 +176,14 @@ def test_simhash_against_brute_force(docs, none, spark, sf):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_unrelated_texts_without_an_id_or_under_one_id_stay(spark):
+    texts = [" ".join(f"{name}{k * k}" for k in range(80)) for name in ("ash", "birch", "cedar", "oak")]
+    rows = [(None, t) for t in texts[:3]] + [(None, texts[0]), (5, texts[3]), (5, texts[2] + " end"), (5, "short other text")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.text for r in kept.collect() if r.doc_id is None) == texts[:2]
+    assert sorted(r.text for r in kept.collect() if r.doc_id == 5) == sorted([texts[3], texts[2] + " end", "short other text"])
+
+
 def test_every_five_positions_contain_a_block():
     from itertools import combinations
 
