@@ -39,11 +39,11 @@ _BIT_OF = np.array([[v >> k & 1 for k in range(8)] for v in range(256)], np.int6
 _POSITION = np.arange(8, dtype=np.int64) * 256
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """Unsigned 64-bit SimHash of a text's word shingles."""
+def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
+    """64-bit hashes of a text's word shingles, in order."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -52,7 +52,14 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     hashed = xxhash.xxh64_intdigest
-    h = np.fromiter([hashed(line[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64, len(starts))
+    return np.fromiter([hashed(line[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64, len(starts))
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """Unsigned 64-bit SimHash of a text's word shingles."""
+    h = shingle_hashes(text, words, seed)
+    if not len(h):
+        return 0
     seen = np.bincount((h.view(np.uint8).reshape(-1, 8) + _POSITION).ravel(), minlength=2048).reshape(8, 256)
     ones = (seen @ _BIT_OF).ravel() * 2 > len(h)
     return int(np.packbits(ones, bitorder="little").view(np.uint64)[0])
@@ -69,11 +76,11 @@ def _fingerprints(words: int, seed: int):
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
     """doc_id, the text's CRC and hash, and its fingerprint, as the signed long of the same 64 bits."""
-    rows = docs.select(F.col("doc_id").cast("long"), text_crc().alias("crc"), "text", _text_hash().alias("hash"))
+    rows = docs.select(F.col("doc_id").cast("long"), text_crc().alias("crc"), "text", text_hash().alias("hash"))
     return rows.mapInArrow(_fingerprints(words, seed), "doc_id long, crc long, hash long, print long")
 
 
-def _text_hash() -> Column:
+def text_hash() -> Column:
     """Tells texts apart whose 32-bit CRCs are equal."""
     return F.xxhash64(text_bytes())
 
@@ -171,10 +178,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Among rows of that doc_id the text with the smallest CRC stays; a row without doc_id stays only if none of its group has one.
     A group is told by its root: unrelated texts without an id, or under one id, are groups of their own.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
+    return keep_rows(docs, near_duplicates(docs.select("doc_id", "text")))
+
+
+def keep_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``keep_one`` for the groups of ``found`` (doc_id, crc, hash, root)."""
     who = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "crc", "hash")).alias("who")
     kept = saved(found.groupBy("root").agg(who).select(F.coalesce("who.doc_id", F.lit(NO_ID)).alias("_id"), F.col("who.crc").alias("_crc"), F.col("who.hash").alias("_hash")).distinct(), "simhash-kept")
-    own = docs.select(*[F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(docs.columns)], F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), text_crc().alias("_crc"), _text_hash().alias("_hash"))
+    own = docs.select(*[F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(docs.columns)], F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), text_crc().alias("_crc"), text_hash().alias("_hash"))
     once = own.join(kept, ["_id", "_crc", "_hash"]).withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_crc", "_hash").orderBy(F.lit(0))))
     return once.where("_nth = 1").select(*[F.col(f"_in{k}").alias(c) for k, c in enumerate(docs.columns)])
 

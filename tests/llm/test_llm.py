@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from carvelake.llm import bpe, chat, html_text, knn, media, packing, quality, registry, sharding, simhash, suffix_dedup, webp  # noqa: E402
+from carvelake.llm import bpe, chat, html_text, knn, media, packing, quality, registry, sharding, similar, simhash, suffix_dedup, webp  # noqa: E402
 from carvelake.llm.common import saved  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, print long, cell int, bucket long, n long, length long, crc long, x array<double>, shard int, at long, _id long, row int"
@@ -184,6 +184,32 @@ def test_unrelated_texts_without_an_id_or_under_one_id_stay(spark):
     assert sorted(r.text for r in kept.collect() if r.doc_id == 5) == sorted([texts[3], texts[2] + " end", "short other text"])
 
 
+def test_near_dedup_stage_reaches_similarity(spark, sf, docs, none):
+    import corpus_pipeline as p
+
+    stage = dict(p.STAGES)["simhash_near_dedup"]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    words = [f"w{k * k}" for k in range(400)]
+    # four words replaced: 20 of 396 shingles
+    rows += [(1000 + k, " ".join(f"new{j}" if j % 50 == 5 and j // 50 < 4 * k else w for j, w in enumerate(words))) for k in range(2)]
+    rows += [(2000, " ".join(words[:200])), (2001, None), (2002, ""), (2003, " \n"), (None, "two words"), (None, "other words")]
+    whole = similar_by_force(rows)
+    assert whole[1001] == 1000 and whole[2000] == 2000 and whole[2002] == 2001
+    got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert {r.doc_id for r in got if r.doc_id is not None} == {d for d, c in whole.items() if d == c} and sum(r.doc_id is None for r in got) == 2
+    assert stage(spark, none, sf).count() == 0 and stage(spark, docs, sf).columns == docs.columns
+
+
+def similar_by_force(rows):
+    sets = []
+    for _, text in rows:
+        parts = (text or "").lower().split()
+        sets.append({tuple(parts[k : k + 5]) for k in range(max(len(parts) - 4, 1))} if parts else set())
+    near = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    groups_ = joined(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if near(sets[i], sets[j])])
+    return {rows[k][0]: min(rows[x][0] for x in g) for g in groups_ for k in g if rows[k][0] is not None}
+
+
 def test_every_five_positions_contain_a_block():
     from itertools import combinations
 
