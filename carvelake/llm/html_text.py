@@ -3,7 +3,7 @@
 The markup is stripped into lines: one for each block-level element's own text, in page order, with character references
 decoded and white space folded. Each line has a length; lines in parts of the page that are not the article (menus,
 headers, footers, sidebars, notices, adverts, forms, comments, by element or by the words of class, id and role) and
-lines that are mostly links count zero. The lengths are summed over sliding windows of ``WINDOW`` lines; a run begins where the
+lines that are mostly links count zero. Such a mark is lifted where the marked element holds the story (`_lifted`). The lengths are summed over sliding windows of ``WINDOW`` lines; a run begins where the
 sum surges from zero, ends where it dives back, and its first and last lines of zero length are trimmed. Where a
 page has an article or main element, all runs inside are kept, so that short paragraphs stay; elsewhere runs are
 kept that reach ``SHARE`` of the longest run's length. Lines of length zero inside a kept run that only links made
@@ -17,6 +17,7 @@ gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -49,34 +50,78 @@ OUTSIDE_WORDS = {
     "social", "related", "recommended", "recommendations", "widget", "pagination", "pager", "toolbar", "copyright", "legal", "disclaimer", "skip", "tags",
     "form", "search", "outbrain", "taboola", "alert",
 }
+#: Marks that nothing lifts, that most of the page's text lifts as well as an article does, and words of headings and paragraphs that are their topic.
+NEVER, FIRM, LOOSE = 2, 1, 0
+NEVER_TAGS, NEVER_WORDS = {"nav", "footer", "menu", "dialog", "button", "label"}, {"comment", "comments", "reply", "replies", "respond", "disqus"}
+LOOSE_WORDS = {"nav", "navbar", "navigation", "menu", "sidebar", "aside", "share", "sharing", "social", "related", "widget", "banner", "search", "form", "overlay", "toolbar", "tags", "notice", "legal", "alert"}
+TOPICS, TOPIC_TAGS = {"legal", "notice", "related", "tags", "alert"}, {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: A class such as has-sidebar or share-enabled tells of a page with such a part; it is not the part.
+BEFORE, AFTER = {"has", "with", "no", "without", "is", "not"}, {"enabled", "disabled", "open", "opened", "closed", "collapsed", "expanded", "visible", "active", "on", "off"}
 #: A header belongs to the article when it is inside it and holds a heading; elsewhere it is the page's.
 ARTICLE = {"article", "main"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = BLOCK - {"body", "html", "li", "dt", "dd", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary", "figcaption"}
 
 
-def _outside(tag: str, attributes: str, in_article: bool) -> bool:
+def _outside(tag: str, attributes: str, in_article: bool) -> int | None:
+    """The mark of an element that is not of the article: NEVER, FIRM or LOOSE."""
+    marks = []
     if tag in OUTSIDE or (tag == "header" and not in_article):
-        return True
+        marks.append(NEVER if tag in NEVER_TAGS else LOOSE if tag in ("form", "fieldset") else FIRM)
     if not attributes or tag in ("html", "body", *ARTICLE):
-        return False
+        return max(marks, default=None)
     for m in _NAMES.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            marks.append(NEVER)
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            marks.append(NEVER)
         if name == "role" and value.lower() in OUTSIDE_ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in OUTSIDE_WORDS for w in _WORDS.findall(value)):
-            return True
-    return False
+            marks.append(LOOSE if value.lower() in ("form", "search") else FIRM)
+        if name in ("class", "id"):
+            for part in value.split():
+                words = [w.lower() for w in _WORDS.findall(part)]
+                if words and (words[0] in BEFORE or (len(words) > 1 and words[-1] in AFTER)):
+                    continue
+                found = OUTSIDE_WORDS.intersection(words) - (TOPICS if tag in TOPIC_TAGS else set())
+                marks += [NEVER if w in NEVER_WORDS else LOOSE if w in LOOSE_WORDS else FIRM for w in found]
+    return max(marks, default=None)
+
+
+def _lifted(page: list[tuple[str, tuple[int, ...], int, int]], kinds: dict[int, int], mains: set[int]) -> set[int]:
+    """Marked elements that hold the story all the same: a main element, an article longer than all unmarked text, or most of a page without articles."""
+    total = unmarked = free_articles = 0
+    held: Counter[int] = Counter()
+    articles: Counter[int] = Counter()
+    for text, marks, linked, article in page:
+        if any(kinds[m] == NEVER for m in marks):
+            continue
+        own = max(len(text) - linked, 0)
+        total += own
+        articles[article] += own
+        for m in marks:
+            held[m] += own
+        if not marks:
+            unmarked += own
+            free_articles += own if article else 0
+    longest: Counter[int] = Counter()
+    out = set()
+    for _, marks, _, article in page:
+        for m in marks:
+            if article > m:
+                longest[m] = max(longest[m], articles[article])
+                if article in mains and articles[article]:
+                    out.add(m)
+    out |= {m for m, k in kinds.items() if longest[m] > unmarked or (k == LOOSE and not free_articles and 2 * held[m] > total)}
+    return {m for m in out if kinds[m] != NEVER}
 
 
 def lines(html: str) -> list[tuple[str, int, int, bool]]:
     """The page's lines: text, length (zero outside the article), length of its links, and whether an article element holds it."""
-    out: list[tuple[str, int, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, outside, in an article
+    out: list[tuple[str, tuple[int, ...], int, int]] = []
+    stack: list[tuple[str, tuple[int, ...], int]] = []  # element, marked elements around it, article around it
+    kinds: dict[int, int] = {}
+    mains: set[int] = set()
     text: list[str] = []
     linked = anchors = at = 0
 
@@ -85,8 +130,8 @@ def lines(html: str) -> list[tuple[str, int, int, bool]]:
         if text:
             line = _SPACE.sub(" ", unescape("".join(text))).strip()
             if line:
-                _, out_, art = stack[-1] if stack else ("", False, False)
-                out.append((line, 0 if out_ else len(line), linked, art))
+                _, marks, art = stack[-1] if stack else ("", (), 0)
+                out.append((line, marks, linked, art))
             text.clear()
         linked = 0
 
@@ -149,16 +194,23 @@ def lines(html: str) -> list[tuple[str, int, int, bool]]:
                     break
                 if stack[k][0] in BLOCK:
                     break
-        _, out_, art = stack[-1] if stack else ("", False, False)
+        _, marks, art = stack[-1] if stack else ("", (), 0)
         if tag == "a":
             anchors += 1
-        now = _outside(tag, m[4], art)
-        if now and not out_:
+        now = _outside(tag, m[4], art > 0)
+        if now is not None and not marks:
             flush()
         if not m[4].endswith("/"):
-            stack.append((tag, out_ or now, art or tag in ARTICLE or 'role="main"' in m[4]))
+            if now is not None:
+                kinds[at] = now
+                marks = (*marks, at)
+            main = tag == "main" or 'role="main"' in m[4]
+            if main:
+                mains.add(at)
+            stack.append((tag, marks, at if main or tag in ARTICLE else art))
     flush()
-    return out
+    lifted = _lifted(out, kinds, mains)
+    return [(line, 0 if set(marks) - lifted else len(line), linked, art > 0) for line, marks, linked, art in out]
 
 
 def runs(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:

@@ -319,6 +319,21 @@ def test_html(spark):
     assert html_text.runs([0, 0, 5, 0, 7, 0, 0, 0, 0, 3]) == [(2, 5), (9, 10)]
 
 
+STORY = "".join(f"<p>Paragraph {k} of the story, which is long enough to be one.</p>" for k in range(6))
+TOLD = "\n".join(f"Paragraph {k} of the story, which is long enough to be one." for k in range(6))
+
+
+@pytest.mark.parametrize("around", ['<div class="layout has-sidebar">', '<div id="page" class="share-enabled">', "<form action=/x>", '<div class="sidebar-layout">', '<div class="newsletter">'])
+def test_html_marked_ancestors(around):
+    tag = around[1:].split()[0].rstrip(">")
+    rest = '<div class="cookie-notice">We use cookies</div><div id="comments"><article class="comment">So nice a post!</article></div>'
+    assert html_text.main_text(f"<body>{around}<article>{STORY}</article></{tag}>{rest}</body>") == TOLD
+    if "newsletter" not in around:
+        assert html_text.main_text(f"<body>{around}<div>{STORY}</div></{tag}>{rest}</body>") == TOLD
+    assert html_text.main_text(f'<article><h2 class="legal">A law</h2>{STORY}<p class="notice">Note this.</p></article>') == f"A law\n{TOLD}\nNote this."
+    assert html_text.main_text(f'<article>{STORY}</article><div class="related"><article>Other story</article></div>') == TOLD
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 
