@@ -4,9 +4,9 @@ The markup is stripped into lines: one for each block-level element's own text,
 decoded and white space folded. Each line has a length; lines in parts of the page that are not the article (menus,
 headers, footers, sidebars, notices, adverts, forms, comments, by element or by the words of class, id and role) and
 lines that are mostly links count zero. Such a mark is lifted where the marked element holds the story (`_lifted`). The lengths are summed over sliding windows of ``WINDOW`` lines; a run begins where the
-sum surges from zero, ends where it dives back, and its first and last lines of zero length are trimmed. Where a
-page has an article or main element, all runs inside are kept, so that short paragraphs stay; elsewhere runs are
-kept that reach ``SHARE`` of the longest run's length. Lines of length zero inside a kept run that only links made
+sum surges from zero, ends where it dives back, and its first and last lines of zero length are trimmed. Where article
+or main elements hold half of a page's text or more, all runs inside are kept, so that short paragraphs stay; elsewhere all
+runs are kept inside the container of the longest run, and others that reach ``SHARE`` of its length. Lines of length zero inside a kept run that only links made
 zero are kept: prose may end in one.
 
 Defined cases: null or empty html has an empty text; unclosed and misnested elements close with their parents; raw text
@@ -16,6 +16,7 @@ gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -57,6 +58,8 @@ LOOSE_WORDS = {"nav", "navbar", "navigation", "menu", "sidebar", "aside", "share
 TOPICS, TOPIC_TAGS = {"legal", "notice", "related", "tags", "alert"}, {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: A class such as has-sidebar or share-enabled tells of a page with such a part; it is not the part.
 BEFORE, AFTER = {"has", "with", "no", "without", "is", "not"}, {"enabled", "disabled", "open", "opened", "closed", "collapsed", "expanded", "visible", "active", "on", "off"}
+#: Elements that hold blocks of text, of which a story is made.
+CONTAINERS = {"article", "body", "center", "div", "form", "fieldset", "html", "main", "section", "table", "tbody"}
 #: A header belongs to the article when it is inside it and holds a heading; elsewhere it is the page's.
 ARTICLE = {"article", "main"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -116,10 +119,12 @@ def _lifted(page: list[tuple[str, tuple[int, ...], int, int]], kinds: dict[int,
     return {m for m in out if kinds[m] != NEVER}
 
 
-def lines(html: str) -> list[tuple[str, int, int, bool]]:
-    """The page's lines: text, length (zero outside the article), length of its links, and whether an article element holds it."""
+def lines(html: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
+    """The page's lines: text, length (zero outside the article), length of its links, whether an article element holds it, and the containers around it."""
     out: list[tuple[str, tuple[int, ...], int, int]] = []
     stack: list[tuple[str, tuple[int, ...], int]] = []  # element, marked elements around it, article around it
+    places: list[int] = []  # where the elements of the stack began
+    paths: list[tuple[int, ...]] = []
     kinds: dict[int, int] = {}
     mains: set[int] = set()
     text: list[str] = []
@@ -132,6 +137,7 @@ def lines(html: str) -> list[tuple[str, int, int, bool]]:
             if line:
                 _, marks, art = stack[-1] if stack else ("", (), 0)
                 out.append((line, marks, linked, art))
+                paths.append(tuple(x for (name, *_), x in zip(stack, places) if name in CONTAINERS))
             text.clear()
         linked = 0
 
@@ -207,10 +213,12 @@ def lines(html: str) -> list[tuple[str, int, int, bool]]:
             main = tag == "main" or 'role="main"' in m[4]
             if main:
                 mains.add(at)
+            del places[len(stack) :]
+            places.append(at)
             stack.append((tag, marks, at if main or tag in ARTICLE else art))
     flush()
     lifted = _lifted(out, kinds, mains)
-    return [(line, 0 if set(marks) - lifted else len(line), linked, art > 0) for line, marks, linked, art in out]
+    return [(line, 0 if set(marks) - lifted else len(line), linked, art > 0, path) for (line, marks, linked, art), path in zip(out, paths)]
 
 
 def runs(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -238,14 +246,20 @@ def runs(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
 
 def main_text(html: str | None) -> str:
     page = lines(html or "")
-    whole = any(art and size for _, size, _, art in page)
-    sized = [size if (art or not whole) else 0 for _, size, _, art in page]
+    own = [max(size - links, 0) for _, size, links, _, _ in page]
+    inside = sum(n for n, (_, _, _, art, _) in zip(own, page) if art)
+    whole = inside > 0 and 2 * inside >= sum(own)
+    sized = [size if (art or not whole) else 0 for _, size, _, art, _ in page]
     # without an article element, lines of links don't make a surge
-    dense = [0 if not whole and links >= LINKS * len(text) else size for (text, _, links, _), size in zip(page, sized)]
+    dense = [0 if not whole and links >= LINKS * len(text) else size for (text, _, links, _, _), size in zip(page, sized)]
     found = runs(dense)
     if not whole and found:
-        most = max(sum(dense[a:b]) for a, b in found)
-        found = [(a, b) for a, b in found if sum(dense[a:b]) >= SHARE * most]
+        longest = max(found, key=lambda r: sum(dense[r[0] : r[1]]))
+        most = sum(dense[slice(*longest)])
+        around = os.path.commonprefix([page[k][4] for k in range(*longest) if dense[k]])
+        depth = len(around)
+        # runs inside the container of the longest one stay, whatever their length
+        found = [(a, b) for a, b in found if sum(dense[a:b]) >= SHARE * most or any(dense[k] and page[k][4][:depth] == around for k in range(a, b))]
     return "\n".join(page[k][0] for a, b in found for k in range(a, b) if sized[k])
 
 

@@ -334,6 +334,14 @@ def test_html_marked_ancestors(around):
     assert html_text.main_text(f'<article>{STORY}</article><div class="related"><article>Other story</article></div>') == TOLD
 
 
+def test_html_keeps_all_of_the_container():
+    links = "".join(f'<li><a href="/{k}">Related story {k}</a></li>' for k in range(4))
+    advert = '<div class="ad"><p>Buy</p><p>this</p><p>now</p></div>'
+    for between in (f"<ul>{links}</ul>", advert):
+        assert html_text.main_text(f"<body><div><a href=/>Home</a></div><div id=story>{STORY}{between}<p>The end.</p></div></body>") == f"{TOLD}\nThe end."
+    assert html_text.main_text(f'<body><div id=story>{STORY}</div><div><ul>{links}</ul><article><p>A teaser.</p></article></div></body>') == TOLD
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 
