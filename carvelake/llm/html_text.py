@@ -127,26 +127,46 @@ def lines(html: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
     paths: list[tuple[int, ...]] = []
     kinds: dict[int, int] = {}
     mains: set[int] = set()
-    text: list[str] = []
-    linked = anchors = at = 0
+    text: list[tuple[str, int]] = []  # pieces of the line, with the lengths of their links
+    inline: dict[int, int | None] = {}  # depths of open marked inline elements, and where their text starts; None once a block split them
+    anchors = at = 0
+
+    def put(parts: list[tuple[str, int]], depth: int) -> None:
+        line = _SPACE.sub(" ", unescape("".join(raw for raw, _ in parts))).strip()
+        if line:
+            _, marks, art = stack[depth - 1] if depth else ("", (), 0)
+            out.append((line, marks, sum(links for _, links in parts), art))
+            paths.append(tuple(x for (name, *_), x in zip(stack[:depth], places) if name in CONTAINERS))
 
     def flush() -> None:
-        nonlocal linked
-        if text:
-            line = _SPACE.sub(" ", unescape("".join(text))).strip()
-            if line:
-                _, marks, art = stack[-1] if stack else ("", (), 0)
-                out.append((line, marks, linked, art))
-                paths.append(tuple(x for (name, *_), x in zip(stack, places) if name in CONTAINERS))
-            text.clear()
-        linked = 0
+        began = 0
+        # a block within a marked inline element: what came before that element is the surrounding block's
+        for depth in sorted(inline):
+            if inline[depth] is not None:
+                put(text[began : inline[depth]], depth)
+                began, inline[depth] = inline[depth], None
+        put(text[began:], len(stack))
+        text.clear()
 
     def add(raw: str) -> None:
-        nonlocal linked
         if raw:
-            text.append(raw)
-            if anchors:
-                linked += len(raw.strip())
+            text.append((raw, len(raw.strip()) if anchors else 0))
+
+    def unclosed(k: int) -> None:
+        """The text of marked inline elements that end with a block around them, from the k-th element of the stack."""
+        for depth in sorted(d for d in inline if d > k):
+            if inline[depth] is not None:
+                del text[inline[depth] :]
+
+    def close(k: int) -> None:
+        """Closes the stack's elements from the k-th; the text of marked inline elements goes."""
+        for depth in sorted(d for d in inline if d >= k):
+            start = inline.pop(depth)
+            if start is None:
+                flush()
+            else:
+                del text[start:]
+        del stack[k:]
 
     n = len(html)
     while at < n:
@@ -167,8 +187,9 @@ def lines(html: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     if any(s[0] in BLOCK for s in stack[k:]):
+                        unclosed(k)
                         flush()
-                    del stack[k:]
+                    close(k)
                     break
             else:
                 if tag in BLOCK:
@@ -183,20 +204,20 @@ def lines(html: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
             if tag == "hr":
                 flush()
             else:
-                text.append(" ") if tag == "br" else None
+                text.append((" ", 0)) if tag == "br" else None
             continue
         if tag in BLOCK:
             flush()
             if tag in _ENDS_P:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k][0] in BLOCK:
                         break
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in CLOSES.get(tag, ()):
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in BLOCK:
                     break
@@ -204,10 +225,10 @@ def lines(html: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
         if tag == "a":
             anchors += 1
         now = _outside(tag, m[4], art > 0)
-        if now is not None and not marks:
-            flush()
         if not m[4].endswith("/"):
             if now is not None:
+                if tag not in BLOCK:
+                    inline[len(stack)] = len(text)
                 kinds[at] = now
                 marks = (*marks, at)
             main = tag == "main" or 'role="main"' in m[4]

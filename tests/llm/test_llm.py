@@ -342,6 +342,15 @@ def test_html_keeps_all_of_the_container():
     assert html_text.main_text(f'<body><div id=story>{STORY}</div><div><ul>{links}</ul><article><p>A teaser.</p></article></div></body>') == TOLD
 
 
+def test_html_inline_parts_go():
+    got = html_text.main_text
+    assert got('<p>One <span class="ad">Buy</span> two.</p>') == "One two."
+    assert got("<article><p>Read<button>Share <b>it</b></button> on.</p><p>More <label>x<a href=/>y</a></label></p></article>") == "Read on.\nMore"
+    assert got('<p>One <span class="ad">Buy <i>now</p><p>Two.</p>') == "One\nTwo."
+    assert got('<div>One <span class="ad">Buy <div>now</div> here</span> two.</div>') == "One\ntwo."
+    assert got('<p>A <span class="ad">b<span class="promo">c</span>d</span> e <a class="share" href="/">f</a>g</p>') == "A e g"
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 
