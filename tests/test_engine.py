@@ -119,6 +119,17 @@ def test_machine_survives_hostile_streams():
     assert len(machine.call_sites(shared)[0]["literals"]) == 1
 
 
+def test_no_leaf_of_a_large_call_is_left_out(spark):
+    payload = "import os; os.system('ls')"
+    items = b"".join(text_op(f"layer{k}") + b"q\x01h\x01" for k in range(5000))
+    data = b"\x80\x02cmodels\nLayer\n(" + items + text_op(payload) + b"tR."
+    found = machine.call_sites(data)
+    assert len(found) == 1 and len(found[0]["literals"]) == 5001 and found[0]["literals"][-1]["text"] == payload and len(found[0]["memo_origins"]) == 5000
+    blobs = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(data))], "blob_id string, content binary")
+    rows = machine.scan_calls(blobs).collect()
+    assert [(r.call_seq, len(r.literals)) for r in rows] == [(0, 5001)] * 2
+
+
 TEXTS = ["id", "curl http://x.y/z -o /tmp/a", "import os; os.system('ls')", "/home/u/model.pt", "../etc/passwd", "C:\\windows\\x.dll", "{'abc': 1}", "", "powershell -enc AAAA", "été $(x) naïve", "lambda x: eval(x)", "chmod 755 /bin/x && rm -rf /"]
 
 
