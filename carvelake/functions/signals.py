@@ -21,8 +21,18 @@ PATH = r"""(?:(?:^|(?<=[\s"'`,;({[]))/[a-zA-Z0-9_.~@%-][a-zA-Z0-9_.~@%/+-]*|[A-Z
 PYTHON_TOKENS = {"PY_CALL_SYNTAX_RE", "PY_STMT_STRUCTURE_RE", "PY_CODE_STRING_RE"}
 
 
-def scanned(text: Column) -> Column:
-    return F.substr(text, F.lit(1), F.lit(SAMPLE))
+#: The reference's scan length, for those who want its results; by default the whole text is scanned.
+REFERENCE_LIMIT = SAMPLE
+
+
+def scanned(text: Column, limit: int | None = None) -> Column:
+    """What the patterns see: the text, or its first ``limit`` characters."""
+    return text if limit is None else F.substr(text, F.lit(1), F.lit(limit))
+
+
+def _measured(text: Column, limit: int | None) -> Column:
+    """What entropy is taken of: the text, or a sample of ``limit`` characters."""
+    return text if limit is None else stratified_sample(text, limit)
 
 
 def _stripped(text: Column) -> Column:
@@ -98,13 +108,13 @@ def python_evidence(text: Column) -> Column:
     return F.coalesce(first, _let(python_rules(text), enough))
 
 
-def text_entropy(text: Column) -> Column:
-    return entropy(stratified_sample(text))
+def text_entropy(text: Column, limit: int | None = None) -> Column:
+    return entropy(_measured(text, limit))
 
 
-def text_tags(text: Column, threshold: float = ENTROPY) -> Column:
-    """Tags of a text literal, in the order in which they are observable."""
-    scan, sample = scanned(text), stratified_sample(text)
+def text_tags(text: Column, threshold: float = ENTROPY, limit: int | None = None) -> Column:
+    """Tags of a text literal, in the order in which they are observable; with a ``limit`` (REFERENCE_LIMIT), longer texts are cut and say so."""
+    scan, sample = scanned(text, limit), _measured(text, limit)
     share = non_ascii_ratio(sample)
     binary = (share > V.CONTENT_SIGNALS["binary_non_ascii_threshold"]) & (F.length(text) >= V.CONTENT_SIGNALS["binary_min_len"])
 
@@ -121,9 +131,11 @@ def text_tags(text: Column, threshold: float = ENTROPY) -> Column:
         F.when(finds(scan, URL), F.lit("has_url")).when(finds(scan, PATH), F.lit("has_path")),
         _let(python_evidence(scan), lambda py: F.when(py.isNotNull(), F.concat(F.lit("has_python_code("), F.array_join(py, ","), F.lit(")")))),
     ]
-    cut = F.concat(F.lit("literal_truncated("), F.length(text).cast("string"), F.lit(")"))
     kept = F.filter(F.array(*tags), lambda x: x.isNotNull())
-    return _let(kept, lambda found: F.when((F.length(text) > SAMPLE) & (F.size(found) > 0), F.concat(found, F.array(cut))).otherwise(found))
+    if limit is None:
+        return kept
+    cut = F.concat(F.lit("literal_truncated("), F.length(text).cast("string"), F.lit(")"))
+    return _let(kept, lambda found: F.when((F.length(text) > limit) & (F.size(found) > 0), F.concat(found, F.array(cut))).otherwise(found))
 
 
 def suspicious(tags: Column) -> Column:

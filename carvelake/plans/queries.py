@@ -108,7 +108,7 @@ def literal_tags(spark, d):
 @query()
 def shell_and_python_scores(spark, d):
     texts = t(spark, d, "documents")
-    return texts.select("doc_id", G.shell_score(G.scanned(c("text"))).alias("shell_score"), G.python_score(G.scanned(c("text"))).alias("python_score"))
+    return texts.select("doc_id", G.shell_score(c("text")).alias("shell_score"), G.python_score(c("text")).alias("python_score"))
 
 
 # --- scalars, detection ---

@@ -142,6 +142,20 @@ def test_signals_agree_with_python(spark):
         assert [t for t in r.tags if t in {s[0] for s in V.STRUCTURAL_SIGNALS}] == [s[0] for s in V.STRUCTURAL_SIGNALS if re.search(s[4], r.text)]
 
 
+def test_signals_late_in_a_long_text_count(spark, tmp_path):
+    filler = "plain words go on and on " * 6000
+    late = "curl http://x.y/z -o /tmp/a && chmod 755 /tmp/a\nimport os; os.system('ls')\n"
+    rows = [(1, 0, filler), (2, 0, filler + late)]
+    spark.createDataFrame(rows, "doc_id long, turn int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    tags = {r.id: [t.split("(")[0] for t in r.tags] for r in queries.QUERIES["literal_tags"](spark, str(tmp_path)).collect()}
+    assert {"has_url", "has_python_code"} <= set(tags[2]) and not {"has_url", "has_python_code"} & set(tags[1])
+    scores = {r.doc_id: r for r in queries.QUERIES["shell_and_python_scores"](spark, str(tmp_path)).collect()}
+    assert scores[2].shell_score > scores[1].shell_score and scores[2].python_score > scores[1].python_score
+    cut = spark.createDataFrame(rows, "doc_id long, turn int, text string").select(G.text_tags(F.col("text"), limit=G.REFERENCE_LIMIT).alias("tags"))
+    assert all("has_url" not in r.tags for r in cut.collect())
+
+
 def test_verbose_patterns_are_flattened():
     assert flattened("(?ix)\n a [ #b] \\  # note\n c", False) == "(?i)a[ #b]\\ c"
     assert flattened("[[x]", False) == "[\\[x]"
