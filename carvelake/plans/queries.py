@@ -510,11 +510,12 @@ def verdict_counts(spark, d):
     """Flagship: every text as the argument of a harmless call, judged; counts by table and verdict."""
     texts = t(spark, d, "documents").select(F.lit("documents").alias("origin"), "text").unionByName(t(spark, d, "conversations").select(F.lit("conversations").alias("origin"), "text"))
     # copies are counted first, so each distinct text is scored once, and the texts are dealt over all tasks
-    distinct = texts.groupBy("origin", "text").agg(F.count("*").alias("copies"))
-    tagged = distinct.select("origin", "copies", F.transform(G.text_tags(c("text")), S.base_tag).alias("tags"))
-    from carvelake.functions import fixed_values as X
-
-    alone = F.arrays_overlap("tags", F.array(*[F.lit(r[0]) for r in X.LITERAL_STANDALONE]))
-    quiet = F.forall("tags", lambda x: x.isin(*X.LITERAL_DISQUALIFIED, *V.PATH_TAGS))
-    verdict = F.when(F.size("tags") == 0, "none").when(alone, "Unsafe").when(quiet, "Low").otherwise("Review")
-    return tagged.groupBy("origin", verdict.alias("verdict")).agg(F.sum("copies").alias("n"))
+    counted = texts.groupBy("origin", S.sha256(F.coalesce("text", F.lit(""))).alias("blob_id")).agg(F.count("*").alias("copies"), F.first(F.coalesce("text", F.lit(""))).alias("text"))
+    b = lambda h: F.unhex(F.lit(h))
+    size = F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(F.octet_length("text"), 8 * k).bitwiseAND(F.lit(255))), 2, "0")) for k in range(4)])
+    content = F.concat(b("8003"), F.lit("cmodels\nLayer\n").cast("binary"), b("58"), size, c("text").cast("binary"), b("85522E"))
+    streams = counted.groupBy("blob_id").agg(F.first("text").alias("text")).select("blob_id", content.alias("content"))
+    rank = F.when(c("verdict") == "Unsafe", 0).when(c("verdict") == "Review", 1).otherwise(2)
+    worst = V.scan_blobs(streams).groupBy("blob_id").agg(F.min_by("verdict", rank).alias("verdict"))
+    judged = counted.select("origin", "blob_id", "copies").join(worst, "blob_id", "left")
+    return judged.groupBy("origin", F.coalesce("verdict", F.lit("none")).alias("verdict")).agg(F.sum("copies").alias("n"))

@@ -156,6 +156,20 @@ def test_signals_late_in_a_long_text_count(spark, tmp_path):
     assert all("has_url" not in r.tags for r in cut.collect())
 
 
+def test_verdict_counts_judges_calls(spark, tmp_path):
+    texts = TEXTS + ["id", None, "".join(chr(0x4E00 + 37 * k % 9000) for k in range(300)), "plain words " * 6000]
+    rows = [(k, 0, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, turn int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    blobs = spark.createDataFrame([(str(k), bytearray(call("models", "Layer", args(text_op(t or ""))))) for k, _, t in rows], "blob_id string, content binary")
+    order = ["Unsafe", "Review", "Low", "none"]
+    found = {str(k): "none" for k, *_ in rows}
+    for r in verdict.scan_blobs(blobs).collect():
+        found[r.blob_id] = min(found[r.blob_id], r.verdict, key=order.index)
+    want = {v: list(found.values()).count(v) for v in set(found.values())}
+    assert {r.verdict: r.n for r in queries.QUERIES["verdict_counts"](spark, str(tmp_path)).collect()} == want
+
+
 def test_verbose_patterns_are_flattened():
     assert flattened("(?ix)\n a [ #b] \\  # note\n c", False) == "(?i)a[ #b]\\ c"
     assert flattened("[[x]", False) == "[\\[x]"
