@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Spark's own default of 64 MB a batch is several times that in a Python worker, and each task has one or two of them.
+BATCH, SPARK_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 
 
 def session(app: str = "carvelake", **conf: str) -> SparkSession:
@@ -22,7 +24,9 @@ def session(app: str = "carvelake", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors' Python workers, once for each application."""
+    """Sends this package to the executors' Python workers, once for each application, and bounds Arrow batches unless the user has."""
+    if spark.conf.get(BATCH) == SPARK_BATCH:
+        spark.conf.set(BATCH, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parent
