@@ -1,21 +1,24 @@
 """Exact removal of repeated substrings by a sampled, range-partitioned suffix array.
 
 A byte goes if a string of ``span`` bytes that covers it also starts at another place of the corpus. Sorting a suffix
-for every byte of a corpus would move ``span`` times the corpus, so suffixes are sampled twice before any is sorted:
-
-1. *Sampled suffixes.* Each window of ``span`` bytes is owned by the smallest fingerprint among the ``seeds[0]``-byte
-   strings in it (`rolling.owned_runs`). Equal windows have equal owners, so a run whose owner occurs once in the
-   corpus holds no repeat and is dropped after one pre-aggregated count. A run that equals another run as a whole is
-   a repeat as a whole. The rest is looked at again with the longer ``seeds[1]``.
-2. *Suffix sort.* What is still open is written as one suffix record for each window start: its leading token (the
-   first 8 bytes, big-endian) and the fingerprints of the blocks of bytes that follow. Spark samples splitters over
-   all the tokens and range-partitions the records; each bucket is sorted locally by multikey quicksort (ties of one
-   token are refined by the next); neighbours in that order that agree in all tokens share ``span`` bytes. Since
-   the splitters cut on the whole token tuple, equal records never straddle a boundary; the record at each boundary
-   still has its tuple compared with its neighbour inside the bucket it belongs to.
-
-No step gathers a group: equal runs of one batch travel as one row with a packed list of its places, counts are
-partial aggregates, and the joins on owners are plain sort-merge joins, which adaptive execution splits when skewed.
+for every byte of a corpus would move ``span`` times the corpus, so the suffixes to be sorted are sampled by content. All three
+rounds are the same operation on suffix records (`_sorted`): Spark samples splitters and range-partitions
+the records by their leading tokens; each bucket is sorted locally by multikey quicksort; neighbours in that order are
+compared, within a bucket and across bucket boundaries.
+
+1. *Suffixes at sampled places.* Each window of ``span`` bytes is owned by the smallest fingerprint among the
+   ``seeds[0]``-byte strings in it (`rolling.owned_runs`); a run of windows with one owner is one suffix record. Its
+   tokens are the owner's fingerprint and a 128-bit digest of the bytes that the run covers. Equal windows have equal owners, so a
+   record whose neighbours have other owners holds no repeat. Records that agree in all tokens repeat as a whole.
+   Where the records of one owner differ, one of each kind stays open.
+2. The same for what is open, with the longer ``seeds[1]``.
+3. *All suffixes of what is still open.* One record for each window start: the first 8 bytes, big-endian, and the
+   fingerprints of three blocks up to ``span`` bytes. Neighbours that agree in all four share ``span`` bytes.
+
+Buckets: their number follows from the number of records, so that each holds about ``PER_BUCKET``. The last key of the
+range is a hash of the place, so equal suffixes, however many, are spread over buckets. In rounds 1 and 2 the first and
+last owner of a bucket, which may go on in the next one, stay open; in round 3 the first and last suffix of each bucket are
+compared with those of all others. Equal suffixes of one batch travel as one record with a packed list of places. No step gathers a group.
 
 Defined cases: a null or empty text has no bytes and loses none; texts shorter than ``span`` lose nothing; a repeated
 row counts as another place, so all its windows go; equal doc_ids with different texts are kept apart by the text's
@@ -28,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +42,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import rolling
-from .common import NO_ID, cut_batch, saved, table, tasks, text_bytes, text_crc
+from .common import NO_ID, cut_batch, saved, table, text_bytes, text_crc
 
 SPAN = 200
 SEEDS = (64, 168)
 #: Bytes fingerprinted at a time; longer texts are cut into overlapping pieces, which finds the same windows.
 CHUNK = 1 << 20
-RUNS = "owner long, ctx long, n long, places binary"
-PLACE = "doc_id long, crc long, at long, first long, last long"
-PLACE_BYTES = 40
+#: Records that one bucket holds and sorts, about.
+PER_BUCKET = 250_000
+#: Segments of fewer records are sorted at once.
+SMALL = 4096
+#: A place: document, text, start of the slice, first and last window start (offsets in the document).
+PLACE = np.dtype([("doc_id", "<i8"), ("crc", "<i8"), ("at", "<i4"), ("first", "<i4"), ("last", "<i4")])
+PLACES = "doc_id long, crc long, at int, first int, last int"
+REPEATED, OPEN, EDGE = range(3)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
@@ -70,61 +79,173 @@ def _pieces(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[list
         yield parts, np.array(ids, np.int64)
 
 
-def _packed(columns: list[np.ndarray], places: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """One row for each distinct tuple of ``columns``: the tuple, the number of places and the places themselves."""
-    joint = columns[0]
-    for c in columns[1:]:
+def _places(ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    out = np.empty(len(first), PLACE)
+    for name, value in zip(PLACE.names, (*ids.T[:3], first, last)):
+        out[name] = value
+    return out
+
+
+def _packed(tokens: list[np.ndarray], places: np.ndarray) -> pa.RecordBatch:
+    """One record for each distinct tuple of ``tokens``: the tuple, a hash of its first place and all its places."""
+    joint = tokens[0]
+    for c in tokens[1:]:
         joint = rolling.mix(joint * np.uint64(rolling.BASE) + c)
-    order = np.argsort(joint)
+    order = np.argsort(joint, kind="stable")
     new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in tokens])
     at = np.flatnonzero(new)
-    edges = np.append(at, len(order))
-    offsets = (edges * places.shape[1] * 8).astype(np.int32)
-    packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(places[order]))])
-    cols = [pa.array(c[order][at].view(np.int64)) for c in columns]
-    return pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(edges)), packed], names)
+    offsets = (np.append(at, len(order)) * PLACE.itemsize).astype(np.int32)
+    places = places[order]
+    packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(places)])
+    lead = places[at]
+    salt = rolling.mix(lead["doc_id"].view(np.uint64) * np.uint64(rolling.BASE) + lead["first"].astype(np.uint64))
+    columns = [pa.array(c[order][at].view(np.int64)) for c in tokens]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(salt.view(np.int64)), packed], [*(f"t{k}" for k in range(len(tokens))), "salt", "places"])
+
+
+def _digests(buf: rolling.Buffer, first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """128-bit digests of data[first:end], elementwise, as two numbers each."""
+    data, digest = memoryview(buf.data), hashlib.blake2b
+    joined = b"".join([digest(data[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), end.tolist())])
+    return list(np.frombuffer(joined, np.uint64).reshape(-1, 2).T.copy())
 
 
 def _runs(span: int, seed: int):
+    """Suffix records at sampled places: tokens are the owner and the digest of the run."""
+
     def run(batches):
         for parts, ids in _pieces(batches, span):
             buf = rolling.Buffer(parts)
-            owner, first, last, ctx = rolling.owned_runs(buf, span, seed)
-            if not len(first):
-                continue
-            part = buf.part_of(first)
-            shift = ids[part, 3] - buf.starts[part]
-            places = np.column_stack([ids[part, :3], first + shift, last + shift])
-            yield _packed([owner, ctx], places, ["owner", "ctx", "n", "places"])
+            owner, first, last, _ = rolling.owned_runs(buf, span, seed)
+            if len(first):
+                part = buf.part_of(first)
+                shift = ids[part, 3] - buf.starts[part]
+                yield _packed([owner, *_digests(buf, first, last + span)], _places(ids[part], first + shift, last + shift))
 
     return run
 
 
-def _unpack(batches):
-    for batch in batches:
-        flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64).reshape(-1, PLACE_BYTES // 8)
-        yield pa.RecordBatch.from_arrays([pa.array(flat[:, k]) for k in range(flat.shape[1])], ["doc_id", "crc", "at", "first", "last"])
+def _windows(span: int):
+    """Suffix records at all window starts: tokens are the first 8 bytes and the fingerprints of three blocks."""
+    edges = [8, *(8 + (span - 8) * k // 3 for k in (1, 2, 3))]
+
+    def run(batches):
+        for parts, ids in _pieces(batches, span):
+            buf = rolling.Buffer(parts)
+            at = buf.inside(span)
+            part = buf.part_of(at)
+            lead = np.zeros(len(at), np.uint64)
+            for k in range(8):
+                lead = (lead << np.uint64(8)) | buf.data[at + k].astype(np.uint64)
+            lead ^= np.uint64(1 << 63)  # so that signed order is byte order
+            second = buf.second_sums()
+            blocks = [buf.prints(at + a, at + b, second if k else None) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+            start = at - buf.starts[part] + ids[part, 3]
+            yield _packed([lead, *blocks], _places(ids[part], start, start))
 
+    return run
 
-def _open_and_repeated(texts: DataFrame, span: int, seed: int, label: str) -> tuple[DataFrame, DataFrame]:
-    """Places of the runs that are still open, and of those that repeat as a whole. texts: doc_id, crc, at, data.
 
-    Where runs of one owner differ, one of each kind stays open, the repeated kinds included: parts of another may equal parts of it.
-    """
-    runs = texts.mapInArrow(_runs(span, seed), RUNS)
-    shared = saved(
-        runs.groupBy("owner").agg(F.sum("n").alias("n_all"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n_all > 1")
-        .select("owner", (F.col("lo") != F.col("hi")).alias("varied")),
-        f"{label}-owners",
-    )
-    kept = runs.join(shared, "owner")
-    counted = kept.selectExpr("places", "varied", "sum(n) over (partition by owner, ctx) as n_ctx", "row_number() over (partition by owner, ctx order by places) as nth")
-    counted = saved(counted.where("varied or n_ctx > 1"), f"{label}-runs")
-    places = lambda df: df.mapInArrow(_unpack, PLACE)
-    one = counted.where("varied and nth = 1").select(F.substring("places", 1, PLACE_BYTES).alias("places"))
-    return places(one), places(counted.where("n_ctx > 1").select("places"))
+def multikey_quicksort(keys: list[np.ndarray], small: int = SMALL) -> np.ndarray:
+    """Order of the records by their tokens: each step splits a segment at a pivot of one token into less, equal and greater; the equal part goes on with the next token."""
+    order = np.arange(len(keys[0]))
+    todo = [(0, len(order), 0)]
+    while todo:
+        a, b, depth = todo.pop()
+        own = order[a:b]
+        if b - a <= small:
+            order[a:b] = own[np.lexsort([k[own] for k in reversed(keys[depth:])])]
+            continue
+        token = keys[depth][own]
+        sample = np.sort(token[:: max(1, len(token) // 64)])
+        pivot = sample[len(sample) // 2]
+        less, more = token < pivot, token > pivot
+        same = own[~(less | more)]
+        less, more = own[less], own[more]
+        order[a:b] = np.concatenate([less, same, more])
+        todo += [(a, a + len(less), depth), (b - len(more), b, depth)]
+        if depth + 1 < len(keys):
+            todo.append((a + len(less), b - len(more), depth + 1))
+    return order
+
+
+def _same(columns: list[np.ndarray]) -> np.ndarray:
+    """For each record, whether it agrees with the one before in all columns."""
+    found = np.zeros(len(columns[0]), bool)
+    found[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
+    return found
+
+
+def _totals(same: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each record, the number of its group of neighbours and the sum of ``n`` over that group."""
+    group = np.cumsum(~same) - 1
+    return group, np.bincount(group, n).astype(np.int64)[group]
+
+
+def _bucket(tokens: int, sampled: bool):
+    """Sorts a bucket and compares neighbours. Rows out: kind, places, and for edges the tokens and the number of places."""
+
+    def run(batches):
+        whole = pa.Table.from_batches(held) if (held := [b for b in batches if b.num_rows]) else None
+        if whole is None:
+            return
+        whole = whole.drop_columns(["salt"]).combine_chunks()
+        keys = [whole.column(k).to_numpy() for k in range(tokens)]
+        order = multikey_quicksort(keys)
+        keys = [k[order] for k in keys]
+        packed = whole.column(tokens)
+        n = pc.binary_length(packed).to_numpy()[order] // PLACE.itemsize
+        same = _same(keys)
+        group, total = _totals(same, n)
+        first = ~same
+
+        def rows(kind: int, at: np.ndarray, lead_only: bool, edge: bool = False):
+            for part in np.array_split(at, len(at) // 20_000 + 1):
+                if len(part):
+                    places = packed.take(pa.array(order[part])).combine_chunks()
+                    if lead_only:
+                        places = pc.binary_slice(places, 0, PLACE.itemsize)
+                    cells = [pa.array(k[part]) if edge else pa.nulls(len(part), pa.int64()) for k in (*keys, total)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), places, *cells], ["kind", "places", *(f"t{k}" for k in range(tokens)), "n"])
+
+        yield from rows(REPEATED, np.flatnonzero(total > 1), False)
+        if sampled:
+            owners, _ = _totals(_same(keys[:1]), n)
+            kinds = np.bincount(owners[first])[owners]
+            yield from rows(OPEN, np.flatnonzero(first & ((kinds > 1) | (owners == 0) | (owners == owners[-1]))), True)
+        else:
+            yield from rows(EDGE, np.flatnonzero(first & ((group == 0) | (group == group[-1]))), True, True)
+
+    return run
+
+
+def _sorted(records: DataFrame, tokens: int, sampled: bool, count: int, label: str) -> DataFrame:
+    """The rows of all sorted buckets (kind, places, t0 .., n), saved. count: records to expect, about."""
+    keys = [f"t{k}" for k in range(tokens)]
+    buckets = records.repartitionByRange(max(1, -(-count // PER_BUCKET)), *keys, "salt")
+    return saved(buckets.mapInArrow(_bucket(tokens, sampled), f"kind int, places binary, {', '.join(f'{k} long' for k in keys)}, n long"), label)
+
+
+def _record_schema(tokens: int) -> str:
+    return f"{', '.join(f't{k} long' for k in range(tokens))}, salt long, places binary"
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), PLACE)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[c]) for c in PLACE.names], list(PLACE.names))
+
+    return rows.select("places").mapInArrow(run, PLACES)
+
+
+def _across(rows: DataFrame, tokens: int) -> DataFrame:
+    """Edge rows of single suffixes whose equals lie in other buckets. There are two edges to a bucket."""
+    keys = [f"t{k}" for k in range(tokens)]
+    edges = rows.where(F.col("kind") == EDGE)
+    shared = edges.groupBy(*keys).agg(F.sum("n").alias("n_all")).where("n_all > 1")
+    return edges.where("n = 1").join(shared, keys, "left_semi")
 
 
 def _squeezed(rows: DataFrame, column: str) -> DataFrame:
@@ -159,7 +280,7 @@ def _slices(span: int, squeezed: bool):
                 buf, at = expand(raw.as_py()) if squeezed else raw.as_buffer(), int(base[k])
                 data += [bytes(buf[a - at : b - at + span]) for a, b in zip(firsts[offsets[k] : offsets[k + 1]].tolist(), lasts[offsets[k] : offsets[k + 1]].tolist())]
             out = [batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], firsts]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out), pa.array(data, pa.binary())], ["doc_id", "crc", "at", "data"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in out), pa.array(data, pa.binary())], ["doc_id", "crc", "at", "data"])
 
     return run
 
@@ -168,90 +289,29 @@ def _cut_out(texts: DataFrame, places: DataFrame, span: int, squeezed: bool) ->
     """The bytes at each of ``places``, out of the row (doc_id, crc, at) that each lies in. squeezed: compress whole texts for the join."""
     spans = places.groupBy("doc_id", "crc", "at").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     joined = (_squeezed(texts, "data") if squeezed else texts).join(spans, ["doc_id", "crc", "at"]).select("doc_id", "crc", "at", "data", "spans")
-    return joined.mapInArrow(_slices(span, squeezed), "doc_id long, crc long, at long, data binary")
-
-
-def _blocks(span: int) -> list[tuple[int, int]]:
-    edges = [8, *(8 + (span - 8) * k // 3 for k in (1, 2, 3))]
-    return list(zip(edges, edges[1:]))
-
-
-SUFFIXES = "lead long, b1 long, b2 long, b3 long, n long, places binary"
-TOKENS = ["lead", "b1", "b2", "b3"]
-
-
-def _suffix_records(span: int):
-    def run(batches):
-        for parts, ids in _pieces(batches, span):
-            buf = rolling.Buffer(parts)
-            at = buf.inside(span)
-            part = buf.part_of(at)
-            lead = np.zeros(len(at), np.uint64)
-            for k in range(8):
-                lead = (lead << np.uint64(8)) | buf.data[at + k].astype(np.uint64)
-            lead ^= np.uint64(1 << 63)  # so that signed order is byte order
-            second = buf.second_sums()
-            tokens = [lead, *(buf.prints(at + a, at + b, second if k else None) for k, (a, b) in enumerate(_blocks(span)))]
-            start = at - buf.starts[part] + ids[part, 3]
-            yield _packed(tokens, np.column_stack([ids[part, :3], start, start]), [*TOKENS, "n", "places"])
-
-    return run
-
-
-def multikey_sort(keys: list[np.ndarray]) -> np.ndarray:
-    """Order of the records by their tokens: each step sorts, by its own token, only the records that tie in all earlier ones."""
-    order = np.argsort(keys[0], kind="quicksort")
-    tied = np.zeros(len(order), bool)
-    if len(order):
-        tied[1:] = keys[0][order][1:] == keys[0][order][:-1]
-    for key in keys[1:]:
-        group = np.cumsum(~tied)
-        alive = tied | np.append(tied[1:], False)
-        at = np.flatnonzero(alive)
-        if not len(at):
-            break
-        inner = np.lexsort([key[order[at]], group[at]])
-        order[at] = order[at[inner]]
-        value = key[order]
-        tied[1:] &= value[1:] == value[:-1]
-    return order
-
-
-def _sorted_repeats(batches):
-    """A bucket: all its records are sorted, and neighbours compared."""
-    whole = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-    if whole is None:
-        return
-    keys = [whole.column(k).to_numpy() for k in range(4)]
-    order = multikey_sort(keys)
-    same = np.ones(max(len(order) - 1, 0), bool)
-    for key in keys:
-        value = key[order]
-        same &= value[1:] == value[:-1]
-    hit = np.zeros(len(order), bool)
-    hit[1:] |= same
-    hit[:-1] |= same
-    hit[order] = hit.copy()
-    hit |= whole.column(4).to_numpy() > 1
-    for batch in whole.filter(pa.array(hit)).select([5]).to_batches(max_chunksize=20_000):
-        yield from _unpack([batch])
+    return joined.mapInArrow(_slices(span, squeezed), "doc_id long, crc long, at int, data binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     data = text_bytes()
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.crc32(data).alias("crc"), F.lit(0).cast("long").alias("at"), data.alias("data"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.crc32(data).alias("crc"), F.lit(0).alias("at"), data.alias("data"))
 
 
 def repeated_places(docs: DataFrame, span: int = SPAN, seeds: tuple[int, int] = SEEDS) -> DataFrame:
-    """doc_id, crc, first, last: strings of ``span`` bytes that start at first .. last occur elsewhere too."""
+    """doc_id, crc, at, first, last: strings of ``span`` bytes that start at first .. last occur elsewhere too."""
     texts = _keyed(docs)
-    unsure, whole = _open_and_repeated(texts, span, seeds[0], "suffix-a")
-    slices = saved(_cut_out(texts, unsure, span, True), "suffix-slices")
-    unsure, more = _open_and_repeated(slices, span, seeds[1], "suffix-b")
-    records = _cut_out(slices, unsure, span, False).mapInArrow(_suffix_records(span), SUFFIXES)
-    buckets = records.repartitionByRange(tasks(docs.sparkSession), *TOKENS)
-    last = buckets.mapInArrow(_sorted_repeats, PLACE)
-    return whole.unionByName(more).unionByName(last)
+    found = []
+    windows = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    for k, seed in enumerate(seeds):
+        records = texts.mapInArrow(_runs(span, seed), _record_schema(3))
+        rows = _sorted(records, 3, True, windows * 2 // (span - seed + 2), f"suffix-{k}")
+        found.append(rows.where(F.col("kind") == REPEATED))
+        still = _unpacked(rows.where(F.col("kind") == OPEN))
+        texts = saved(_cut_out(texts, still, span, k == 0), f"suffix-slices-{k}")
+        windows = texts.agg(F.sum(F.octet_length("data") - F.lit(span - 1))).first()[0] or 0
+    rows = _sorted(texts.mapInArrow(_windows(span), _record_schema(4)), 4, False, windows, "suffix-all")
+    found += [rows.where(F.col("kind") == REPEATED), _across(rows, 4)]
+    return _unpacked(reduce(DataFrame.unionByName, [f.select("places") for f in found]))
 
 
 def _merge(first: np.ndarray, last: np.ndarray, span: int) -> list[tuple[int, int]]:

@@ -61,7 +61,7 @@ def test_suffix_dedup_on_documents(spark, sf):
 def test_multikey_sort():
     rng = np.random.default_rng(1)
     keys = [rng.integers(0, 3, 500) for _ in range(4)]
-    order = suffix_dedup.multikey_sort(keys)
+    order = suffix_dedup.multikey_quicksort(keys, 8)
     assert [tuple(k[i] for k in keys) for i in order] == sorted(zip(*keys))
 
 
