@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +25,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_ROOTS: set[str] = set()
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (tests only) a folder of our own where it is unset."""
+    """A folder of this application in spark.checkpoint.dir, which all executors share; it goes when the driver's JVM ends.
+
+    Where the setting is missing, a local master gets a folder of its own; on a cluster that would be another folder on each machine, so it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='carvelake-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/carvelake-{spark.sparkContext.applicationId}"
+    root = f"{base.rstrip('/')}/carvelake-{spark.sparkContext.applicationId}"
+    if root not in _ROOTS:
+        path, files = _hadoop(spark, root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _ROOTS.add(root)
+    return root
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's path and file system of ``path``."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
@@ -40,11 +67,54 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes what ``saved`` has written in this application. Call it once its results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Bytes of a row group.
+ROW_GROUP = 8 << 20
+
+
+def saved_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, label: str) -> DataFrame:
+    """``saved(df.mapInArrow(run, schema))``, but the workers write the files, so that rows don't travel back through the JVM.
+
+    A task's file gets its name by a rename once it is whole, and attempts of a task use the same name, so retried and
+    speculative tasks leave one file. Where Arrow can't open the shared folder, Spark writes the rows.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    try:
+        pafs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, OSError):
+        return saved(df.mapInArrow(run, schema), label)
+    folder, files = _hadoop(spark, path)
+    files.mkdirs(folder)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inner = pafs.FileSystem.from_uri(path)
+        name = f"part-{TaskContext.get().partitionId():06d}.parquet"
+        own, whole, rows = f"{inner}/_{uuid.uuid4().hex}", f"{inner}/{name}", 0
+        with contextlib.ExitStack() as stack:
+            writer, held, size = None, [], 0
+            for batch in chain(run(batches), [None]):
+                if batch is not None and batch.num_rows:
+                    held.append(batch.cast(arrow))
+                    size += batch.nbytes
+                    rows += batch.num_rows
+                if held and (batch is None or size >= ROW_GROUP):
+                    writer = writer or stack.enter_context(pq.ParquetWriter(own, arrow, filesystem=store, compression="zstd"))
+                    writer.write_table(pa.Table.from_batches(held))
+                    held, size = [], 0
+        if rows:
+            try:
+                store.move(own, whole)
+            except OSError:
+                if store.get_file_info(whole).type is pafs.FileType.NotFound:
+                    raise
+                store.delete_file(own)
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["rows"])
+
+    df.mapInArrow(write, "rows long").agg(F.sum("rows")).collect()
+    release_shuffles(spark)
+    return spark.read.schema(kind).parquet(path)
 
 
 def cut_batch(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, saved_map, table
 
 K, SCALE, SHARD, LEAF, BLOCK = 10, 1024, 8192, 64, 512
 
@@ -152,7 +152,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE
     def round_(sent: DataFrame, label: str) -> DataFrame:
         rows = placed.unionByName(sent.select("shard", "dim", F.lit(1).alias("kind"), "vec_id", "qrow", "floor", "v"))
         rows = rows.repartition(shards, "shard", "dim").sortWithinPartitions("shard", "dim", "kind", "vec_id")
-        return saved(rows.mapInArrow(_searched(k, leaf), RESULT), label)
+        return saved_map(rows, _searched(k, leaf), RESULT, label)
 
     first = round_(asked.withColumn("shard", home("vec_id")).withColumn("floor", F.lit(None).cast("long")), "knn-first")
     floors = first.groupBy("query_id", "qrow").agg(F.count("*").alias("n"), F.min("score").alias("least"))

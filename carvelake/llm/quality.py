@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved_map, table
 
 FEATURES = ["size", "lower", "upper", "digit", "stop", "mark", "shout", "space", "high", "word_length", "kinds", "repeated_lines", "line_length", "echoes"]
 SHRINK = 0.15
@@ -57,17 +57,15 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-def document_features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` as _k0, _k1, ... and x, the features of the text."""
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = [features(t.as_py()) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [features(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.list_(pa.float64()))], [*(f"_k{k}" for k in range(len(keep))), "x"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"_k{k} {kinds[c]}" for k, c in enumerate(keep)), "x array<double>"])
-    return docs.select(*[F.col(f"`{c}`").alias(f"_k{k}") for k, c in enumerate(keep)], F.col("text").alias("_text")).mapInArrow(run, schema)
+def document_features(docs: DataFrame) -> DataFrame:
+    """Saved: doc_id and x, the features of the text, of every row of ``docs``."""
+    return saved_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _feature_rows, "doc_id long, x array<double>", "quality-features")
 
 
 @dataclass(frozen=True)
@@ -143,14 +141,13 @@ def learn(rows: DataFrame, labels: DataFrame) -> Model | None:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score of every row of ``docs`` (doc_id, text)."""
-    rows = saved(document_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"]).withColumnRenamed("_k0", "doc_id"), "quality-features")
+    rows = document_features(docs)
     return scored(rows, learn(rows, labels))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``least``, with all their columns."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = learn(saved(document_features(ids, ["doc_id"]).withColumnRenamed("_k0", "doc_id"), "quality-features"), labels)
+    model = learn(document_features(docs), labels)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,7 +71,7 @@ def shard_rows(rows: DataFrame, dims: list[Column], order: list[str], shards: in
 
     order: columns that order the rows of one bucket.
     """
-    placed = saved(with_curve(rows, dims, bits), "hilbert-rows")
+    placed = saved(with_curve(rows, dims, bits).hint("rebalance"), "hilbert-rows")  # a few slim columns: files of a good size rather than one for each split of the texts
     total = placed.count()
     through = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     up_to = lambda w: F.sum("n").over(w) - F.col("n")

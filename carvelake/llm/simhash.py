@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, saved, table, text_bytes, text_crc
+from .common import NO_ID, saved, saved_map, table, text_bytes, text_crc
 from .components import components
 
 WORDS, SEED, BITS_APART = 3, 42, 3
@@ -75,9 +75,9 @@ def _fingerprints(words: int, seed: int):
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, the text's CRC and hash, and its fingerprint, as the signed long of the same 64 bits."""
+    """Saved: doc_id, the text's CRC and hash, and its fingerprint, as the signed long of the same 64 bits."""
     rows = docs.select(F.col("doc_id").cast("long"), text_crc().alias("crc"), "text", text_hash().alias("hash"))
-    return rows.mapInArrow(_fingerprints(words, seed), "doc_id long, crc long, hash long, print long")
+    return saved_map(rows, _fingerprints(words, seed), "doc_id long, crc long, hash long, print long", "simhash-prints")
 
 
 def text_hash() -> Column:
@@ -163,7 +163,7 @@ def links(prints: DataFrame, apart: int = BITS_APART, cell: int = CELL) -> DataF
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, apart: int = BITS_APART) -> DataFrame:
     """doc_id, crc, hash, print, root, component_id of each row of ``docs`` (doc_id, text); root is the least fingerprint of a row's group, component_id the least id."""
-    rows = saved(fingerprints(docs, words, seed), "simhash-prints")
+    rows = fingerprints(docs, words, seed)
     distinct = saved(rows.groupBy("print").agg(F.min("doc_id").alias("least_doc")), "simhash-distinct")
     roots = saved(components(links(distinct.select("print"), apart)), "simhash-roots")
     rooted = distinct.join(roots, distinct.print == roots.node, "left").select("print", "least_doc", F.coalesce("root", "print").alias("root"))

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import rolling
-from .common import NO_ID, cut_batch, saved, table, text_bytes, text_crc
+from .common import NO_ID, cut_batch, saved, saved_map, table, text_bytes, text_crc
 
 SPAN = 200
 SEEDS = (64, 168)
@@ -224,7 +224,7 @@ def _sorted(records: DataFrame, tokens: int, sampled: bool, count: int, label: s
     """The rows of all sorted buckets (kind, places, t0 .., n), saved. count: records to expect, about."""
     keys = [f"t{k}" for k in range(tokens)]
     buckets = records.repartitionByRange(max(1, -(-count // PER_BUCKET)), *keys, "salt")
-    return saved(buckets.mapInArrow(_bucket(tokens, sampled), f"kind int, places binary, {', '.join(f'{k} long' for k in keys)}, n long"), label)
+    return saved_map(buckets, _bucket(tokens, sampled), f"kind int, places binary, {', '.join(f'{k} long' for k in keys)}, n long", label)
 
 
 def _record_schema(tokens: int) -> str:
@@ -285,11 +285,11 @@ def _slices(span: int, squeezed: bool):
     return run
 
 
-def _cut_out(texts: DataFrame, places: DataFrame, span: int, squeezed: bool) -> DataFrame:
-    """The bytes at each of ``places``, out of the row (doc_id, crc, at) that each lies in. squeezed: compress whole texts for the join."""
+def _cut_out(texts: DataFrame, places: DataFrame, span: int, squeezed: bool, label: str) -> DataFrame:
+    """Saved: the bytes at each of ``places``, out of the row (doc_id, crc, at) that each lies in. squeezed: compress whole texts for the join."""
     spans = places.groupBy("doc_id", "crc", "at").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     joined = (_squeezed(texts, "data") if squeezed else texts).join(spans, ["doc_id", "crc", "at"]).select("doc_id", "crc", "at", "data", "spans")
-    return joined.mapInArrow(_slices(span, squeezed), "doc_id long, crc long, at int, data binary")
+    return saved_map(joined, _slices(span, squeezed), "doc_id long, crc long, at int, data binary", label)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -307,7 +307,7 @@ def repeated_places(docs: DataFrame, span: int = SPAN, seeds: tuple[int, int] =
         rows = _sorted(records, 3, True, windows * 2 // (span - seed + 2), f"suffix-{k}")
         found.append(rows.where(F.col("kind") == REPEATED))
         still = _unpacked(rows.where(F.col("kind") == OPEN))
-        texts = saved(_cut_out(texts, still, span, k == 0), f"suffix-slices-{k}")
+        texts = _cut_out(texts, still, span, k == 0, f"suffix-slices-{k}")
         windows = texts.agg(F.sum(F.octet_length("data") - F.lit(span - 1))).first()[0] or 0
     rows = _sorted(texts.mapInArrow(_windows(span), _record_schema(4)), 4, False, windows, "suffix-all")
     found += [rows.where(F.col("kind") == REPEATED), _across(rows, 4)]

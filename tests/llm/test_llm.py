@@ -1,6 +1,7 @@
 import base64
 import glob
 import os
+import time
 import zlib
 
 import duckdb
@@ -58,6 +59,15 @@ def test_suffix_dedup_on_documents(spark, sf):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
+def test_suffix_dedup_over_many_buckets(spark, sf, monkeypatch):
+    """Equal suffixes lie in several buckets, which are compared at their edges."""
+    monkeypatch.setattr(suffix_dedup, "PER_BUCKET", 700)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    got = {r._in0: (r._n_bytes, r._n_removed, r._n_spans, r._kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == dict(zip([r.doc_id for r in rows], suffix_dedup.brute_force([r.text for r in rows])))
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(1)
     keys = [rng.integers(0, 3, 500) for _ in range(4)]
@@ -100,6 +110,43 @@ def test_packing(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_token_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = [*"ab  \n\t.,'1é漢\u0301\x1c\x85\u3000", "'s", "<|endoftext|>", " <|", "word ", "  \n", " " * packing.LONG_SPACE]
+    rng = np.random.default_rng(3)
+    for n in rng.integers(0, 30, 1500):
+        text = "".join(parts[k] for k in rng.integers(0, len(parts) - (n % 50 != 0), n))
+        assert packing.token_ids(text).tolist() == own.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "x" * 1_000_000, "\u3000" * 1_000_000 + "a"], ids=["spaces", "line feeds", "letters", "wide spaces"])
+def test_token_ids_of_a_million_like_characters(text):
+    began = time.time()
+    assert b"".join(bpe.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).vocabulary.token[k] for k in packing.token_ids(text).tolist()) == text.encode()
+    assert time.time() - began < 10
+
+
+def test_packing_is_close_to_the_least_number_of_sequences(spark, monkeypatch):
+    """Against plain best fit of all pieces in one list, longest first, and the bound that no packing beats."""
+    lengths = np.random.default_rng(5).integers(1, 1500, 3000).tolist()
+    pieces = saved(spark.createDataFrame([(k, 0, 0, n, 0) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long"), "test-pieces")
+    monkeypatch.setattr(packing, "PER_TASK", 500)
+    rows = packing.pack(pieces).collect()
+    fill: dict[int, int] = {}
+    for r in rows:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert sorted(r.doc_id for r in rows) == list(range(3000)) and max(fill.values()) <= 2048
+    bins: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fit = min((b for b in bins if b >= n), default=None)
+        if fit is not None:
+            bins.remove(fit)
+        bins.append((2048 if fit is None else fit) - n)
+    assert -(-sum(lengths) // 2048) <= len(fill) <= 1.03 * len(bins) + 1
+
+
 def test_best_fit_closes_the_fullest():
     p = packing.BestFit(10, 2)
     assert [p.put(n) for n in (6, 7, 3, 4, 9)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0)]
