@@ -1,26 +1,32 @@
 """Main text of web pages by line-block distribution.
 
 The markup is stripped into lines: one for each block-level element's own text, in page order, with character references
-decoded and white space folded. Each line has a length; lines in parts of the page that are not the article (menus,
+decoded and white space folded. Each line has a length, less that of its links; lines in parts of the page that are not the article (menus,
 headers, footers, sidebars, notices, adverts, forms, comments, by element or by the words of class, id and role) and
-lines that are mostly links count zero. Such a mark is lifted where the marked element holds the story (`_lifted`). The lengths are summed over sliding windows of ``WINDOW`` lines; a run begins where the
-sum surges from zero, ends where it dives back, and its first and last lines of zero length are trimmed. Where article
-or main elements hold half of a page's text or more, all runs inside are kept, so that short paragraphs stay; elsewhere all
-runs are kept inside the container of the longest run, and others that reach ``SHARE`` of its length. Lines of length zero inside a kept run that only links made
+lines that are mostly links count zero. Such a mark is lifted where the marked element holds the story (`_blocked`). The
+lengths are summed over sliding windows of ``WINDOW`` lines. A run lies between the points where the sums rise from zero and dive back
+to it, so that up to ``WINDOW`` - 1 lines of zero length inside are bridged, and stays if the sums surge in it: to ``SURGE`` of the
+typical sum of the page, which is the mean of the window sums weighted by themselves. Where article
+or main elements hold half of a page's text or more, all runs inside are kept, so that short stories stay; elsewhere
+runs without a surge are kept inside the container of the longest run only. Lines of length zero inside a kept run that only links made
 zero are kept: prose may end in one.
 
-Defined cases: null or empty html has an empty text; unclosed and misnested elements close with their parents; raw text
+Time and memory are linear in the page, whatever its markup: elements are nodes with a parent, and what depends on
+ancestors or descendants is summed up over the nodes once.
+
+Defined cases: null or empty html has an empty text; unclosed and misnested elements close with their parents; a tag that
+the page ends in has no text; quotes in tags count until one is left open; raw text
 of scripts and styles ends at its end tag only; repeated rows repeat; null ids and urls stay null; an empty table
 gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-WINDOW, SHARE, LINKS = 3, 0.25, 0.6
+WINDOW, SURGE, LINKS = 3, 0.25, 0.6
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?=\s|$))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -91,162 +98,232 @@ def _outside(tag: str, attributes: str, in_article: bool) -> int | None:
     return max(marks, default=None)
 
 
-def _lifted(page: list[tuple[str, tuple[int, ...], int, int]], kinds: dict[int, int], mains: set[int]) -> set[int]:
-    """Marked elements that hold the story all the same: a main element, an article longer than all unmarked text, or most of a page without articles."""
-    total = unmarked = free_articles = 0
-    held: Counter[int] = Counter()
-    articles: Counter[int] = Counter()
-    for text, marks, linked, article in page:
-        if any(kinds[m] == NEVER for m in marks):
+def _tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """Texts ("", "", text), start tags ("<", name, attributes) and end tags ("/", name, ""), in page order."""
+    at, n, last = 0, len(html), html.rfind(">")
+    quotes = True
+    raw_ends: dict[str, int] = {}
+    while at < n:
+        begin = html.find("<", at)
+        if begin < 0:
+            yield "", "", html[at:]
+            return
+        if begin > at:
+            yield "", "", html[at:begin]
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else n
             continue
-        own = max(len(text) - linked, 0)
-        total += own
-        articles[article] += own
-        for m in marks:
-            held[m] += own
-        if not marks:
-            unmarked += own
-            free_articles += own if article else 0
-    longest: Counter[int] = Counter()
-    out = set()
-    for _, marks, _, article in page:
-        for m in marks:
-            if article > m:
-                longest[m] = max(longest[m], articles[article])
-                if article in mains and articles[article]:
-                    out.add(m)
-    out |= {m for m, k in kinds.items() if longest[m] > unmarked or (k == LOOSE and not free_articles and 2 * held[m] > total)}
-    return {m for m in out if kinds[m] != NEVER}
-
-
-def lines(html: str) -> list[tuple[str, int, int, bool, tuple[int, ...]]]:
-    """The page's lines: text, length (zero outside the article), length of its links, whether an article element holds it, and the containers around it."""
-    out: list[tuple[str, tuple[int, ...], int, int]] = []
-    stack: list[tuple[str, tuple[int, ...], int]] = []  # element, marked elements around it, article around it
-    places: list[int] = []  # where the elements of the stack began
-    paths: list[tuple[int, ...]] = []
-    kinds: dict[int, int] = {}
-    mains: set[int] = set()
-    text: list[tuple[str, int]] = []  # pieces of the line, with the lengths of their links
-    inline: dict[int, int | None] = {}  # depths of open marked inline elements, and where their text starts; None once a block split them
-    anchors = at = 0
-
-    def put(parts: list[tuple[str, int]], depth: int) -> None:
+        if html.startswith("<![CDATA[", begin) and (end := html.find("]]>", begin + 9)) >= 0:
+            yield "", "", html[begin + 9 : end].replace("&", "&amp;")
+            at = end + 3
+            continue
+        name = _TAG.match(html, begin + 1)
+        if not name and html[begin + 1 : begin + 2] not in ("!", "?"):
+            yield "", "", "<"
+            at = begin + 1
+            continue
+        if begin > last:
+            return
+        if not name:
+            at = html.find(">", begin) + 1
+            continue
+        rest = _REST.match(html, name.end()) if quotes else None
+        if not rest:
+            quotes = False
+        at = rest.end() if rest else html.find(">", name.end()) + 1
+        tag, attributes = name[0].lower(), html[name.end() : at - 1]
+        if tag[0] == "/":
+            yield "/", tag[1:], ""
+            continue
+        if tag in RAW:
+            if not attributes.endswith("/"):
+                if raw_ends.get(tag, 0) < at:
+                    end = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(html, at)
+                    raw_ends[tag] = end.end() if end else n + 1
+                if raw_ends[tag] <= n or tag not in ("head", "title"):
+                    at = min(raw_ends[tag], n)
+            continue
+        yield "<", tag, attributes
+
+
+class Page:
+    """The lines of a page, and its elements as nodes 0 (the page), 1, ... in page order."""
+
+    def __init__(self, html: str):
+        self.parent, self.tag, self.mark, self.article = [0], [""], [None], [0]
+        self.mains: set[int] = set()
+        self.texts: list[str] = []
+        self.nodes: list[int] = []  # of the lines
+        self.links: list[int] = []  # characters of the lines that are links
+        self._stack, self._blocks, self._open = [0], [0], Counter()
+        self._line: list[tuple[str, int]] = []  # pieces of the line, with the lengths of their links
+        # open marked inline elements: depth, and where their text starts; those before _fresh were split by a block
+        self._inline: list[tuple[int, int]] = []
+        self._fresh = 0
+        self._read(html)
+
+    def _put(self, parts: list[tuple[str, int]], depth: int) -> None:
         line = _SPACE.sub(" ", unescape("".join(raw for raw, _ in parts))).strip()
         if line:
-            _, marks, art = stack[depth - 1] if depth else ("", (), 0)
-            out.append((line, marks, sum(links for _, links in parts), art))
-            paths.append(tuple(x for (name, *_), x in zip(stack[:depth], places) if name in CONTAINERS))
+            self.texts.append(line)
+            self.nodes.append(self._stack[depth])
+            self.links.append(sum(links for _, links in parts))
 
-    def flush() -> None:
+    def _flush(self) -> None:
         began = 0
         # a block within a marked inline element: what came before that element is the surrounding block's
-        for depth in sorted(inline):
-            if inline[depth] is not None:
-                put(text[began : inline[depth]], depth)
-                began, inline[depth] = inline[depth], None
-        put(text[began:], len(stack))
-        text.clear()
-
-    def add(raw: str) -> None:
-        if raw:
-            text.append((raw, len(raw.strip()) if anchors else 0))
-
-    def unclosed(k: int) -> None:
-        """The text of marked inline elements that end with a block around them, from the k-th element of the stack."""
-        for depth in sorted(d for d in inline if d > k):
-            if inline[depth] is not None:
-                del text[inline[depth] :]
-
-    def close(k: int) -> None:
-        """Closes the stack's elements from the k-th; the text of marked inline elements goes."""
-        for depth in sorted(d for d in inline if d >= k):
-            start = inline.pop(depth)
-            if start is None:
-                flush()
-            else:
-                del text[start:]
-        del stack[k:]
-
-    n = len(html)
-    while at < n:
-        m = _TOKEN.search(html, at)
-        if not m:
-            add(html[at:])
-            break
-        add(html[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            add(m[1].replace("&", "&amp;"))
-        if m[3] is None:
-            continue
-        tag = m[3].lower()
-        if m[2]:
-            if tag == "a":
-                anchors = max(anchors - 1, 0)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if any(s[0] in BLOCK for s in stack[k:]):
-                        unclosed(k)
-                        flush()
-                    close(k)
-                    break
+        for depth, start in self._inline[self._fresh :]:
+            self._put(self._line[began:start], depth - 1)
+            began = start
+        self._fresh = len(self._inline)
+        self._put(self._line[began:], len(self._stack) - 1)
+        self._line.clear()
+
+    def _drop_inline(self, depth: int) -> None:
+        """The text of unsplit marked inline elements from that depth on goes."""
+        k = len(self._inline)
+        while k > self._fresh and self._inline[k - 1][0] >= depth:
+            k -= 1
+        if k < len(self._inline):
+            del self._line[self._inline[k][1] :]
+
+    def _close(self, depth: int) -> None:
+        """Closes the elements from that depth on; the text of marked inline elements goes."""
+        k = len(self._inline)
+        while k and self._inline[k - 1][0] >= depth:
+            k -= 1
+        if k < len(self._inline):
+            if k < self._fresh:
+                self._flush()
             else:
-                if tag in BLOCK:
-                    flush()
-            continue
-        if tag in RAW:
-            if not m[4].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-                at = end.end() if end else n if tag not in ("head", "title") else at
-            continue
-        if tag in VOID:
-            if tag == "hr":
-                flush()
+                self._drop_inline(depth)
+            del self._inline[k:]
+            self._fresh = min(self._fresh, k)
+        for node in self._stack[depth:]:
+            self._open[self.tag[node]] -= 1
+        del self._stack[depth:]
+        while self._blocks[-1] >= depth:
+            self._blocks.pop()
+
+    def _end(self, tag: str) -> None:
+        if not self._open[tag]:
+            if tag in BLOCK:
+                self._flush()
+            return
+        depth = len(self._stack) - 1
+        while self.tag[self._stack[depth]] != tag:
+            depth -= 1
+        if self._blocks[-1] >= depth:
+            self._drop_inline(depth + 1)
+            self._flush()
+        self._close(depth)
+
+    def _start(self, tag: str, attributes: str) -> None:
+        if tag in BLOCK:
+            self._flush()
+            for closed in ({"p"} if tag in _ENDS_P else set(), CLOSES.get(tag, ())):
+                if self.tag[self._stack[self._blocks[-1]]] in closed:
+                    self._close(self._blocks[-1])
+        if attributes.endswith("/"):
+            return
+        around = self._stack[-1]
+        mark = _outside(tag, attributes, self.article[around] > 0)
+        node, depth = len(self.parent), len(self._stack)
+        if mark is not None and tag not in BLOCK:
+            self._inline.append((depth, len(self._line)))
+        main = tag == "main" or 'role="main"' in attributes
+        if main:
+            self.mains.add(node)
+        self.parent.append(around)
+        self.tag.append(tag)
+        self.mark.append(mark)
+        self.article.append(node if main or tag in ARTICLE else self.article[around])
+        self._stack.append(node)
+        self._open[tag] += 1
+        if tag in BLOCK:
+            self._blocks.append(depth)
+
+    def _read(self, html: str) -> None:
+        anchors = 0
+        for kind, tag, value in _tokens(html):
+            if not kind:
+                self._line.append((value, len(value.strip()) if anchors else 0))
+            elif kind == "/":
+                if tag == "a":
+                    anchors = max(anchors - 1, 0)
+                self._end(tag)
+            elif tag == "hr":
+                self._flush()
+            elif tag in VOID:
+                if tag == "br":
+                    self._line.append((" ", 0))
             else:
-                text.append((" ", 0)) if tag == "br" else None
+                anchors += tag == "a"
+                self._start(tag, value)
+        self._flush()
+
+    def down(self, own: list[bool]) -> list[bool]:
+        """For each node, whether it or a node around it is in ``own``."""
+        out = own[:]
+        for node in range(1, len(out)):
+            out[node] = out[node] or out[self.parent[node]]
+        return out
+
+    def up(self, own: list, join: Callable) -> list:
+        """For each node, its own value joined with those of all nodes inside it."""
+        out = own[:]
+        for node in range(len(out) - 1, 0, -1):
+            out[self.parent[node]] = join(out[self.parent[node]], out[node])
+        return out
+
+
+def _blocked(page: Page) -> list[bool]:
+    """For each node, whether it lies in a part that is not the article.
+
+    The mark of a part is lifted if it holds the story all the same: a main element, an article longer than all unmarked text, or most of
+    a page without articles.
+    """
+    size = len(page.parent)
+    never, marked = page.down([m == NEVER for m in page.mark]), page.down([m is not None for m in page.mark])
+    held, articles = [0] * size, [0] * size
+    total = unmarked = free_articles = 0
+    for text, node, linked in zip(page.texts, page.nodes, page.links):
+        if never[node]:
             continue
-        if tag in BLOCK:
-            flush()
-            if tag in _ENDS_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES.get(tag, ()):
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-        _, marks, art = stack[-1] if stack else ("", (), 0)
-        if tag == "a":
-            anchors += 1
-        now = _outside(tag, m[4], art > 0)
-        if not m[4].endswith("/"):
-            if now is not None:
-                if tag not in BLOCK:
-                    inline[len(stack)] = len(text)
-                kinds[at] = now
-                marks = (*marks, at)
-            main = tag == "main" or 'role="main"' in m[4]
-            if main:
-                mains.add(at)
-            del places[len(stack) :]
-            places.append(at)
-            stack.append((tag, marks, at if main or tag in ARTICLE else art))
-    flush()
-    lifted = _lifted(out, kinds, mains)
-    return [(line, 0 if set(marks) - lifted else len(line), linked, art > 0, path) for (line, marks, linked, art), path in zip(out, paths)]
-
-
-def runs(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """From the surge to the dive of the sums over sliding windows of lines: half-open ranges without zero ends."""
-    found, n = [], len(lengths)
-    sums = [sum(lengths[k : k + window]) for k in range(n)]
-    k = 0
+        own = max(len(text) - linked, 0)
+        total += own
+        held[node] += own
+        if page.article[node]:
+            articles[page.article[node]] += own
+        if not marked[node]:
+            unmarked += own
+            free_articles += own if page.article[node] else 0
+    held = page.up(held, int.__add__)
+    longest = page.up(articles, max)
+    stories = page.up([node in page.mains and articles[node] > 0 for node in range(size)], bool.__or__)
+
+    def lifted(node: int) -> bool:
+        if page.mark[node] == NEVER:
+            return False
+        inside = longest[node] if page.article[node] != node else 0
+        return stories[node] or inside > unmarked or (page.mark[node] == LOOSE and not free_articles and 2 * held[node] > total)
+
+    return page.down([page.mark[node] is not None and not lifted(node) for node in range(size)])
+
+
+def window_sums(lengths: list[int], window: int = WINDOW) -> list[int]:
+    """Sum of the lengths of each line and the ones after it, ``window`` together."""
+    through = [0, *accumulate(lengths)]
+    n = len(lengths)
+    return [through[min(k + window, n)] - through[k] for k in range(n)]
+
+
+def runs(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, bool]]:
+    """Between a rise and a dive of the window sums: half-open ranges without zero ends, and whether the sums surge inside."""
+    sums = window_sums(lengths, window)
+    surge = SURGE * sum(s * s for s in sums) / max(sum(sums), 1)
+    found, k, n = [], 0, len(sums)
     while k < n:
         if not sums[k]:
             k += 1
@@ -254,34 +331,39 @@ def runs(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
         a = k
         while k < n and sums[k]:
             k += 1
-        b = min(k + window - 1, n)
-        while a < b and not lengths[a]:
+        # the first window begins with lines of length zero, the last one ends the run
+        while not lengths[a]:
             a += 1
-        while b > a and not lengths[b - 1]:
-            b -= 1
-        if a < b and (not found or a >= found[-1][1]):
-            found.append((a, b))
-        k = max(k, b)
+        found.append((a, k, max(sums[a:k]) >= surge))
     return found
 
 
 def main_text(html: str | None) -> str:
-    page = lines(html or "")
-    own = [max(size - links, 0) for _, size, links, _, _ in page]
-    inside = sum(n for n, (_, _, _, art, _) in zip(own, page) if art)
+    page = Page(html or "")
+    blocked = _blocked(page)
+    texts, n = page.texts, len(page.texts)
+    sized = [0 if blocked[node] else len(text) for text, node in zip(texts, page.nodes)]
+    own = [max(size - links, 0) for size, links in zip(sized, page.links)]
+    inside = sum(x for x, node in zip(own, page.nodes) if page.article[node])
     whole = inside > 0 and 2 * inside >= sum(own)
-    sized = [size if (art or not whole) else 0 for _, size, _, art, _ in page]
-    # without an article element, lines of links don't make a surge
-    dense = [0 if not whole and links >= LINKS * len(text) else size for (text, _, links, _, _), size in zip(page, sized)]
-    found = runs(dense)
-    if not whole and found:
-        longest = max(found, key=lambda r: sum(dense[r[0] : r[1]]))
-        most = sum(dense[slice(*longest)])
-        around = os.path.commonprefix([page[k][4] for k in range(*longest) if dense[k]])
-        depth = len(around)
-        # runs inside the container of the longest one stay, whatever their length
-        found = [(a, b) for a, b in found if sum(dense[a:b]) >= SHARE * most or any(dense[k] and page[k][4][:depth] == around for k in range(a, b))]
-    return "\n".join(page[k][0] for a, b in found for k in range(a, b) if sized[k])
+    if whole:
+        sized = [size if page.article[node] else 0 for size, node in zip(sized, page.nodes)]
+        found = runs(sized)
+    else:
+        # without an article element, lines of links don't make a surge
+        dense = [0 if page.links[k] >= LINKS * len(texts[k]) else sized[k] for k in range(n)]
+        found = runs(dense)
+        if found:
+            a, b, _ = max(found, key=lambda r: sum(dense[r[0] : r[1]]))
+            story = [0] * len(page.parent)
+            for k in range(a, b):
+                story[page.nodes[k]] += dense[k] > 0
+            held = page.up(story, int.__add__)
+            # the innermost container of all lines of the longest run
+            around = max((node for node, x in enumerate(held) if x == held[0] and page.tag[node] in CONTAINERS), default=0)
+            within = page.down([node == around for node in range(len(held))])
+            found = [r for r in found if r[2] or any(dense[k] and within[page.nodes[k]] for k in range(r[0], r[1]))]
+    return "\n".join(texts[k] for a, b, _ in found for k in range(a, b) if sized[k])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

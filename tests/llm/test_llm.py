@@ -363,7 +363,65 @@ def test_html(spark):
     rows = spark.createDataFrame([(k, None, h, 1) for k, h in enumerate(odd)] + [(None, "u", "<p>y</p>", 2)], "page_id long, url string, html string, text int")
     got = {r.page_id: r.text for r in html_text.extract(rows).collect()}
     assert got[0] == got[1] == got[4] == got[5] == "" and got[2] == "plain text only" and got[3] == "unclosed" and got[6] == "a < b & c" and got[7].count("\n") == 1999
-    assert html_text.runs([0, 0, 5, 0, 7, 0, 0, 0, 0, 3]) == [(2, 5), (9, 10)]
+    assert html_text.runs([0, 0, 5, 0, 7, 0, 0, 0, 0, 3]) == [(2, 5, True), (9, 10, True)]
+
+
+def brute_runs(lengths, window):
+    """Plain sums of each window; a line is in a run unless ``window`` zeros in a row, or an end, part it from others."""
+    sums = [sum(lengths[k : k + window]) for k in range(len(lengths))]
+    least = html_text.SURGE * sum(s * s for s in sums) / max(sum(sums), 1)
+    found, k = [], 0
+    while k < len(lengths):
+        if lengths[k]:
+            b = k + 1
+            while any(lengths[b : b + window]):
+                b += 1
+            found.append((k, b, any(s >= least for s in sums[k:b])))
+            k = b
+        else:
+            k += 1
+    return found
+
+
+def test_html_windows_against_plain_sums():
+    rng = np.random.default_rng(2)
+    for n in range(60):
+        lengths = (rng.integers(0, 2, n) * rng.integers(0, 2, n) * rng.integers(1, 400, n)).tolist()
+        for window in (2, 3, 5):
+            assert html_text.runs(lengths, window) == brute_runs(lengths, window), (lengths, window)
+
+
+def test_html_windows_decide():
+    """Without an article element and without any mark: what the windows bridge stays, and runs without a surge go."""
+    story = "".join(f"<p>Paragraph {k} of the story, which is long enough to be one.</p>" for k in range(3))
+    link = "<p><a href=/x>See this other page</a></p>"
+    page = lambda between: f"<body><div><p>Home</p><p>Contact</p></div><div><p><a href=/>All</a></p></div>{link * 3}<div>{story}{between}{story}</div>{link * 3}<div><p>Terms</p></div></body>"
+    told = "\n".join(f"Paragraph {k} of the story, which is long enough to be one." for k in range(3))
+    assert html_text.main_text(page(link)) == f"{told}\nSee this other page\n{told}"
+    assert html_text.main_text(page(link * 3)) == f"{told}\n{told}"
+    assert "Home" not in html_text.main_text(page("")) and "Terms" not in html_text.main_text(page(""))
+
+
+HARD = {
+    "unclosed tags": ("<p>a</p>" + "<a " * 100_000, "a"),
+    "open quotes": ("<p>a</p>" + '<a "' * 100_000, "a"),
+    "quotes around all ends": ('<p>a</p>' + '<a ">")' * 50_000, None),
+    "mismatched ends": ("<span>" * 100_000 + "</b>" * 100_000 + "a", "a"),
+    "deep blocks with text": ("<div>x" * 30_000, None),
+    "deep marked elements": ('<span class="ad">' * 30_000 + "<div>b</div>" * 30_000, None),
+    "titles without end": ("<title>" * 50_000 + "<p>a</p>", "a"),
+    "blocks in deep inline elements": ("<i>" * 50_000 + "<p>a" * 50_000, None),
+    "less-than signs": ("< " * 200_000, None),
+    "ten megabytes of text": ("<p>" + "word " * 2_000_000, None),
+}
+
+
+@pytest.mark.parametrize("case", HARD)
+def test_html_hard_pages_take_linear_time(case):
+    html, want = HARD[case]
+    began = time.time()
+    got = html_text.main_text(html)
+    assert time.time() - began < 10 and (want is None or got == want)
 
 
 STORY = "".join(f"<p>Paragraph {k} of the story, which is long enough to be one.</p>" for k in range(6))
