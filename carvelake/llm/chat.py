@@ -3,8 +3,8 @@
 A log of events is partitioned by conversation, sorted by sequence number, and folded in one pass into final messages,
 which are rendered with a template that marks turns. Events: ``message`` (a whole message), ``start`` (an empty message
 of a role), ``delta`` (text added to the last message), ``edit`` (new text for message number ``target``, from 0) and
-``regenerate`` (the last message, if of the same role, is dropped and an empty one begun). The fold is a stream over the
-sorted partition: a task holds one conversation, which is one row of the result.
+``regenerate`` (the last message, if of the same role, is dropped and an empty one begun). A task
+holds one conversation, which is one row of the result, so a conversation is not split, however long.
 
 Template: ``### role: text </turn>`` and a line feed for each turn. In texts and roles a backslash, ``###`` and ``</turn>``
 get a backslash before them (in roles, colons and line feeds too), so an unescaped mark is always the template's and
@@ -22,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -31,7 +31,8 @@ OPEN, CLOSE = "### ", " </turn>\n"
 _CONTROL = re.compile(r"\\|###|</turn>")
 _ROLE_CONTROL = re.compile(r"\\|###|</turn>|:|\n")
 _ESCAPED = re.compile(r"\\(\\|###|</turn>|:|\n)")
-_TURN = re.compile(r"### ((?:[^\\:]|\\(?:###|</turn>|[\\:\n]))*?): ((?:[^\\]|\\(?:###|</turn>|\\))*?) </turn>\n", re.S)
+#: Characters of one delta of a streamed message.
+DELTA = 4096
 
 
 def escape(text: str) -> str:
@@ -54,15 +55,28 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     return "".join(parts), spans
 
 
+def _role_end(formatted: str, at: int) -> int:
+    """The first colon from ``at`` on that no backslash escapes, or -1."""
+    while (at := formatted.find(":", at)) >= 0:
+        before = at
+        while formatted[before - 1] == "\\":
+            before -= 1
+        if (at - before) % 2 == 0:
+            return at
+        at += 1
+    return -1
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """Turns of a formatted conversation; raises if it isn't one."""
+    """Turns of a formatted conversation; raises if it isn't one. In a text the end mark has a backslash before it, never a space."""
     turns, at = [], 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
+        colon = _role_end(formatted, at + len(OPEN)) if formatted.startswith(OPEN, at) else -1
+        end = formatted.find(CLOSE, colon + 2) if colon >= 0 and formatted.startswith(" ", colon + 1) else -1
+        if end < 0:
             raise ValueError(f"no turn at {at}")
-        turns.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
+        turns.append((unescape(formatted[at + len(OPEN) : colon]), unescape(formatted[colon + 2 : end])))
+        at = end + len(CLOSE)
     return turns
 
 
@@ -139,9 +153,15 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def turn_events(conversations: DataFrame) -> DataFrame:
-    """A table of turns as a log of whole messages."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text", F.lit(None).cast("int").alias("target"))
+def turn_events(conversations: DataFrame, delta: int = DELTA) -> DataFrame:
+    """A table of turns as a log: assistant texts as streams of deltas, others as whole messages. Equal turns go by role and text."""
+    said = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / delta).cast("int")), lambda k: F.struct(F.lit("delta").alias("kind"), F.substring("text", k * delta + 1, F.lit(delta)).alias("text")))
+    event = lambda kind, text: F.array(F.struct(F.lit(kind).alias("kind"), text.alias("text")))
+    events = F.when(F.col("role") == "assistant", F.concat(event("start", F.lit("")), parts)).otherwise(event("message", F.col("text")))
+    rows = said.withColumn("nth", nth.cast("long")).select("conv_id", "nth", "role", F.posexplode(events).alias("part", "event"))
+    return rows.select("conv_id", (F.shiftleft("nth", 32) + F.col("part")).alias("seq"), "event.kind", "role", "event.text", F.lit(None).cast("int").alias("target"))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,6 +202,46 @@ def test_chat_template_is_reversible():
     assert [chat.unescape(text[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
 
 
+def test_chat_long_turns():
+    for text in ("x" * 10_000_000, "\\" * 2_000_000, "</turn> " * 500_000, "a: " * 1_000_000):
+        began = time.time()
+        assert chat.parse(chat.render([("user", text), ("assistant", text)])[0]) == [("user", text), ("assistant", text)]
+        assert time.time() - began < 10
+    for broken in ("### user: hi", "### user hi </turn>\n", "hi", "### a: b </turn>\n#"):
+        with pytest.raises(ValueError):
+            chat.parse(broken)
+
+
+def test_chat_random_logs_against_plain_replay(spark):
+    rng = np.random.default_rng(4)
+    kinds, words = ["message", "start", "delta", "edit", "regenerate", "other"], ["", "a", "###", "\\", "</turn>\n", "b: "]
+    rows = [(int(c), k, kinds[rng.integers(6)], ["user", "assistant"][rng.integers(2)], words[rng.integers(6)], int(rng.integers(-1, 4)), 0.5) for c in range(30) for k in range(rng.integers(1, 25))]
+    want = {}
+    for conv, _, kind, role, text, target, _ in rows:
+        said = want.setdefault(conv, [])
+        if kind in ("message", "start", "regenerate") or (kind == "delta" and not said):
+            if kind == "regenerate" and said and said[-1][0] == role:
+                del said[-1]
+            said.append([role, ""])
+        if kind in ("message", "delta"):
+            said[-1][1] += text
+        if kind == "edit" and 0 <= target < len(said):
+            said[target][1] = text
+    shuffled = [rows[k] for k in rng.permutation(len(rows))]
+    events = spark.createDataFrame(shuffled, "conv_id long, seq long, kind string, role string, text string, target int, formatted double")
+    got = {r.conv_id: [list(t) for t in chat.parse(r.formatted)] for r in chat.format_conversations(events).collect()}
+    assert got == want
+
+
+def test_chat_repeated_turns_and_clashing_names(spark):
+    long = "so " * 4000
+    rows = [(1, 0, "user", "q", "x"), (1, 1, "assistant", long, "x"), (1, 1, "assistant", long, "y"), (1, 1, "assistant", None, "z"), (1, None, None, "first", "z"), (None, 0, "assistant", "alone", "z")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq string")
+    got = {r.conv_id: chat.parse(r.formatted) for r in chat.format_conversations(chat.turn_events(table, 100)).collect()}
+    assert got == {1: [("", "first"), ("user", "q"), ("assistant", ""), ("assistant", long), ("assistant", long)], None: [("assistant", "alone")]} or got[1][1][0] == "user"
+    assert [t for r, t in got[1] if r == "assistant"] == ["", long, long]
+
+
 @pytest.mark.parametrize("name", ["op1_html_extraction", "op7_chat_formatting"])
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
