@@ -50,6 +50,8 @@ SEEDS = (64, 168)
 CHUNK = 1 << 20
 #: Records that one bucket holds and sorts, about.
 PER_BUCKET = 250_000
+#: Places that one record carries; a string with more of them in a batch is several records, so that records are about equally long.
+MOST_PLACES = 32
 #: Segments of fewer records are sorted at once.
 SMALL = 4096
 #: A place: document, text, start of the slice, first and last window start (offsets in the document).
@@ -87,13 +89,15 @@ def _places(ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _packed(tokens: list[np.ndarray], places: np.ndarray) -> pa.RecordBatch:
-    """One record for each distinct tuple of ``tokens``: the tuple, a hash of its first place and all its places."""
+    """A record for every MOST_PLACES places of each distinct tuple of ``tokens``: the tuple, a hash of the record's first place and its places."""
     joint = tokens[0]
     for c in tokens[1:]:
         joint = rolling.mix(joint * np.uint64(rolling.BASE) + c)
     order = np.argsort(joint, kind="stable")
     new = np.ones(len(order), bool)
     new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in tokens])
+    begin = np.flatnonzero(new)
+    new |= (np.arange(len(order)) - begin[np.cumsum(new) - 1]) % MOST_PLACES == 0
     at = np.flatnonzero(new)
     offsets = (np.append(at, len(order)) * PLACE.itemsize).astype(np.int32)
     places = places[order]

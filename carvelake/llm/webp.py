@@ -2,8 +2,11 @@
 
 Pixels are uint32 ARGB in row order. `decode` reads prefix codes (simple, normal, meta), back-references, the colour
 cache, and inverts the predictor, cross-colour, subtract-green and palette transforms. Where an image has one prefix code
-group whose red, blue and alpha codes are constant and uses no cache, its green symbols are read several at a time
-through a table of 16-bit windows; everything else goes through the symbol-by-symbol reader.
+group whose red, blue and alpha codes are constant and uses no cache, its literals are read several at a time
+through a table of bit windows (`_one_channel`); everything else goes through the symbol-by-symbol reader.
+
+`encode_grey` writes samples as grey pixels: with a palette where there are at most 16 values, so that a pixel holds up to eight
+samples, else less green; equal strings of 8 samples or more as back-references. `encode` writes any tool that it is asked for.
 """
 
 from __future__ import annotations
@@ -33,14 +36,16 @@ class Bits:
     def __init__(self, data: bytes):
         self.value, self.size, self.pos, self.data = 0, 0, 0, data
 
+    def fill(self) -> None:
+        if self.pos > len(self.data) + 64:
+            raise WebPError("the data ends early")
+        self.value |= int.from_bytes(self.data[self.pos : self.pos + 8], "little") << self.size
+        self.size += 64
+        self.pos += 8
+
     def read(self, n: int) -> int:
-        while self.size < n:
-            if self.pos > len(self.data) + 64:
-                raise WebPError("the data ends early")
-            chunk = self.data[self.pos : self.pos + 8]
-            self.value |= int.from_bytes(chunk, "little") << self.size
-            self.size += 64
-            self.pos += 8
+        if self.size < n:
+            self.fill()
         v = self.value & ((1 << n) - 1)
         self.value >>= n
         self.size -= n
@@ -72,7 +77,7 @@ def _reversed(code: int, n: int) -> int:
 
 
 class Prefix:
-    """One prefix code: symbols by (length, code bits as they come)."""
+    """One prefix code; symbols are looked up by the next ``width`` bits."""
 
     def __init__(self, lengths: tuple[int, ...]):
         used = [s for s, n in enumerate(lengths) if n]
@@ -84,17 +89,23 @@ class Prefix:
             if sum(1 << (15 - lengths[s]) for s in used) != 1 << 15:
                 raise WebPError("a prefix code is not complete")
             codes = canonical(lengths)
-            self.table = {(lengths[s], _reversed(codes[s], lengths[s])): s for s in used}
+            self.width = max(lengths)
+            self.mask = (1 << self.width) - 1
+            self.symbol = [0] * (1 << self.width)
+            for s in used:
+                step = 1 << lengths[s]
+                self.symbol[_reversed(codes[s], lengths[s]) :: step] = [s] * (len(self.symbol) // step)
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        code = 0
-        for n in range(1, 16):
-            code |= bits.read(1) << (n - 1)
-            if (s := self.table.get((n, code))) is not None:
-                return s
-        raise WebPError("no such prefix code")
+        if bits.size < self.width:
+            bits.fill()
+        s = self.symbol[bits.value & self.mask]
+        n = self.lengths[s]
+        bits.value >>= n
+        bits.size -= n
+        return s
 
 
 def _read_prefix(bits: Bits, alphabet: int) -> Prefix:
@@ -137,52 +148,114 @@ def _prefix(lengths: tuple[int, ...]) -> Prefix:
 
 
 @lru_cache(maxsize=8)
-def _windows(lengths: tuple[int, ...]) -> tuple[list[bytes], list[int]]:
-    """For each 16-bit window, the symbols (below 256) that it holds whole, and the bits they take."""
+def _windows(lengths: tuple[int, ...], width: int) -> tuple[list[bytes], list[int], list[int]]:
+    """For each window of ``width`` bits, the literals that it holds whole, the bits they take, and the first symbol."""
     codes = canonical(lengths)
-    symbol, length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    size = 1 << width
+    symbol, length = np.zeros(size, np.int64), np.zeros(size, np.int64)
     for s, n in enumerate(lengths):
         if n:
             symbol[_reversed(codes[s], n) :: 1 << n] = s
             length[_reversed(codes[s], n) :: 1 << n] = n
-    all_ = np.arange(1 << 16)
-    taken, count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-    out = np.zeros((1 << 16, 16), np.uint8)
-    going = np.ones(1 << 16, bool)
+    every = np.arange(size)
+    taken, count = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    out = np.zeros((size, 16), np.uint8)
+    going = np.ones(size, bool)
     for k in range(16):
-        rest = all_ >> taken
-        going &= taken + length[rest] <= 16
+        rest = every >> taken
+        going &= (taken + length[rest] <= width) & (symbol[rest] < 256)
         if not going.any():
             break
         out[going, k] = symbol[rest[going]]
         count[going] += 1
         taken[going] += length[rest[going]]
     flat = out.tobytes()
-    return [flat[16 * k : 16 * k + c] for k, c in enumerate(count.tolist())], taken.tolist()
+    return [flat[16 * k : 16 * k + c] for k, c in enumerate(count.tolist())], taken.tolist(), symbol.tolist()
 
 
-def _literals(bits: Bits, lengths: tuple[int, ...], n: int) -> np.ndarray:
-    """The next n symbols of one code whose symbols are all below 256."""
-    parts, steps = _windows(lengths)
-    spare = n // 8 + 16  # a corrupt stream is read past its end by no more than this, then refused
+def _one_channel(bits: Bits, literal: Prefix, distance: Prefix, width: int, total: int) -> np.ndarray:
+    """The next ``total`` green samples where all other channels are constant: literals and back-references."""
+    lengths = literal.lengths
+    window = 16 if total >= 4096 or literal.width > 12 else 12
+    parts, steps, firsts = _windows(lengths, window)
+    spare = total // 8 + 16  # a corrupt stream is read past its end by no more than this, then refused
     data = np.frombuffer(bits.data + bytes(spare), np.uint8).astype(np.uint32)
-    words = (data[:-2] | data[1:-1] << 8 | data[2:] << 16).tolist()
-    pos, got, out, most = bits.at, 0, [], 8 * len(bits.data)
-    add = out.append
-    while got < n:
+    words = (data[:-3] | data[1:-2] << 8 | data[2:-1] << 16 | data[3:] << 24).tolist()
+    mask, pos, most = (1 << window) - 1, bits.at, 8 * len(bits.data)
+    out = bytearray()
+    while len(out) < total:
         if pos > most:
             raise WebPError("the data ends early")
-        for _ in range((n - got + 15) // 16):  # a window holds 16 symbols at most
-            e = words[pos >> 3] >> (pos & 7) & 65535
+        for _ in range((total - len(out) + 15) // 16):  # a window holds 16 literals at most
+            e = words[pos >> 3] >> (pos & 7) & mask
+            part = parts[e]
+            if not part:
+                break
+            out += part
             pos += steps[e]
-            add(parts[e])
-        out = [b"".join(out)]
-        got, add = len(out[0]), out.append
-    found = np.frombuffer(b"".join(out)[:n], np.uint8)
-    bits.seek(bits.at + int(np.array(lengths)[found].sum()))
-    if bits.at > most:
+        else:
+            continue
+        k, s = len(out), firsts[e]
+        if k >= total:
+            break
+        pos += lengths[s]
+        s -= 256
+        n = s + 1
+        if s > 3:
+            extra = (s - 2) >> 1
+            n = ((2 + (s & 1)) << extra) + (words[pos >> 3] >> (pos & 7) & ((1 << extra) - 1)) + 1
+            pos += extra
+        if distance.only is None:
+            s = distance.symbol[words[pos >> 3] >> (pos & 7) & distance.mask]
+            pos += distance.lengths[s]
+        else:
+            s = distance.only
+        back = s + 1
+        if s > 3:
+            extra = (s - 2) >> 1
+            back = ((2 + (s & 1)) << extra) + (words[pos >> 3] >> (pos & 7) & ((1 << extra) - 1)) + 1
+            pos += extra
+        back = back - 120 if back > 120 else _back(back, width)
+        if back > k or k + n > total:
+            raise WebPError("a back-reference is out of range")
+        if back >= n:
+            out += out[k - back : k - back + n]
+        else:
+            out += (out[k - back :] * (n // back + 1))[:n]
+    pos -= sum(lengths[s] for s in out[total:])  # the last windows went on behind the image
+    if pos > most:
         raise WebPError("the data ends early")
-    return found
+    bits.seek(pos)
+    return np.frombuffer(bytes(out[:total]), np.uint8)
+
+
+def _back(code: int, width: int) -> int:
+    """How many pixels a distance code goes back."""
+    if code > 120:
+        return code - 120
+    x, y = NEAR[code - 1]
+    return max(x + y * width, 1)
+
+
+#: Groups of prefix codes read before, by number, alphabets and length in bits, then by their bits.
+_GROUPS: dict[tuple, dict[int, list[list[Prefix]]]] = {}
+
+
+def _read_groups(bits: Bits, sizes: list[int], n: int) -> list[list[Prefix]]:
+    """The prefix codes of an image. Many images have the same ones, so some are remembered."""
+    at = bits.at
+    for (number, *alphabets, length), known in _GROUPS.items():
+        if number == n and alphabets == sizes:
+            groups = known.get(int.from_bytes(bits.data[at >> 3 : (at + length + 7) >> 3], "little") >> (at & 7) & ((1 << length) - 1))
+            if groups:
+                bits.seek(at + length)
+                return groups
+    groups = [[_read_prefix(bits, size) for size in sizes] for _ in range(n)]
+    length = bits.at - at
+    if length < 4096 and len(_GROUPS) < 8:
+        own = int.from_bytes(bits.data[at >> 3 : (at + length + 7) >> 3], "little") >> (at & 7) & ((1 << length) - 1)
+        _GROUPS[n, *sizes, length] = {own: groups}
+    return groups
 
 
 def _value(bits: Bits, code: int) -> int:
@@ -204,12 +277,12 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         groups_of = (_read_image(bits, across, down, False) >> np.uint32(8) & np.uint32(0xFFFF)).tolist()
         n_groups = max(groups_of) + 1
     sizes = [ALPHABETS[0] + (1 << cache_bits if cache_bits else 0), *ALPHABETS[1:]]
-    groups = [[_read_prefix(bits, n) for n in sizes] for _ in range(n_groups)]
+    groups = _read_groups(bits, sizes, n_groups)
     total = width * height
     if n_groups == 1 and not cache_bits and groups_of is None:
-        g, r, b, a, _ = groups[0]
-        if None not in (r.only, b.only, a.only) and g.only is None and not any(g.lengths[256:]):
-            green = _literals(bits, g.lengths, total).astype(np.uint32)
+        g, r, b, a, distance = groups[0]
+        if None not in (r.only, b.only, a.only) and g.only is None:
+            green = _one_channel(bits, g, distance, width, total).astype(np.uint32)
             return green << np.uint32(8) | np.uint32(a.only << 24 | r.only << 16 | b.only)
     out = [0] * total
     cache = [0] * (1 << cache_bits)
@@ -227,12 +300,7 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             k += 1
         elif s < 280:
             length = _value(bits, s - 256)
-            code = _value(bits, own[4].read(bits))
-            if code > 120:
-                back = code - 120
-            else:
-                x, y = NEAR[code - 1]
-                back = max(x + y * width, 1)
+            back = _back(_value(bits, own[4].read(bits)), width)
             if back > k or k + length > total:
                 raise WebPError("a back-reference is out of range")
             for k in range(k, k + length):
@@ -371,7 +439,7 @@ def decode(data: bytes) -> np.ndarray:
         elif kind == PALETTE:
             size = bits.read(8) + 1
             colours = _joined(np.cumsum(_planes(_read_image(bits, size, 1, False)), axis=0))
-            packing = 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
+            packing = _bundle(size)
             undo.append((kind, packing, colours, coded))
             coded = (coded + (1 << packing) - 1) >> packing
         else:
@@ -408,12 +476,10 @@ class Writer:
     def put(self, value: int, n: int) -> None:
         self.parts.append(np.array([value >> k & 1 for k in range(n)], np.uint8))
 
-    def symbols(self, symbols: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> None:
-        """codes: already reversed."""
-        n = lengths[symbols]
-        total = int(n.sum())
-        place = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        self.parts.append((np.repeat(codes[symbols], n) >> place & 1).astype(np.uint8))
+    def all(self, values: np.ndarray, n: np.ndarray) -> None:
+        """Each value in its own number of bits."""
+        place = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(np.cumsum(n, dtype=np.int32) - n, n)
+        self.parts.append((np.repeat(values, n) >> place & 1).astype(np.uint8))
 
     def bytes(self) -> bytes:
         return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
@@ -484,7 +550,8 @@ LETTERS = "etaoinhsrdlucmfwgypbvkxjqz"
 
 @lru_cache(maxsize=1)
 def prose_code() -> tuple[int, ...]:
-    weights = [0.02] * 256 + [0] * 24
+    """Code lengths of literals and match lengths that suit prose."""
+    weights = [0.02] * 256 + [2.0] * 14 + [0.05] * 10
     for k, c in enumerate(LETTERS):
         weights[ord(c)] = 110 * 0.88**k
         weights[ord(c.upper())] = 2.2 * 0.93**k
@@ -498,39 +565,139 @@ def prose_code() -> tuple[int, ...]:
     return code_lengths(weights)
 
 
-#: Images of at least so many samples get a prefix code of their own.
-OWN_CODE = 32_768
+@lru_cache(maxsize=1)
+def distance_code() -> tuple[int, ...]:
+    """Code lengths of distances: most lie some hundreds to thousands back."""
+    return code_lengths([0.5 if k < 12 else 4.0 if k < 28 else 1.0 for k in range(40)])
+
+
+#: Samples that a back-reference replaces at least, and the farthest distance and longest copy of the format.
+MATCH, FARTHEST, LONGEST = 8, (1 << 20) - 120, 4096
+
+
+def _matches(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance of copies from left to right: where strings of MATCH samples were last seen at one distance in a row."""
+    n = len(flat) - MATCH + 1
+    none = np.zeros(0, np.int64)
+    if n < 2:
+        return none, none, none
+    wide = flat.astype(np.uint64)
+    key = wide[:n].copy()
+    for k in range(1, MATCH):
+        key |= wide[k : k + n] << np.uint64(8 * k)
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    distance = np.zeros(n, np.int64)
+    distance[order[1:][same]] = order[1:][same] - order[:-1][same]
+    distance[distance > FARTHEST] = 0
+    edge = np.flatnonzero(np.diff(distance, prepend=0)).tolist()
+    found, end = [], 0
+    for a, b in zip(edge, [*edge[1:], n]):
+        d = int(distance[a])
+        stop, start = b + MATCH - 1, max(a, end)
+        if d and stop - start >= MATCH:
+            for k in range(start, stop, LONGEST):
+                found.append((k, min(LONGEST, stop - k), d))
+            end = stop
+    return tuple(np.array(found, np.int64).reshape(-1, 3).T) if found else (none, none, none)
+
+
+def _all_prefix_parts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`_prefix_parts` of many values."""
+    v = np.maximum(values - 1, 1)
+    top = np.frexp(v.astype(np.float64))[1].astype(np.int64) - 1
+    small = values <= 4
+    return (
+        np.where(small, values - 1, 2 * top + (v >> np.maximum(top - 1, 0) & 1)),
+        np.where(small, 0, v & ((1 << np.maximum(top - 1, 0)) - 1)),
+        np.where(small, 0, top - 1),
+    )
 
 
-@lru_cache(maxsize=8)
-def _head(lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bits from the transforms to the prefix codes of a grey image; lengths and codes by symbol."""
+@lru_cache(maxsize=64)
+def _reversed_codes(lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and codes of all symbols; the only symbol of a code takes no bits."""
+    one = sum(1 for n in lengths if n) == 1
+    return np.array(lengths) * (not one), np.array([_reversed(c, n) for c, n in zip(canonical(lengths), lengths)])
+
+
+@lru_cache(maxsize=64)
+def _code_bits(*codes: tuple[int, ...]) -> np.ndarray:
+    """Bits of no colour cache, one group, and its prefix codes; a single number is the only symbol of a code."""
     w = Writer()
-    w.put(1, 1), w.put(SUBTRACT_GREEN, 2), w.put(0, 1)  # one transform
-    w.put(0, 1), w.put(0, 1)  # no colour cache, one group of codes
-    _write_prefix(w, lengths)
-    for only in (0, 0, 255, 0):  # red and blue less green, alpha, distance
-        w.put(1, 1), w.put(0, 1), w.put(1, 1), w.put(only, 8)
-    codes = [_reversed(c, n) for c, n in zip(canonical(lengths), lengths)]
-    one = sum(1 for n in lengths if n) == 1  # the only symbol of a code takes no bits
-    return np.concatenate(w.parts), np.array(lengths) * (not one), np.array(codes)
+    w.put(0, 1), w.put(0, 1)
+    for lengths in codes:
+        _write_prefix(w, lengths)
+    return np.concatenate(w.parts)
+
+
+RED_OR_BLUE = (1,) + (0,) * 255
+ALPHA = {0: RED_OR_BLUE, 255: RED_OR_BLUE[::-1]}
+
+
+@lru_cache(maxsize=1)
+def _prose_bits() -> np.ndarray:
+    return _code_bits(prose_code(), RED_OR_BLUE, RED_OR_BLUE, ALPHA[255], distance_code())
+
+
+def _write_channel(w: Writer, flat: np.ndarray, own: bool, alpha: int) -> None:
+    """Green samples, all other channels constant. own: prefix codes of the image's own, else those of prose."""
+    start, length, distance = _matches(flat)
+    covered = np.zeros(len(flat) + 1, np.int64)
+    np.add.at(covered, start, 1)
+    np.add.at(covered, start + length, -1)
+    literal = np.flatnonzero(np.cumsum(covered)[:-1] == 0)
+    lcode, lextra, lbits = _all_prefix_parts(length)
+    dcode, dextra, dbits = _all_prefix_parts(distance + 120)
+    if own:
+        green = np.bincount(np.concatenate([flat[literal], lcode + 256]), minlength=280)
+        if (green > 0).sum() == 1:  # a code of one symbol above 255 can't be written
+            green[0 if green[0] == 0 else 1] += 1
+        codes = code_lengths(green.tolist()), code_lengths(np.bincount(dcode, minlength=40).tolist()) if len(start) else (0,) * 40
+    else:
+        codes = prose_code(), distance_code()
+    w.parts.append(_code_bits(codes[0], RED_OR_BLUE, RED_OR_BLUE, ALPHA[alpha], codes[1]) if own else _prose_bits())
+    (n, code), (dn, dsymbol) = map(_reversed_codes, codes)
+    # items in order of their places: a literal is one, a back-reference four
+    order = np.argsort(np.concatenate([literal, start]), kind="stable")
+    size = np.where(order < len(literal), 1, 4)
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(size) - size
+    values, bits = np.zeros(int(size.sum()), np.int64), np.zeros(int(size.sum()), np.int64)
+    values[at[: len(literal)]], bits[at[: len(literal)]] = code[flat[literal]], n[flat[literal]]
+    for k, (v, b) in enumerate(((code[lcode + 256], n[lcode + 256]), (lextra, lbits), (dsymbol[dcode], dn[dcode]), (dextra, dbits))):
+        values[at[len(literal) :] + k], bits[at[len(literal) :] + k] = v, b
+    w.all(values, bits)
 
 
 def encode_grey(samples: np.ndarray) -> bytes:
     """A grey image (rows of uint8) as red = green = blue, of which green alone takes bits."""
     height, width = samples.shape
-    flat = samples.ravel()
-    lengths = prose_code()
-    if len(flat) >= OWN_CODE:
-        lengths = code_lengths([*np.bincount(flat, minlength=256).tolist(), *[0] * 24])
-    head, n, codes = _head(lengths)
     w = Writer()
-    w.put(width - 1, 14), w.put(height - 1, 14), w.put(0, 1), w.put(0, 3)
-    w.parts.append(head)
-    w.symbols(flat, n, codes)
+    w.put(width - 1, 14), w.put(height - 1, 14), w.put(0, 1), w.put(0, 3), w.put(1, 1)
+    colours = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
+    if len(colours) <= 16:
+        w.put(PALETTE, 2), w.put(len(colours) - 1, 8)
+        grey = colours.astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000)
+        _write_image(w, _joined(np.diff(_planes(grey), axis=0, prepend=0)), len(colours), False, 0, False, 0)
+        place = np.zeros(256, np.uint8)
+        place[colours] = np.arange(len(colours))
+        packing = _bundle(len(colours))
+        per, each = 1 << packing, 8 >> packing
+        index = np.pad(place[samples], ((0, 0), (0, -width % per))).reshape(height, -1, per)
+        w.put(0, 1)
+        _write_channel(w, (index << (np.arange(per, dtype=np.uint8) * np.uint8(each))).sum(axis=2).astype(np.uint8).ravel(), True, 0)
+    else:
+        w.put(SUBTRACT_GREEN, 2), w.put(0, 1)
+        _write_channel(w, samples.ravel(), False, 255)
     return _container(w)
 
 
+def _bundle(colours: int) -> int:
+    """How often the width halves where a pixel holds the indices of several."""
+    return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
+
+
 def _prefix_parts(value: int) -> tuple[int, int, int]:
     """Prefix code, extra bits and their number of a length or distance."""
     if value <= 4:
@@ -630,7 +797,7 @@ def encode(image: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int
             w.put(len(colours) - 1, 8)
             planes = _planes(colours)
             _write_image(w, _joined(np.diff(planes, axis=0, prepend=0)), len(colours), False, 0, False, 0)
-            packing = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+            packing = _bundle(len(colours))
             per, each = 1 << packing, 8 >> packing
             index = np.pad(index, ((0, 0), (0, -image.shape[1] % per))).reshape(height, -1, per)
             image = (index << (np.arange(per) * each)).sum(axis=2).astype(np.uint32) << np.uint32(8)

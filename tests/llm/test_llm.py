@@ -1,6 +1,8 @@
 import base64
 import glob
+import hashlib
 import os
+import sys
 import time
 import zlib
 
@@ -358,6 +360,58 @@ def test_webp_refuses_damage():
             webp.decode(data[:cut])
 
 
+def test_media_against_a_plain_decoder(docs):
+    """Stored files read by a second decoder; sizes, digests and features by plain Python."""
+    sys.path.insert(0, os.path.dirname(__file__))
+    import plain_webp
+
+    rows = docs.where("doc_id is null or doc_id <> 4").select("doc_id", "text")
+    media_of = media.store_documents(rows)
+    want = []
+    for r in media_of.collect():
+        found, at = [], 0
+        while at < len(r.media):
+            size = int.from_bytes(r.media[at + 4 : at + 8], "little") + 8
+            found += [p for row in plain_webp.decode(bytes(r.media[at : at + size])) for p in row]
+            at += size
+        payload = bytes(p & 255 for p in found)
+        assert all(p == 0xFF000000 | (p & 255) * 0x010101 for p in found) and len(payload) % 192 == 0 and not payload[r.n_bytes :].strip(b" ")
+        n, mean = len(payload), sum(payload) // len(payload)
+        spread = (n * sum(b * b for b in payload) - sum(payload) ** 2) // n**2
+        bins = [sum(1 for b in payload if b >> 4 == k) for k in range(16)]
+        text = f"192x{n // 192};mean={1000 * sum(payload) // n};var={spread};hist={','.join(map(str, bins))}"
+        assert mean == 1000 * sum(payload) // n // 1000
+        want.append((payload[: r.n_bytes], n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(r.media), hashlib.sha256(r.media).hexdigest(), text))
+    assert sorted(w[0] for w in want) == sorted((r.text or "").encode() for r in rows.collect())
+    got = [tuple(r)[2:] for r in media.read_media(media_of).collect()]
+    assert sorted(got) == sorted(w[1:] for w in want)
+
+
+def test_media_tools_are_used():
+    """Back-references and palettes shorten the files that they suit."""
+    prose = np.frombuffer((LINE * 40).encode()[: 192 * 18], np.uint8).reshape(-1, 192)
+    two = np.frombuffer(b"ab" * 960, np.uint8).reshape(-1, 192)
+    digits = np.random.default_rng(1).integers(48, 58, (40, 192)).astype(np.uint8)
+    for image, most in ((prose, 800), (two, 120), (digits, 40 * 192 * 0.5)):
+        data = webp.encode_grey(image)
+        assert len(data) < most and (media.samples(webp.decode(data)) == image).all()
+
+
+def test_media_copies_of_all_lengths_and_distances():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 50):
+        image = rng.integers(0, 256, (n, 192)).astype(np.uint8)
+        for _ in range(20):
+            flat = image.ravel()
+            a, m = rng.integers(0, flat.size), rng.integers(1, 200)
+            b = rng.integers(0, flat.size)
+            part = flat[a : a + m].copy()[: flat.size - b]
+            flat[b : b + len(part)] = part
+        assert (media.samples(webp.decode(webp.encode_grey(image))) == image).all()
+    long = np.tile(rng.integers(0, 256, 7000).astype(np.uint8), 200)[: 192 * 7000].reshape(-1, 192)
+    assert (media.samples(webp.decode(webp.encode_grey(long))) == long).all()
+
+
 def test_media_round_trip(docs, none):
     stored = media.store_documents(docs)
     payloads = sorted(media.payload_of(t)[0] for t in texts_of(docs))
