@@ -443,6 +443,40 @@ def test_sharding(spark, sf, docs, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_sharding_values_and_ties(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: (r.size, r.text_crc32) for r in sharding.op10_hilbert_sharding(spark, sf).collect()}
+    assert got == {r.doc_id: (len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in rows}
+    same = spark.createDataFrame([(1, "a", "en", "s", 9, 9)] * 1000 + [(None, None, None, None, 9, 9)] * 30, "doc_id long, text string, lang string, source string, slot int, cell int")
+    found = sharding.shard_documents(same, 7).collect()
+    assert sorted((r.shard, r.slot) for r in found) == [(s, k) for s in range(7) for k in range((s + 1) * 1030 // 7 + ((s + 1) * 1030 % 7 > 0) - (s * 1030 // 7 + (s * 1030 % 7 > 0)))]
+
+
+def test_sharding_follows_the_curve(spark, sf):
+    """Against plain Python: cells from the splitters, positions by sorting along the curve."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = sharding.shard_documents(docs).withColumn("_l", sharding.leading(F.col("lang"))).withColumn("_s", sharding.leading(F.col("source")))
+    dims = ["size", "_l", "_s"]
+    found = saved(found, "test-shards")
+    rows = sharding.with_curve(found, sharding.cells_of(found, dims, sharding.BITS), sharding.BITS).collect()
+    assert [r.cell for r in sorted(rows, key=lambda r: (r.shard, r.slot))] == sorted(r.cell for r in rows)
+    orders = [(a.lang, b.lang, a._l, b._l) for a, b in zip(rows, rows[1:])]
+    assert all((x < y) <= (m <= n) for x, y, m, n in orders)
+
+
+def test_sharding_lets_readers_skip(spark, sf, tmp_path):
+    found = saved(sharding.shard_documents(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")), "test-skip")
+    ranges = sharding.shard_ranges(found, ["lang", "source", "size"]).collect()
+    assert sum(r.n_rows for r in ranges) == found.count()
+    read = lambda keep: sum(r.n_rows for r in ranges if keep(r)) / found.count()
+    for value, n in ((r.lang, r["count"]) for r in found.groupBy("lang").count().collect()):
+        assert read(lambda r: r.least_lang <= value <= r.greatest_lang) < 0.5 + n / found.count()
+    assert read(lambda r: r.greatest_size > 20_000) < 0.75
+    sharding.write_shards(found, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == found.count() and len(glob.glob(str(tmp_path / "shards/*/*.parquet"))) == 24
+
+
 PAGE = """<html><head><title>t</title></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies</div>
 <div id="main-content"><h2>Title &lt;x&gt;</h2><p>First   para
 with <a href="#">a link</a> &amp; more text.<p>Second para is here.</p><ul><li>one<li>two</ul><div class="ad-slot">Buy</div><p>Short.</p><form><label>Name</label></form></div>
