@@ -165,6 +165,16 @@ def _local_entries(data: bytes) -> Iterator[tuple[str, bytes]]:
         at = data.find(b"PK\3\4", max(end, at + 4))
 
 
+def is_tar(data: bytes) -> bool:
+    """Whether it begins with a tar header of any age; the oldest have a checksum and no magic."""
+    if len(data) < 512 or not data[0]:
+        return False
+    try:
+        return tarfile.is_tarfile(io.BytesIO(data))
+    except Exception:  # noqa: BLE001 some damaged headers raise
+        return False
+
+
 def members(data: bytes) -> list[tuple[str, bytes]]:
     """Admitted members of a zip or tar archive, by falling score."""
     out: list[tuple[str, bytes]] = []
@@ -318,7 +328,7 @@ def carve_bytes(data: bytes, label: str = "") -> list[dict]:
                     got |= emit(part[a:b], where, "joblib_pickle_segment", a, b, True)
             if ends_complete(part):
                 got |= emit(part, where, "routed_pickle", 0, len(part), True)
-        own = members(part) if part[:4] == b"PK\3\4" or part[257:262] == b"ustar" else []
+        own = members(part) if part[:4] == b"PK\3\4" or is_tar(part) else []
         for name, body in own:
             got |= route(body, f"{where}/{name}", depth + 1)
         if len(own) > 1 and sum(len(b) for _, b in own) <= JOIN_PROBE:
@@ -334,6 +344,8 @@ def carve_bytes(data: bytes, label: str = "") -> list[dict]:
     return out
 
 
+#: Bytes that one batch of streams may hold, about.
+BATCH_BYTES = 4 << 20
 BLOBS_DDL = "artifact_id string, blob_id string, blob_seq int, logical_name string, source_kind string, sha256 string, size long, offset_start long, offset_end long, complete boolean, resync_count int, content binary"
 _BLOBS = pa.schema(
     [("artifact_id", pa.string()), ("blob_id", pa.string()), ("blob_seq", pa.int32()), ("logical_name", pa.string()), ("source_kind", pa.string()), ("sha256", pa.string()), ("size", pa.int64()),
@@ -349,10 +361,18 @@ def carve(artifacts: DataFrame) -> DataFrame:
     """One row for each stream of (artifact_id, content). A scan: files are independent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        size = 0
         for batch in batches:
             for artifact, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if rows := _rows(artifact, artifact, content.as_py() or b""):
-                    yield pa.RecordBatch.from_pylist(rows, _BLOBS)
+                for row in _rows(artifact, artifact, content.as_py() or b""):
+                    held.append(row)
+                    size += 256 + row["size"]
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(held, _BLOBS)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, _BLOBS)
 
     return artifacts.select("artifact_id", "content").mapInArrow(run, BLOBS_DDL)
 

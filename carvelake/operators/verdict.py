@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,10 +20,11 @@ from pyspark.sql.types import StringType
 from carvelake.functions import fixed_values as V
 from carvelake.functions.scalars import base_tag, rule_ids
 from carvelake.functions.signals import bytes_tags, suspicious, text_entropy, text_tags
+from carvelake.scratch import saved
 
 from .behaviour import LABEL, behaviours
-from .machine import opcodes, protocol_of
-from .vocabulary import CODE_POSITIONS, NAME_POSITIONS, canonical, gateways
+from .machine import opcodes, protocol_of, scan_calls
+from .vocabulary import CODE_POSITIONS, NAME_POSITIONS, alias_names, canonical, gateways, use_aliases
 
 # Parameters of type recovery.
 TAU, N_MIN, PRINTABLE_CEIL, SIGMA, N_WEAK, PRINTABLE_WEAK = 0.90, 3, 0.75, 8, 24, 0.80
@@ -31,6 +33,7 @@ _MAGIC = (b"We love Marisa.", b"\x78\x9c", b"\x78\x01", b"\x78\xda", b"\x1f\x8b"
 TIER_RULES = ["PY_CALL_SYNTAX_RE", "PY_CODE_STRING_RE", "PY_INNER_STRING_RE"]
 PATH_TAGS = ["has_path", "has_windows_path"]
 BORDERLINE = 5.5
+_PRINTABLE = np.isin(np.arange(256), [*range(0x20, 0x7F), 9, 10, 13])
 ACT = "array<struct<category:string,subcategory:string,evidence:string>>"
 
 
@@ -40,20 +43,21 @@ def recover_type(data: bytes, tagged: bool = False) -> str:
         return "T1"
     if tagged or data.startswith(_MAGIC) or (data[0] == 0x80 and len(data) > 1 and data[1] <= 5) or (data[:1] in (b"c", b"(") and data.rstrip()[-1:] == b"."):
         return "T3"
-    printable = sum(0x20 <= b < 0x7F or b in (9, 10, 13) for b in data) / len(data)
+    raw = np.frombuffer(data, np.uint8)
+    printable = _PRINTABLE[raw].mean()
     if printable < PRINTABLE_CEIL:
         for width, band in _BANDS:
-            col = data[width - 1 :: width]
-            if len(col) >= N_MIN and sum(b & 0x7F in band for b in col) / len(col) >= TAU:
+            col = raw[width - 1 :: width] & 0x7F
+            if len(col) >= N_MIN and ((col >= band[0]) & (col <= band[-1])).mean() >= TAU:
                 return "T2"
         for width in (8, 4):
-            cols = [data[j::width] for j in range(width // 2, width)]
+            cols = [raw[j::width] for j in range(width // 2, width)]
             n = sum(map(len, cols))
-            if n >= N_MIN and sum(b in (0, 0xFF) for c in cols for b in c) / n >= TAU:
+            if n >= N_MIN and sum(int(((c == 0) | (c == 0xFF)).sum()) for c in cols) / n >= TAU:
                 return "T2"
         for width in (8, 4, 2):
-            col = data[width - 1 :: width]
-            if len(col) >= N_WEAK and len({b & 0x7F for b in col}) <= SIGMA:
+            col = raw[width - 1 :: width] & 0x7F
+            if len(col) >= N_WEAK and np.count_nonzero(np.bincount(col, minlength=128)) <= SIGMA:
                 return "T2"
     return "T1" if printable >= PRINTABLE_WEAK else "T4"
 
@@ -80,8 +84,15 @@ def _nested(data: pd.Series) -> pd.Series:
     return pd.Series([",".join(nested_callables(d)[1]) if d is not None and len(d) else "" for d in data], dtype=object)
 
 
-def _canonicals(module: pd.Series, name: pd.Series, protocol: pd.Series) -> pd.Series:
-    return pd.Series([canonical(m or "", n or "", p)[0] for m, n, p in zip(module, name, protocol)], dtype=object)
+def canonical_name(module: Column, name: Column, protocol: Column) -> Column:
+    """Canonical dotted names, by the driver's table of aliases."""
+    aliases = alias_names()
+
+    def names(module: pd.Series, name: pd.Series, protocol: pd.Series) -> pd.Series:
+        use_aliases(aliases)
+        return pd.Series([canonical(m or "", n or "", p)[0] for m, n, p in zip(module, name, protocol)], dtype=object)
+
+    return F.pandas_udf(names, StringType())(module, name, protocol)
 
 
 def literal_table(calls: DataFrame) -> DataFrame:
@@ -95,14 +106,15 @@ def literal_signals(literals: DataFrame) -> DataFrame:
     """Tags, entropy, type and nested callables of each distinct literal."""
     distinct = literals.groupBy("sha").agg(F.first("kind").alias("kind"), F.first("text").alias("text"), F.first("bin").alias("bin"))
     text = distinct.where("kind = 'text'")
-    text = text.select("sha", text_tags(F.col("text")).alias("tags"), text_entropy(F.col("text")).alias("entropy"), F.when(F.col("text").rlike(r"^[\x00-\xff]*$"), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8")).alias("data"))
-    data = distinct.where("kind = 'bytes'").select("sha", bytes_tags(F.col("bin")).alias("tags"), F.lit(0.0).alias("entropy"), F.col("bin").alias("data"))
+    text = text.select("sha", F.lit(None).cast("string").alias("shown"), text_tags(F.col("text")).alias("tags"), text_entropy(F.col("text")).alias("entropy"), F.when(F.col("text").rlike(r"^[\x00-\xff]*$"), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8")).alias("data"))
+    shown = F.concat(F.lit("[BINBYTES:"), F.lower(F.hex(F.substring("bin", 1, 16))), F.lit(" len="), F.octet_length("bin").cast("string"), F.lit(" fmt="), F.array_join(bytes_tags(F.col("bin")), ","), F.lit("]"))
+    data = distinct.where("kind = 'bytes'").select("sha", shown.alias("shown"), bytes_tags(F.col("bin")).alias("tags"), F.lit(0.0).alias("entropy"), F.col("bin").alias("data"))
     both = text.unionByName(data)
     magic = F.exists("tags", lambda t: t.isin("zlib_magic", "pickle_magic", "pickle_magic_p0"))
     both = both.withColumn("type", F.pandas_udf(_types, StringType())("data", magic))
     pickled = (F.col("type") == "T3") & (F.hex(F.substring("data", 1, 1)).isin("80", "63", "28"))
     nested = F.pandas_udf(_nested, StringType())(F.when(pickled, F.col("data")))
-    return both.withColumn("nested", F.filter(F.split(nested, ","), lambda x: x != "")).select("sha", "tags", "entropy", "type", "nested", suspicious(F.col("tags")).alias("flagged"))
+    return both.withColumn("nested", F.filter(F.split(nested, ","), lambda x: x != "")).select("sha", "shown", "tags", "entropy", "type", "nested", suspicious(F.col("tags")).alias("flagged"))
 
 
 _HITS = pa.schema(
@@ -113,20 +125,20 @@ _HITS_DDL = "blob_id string, call_seq int, track string, forced boolean, placeho
 
 def chosen(calls: list[dict]) -> list[dict]:
     """Hits of one stream: calls in order, each claiming its range of opcodes unless it is a placeholder or a resolver."""
-    claimed: list[tuple[int, int]] = []
+    # calls come by rising ends, so a range is free if it begins behind the last claimed end
+    claimed = -1
     out: list[dict] = []
     byte_list = set(V.BYTES_DENYLIST)
-    free = lambda a, b: all(b < x or y < a for x, y in claimed)
     for c in calls:
         a, b, leaves = c["slice_start"], c["slice_end"], c["leaves"] or []
         row = {"blob_id": c["blob_id"], "call_seq": c["call_seq"], "forced": False, "placeholder": False, "text": "", "entropy": 0.0, "end": b}
         if c["invoke_op"].startswith("EXT"):
-            if free(a, b):
-                claimed.append((a, b))
+            if a > claimed:
+                claimed = b
                 out.append(row | {"track": "unresolvable", "primary": b, "reasons": ["unresolvable_extension"]})
             continue
         texts = [x for x in leaves if x["kind"] == "text" and (c["denied"] or x["flagged"])]
-        if (c["denied"] or texts) and free(a, b):
+        if (c["denied"] or texts) and a > claimed:
             row |= {"forced": c["denied"], "track": "forced_callable" if c["denied"] else "content"}
             if texts:
                 p = min(texts, key=lambda x: x["opcode_idx"])
@@ -134,12 +146,12 @@ def chosen(calls: list[dict]) -> list[dict]:
             else:
                 row |= {"primary": c["callable_idx"], "reasons": ["no_argument_literal"], "placeholder": True}
             if texts and not c["is_resolver"]:
-                claimed.append((a, b))
+                claimed = b
             out.append(row)
         forced = c["qualname"] in byte_list
         found = [x for x in leaves if x["kind"] == "bytes" and (forced or x["flagged"])]
-        if found and free(a, b):
-            claimed.append((a, b))
+        if found and a > claimed:
+            claimed = b
             out.append(row | {"track": "bytes", "forced": forced, "placeholder": False, "primary": found[0]["opcode_idx"], "reasons": found[0]["tags"], "text": "", "entropy": found[0]["entropy"]})
     real = {r["end"] for r in out if not r["placeholder"]}
     kept, seen = [], set()
@@ -199,7 +211,7 @@ def hits(calls: DataFrame) -> DataFrame:
     """Hits with the call's columns and its leaves (with tags, types and nested callables)."""
     literals = literal_table(calls)
     known = literals.join(literal_signals(literals), "sha")
-    leaf = F.struct("leaf", "arg_pos", "kind", "opcode_idx", "origin_idx", "text", "tags", "entropy", "type", "nested", "flagged")
+    leaf = F.struct("leaf", "arg_pos", "kind", "opcode_idx", "origin_idx", "text", "shown", "tags", "entropy", "type", "nested", "flagged")
     per_call = known.groupBy("blob_id", "call_seq").agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
     full = calls.drop("literals").join(per_call, ["blob_id", "call_seq"], "left")
     seen = full.select("blob_id", "call_seq", "invoke_op", "qualname", "denied", "is_resolver", "slice_start", "slice_end", "callable_idx", "leaves")
@@ -209,21 +221,21 @@ def hits(calls: DataFrame) -> DataFrame:
 
 def judged(found: DataFrame) -> DataFrame:
     """Verdict columns of the hits: canonical, verdict, rank, acts, grounds, demotion."""
-    h = found.withColumn("canonical", F.pandas_udf(_canonicals, StringType())(F.coalesce("module", F.lit("")), "name", "protocol"))
+    h = found.withColumn("canonical", canonical_name(F.coalesce("module", F.lit("")), F.col("name"), F.col("protocol")))
     places = lambda table: F.coalesce(F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(p) for p in v]))]), F.col("canonical")), F.array().cast("array<int>"))
     code, names = places(CODE_POSITIONS), places(NAME_POSITIONS)
 
     def with_role(x: Column) -> Column:
         named = F.array_contains(F.col("name_role_idx"), x["opcode_idx"]) | F.array_contains(F.col("name_role_idx"), x["origin_idx"])
         role = F.when(named, "R2").when(F.array_contains(code, x["arg_pos"]), "R3").when(F.array_contains(names, x["arg_pos"]), "R2").otherwise("R1")
-        return F.struct(x["kind"].alias("kind"), x["text"].alias("text"), x["tags"].alias("tags"), x["type"].alias("type"), x["nested"].alias("nested"), x["flagged"].alias("flagged"), role.alias("role"))
+        return F.struct(x["kind"].alias("kind"), x["text"].alias("text"), x["shown"].alias("shown"), x["tags"].alias("tags"), x["type"].alias("type"), x["nested"].alias("nested"), x["flagged"].alias("flagged"), role.alias("role"))
 
-    none = "array<struct<kind:string,text:string,tags:array<string>,type:string,nested:array<string>,flagged:boolean,role:string>>"
+    none = "array<struct<kind:string,text:string,shown:string,tags:array<string>,type:string,nested:array<string>,flagged:boolean,role:string>>"
     h = h.withColumn("args", F.coalesce(F.transform("leaves", with_role), F.array().cast(none)))
     h = h.withColumn("all_tags", F.array_distinct(F.concat("reasons", F.flatten(F.transform("args", lambda a: a["tags"])))))
     h = h.withColumn("tags", F.array_distinct(F.transform("all_tags", base_tag)))
     said = F.filter("args", lambda a: a["type"] != "T2")
-    h = h.withColumn("rule_text", F.concat_ws(" ", "canonical", F.array_join(F.transform(said, lambda a: F.coalesce(a["text"], F.lit("[BINBYTES]"))), " "), F.concat(F.lit("[TAGS: "), F.array_join("all_tags", " "), F.lit("]"))))
+    h = h.withColumn("rule_text", F.concat_ws(" ", "canonical", F.array_join(F.transform(said, lambda a: F.coalesce(a["text"], a["shown"], F.lit(""))), " "), F.concat(F.lit("[TAGS: "), F.array_join("all_tags", " "), F.lit("]"))))
     h = h.withColumn("fired", behaviours(F.col("rule_text")).cast(LABEL))
     gate = F.col("canonical").isin(*sorted(gateways())) | F.col("qualname").isin(*sorted(gateways()))
     fields = ("category", "subcategory")
@@ -274,10 +286,11 @@ def judged(found: DataFrame) -> DataFrame:
 
 
 def scan_blobs(blobs: DataFrame, calls_of=None) -> DataFrame:
-    """Judged hits of the streams (blob_id, content)."""
-    from .machine import scan_calls
+    """Judged hits of the streams (blob_id, content).
 
-    return judged(hits((calls_of or scan_calls)(blobs)))
+    The calls are saved once, so that the machine runs over each stream once, however often later steps read them.
+    """
+    return judged(hits(saved((calls_of or scan_calls)(blobs), "calls")))
 
 
 def artifact_verdicts(artifacts: DataFrame, blobs: DataFrame, found: DataFrame, unsafe_names: DataFrame) -> DataFrame:

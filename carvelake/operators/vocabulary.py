@@ -41,9 +41,11 @@ MODULE_ALIASES = {
 }
 
 
+_GIVEN: dict[str, frozenset[str]] = {}
+
+
 @lru_cache(maxsize=1)
-def alias_names() -> dict[str, frozenset[str]]:
-    """Names that an accelerator module and its public module share, found in this Python's own modules."""
+def _own_aliases() -> dict[str, frozenset[str]]:
     out = {}
     for module, public in MODULE_ALIASES.items():
         try:
@@ -54,6 +56,23 @@ def alias_names() -> dict[str, frozenset[str]]:
     return out
 
 
+def alias_names() -> dict[str, frozenset[str]]:
+    """Names that an accelerator module and its public module share.
+
+    The rule is applied once, to the driver's Python, and its table is sent along with every plan, so that all workers
+    fold alike; `use_aliases` sets another table, such as one that was written down before.
+    """
+    return _GIVEN or _own_aliases()
+
+
+def use_aliases(names: dict[str, frozenset[str]]) -> None:
+    if names != _GIVEN:
+        _GIVEN.clear()
+        _GIVEN.update(names)
+        canonical.cache_clear()
+        denied.cache_clear()
+
+
 @lru_cache(maxsize=65_536)
 def canonical(module: str, name: str, protocol: int) -> tuple[str, bool]:
     """Canonical dotted name, and whether it names nothing under this protocol."""

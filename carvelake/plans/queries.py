@@ -499,10 +499,8 @@ def nested_payloads(spark, d):
 SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'builtins.eval' ELSE '__builtin__.eval' END AS canonical FROM events
 """)
 def canonical_names(spark, d):
-    from pyspark.sql.types import StringType
-
     proto = F.when(c("user_id") % 2 == 0, 2).otherwise(4)
-    return t(spark, d, "events").select("event_id", F.pandas_udf(V._canonicals, StringType())(F.lit("__builtin__"), F.lit("eval"), proto).alias("canonical"))
+    return t(spark, d, "events").select("event_id", V.canonical_name(F.lit("__builtin__"), F.lit("eval"), proto).alias("canonical"))
 
 
 @query()
