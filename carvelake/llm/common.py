@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -19,35 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from carvelake.scratch import scratch_root
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; only Spark touches the path."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-_ROOTS: set[str] = set()
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """A folder of this application in spark.checkpoint.dir, which all executors share; it goes when the driver's JVM ends.
-
-    Where the setting is missing, a local master gets a folder of its own; on a cluster that would be another folder on each machine, so it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='carvelake-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    root = f"{base.rstrip('/')}/carvelake-{spark.sparkContext.applicationId}"
-    if root not in _ROOTS:
-        path, files = _hadoop(spark, root)
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-        _ROOTS.add(root)
-    return root
-
-
 def _hadoop(spark: SparkSession, path: str) -> tuple:
     """Hadoop's path and file system of ``path``."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -299,6 +299,19 @@ def similar_by_force(rows):
     return {rows[k][0]: min(rows[x][0] for x in g) for g in groups_ for k in g if rows[k][0] is not None}
 
 
+def test_near_dedup_of_a_chain_in_small_cells(spark, monkeypatch):
+    """Neighbours are similar, the ends are not: links are found in cells, and hubs with many partners are verified in parts."""
+    monkeypatch.setattr(similar, "CELL", 4)
+    monkeypatch.setattr(similar, "AT_ONCE", 3)
+    words = [f"w{k * 7919 % 100_003}" for k in range(700)]
+    rows = [(k, " ".join(words[8 * k : 8 * k + 200])) for k in range(60)] + [(100 + k, " ".join(f"x{k}y{j}" for j in range(50))) for k in range(20)]
+    found = similar.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups_of: dict[int, set[int]] = {}
+    for r in found:
+        groups_of.setdefault(r.root, set()).add(r.doc_id)
+    assert sorted(map(sorted, groups_of.values())) == [list(range(60)), *([100 + k] for k in range(20))]
+
+
 def test_every_five_positions_contain_a_block():
     from itertools import combinations
 
