@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,17 +154,30 @@ def grouped_origins(rows: DataFrame, by: str, keys: list[str], value: str, order
     return ranked.groupBy(by, *keys).agg(F.count("*").alias("refs"), F.transform(listed, lambda x: x[value]).alias("sample"))
 
 
-def non_overlapping(rows: DataFrame, by: str, start: str, end: str, seq: str) -> DataFrame:
-    """In order of ``seq``, rows whose closed range meets no range kept before. A fold over each group's sorted ranges."""
-    ranges = F.array_sort(F.collect_list(F.struct(seq, start, end)))
-    empty = F.array().cast(f"array<struct<{seq}:bigint,{start}:bigint,{end}:bigint>>")
+def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (group, seq, start, end): those whose range is free when they come."""
+    key, starts, ends = None, [], []
+    for batch in batches:
+        keep = []
+        for group, start, end in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+            if group != key:
+                key, starts, ends = group, [], []
+            at = bisect.bisect_right(starts, end)  # kept ranges don't meet, so only the last that begins by the end can
+            free = not at or ends[at - 1] < start
+            if free:
+                starts.insert(at, start)
+                ends.insert(at, end)
+            keep.append(free)
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
-    def step(kept, x):
-        free = F.forall(kept, lambda k: (x[end] < k[start]) | (k[end] < x[start]))
-        return F.when(free, F.concat(kept, F.array(x))).otherwise(kept)
 
-    folded = rows.select(by, *[F.col(c).cast("long").alias(c) for c in (seq, start, end)]).groupBy(by).agg(F.aggregate(ranges, empty, step).alias("_kept"))
-    return folded.select(by, F.explode("_kept").alias("k")).select(by, "k.*")
+def non_overlapping(rows: DataFrame, by: str, start: str, end: str, seq: str) -> DataFrame:
+    """In order of ``seq``, rows whose closed range meets no range kept before: a scan over each group's sorted rows.
+
+    Equal ``seq`` go by start and end; no range ends before it begins.
+    """
+    ranges = rows.select(by, *[F.col(c).cast("long").alias(c) for c in (seq, start, end)])
+    return ranges.repartition(by).sortWithinPartitions(by, seq, start, end).mapInArrow(_claims, ranges.schema)
 
 
 def reachability(files: DataFrame, klass: str, need: str, found: str, measured: str) -> DataFrame:

@@ -222,8 +222,10 @@ def hits(calls: DataFrame) -> DataFrame:
 def judged(found: DataFrame) -> DataFrame:
     """Verdict columns of the hits: canonical, verdict, rank, acts, grounds, demotion."""
     h = found.withColumn("canonical", canonical_name(F.coalesce("module", F.lit("")), F.col("name"), F.col("protocol")))
-    places = lambda table: F.coalesce(F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(p) for p in v]))]), F.col("canonical")), F.array().cast("array<int>"))
-    code, names = places(CODE_POSITIONS), places(NAME_POSITIONS)
+    # a constant table of some thirty rows
+    places = [(name, CODE_POSITIONS.get(name, []), NAME_POSITIONS.get(name, [])) for name in sorted(CODE_POSITIONS.keys() | NAME_POSITIONS.keys())]
+    h = h.join(F.broadcast(found.sparkSession.createDataFrame(places, "canonical string, code_at array<int>, names_at array<int>")), "canonical", "left")
+    code, names = (F.coalesce(c, F.array().cast("array<int>")) for c in ("code_at", "names_at"))
 
     def with_role(x: Column) -> Column:
         named = F.array_contains(F.col("name_role_idx"), x["opcode_idx"]) | F.array_contains(F.col("name_role_idx"), x["origin_idx"])
@@ -232,6 +234,7 @@ def judged(found: DataFrame) -> DataFrame:
 
     none = "array<struct<kind:string,text:string,shown:string,tags:array<string>,type:string,nested:array<string>,flagged:boolean,role:string>>"
     h = h.withColumn("args", F.coalesce(F.transform("leaves", with_role), F.array().cast(none)))
+    h = saved(h.drop("leaves", "code_at", "names_at"), "hits")  # the expressions below read args often, and would each build it anew
     h = h.withColumn("all_tags", F.array_distinct(F.concat("reasons", F.flatten(F.transform("args", lambda a: a["tags"])))))
     h = h.withColumn("tags", F.array_distinct(F.transform("all_tags", base_tag)))
     said = F.filter("args", lambda a: a["type"] != "T2")

@@ -19,6 +19,8 @@ from carvelake.operators import carve as C
 from carvelake.operators import evaluate as E
 from carvelake.operators import machine as M
 from carvelake.operators import verdict as V
+from carvelake.operators.behaviour import behaviours
+from carvelake.plans.rule_texts import RULE_TEXTS
 from carvelake.sources import detect as D
 
 QUERIES: dict = {}
@@ -369,9 +371,19 @@ def grouped_origins(spark, d):
     return E.grouped_origins(t(spark, d, "events"), "user_id", ["event_type"], "event_id", ["ts", "event_id"]).withColumn("sample", F.array_join(c("sample").cast("array<string>"), " "))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id AS seq, event_id % 997 AS s, event_id % 997 + CAST(trunc(value) AS BIGINT) % 40 AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events
+), f AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(seq BIGINT, s BIGINT, e BIGINT)[]) AS kept FROM e
+  UNION ALL
+  SELECT f.user_id, e.n, CASE WHEN len(list_filter(kept, lambda k: e.e >= k.s AND k.e >= e.s)) = 0 THEN list_append(kept, {'seq': e.seq, 's': e.s, 'e': e.e}) ELSE kept END
+  FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1
+), g AS (SELECT user_id, unnest(arg_max(kept, n)) AS k FROM f GROUP BY user_id)
+SELECT user_id, k.seq AS seq, k.s AS start, k.e AS "end" FROM g
+""")
 def overlap_suppression(spark, d):
-    """Ranges claimed in order; a greedy fold, held against brute force by the tests."""
+    """Ranges claimed in order; a greedy fold."""
     rows = t(spark, d, "events").select("user_id", c("event_id").alias("seq"), (c("event_id") % 997).alias("start"), (c("event_id") % 997 + c("value").cast("long") % 40).alias("end"))
     return E.non_overlapping(rows, "user_id", "start", "end", "seq")
 
@@ -495,6 +507,74 @@ def nested_payloads(spark, d):
     return V.scan_blobs(streams).select(c("blob_id").cast("long").alias("event_id"), "verdict")
 
 
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows)
+
+
+_RULE_CASES = [(text, sorted([rule, *others])) for rule, (text, others, _) in RULE_TEXTS.items()] + [(silent, None) for *_, silent in RULE_TEXTS.values()]
+
+
+@query(f"""
+SELECT event_id, rule FROM events JOIN (VALUES {_values([(k, r) for k, (_, rules) in enumerate(_RULE_CASES) for r in rules or ()])}) v(k, rule) ON event_id % {len(_RULE_CASES)} = k
+""")
+def behaviour_rules(spark, d):
+    """Every rule over a text that fires it, and over one that doesn't: there, the rule itself is looked for only."""
+    texts = F.array(*[F.lit(text) for text, _ in _RULE_CASES])
+    own = F.array(*[F.lit(rule) for rule in RULE_TEXTS])
+    k, n = c("event_id") % len(_RULE_CASES), len(RULE_TEXTS)
+    e = t(spark, d, "events").select("event_id", k.alias("k"), F.get(texts, k.cast("int")).alias("text"))
+    fired = e.select("event_id", "k", F.explode(F.transform(behaviours(c("text")), lambda r: r["rule"])).alias("rule"))
+    return fired.where((c("k") < n) | (c("rule") == F.get(own, (c("k") - n).cast("int")))).select("event_id", "rule")
+
+
+@query("""
+SELECT event_id, h.q AS qualname, h.s AS slice_start FROM (
+  SELECT event_id, unnest(CASE WHEN event_id % 2 = 0 THEN [{'q': 'os.system', 's': 5}, {'q': 'os.popen', 's': 8}] ELSE [{'q': 'os.popen', 's': 2}] END) AS h FROM events)
+""")
+def shared_arguments(spark, d):
+    """Two calls that share a memoised argument are two hits, for a memo read begins a slice; a call that holds another one in its argument is none besides it."""
+    b = lambda h: F.unhex(F.lit(h))
+    g = lambda m, n: F.lit(f"c{m}\n{n}\n").cast("binary")
+    arg = _text_op(c("event_id").cast("string"))
+    shared = F.concat(b("8002"), arg, b("85710030"), g("os", "system"), b("68005230"), g("os", "popen"), b("6800522E"))
+    inside = F.concat(b("8002"), g("os", "system"), g("os", "popen"), arg, b("85528552"), b("2E"))
+    streams = t(spark, d, "events").select(c("event_id").cast("string").alias("blob_id"), F.when(c("event_id") % 2 == 0, shared).otherwise(inside).alias("content"))
+    return V.scan_blobs(streams).select(c("blob_id").cast("long").alias("event_id"), "qualname", "slice_start")
+
+
+@query("""
+SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, 5001 AS n_literals, 'Unsafe' AS verdict FROM nation
+""")
+def payload_behind_many_leaves(spark, d):
+    """A nested pickle behind 5000 harmless literals of one call."""
+    b = lambda h: F.unhex(F.lit(h))
+    inner = F.concat(b("8004"), F.lit("cos\nsystem\n").cast("binary"), _text_op(c("n_name")), b("85522E"))
+    leaves = F.unhex(F.repeat(F.lit("8C0161"), 5000))
+    content = F.concat(b("8003"), F.lit("cmodels\nLayer\n").cast("binary"), b("28"), leaves, b("43"), F.unhex(F.lpad(F.hex(F.length(inner)), 2, "0")), inner, b("74522E"))
+    found = V.scan_blobs(t(spark, d, "nation").select(c("n_nationkey").cast("string").alias("blob_id"), content.alias("content")))
+    return found.select(c("blob_id").cast("long").alias("n_nationkey"), F.size("args").alias("n_literals"), "verdict")
+
+
+#: callable, head of its bytes argument, rule
+_BYTES_CASES = [("zlib.decompress", "789C", "ZlibObfuscatedExec"), ("pickle.loads", "8004", "NestedPickleExecution"), ("numpy.load", "6E70", "BytesIOLoadChain"), ("marshal.loads", "E300", "MarshalObfuscation")]
+
+
+@query(f"""
+SELECT event_id, qualname, rule FROM events JOIN (VALUES {_values([(k, q, r) for k, (q, _, r) in enumerate(_BYTES_CASES)])}) v(k, qualname, rule) ON event_id % {len(_BYTES_CASES)} = k
+""")
+def rules_on_bytes(spark, d):
+    """Standalone rules that need a bytes literal's placeholder, through the whole cascade."""
+    b = lambda h: F.unhex(F.lit(h))
+    k = (c("event_id") % len(_BYTES_CASES)).cast("int")
+    names = F.array(*[F.lit("c" + q.replace(".", "\n") + "\n") for q, *_ in _BYTES_CASES])
+    heads = F.array(*[F.lit(h) for _, h, _ in _BYTES_CASES])
+    body = F.concat(F.unhex(F.get(heads, k)), F.lit("some plain text ").cast("binary"), c("event_id").cast("string").cast("binary"))
+    content = F.concat(b("8003"), F.get(names, k).cast("binary"), b("43"), F.unhex(F.lpad(F.hex(F.length(body)), 2, "0")), body, b("85522E"))
+    found = V.scan_blobs(t(spark, d, "events").select(c("event_id").cast("string").alias("blob_id"), content.alias("content")))
+    rule = F.explode(F.transform(F.filter("fired", lambda r: r["tier"] == "standalone"), lambda r: r["rule"]))
+    return found.select(c("blob_id").cast("long").alias("event_id"), "qualname", rule.alias("rule"))
+
+
 @query("""
 SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'builtins.eval' ELSE '__builtin__.eval' END AS canonical FROM events
 """)

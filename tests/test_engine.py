@@ -21,7 +21,9 @@ from carvelake.functions import fixed_values as V
 from carvelake.functions import signals as G
 from carvelake.functions.patterns import flattened
 from carvelake.operators import carve, evaluate, machine, verdict
+from carvelake.operators.behaviour import behaviours
 from carvelake.plans import queries, report
+from carvelake.plans.rule_texts import RULE_TEXTS
 
 
 def text_op(s):
@@ -235,3 +237,51 @@ def test_nothing_is_ever_loaded():
         if p.endswith("fixed_values.py") or p.endswith("vocabulary.py"):
             continue
         assert not re.search(r"pickle\.loads?\(|(?<![\w.\"'])eval\(|(?<![\w.\"'])exec\(", open(p).read()), p
+
+
+def test_every_rule_has_a_firing_and_a_silent_text(spark):
+    assert set(RULE_TEXTS) == set(V.BEHAVIOURS)
+    rows = [(rule, fires, text) for rule, (loud, _, silent) in RULE_TEXTS.items() for fires, text in ((True, loud), (False, silent))]
+    fired = spark.createDataFrame(rows, "rule string, fires boolean, text string").withColumn("found", F.transform(behaviours(F.col("text")), lambda x: x["rule"]))
+    for r in fired.collect():
+        assert sorted(r.found) == sorted([r.rule, *RULE_TEXTS[r.rule][1]]) if r.fires else r.rule not in r.found, r
+
+
+def test_old_tar_archives_are_opened():
+    inner = pickle.dumps(["old", 1], 2)
+    box = io.BytesIO()
+    with tarfile.open(fileobj=box, mode="w") as t:
+        info = tarfile.TarInfo("a.pkl")
+        info.size = len(inner)
+        t.addfile(info, io.BytesIO(inner))
+    head = bytearray(box.getvalue())
+    head[257:512] = bytes(255)  # as in archives from before the magic
+    head[148:156] = b" " * 8
+    head[148:156] = f"{sum(head[:512]):06o}\0 ".encode()
+    assert tarfile.is_tarfile(io.BytesIO(bytes(head)))
+    found = carve.carve_bytes(bytes(head))
+    assert [(b["content"], b["logical_name"].endswith("a.pkl")) for b in found] == [(inner, True)]
+
+
+def test_memo_reads_begin_a_slice():
+    arg = text_op("id") + b"\x85q\x000"
+    calls = machine.call_sites(b"\x80\x02" + arg + b"cos\nsystem\nh\x00R0cos\npopen\nh\x00R.")
+    assert [(c["qualname"], c["slice_start"]) for c in calls] == [("os.system", 5), ("os.popen", 9)]
+    assert [m["defined_at"] for c in calls for m in c["memo_origins"]] == [2, 2]
+
+
+def test_the_machine_runs_once(spark):
+    streams = spark.createDataFrame([("a", bytearray(EXAMPLES["command"][0]))], "blob_id string, content binary")
+    plan = verdict.scan_blobs(streams)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 0 and "LogicalRDD" not in plan and plan.count("Relation") == 1
+
+
+def test_aliases_are_the_drivers_own_or_given():
+    from carvelake.operators import vocabulary
+
+    assert vocabulary.canonical("posix", "system", 4)[0] == "os.system"
+    try:
+        vocabulary.use_aliases({"posix": frozenset({"popen"})})
+        assert vocabulary.canonical("posix", "system", 4)[0] == "posix.system" and vocabulary.canonical("posix", "popen", 4)[0] == "os.popen"
+    finally:
+        vocabulary.use_aliases({})
