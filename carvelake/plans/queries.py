@@ -17,6 +17,7 @@ from carvelake.functions import signals as G
 from carvelake.functions.patterns import finds
 from carvelake.operators import carve as C
 from carvelake.operators import evaluate as E
+from carvelake.operators import final_records as R
 from carvelake.operators import machine as M
 from carvelake.operators import verdict as V
 from carvelake.operators.behaviour import behaviours
@@ -421,6 +422,113 @@ def file_measurement(spark, d):
     return t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n_hits"), unsafe.alias("n_unsafe"), review.alias("n_review"), (unsafe + review >= 1).alias("warn"), F.array_join(F.array_sort(F.collect_set("event_type")), " ").alias("callables"))
 
 
+# --- final records and their tables ---
+
+#: The driver's tables as a ledger, traces and measurements: orders are files, their lines are streams.
+_RECORDS_SQL = """
+WITH ledger AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, o_orderstatus AS label FROM orders WHERE o_orderkey % 4 <> 3
+), lines AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS sample_id, l_orderkey, l_linenumber, CAST(l_partkey % 5 AS VARCHAR) AS sha, l_suppkey,
+    CASE l_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'zip' WHEN 2 THEN 'zip>gz' WHEN 3 THEN CASE l_linenumber % 2 WHEN 0 THEN 'gz' ELSE 'tar' END ELSE 'x>gz' END AS chain FROM lineitem
+), traces AS (
+  SELECT sample_id, l_orderkey, list({'sha': sha, 'chain': chain} ORDER BY l_linenumber) FILTER (WHERE l_orderkey % 7 <> 0) AS oracle, list(DISTINCT CAST(l_suppkey % 5 AS VARCHAR)) AS ps_hit FROM lines GROUP BY ALL
+), measured AS (
+  SELECT sample_id, count(*) // 2 + 1 AS n_found, list({'sha': sha, 'final_cls': CASE WHEN l_linenumber % 3 = 0 THEN 'Opaque' ELSE 'Serialization' END, 'found': l_linenumber % 2 = 0} ORDER BY l_linenumber) AS streams
+  FROM lines WHERE l_orderkey % 3 <> 0 GROUP BY sample_id
+)"""
+
+
+def _ledger_tables(spark, d):
+    text = lambda x: x.cast("string")
+    o, li = t(spark, d, "orders"), t(spark, d, "lineitem")
+    used = F.when(c("o_orderkey") % 4 == 3, "2").otherwise("1;2")
+    ledger = o.select(text(c("o_orderkey")).alias("sample_id"), c("o_orderstatus").alias("label"), used.alias("used_in_RQ"))
+    k = c("l_orderkey") % 5
+    chain = F.when(k == 0, "").when(k == 1, "zip").when(k == 2, "zip>gz").when(k == 3, F.when(c("l_linenumber") % 2 == 0, "gz").otherwise("tar")).otherwise("x>gz")
+    lines = li.select(text(c("l_orderkey")).alias("sample_id"), "l_orderkey", "l_linenumber", text(c("l_partkey") % 5).alias("sha"), text(c("l_suppkey") % 5).alias("hit"), chain.alias("chain"))
+    listed = lambda s: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", s.alias("s")))), lambda x: x["s"])
+    traces = lines.groupBy("sample_id", "l_orderkey").agg(listed(F.struct("sha", "chain")).alias("oracle"), F.collect_set("hit").alias("ps_hit"))
+    traces = traces.select("sample_id", F.when(c("l_orderkey") % 7 != 0, c("oracle")).alias("oracle"), "ps_hit", F.lit(None).cast("array<string>").alias("ms_hit"))
+    kind = F.when(c("l_linenumber") % 3 == 0, "Opaque").otherwise("Serialization")
+    stream = F.struct("sha", kind.alias("final_cls"), (c("l_linenumber") % 2 == 0).alias("found"))
+    measured = lines.where(c("l_orderkey") % 3 != 0).groupBy("sample_id").agg(F.expr("count(*) div 2 + 1").alias("n_found"), listed(stream).alias("streams"))
+    return ledger, traces, measured
+
+
+@query(
+    _RECORDS_SQL
+    + """, streams AS (
+  SELECT t.sample_id, u.s.sha AS sha, u.s.chain AS chain FROM traces t JOIN ledger USING (sample_id), (SELECT unnest(t.oracle) AS s) u
+), last AS (
+  SELECT sample_id, m.s.sha AS sha, arg_max(m.s.final_cls, m.at) AS final_cls FROM (SELECT sample_id, unnest(streams) AS s, generate_subscripts(streams, 1) AS at FROM measured) m GROUP BY 1, 2
+), vias AS (
+  SELECT s.sample_id, CASE chain WHEN 'zip' THEN 'Container' WHEN 'tar' THEN 'Container' WHEN 'zip>gz' THEN 'Container→Streaming' WHEN 'gz' THEN 'Streaming' WHEN 'x>gz' THEN 'Streaming' ELSE '' END AS via, l.final_cls
+  FROM streams s LEFT JOIN last l ON l.sample_id = s.sample_id AND l.sha = s.sha
+), labels AS (
+  SELECT sample_id, CASE WHEN count(DISTINCT via) > 1 THEN 'Mixed' WHEN min(via) = '' THEN CASE WHEN bool_or(coalesce(final_cls, '') = 'Opaque') THEN 'Opaque' ELSE 'Serialization' END
+    ELSE min(via) || CASE WHEN bool_or(coalesce(final_cls, '') = 'Opaque') THEN '→opaque' ELSE '' END END AS chain_label FROM vias GROUP BY sample_id
+)
+SELECT sample_id, label, len(coalesce(oracle, [])) AS n_oracle, coalesce(chain_label, 'No stream') AS chain_label, n_found IS NOT NULL AS measured, n_found, n_found >= 1 AS reached,
+  CASE WHEN n_found IS NULL THEN NULL WHEN oracle IS NULL OR n_found >= len(oracle) THEN 1.0::DOUBLE ELSE round(n_found::DOUBLE / len(oracle), 4) END AS stream_cover,
+  len(list_filter(coalesce(oracle, []), lambda o: list_contains(ps_hit, o.sha))) AS ps_reached, 0 AS ms_reached
+FROM traces JOIN ledger USING (sample_id) LEFT JOIN measured USING (sample_id) LEFT JOIN labels USING (sample_id)
+"""
+)
+def reach_records(spark, d):
+    return R.reach_records(*_ledger_tables(spark, d))
+
+
+_ATTRIBUTED = """
+WITH results AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS sample_id, CASE o_orderkey % 3 WHEN 0 THEN '2-A' WHEN 1 THEN '3-D' ELSE '9-Z' END AS tier, o_orderkey % 4 // 3 AS n_unsafe, o_orderkey % 5 // 4 AS n_review, 'R' AS label, NULL AS format, o_custkey FROM orders
+), items AS (
+  SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS sample_id, 'm.' || CASE WHEN l_orderkey % 3 = 0 THEN l_partkey % 11 ELSE l_partkey % 17 END AS item FROM lineitem WHERE l_partkey % 3 = 0
+), freq AS (SELECT item, count(*) AS f FROM items GROUP BY item
+), best AS (
+  SELECT sample_id, arg_min(item, (f, item)) AS entry, list_sort(list(item)) AS items FROM items JOIN freq USING (item) GROUP BY sample_id
+), records AS (
+  SELECT r.sample_id, tier, CASE tier WHEN '2-A' THEN 'benign' WHEN '3-D' THEN 'malicious' ELSE 'other' END AS side, coalesce(c_mktsegment, '') AS origin,
+    CASE WHEN c_custkey IS NULL THEN r.label ELSE 'L' END AS label, CASE WHEN c_custkey IS NULL THEN '' ELSE 'zip' END AS format, entry, coalesce(items, []) AS items, n_unsafe, n_review
+  FROM results r LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 2 = 0 LEFT JOIN best b ON b.sample_id = r.sample_id
+)"""
+
+
+def _attributed(spark, d):
+    o, li, cu = t(spark, d, "orders"), t(spark, d, "lineitem"), t(spark, d, "customer")
+    k = c("o_orderkey")
+    tier = F.when(k % 3 == 0, "2-A").when(k % 3 == 1, "3-D").otherwise("9-Z")
+    results = o.select(k.cast("string").alias("sample_id"), tier.alias("tier"), F.expr("o_orderkey % 4 div 3").alias("n_unsafe"), F.expr("o_orderkey % 5 div 4").alias("n_review"), F.lit("R").alias("label"), F.lit(None).cast("string").alias("format"))
+    ledger = o.join(cu.where(c("c_custkey") % 2 == 0), c("o_custkey") == c("c_custkey")).select(k.cast("string").alias("sample_id"), c("c_mktsegment").alias("origin"), F.lit("L").alias("label"), F.lit("zip").alias("format"))
+    number = F.when(c("l_orderkey") % 3 == 0, c("l_partkey") % 11).otherwise(c("l_partkey") % 17)
+    items = li.where(c("l_partkey") % 3 == 0).select(c("l_orderkey").cast("string").alias("sample_id"), F.concat(F.lit("m."), number.cast("string")).alias("item"))
+    return R.attributed_records(results, ledger, items)
+
+
+@query(_ATTRIBUTED + "SELECT sample_id, tier, side, origin, label, format, entry, array_to_string(items, ' ') AS items, n_unsafe, n_review FROM records")
+def attributed_records(spark, d):
+    return _attributed(spark, d).withColumn("items", F.array_join("items", " "))
+
+
+@query(
+    _ATTRIBUTED
+    + """, rows AS (
+  SELECT entry, count(*) FILTER (side = 'benign') AS benign, count(*) FILTER (side <> 'benign') AS malicious, count(*) FILTER (side = 'benign' AND n_unsafe + n_review >= 1) AS fp_review, count(*) FILTER (side = 'benign' AND n_unsafe >= 1) AS fp_unsafe,
+    count(*) FILTER (side <> 'benign' AND n_unsafe + n_review >= 1) AS tp_review, count(*) FILTER (side <> 'benign' AND n_unsafe >= 1) AS tp_unsafe FROM records WHERE entry IS NOT NULL GROUP BY entry
+), kinds AS (SELECT CASE WHEN benign > 0 THEN 'shared' ELSE 'malicious only' END AS kind, * FROM rows)
+SELECT kind, entry, CAST(sum(benign) AS BIGINT) AS benign, CAST(sum(malicious) AS BIGINT) AS malicious, CAST(sum(fp_review) AS BIGINT) AS fp_review, CAST(sum(fp_unsafe) AS BIGINT) AS fp_unsafe,
+  CAST(sum(tp_review) AS BIGINT) AS tp_review, CAST(sum(tp_unsafe) AS BIGINT) AS tp_unsafe FROM kinds GROUP BY GROUPING SETS ((kind, entry), (kind))
+"""
+)
+def item_table(spark, d):
+    return R.item_table(_attributed(spark, d))
+
+
+@query(_ATTRIBUTED + "SELECT entry, origin, count(*) AS files FROM records WHERE entry IS NOT NULL AND side = 'benign' GROUP BY entry, origin")
+def item_origins(spark, d):
+    return R.origin_counts(_attributed(spark, d))
+
+
 # --- carving, machine, verdicts ---
 
 
@@ -529,7 +637,7 @@ def behaviour_rules(spark, d):
 
 @query("""
 SELECT event_id, h.q AS qualname, h.s AS slice_start FROM (
-  SELECT event_id, unnest(CASE WHEN event_id % 2 = 0 THEN [{'q': 'os.system', 's': 5}, {'q': 'os.popen', 's': 8}] ELSE [{'q': 'os.popen', 's': 2}] END) AS h FROM events)
+  SELECT event_id, unnest(CASE WHEN event_id % 2 = 0 THEN [{'q': 'os.system', 's': 5}, {'q': 'os.popen', 's': 9}] ELSE [{'q': 'os.popen', 's': 2}] END) AS h FROM events)
 """)
 def shared_arguments(spark, d):
     """Two calls that share a memoised argument are two hits, for a memo read begins a slice; a call that holds another one in its argument is none besides it."""
