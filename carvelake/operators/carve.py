@@ -386,3 +386,81 @@ def container_findings(artifacts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([findings(d) for d in data], pa.list_(pa.string())), pa.array([duplicates(d) for d in data], pa.list_(pa.string()))], ["artifact_id", "unsafe_names", "duplicate_names"])
 
     return artifacts.select("artifact_id", "content").mapInArrow(run, "artifact_id string, unsafe_names array<string>, duplicate_names array<string>")
+
+
+#: Bytes of a large file that are searched at once, and how far windows overlap.
+WINDOW, OVERLAP = 256 << 20, 1 << 20
+
+
+def carve_file(file, label: str = "", window: int = WINDOW, overlap: int = OVERLAP) -> Iterator[dict]:
+    """Streams of a seekable file of any size, as `carve_bytes` gives them; a member or a window of it is held at a time.
+
+    Archives are opened member by member. Anything else is searched in windows; the next one begins at the first stream that
+    reaches the end of the last one, so a stream of up to a window comes out whole, and a longer one as far as the window goes.
+    """
+    seen: set[str] = set()
+
+    def new(rows: list[dict], shift: int = 0) -> Iterator[dict]:
+        for b in rows:
+            if b["sha256"] not in seen:
+                seen.add(b["sha256"])
+                yield b | {"blob_seq": len(seen) - 1, "offset_start": b["offset_start"] + shift, "offset_end": b["offset_end"] + shift}
+
+    head = file.read(512)
+    file.seek(0, 2)
+    size = file.tell()
+    file.seek(0)
+    if head[:4] == b"PK\3\4" and zipfile.is_zipfile(file):
+        file.seek(0)
+        with zipfile.ZipFile(file) as z:
+            for info in sorted((i for i in z.infolist() if not i.is_dir()), key=lambda i: -score(i.filename)):
+                try:
+                    with z.open(info) as f:
+                        first = f.read(512)
+                        if info.filename.split("/")[-1] in ("pickle", "data.pkl") or admits(info.filename, first):
+                            rest = _bounded(f.read, info.compress_size)
+                            yield from new(carve_bytes(first + rest, f"{label}/{info.filename}"))
+                except (ValueError, OSError, zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError):  # one bad member does not stop the others
+                    continue
+        return
+    file.seek(0)
+    if is_tar(head + bytes(1024)):
+        try:
+            with tarfile.open(fileobj=file, mode="r:") as t:
+                for m in t:
+                    if m.isfile():
+                        f = t.extractfile(m)
+                        first = f.read(512)
+                        if admits(m.name, first):
+                            yield from new(carve_bytes(first + _bounded(f.read, m.size), f"{label}/{m.name}"))
+        except tarfile.TarError:
+            pass
+        return
+    at = 0
+    while at < size:
+        file.seek(at)
+        data = file.read(window)
+        last = at + len(data) >= size
+        rows = carve_bytes(data, label)
+        open_at = min((b["offset_start"] for b in rows if b["offset_end"] >= len(data) and not b["complete"] and b["offset_start"] > 0), default=len(data))
+        yield from new([b for b in rows if last or b["offset_start"] < open_at], at)
+        if last:
+            return
+        at += max(min(open_at, len(data) - overlap), 1)
+
+
+def carve_large(files: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Streams of files that are too large for a cell (artifact_id, path): a task opens them where they lie. One file is one task's work, a window at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as pafs
+
+        for batch in batches:
+            for artifact, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store, inner = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+                with store.open_input_file(inner) as file:
+                    for b in carve_file(file, artifact, window):
+                        yield pa.RecordBatch.from_pylist([b | {"artifact_id": artifact, "blob_id": f"{artifact}:{b['blob_seq']}"}], _BLOBS)
+
+    n = max(files.count(), 1)
+    return files.select("artifact_id", "path").repartition(n, "artifact_id").mapInArrow(run, BLOBS_DDL)

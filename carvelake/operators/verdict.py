@@ -19,7 +19,7 @@ from pyspark.sql.types import StringType
 
 from carvelake.functions import fixed_values as V
 from carvelake.functions.scalars import base_tag, rule_ids
-from carvelake.functions.signals import bytes_tags, suspicious, text_entropy, text_tags
+from carvelake.functions.signals import ENTROPY, bytes_tags, suspicious, text_entropy, text_tags
 from carvelake.scratch import saved
 
 from .behaviour import LABEL, behaviours
@@ -33,6 +33,7 @@ _MAGIC = (b"We love Marisa.", b"\x78\x9c", b"\x78\x01", b"\x78\xda", b"\x1f\x8b"
 TIER_RULES = ["PY_CALL_SYNTAX_RE", "PY_CODE_STRING_RE", "PY_INNER_STRING_RE"]
 PATH_TAGS = ["has_path", "has_windows_path"]
 BORDERLINE = 5.5
+PREVIEW = 200
 _PRINTABLE = np.isin(np.arange(256), [*range(0x20, 0x7F), 9, 10, 13])
 ACT = "array<struct<category:string,subcategory:string,evidence:string>>"
 
@@ -102,11 +103,11 @@ def literal_table(calls: DataFrame) -> DataFrame:
     return rows.withColumn("sha", F.concat("kind", F.lit(":"), F.sha2(data, 256)))
 
 
-def literal_signals(literals: DataFrame) -> DataFrame:
-    """Tags, entropy, type and nested callables of each distinct literal."""
+def literal_signals(literals: DataFrame, threshold: float = ENTROPY) -> DataFrame:
+    """Tags, entropy, type and nested callables of each distinct literal. threshold: entropy from which a text is tagged as dense."""
     distinct = literals.groupBy("sha").agg(F.first("kind").alias("kind"), F.first("text").alias("text"), F.first("bin").alias("bin"))
     text = distinct.where("kind = 'text'")
-    text = text.select("sha", F.lit(None).cast("string").alias("shown"), text_tags(F.col("text")).alias("tags"), text_entropy(F.col("text")).alias("entropy"), F.when(F.col("text").rlike(r"^[\x00-\xff]*$"), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8")).alias("data"))
+    text = text.select("sha", F.lit(None).cast("string").alias("shown"), text_tags(F.col("text"), threshold).alias("tags"), text_entropy(F.col("text")).alias("entropy"), F.when(F.col("text").rlike(r"^[\x00-\xff]*$"), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8")).alias("data"))
     shown = F.concat(F.lit("[BINBYTES:"), F.lower(F.hex(F.substring("bin", 1, 16))), F.lit(" len="), F.octet_length("bin").cast("string"), F.lit(" fmt="), F.array_join(bytes_tags(F.col("bin")), ","), F.lit("]"))
     data = distinct.where("kind = 'bytes'").select("sha", shown.alias("shown"), bytes_tags(F.col("bin")).alias("tags"), F.lit(0.0).alias("entropy"), F.col("bin").alias("data"))
     both = text.unionByName(data)
@@ -207,10 +208,10 @@ def _present(acts: list[Column]) -> Column:
     return F.filter(F.array(*acts), lambda a: a.isNotNull()).cast(ACT)
 
 
-def hits(calls: DataFrame) -> DataFrame:
+def hits(calls: DataFrame, threshold: float = ENTROPY) -> DataFrame:
     """Hits with the call's columns and its leaves (with tags, types and nested callables)."""
     literals = literal_table(calls)
-    known = literals.join(literal_signals(literals), "sha")
+    known = literals.join(literal_signals(literals, threshold), "sha")
     leaf = F.struct("leaf", "arg_pos", "kind", "opcode_idx", "origin_idx", "text", "shown", "tags", "entropy", "type", "nested", "flagged")
     per_call = known.groupBy("blob_id", "call_seq").agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
     full = calls.drop("literals").join(per_call, ["blob_id", "call_seq"], "left")
@@ -288,12 +289,21 @@ def judged(found: DataFrame) -> DataFrame:
     return h.withColumn("verdict", verdict).select("blob_id", "call_seq", "qualname", "canonical", "via", "track", "forced", "placeholder", "reasons", "text", "entropy", "args", "acts", "fired", "demotion", "verdict", "slice_start", "slice_end")
 
 
-def scan_blobs(blobs: DataFrame, calls_of=None) -> DataFrame:
-    """Judged hits of the streams (blob_id, content).
+def report_arguments(found: DataFrame) -> DataFrame:
+    """What a report shows of each hit's arguments, in order: position among them, kind, role, type, tags, and the text or the placeholder of the bytes, cut to PREVIEW characters."""
+    rows = found.select("blob_id", "call_seq", "canonical", "verdict", F.posexplode("args").alias("at", "a"))
+    shown = F.coalesce(F.col("a.text"), F.col("a.shown"), F.lit(""))
+    preview = F.when(F.length(shown) > PREVIEW, F.concat(F.substring(shown, 1, PREVIEW), F.lit("..."))).otherwise(shown)
+    return rows.select("blob_id", "call_seq", "canonical", "verdict", "at", "a.kind", "a.role", "a.type", "a.tags", preview.alias("value"))
+
+
+def scan_blobs(blobs: DataFrame, calls_of=None, threshold: float = ENTROPY, use_denylist: bool = True) -> DataFrame:
+    """Judged hits of the streams (blob_id, content). Without the denylist, only literals make hits.
 
     The calls are saved once, so that the machine runs over each stream once, however often later steps read them.
     """
-    return judged(hits(saved((calls_of or scan_calls)(blobs), "calls")))
+    calls = saved((calls_of or scan_calls)(blobs), "calls")
+    return judged(hits(calls if use_denylist else calls.withColumn("denied", F.lit(False)), threshold))
 
 
 def artifact_verdicts(artifacts: DataFrame, blobs: DataFrame, found: DataFrame, unsafe_names: DataFrame) -> DataFrame:

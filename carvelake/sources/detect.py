@@ -68,13 +68,13 @@ def unsafe_member(name: Column) -> Column:
 def read_artifacts(spark: SparkSession, path: str, recursive: bool = False, most_bytes: int = 512 << 20) -> DataFrame:
     """artifact_id, path, length, content and kind of the files in a folder. The size limit is pushed to the scan.
 
-    Files beyond ``most_bytes`` do not fit a cell and are left out; list them with ``skipped_artifacts``.
+    Files beyond ``most_bytes`` do not fit a cell; list them with ``large_artifacts`` and carve them with ``carve.carve_large``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).where(F.col("length") <= most_bytes)
     return files.select(F.sha2("path", 256).alias("artifact_id"), "path", "length", "content", file_kind(F.col("content")).alias("kind"))
 
 
-def skipped_artifacts(spark: SparkSession, path: str, recursive: bool = False, most_bytes: int = 512 << 20) -> DataFrame:
-    """path and length of the files that ``read_artifacts`` leaves out, for a report; their contents are not read."""
+def large_artifacts(spark: SparkSession, path: str, recursive: bool = False, most_bytes: int = 512 << 20) -> DataFrame:
+    """artifact_id, path and length of the files that ``read_artifacts`` leaves out; their contents are not read here."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return files.where(F.col("length") > most_bytes).select("path", "length")
+    return files.where(F.col("length") > most_bytes).select(F.sha2("path", 256).alias("artifact_id"), "path", "length")

@@ -22,10 +22,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).csv(path, header=True).withColumn("size_bytes", F.col("size_bytes").cast("long"))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One record a line; blank lines give no rows."""
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    return rows.where(F.col(rows.columns[0]).isNotNull())
+def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
+    """One record a line; blank lines give no rows. A malformed line is an error, or, unless ``strict``, a row with the line in ``_corrupt_record``."""
+    if strict:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
 
 
 def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -52,3 +53,10 @@ def write_blobs(blobs: DataFrame, path: str) -> None:
     """Streams as Parquet, by digest prefix, so that no folder grows with the corpus."""
     name = F.concat(F.regexp_replace("logical_name", r"[/\\!]", "__"), F.lit("."), F.substring("sha256", 1, 8), F.lit(".pkl"))
     blobs.withColumn("file_name", name).withColumn("prefix", F.substring("sha256", 1, 2)).write.mode("overwrite").partitionBy("prefix").parquet(path)
+
+
+def write_labelled(found: DataFrame, path: str) -> None:
+    """One JSON record a stream: its worst verdict, its hits in order, and what each was judged by."""
+    hit = F.struct("call_seq", "qualname", "canonical", "track", "forced", "reasons", "text", "entropy", "acts", "demotion", "verdict", "slice_start", "slice_end")
+    rank = F.when(F.col("verdict") == "Unsafe", 0).when(F.col("verdict") == "Review", 1).otherwise(2)
+    found.groupBy("blob_id").agg(F.min_by("verdict", rank).alias("verdict"), F.array_sort(F.collect_list(hit)).alias("hits")).write.mode("overwrite").json(path)

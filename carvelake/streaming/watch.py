@@ -13,10 +13,10 @@ SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def artifact_stream(spark: SparkSession, folder: str, late: str = "1 day") -> DataFrame:
-    """New files of a folder, each content once within the watermark."""
+    """New files of a folder, each content once within ``late`` of its arrival. A file's own time, which may be old, plays no part."""
     files = spark.readStream.format("binaryFile").schema(SCHEMA).load(folder)
-    rows = files.select(F.sha2("content", 256).alias("artifact_id"), "path", "modificationTime", "content")
-    return rows.withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["artifact_id"])
+    rows = files.select(F.sha2("content", 256).alias("artifact_id"), "path", "modificationTime", F.current_timestamp().alias("arrived"), "content")
+    return rows.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["artifact_id"])
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

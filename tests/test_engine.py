@@ -285,3 +285,50 @@ def test_aliases_are_the_drivers_own_or_given():
         assert vocabulary.canonical("posix", "system", 4)[0] == "posix.system" and vocabulary.canonical("posix", "popen", 4)[0] == "os.popen"
     finally:
         vocabulary.use_aliases({})
+
+
+def test_large_files_are_carved_by_members_and_windows():
+    import random
+
+    rng = random.Random(1)
+    streams = [pickle.dumps([f"stream {k}", rng.random()], 2 + k % 3) for k in range(12)]
+    noise = lambda: bytes(rng.choice(b"\x01\x7f\xfe") for _ in range(rng.randrange(2000, 9000)))
+    raw = b"\x01" + b"".join(noise() + s for s in streams) + noise()
+    whole = {b["content"] for b in carve.carve_bytes(raw)}
+    assert set(streams) <= whole
+    for window in (4096, 30_000, 1 << 20):
+        found = list(carve.carve_file(io.BytesIO(raw), window=window, overlap=512))
+        assert set(streams) <= {b["content"] for b in found}
+        assert all(raw[b["offset_start"] : b["offset_end"]] == b["content"] for b in found if b["content"] in streams)
+    for kind in ("zip", "tar"):
+        data = boxed(streams[0], kind)
+        assert [b["content"] for b in carve.carve_file(io.BytesIO(data))] == [b["content"] for b in carve.carve_bytes(data)]
+
+
+def test_scan_job(spark, tmp_path):
+    from carvelake import jobs
+
+    (tmp_path / "in").mkdir()
+    for name in ("command", "path", "plain", "gzip", "placeholder"):
+        (tmp_path / "in" / name).write_bytes(EXAMPLES[name][0])
+    (tmp_path / "in" / "long").write_bytes(b"\x01junk" * 400 + EXAMPLES["old name"][0])
+    jobs.scan(spark, str(tmp_path / "in"), str(tmp_path / "out"), most_bytes=1500)
+    got = {os.path.basename(r.path): r.verdict for r in spark.read.parquet(str(tmp_path / "out/verdicts")).collect()}
+    assert got == {"command": "Unsafe", "path": "Low", "plain": "No issue", "gzip": "Unsafe", "long": "Unsafe", "placeholder": "Review"}
+    labelled = spark.read.json(str(tmp_path / "out/labelled")).collect()
+    assert sorted(r.verdict for r in labelled) == ["Low", "Review", "Unsafe", "Unsafe", "Unsafe"]
+    assert "id" in {r.value for r in spark.read.parquet(str(tmp_path / "out/arguments")).collect()}
+    jobs.scan(spark, str(tmp_path / "in"), str(tmp_path / "out2"), use_denylist=False, most_bytes=1500)
+    plain = {os.path.basename(r.path): r.verdict for r in spark.read.parquet(str(tmp_path / "out2/verdicts")).collect()}
+    assert plain["placeholder"] == plain["plain"] == "No issue" and plain["path"] == "Low"
+
+
+def test_json_lines_keep_malformed_rows(spark, tmp_path):
+    from carvelake.sources import records
+
+    path = tmp_path / "rows.jsonl"
+    path.write_text('{"a": 1}\n\n{"b": "x"}\n{broken\n')
+    rows = records.read_jsonl(spark, str(path), "a int, b string", strict=False).collect()
+    assert sorted(str((r.a, r.b, r._corrupt_record)) for r in rows) == ["(1, None, None)", "(None, 'x', None)", "(None, None, '{broken')"]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        records.read_jsonl(spark, str(path), "a int, b string").collect()
