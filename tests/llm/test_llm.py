@@ -614,3 +614,73 @@ def test_pipeline_stages(spark, sf):
     assert [len(t.encode()) <= len(o.encode()) - n for (_, t), (_, o), n in zip(sorted((r.doc_id, r.text) for r in cut.collect()), rows, removed)] == [True] * len(rows)
     packed = p.best_fit_packing(spark, cut, sf)
     assert {r.doc_id for r in packed.collect()} == {d for d, _ in rows}
+
+
+def test_quality_against_plain_formulas(spark, sf):
+    """Scores by the textbook densities of the two classes, from the same features."""
+    sf = sf.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    x = {r.doc_id: np.array(quality.features(r.text)) for r in docs}
+    known = [d for d in labels if zlib.crc32(str(d).encode()) % 3 != 1 and d in x and labels[d] in (0, 1)]
+    classes = [np.array([x[d] for d in known if labels[d] == c]) for c in (0, 1)]
+    pooled = sum(len(c) * c.var(axis=0) for c in classes) / len(known)
+    covs = [(1 - quality.SHRINK) * np.cov(c.T, bias=True) + np.diag(quality.SHRINK * pooled + quality.LEAST_STD**2) for c in classes]
+
+    def density(v, c):
+        off = v - classes[c].mean(axis=0)
+        return np.log(len(classes[c])) - 0.5 * (off @ np.linalg.solve(covs[c], off) + np.linalg.slogdet(covs[c])[1])
+
+    got = {r.doc_id: r for r in quality.op6_quality_classifier(spark, sf).collect()}
+    assert set(got) == set(x)
+    for d, r in got.items():
+        assert r.score == pytest.approx(1 / (1 + np.exp(np.clip(density(x[d], 0) - density(x[d], 1), -500, 500))), abs=1e-6)
+        assert r.held_out == (zlib.crc32(str(d).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5)
+
+
+def test_quality_without_labels_or_with_contradicting_ones(spark):
+    docs = spark.createDataFrame([(k, f"some text number {k} of a few", 0.1) for k in range(8)] + [(None, None, 0.2)], "doc_id long, text string, score double")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in quality.score_documents(docs, none).collect()} == {0.5}
+    assert quality.keep_good(docs, none).count() == 9
+    both = spark.createDataFrame([(k, c) for k in range(8) for c in (0, 1)], "doc_id long, quality int")
+    assert {round(r.score, 9) for r in quality.score_documents(docs, both).collect()} == {0.5}
+
+
+def test_pipeline_on_odd_rows(spark, sf, docs, none):
+    """Nulls, empty and long texts, ties, repeated rows and clashing names go through all stages; an empty table stays empty."""
+    import corpus_pipeline as p
+
+    rows = docs
+    for name, stage in p.STAGES[:-1]:
+        rows = saved(stage(spark, rows, sf), f"test-{name}")
+        assert rows.columns == docs.columns
+    pieces = p.STAGES[-1][1](spark, rows, sf).collect()
+    want = sorted((r.doc_id is None, r.doc_id or 0, len(packing.token_ids(r.text)) + 1) for r in rows.collect())
+    total: dict[tuple, int] = {}
+    for r in pieces:
+        total[r.doc_id is None, r.doc_id or 0] = total.get((r.doc_id is None, r.doc_id or 0), 0) + r.length
+    expected: dict[tuple, int] = {}
+    for a, b, n in want:
+        expected[a, b] = expected.get((a, b), 0) + n
+    assert total == expected
+    for _, stage in p.STAGES:
+        assert stage(spark, none, sf).count() == 0
+
+
+def test_top_k_over_many_regions_and_clashing_names(spark):
+    """Regions, shards of equal vectors and queries that are not among the vectors, against plain products."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 5))
+    data = [(k, (centres[k % 6] + 0.1 * rng.normal(size=5)).tolist(), 0, 0) for k in range(400)] + [(1000 + k, [1.0] * 5, 0, 0) for k in range(150)]
+    v = spark.createDataFrame(data, "vec_id long, embedding array<double>, shard int, region int")
+    asked = [(5000 + k, rng.normal(size=5).tolist()) for k in range(20)] + [(1001, [1.0] * 5)]
+    q = spark.createDataFrame(asked, "vec_id long, embedding array<double>")
+    got: dict[int, list] = {}
+    for r in knn.top_k(v, q, k=7, shard=32, leaf=4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    grid = {i: np.floor(1024 * np.array(e)).astype(int) for i, e, *_ in data}
+    for i, e in asked:
+        own = np.floor(1024 * np.array(e)).astype(int)
+        best = sorted((-int(own @ w), j) for j, w in grid.items() if j != i)[:7]
+        assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
