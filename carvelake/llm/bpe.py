@@ -4,7 +4,7 @@ Each Arrow batch is a small corpus: its texts are split into pieces, the distinc
 inverted index from merge rank to positions says where each mergeable pair stands. Ranks are taken from a heap in
 order; all positions of a rank are merged together and only the touched neighbours get new pairs. Texts whose white
 space is all single characters are first cut at spaces, which no piece crosses, so that the pattern runs over
-distinct chunks only. Chunks stay cached in the worker up to ``CACHE`` entries, so memory is bounded.
+distinct chunks only. The worker remembers two generations of ``CACHE`` chunks: those seen again live on, so memory is bounded.
 
 Merging all places of one rank together equals the reference order (lowest rank first, leftmost first, piece by
 piece) unless a merge makes a pair of a lower rank; pieces where that happens are done again one merge at a time.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CACHE = 200_000
+CACHE = 150_000
 #: Characters of text whose pieces are replayed together.
 TOGETHER = 4 << 20
 
@@ -42,8 +42,10 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.token = {v: k for k, v in self.ranks.items()}
-        self.size = max(self.token) + 1
+        self.size = max(self.ranks.values()) + 1
+        self.token = [b""] * self.size
+        for word, rank in self.ranks.items():
+            self.token[rank] = word
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for word, rank in self.ranks.items():
@@ -163,6 +165,7 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.double_space = regex.compile(r"\s\s|^\s|\s$").search
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def chunks(self, text: str) -> list[str]:
         """Parts of a text that no piece crosses."""
@@ -175,9 +178,12 @@ class Encoder:
         """For each text, its chunks' ids, and the same as decimal text."""
         split = [self.chunks(t) if t else [] for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         new = dict.fromkeys(chain.from_iterable(split))
         new = [c for c in new if c not in self.known]
+        if self.older:
+            self.known.update((c, self.older[c]) for c in new if c in self.older)
+            new = [c for c in new if c not in self.known]
         pieces = [self.find(c) for c in new]
         kinds = {p: k for k, p in enumerate(dict.fromkeys(chain.from_iterable(pieces)))}
         ids = self.vocabulary.replay([p.encode() for p in kinds])
