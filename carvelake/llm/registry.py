@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op3_byte_level_bpe
 from .chat import OP7_SQL, op7_chat_formatting
+from .fim import OP11_SQL, op11_fill_in_middle
 from .html_text import OP1_SQL, op1_html_extraction
 from .knn import OP5_SQL, op5_exact_top_k
 from .media import op9_media_columns
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_hilbert_sharding": op10_hilbert_sharding,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
-SQL: dict[str, str] = {"op1_html_extraction": OP1_SQL, "op5_exact_top_k": OP5_SQL, "op7_chat_formatting": OP7_SQL}
+SQL: dict[str, str] = {"op1_html_extraction": OP1_SQL, "op5_exact_top_k": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op11_fill_in_middle": OP11_SQL}
