@@ -13,6 +13,7 @@ from .quality import op6_quality_classifier
 from .sharding import op10_hilbert_sharding
 from .simhash import op8_simhash_near_dedup
 from .suffix_dedup import op2_suffix_dedup
+from .vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_media_columns": op9_media_columns,
     "op10_hilbert_sharding": op10_hilbert_sharding,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-SQL: dict[str, str] = {"op1_html_extraction": OP1_SQL, "op5_exact_top_k": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op11_fill_in_middle": OP11_SQL}
+SQL: dict[str, str] = {"op1_html_extraction": OP1_SQL, "op5_exact_top_k": OP5_SQL, "op7_chat_formatting": OP7_SQL, "op11_fill_in_middle": OP11_SQL, "op13_vector_codes": OP13_SQL}
