@@ -13,6 +13,7 @@ from .quality import op6_quality_classifier
 from .sharding import op10_hilbert_sharding
 from .simhash import op8_simhash_near_dedup
 from .suffix_dedup import op2_suffix_dedup
+from .url_filter import op12_url_filter
 from .vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_media_columns": op9_media_columns,
     "op10_hilbert_sharding": op10_hilbert_sharding,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_url_filter": op12_url_filter,
     "op13_vector_codes": op13_vector_codes,
 }
 
