@@ -122,6 +122,20 @@ def tasks(spark: SparkSession) -> int:
 NO_ID = -(2**63)
 
 
+def place_of(docs: DataFrame, name: str) -> int | None:
+    """Which column Spark takes ``name`` for: that of this very name, else one that differs in case only, unless the session tells case; None if there is none."""
+    if name in docs.columns:
+        return docs.columns.index(name)
+    told = docs.sparkSession.conf.get("spark.sql.caseSensitive", "false") == "true"
+    like = [] if told else [k for k, c in enumerate(docs.columns) if c.lower() == name.lower()]
+    return like[0] if like else None
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns renamed _in0, _in1, ... in their order, so that no name clashes."""
+    return docs.toDF(*[f"_in{k}" for k in range(len(docs.columns))])
+
+
 def text_bytes(col: str = "text") -> Column:
     """A text as UTF-8; a null one is empty."""
     return F.encode(F.coalesce(F.col(col), F.lit("")), "UTF-8")

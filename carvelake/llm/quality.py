@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved_map, table
+from .common import numbered, place_of, saved_map, table
 
 FEATURES = ["size", "lower", "upper", "digit", "stop", "mark", "shout", "space", "high", "word_length", "kinds", "repeated_lines", "line_length", "echoes"]
 SHRINK = 0.15
@@ -148,14 +148,15 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``least``, with all their columns."""
     model = learn(document_features(docs), labels)
-    at = docs.columns.index("text")
+    at = place_of(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch.column(at)], float).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.scores(x) >= least if model else np.ones(len(x), bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = numbered(docs)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

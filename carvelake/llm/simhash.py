@@ -23,9 +23,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, VariantType
 
-from .common import NO_ID, saved, saved_map, table, text_bytes, text_crc
+from .common import NO_ID, numbered, place_of, saved, saved_map, table, text_bytes, text_crc
 from .components import components
 
 WORDS, SEED, BITS_APART = 3, 42, 3
@@ -81,9 +80,9 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
     return saved_map(rows, _fingerprints(words, seed), "doc_id long, crc long, hash long, print long", "simhash-prints")
 
 
-def text_hash() -> Column:
+def text_hash(col: str = "text") -> Column:
     """Tells texts apart whose 32-bit CRCs are equal."""
-    return F.xxhash64(text_bytes())
+    return F.xxhash64(text_bytes(col))
 
 
 def _index(prints: DataFrame) -> DataFrame:
@@ -186,8 +185,11 @@ def keep_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``keep_one`` for the groups of ``found`` (doc_id, crc, hash, root). Of rows with one id and text but other columns, the one with the smallest hash stays."""
     who = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "crc", "hash")).alias("who")
     kept = saved(found.groupBy("root").agg(who).select(F.coalesce("who.doc_id", F.lit(NO_ID)).alias("_id"), F.col("who.crc").alias("_crc"), F.col("who.hash").alias("_hash")).distinct(), "simhash-kept")
-    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))])
-    own = docs.select(*[F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(docs.columns)], whole.alias("_whole"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), text_crc().alias("_crc"), text_hash().alias("_hash"))
+    own = numbered(docs)
+    # as text, for maps have no hash; columns take part by place, whatever their names
+    whole = F.xxhash64(F.to_json(F.struct(*own.columns), {"ignoreNullFields": "false"}))
+    doc_id, text = (f"_in{place_of(docs, c)}" for c in ("doc_id", "text"))
+    own = own.select("*", whole.alias("_whole"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"), text_crc(text).alias("_crc"), text_hash(text).alias("_hash"))
     once = own.join(kept, ["_id", "_crc", "_hash"]).withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_crc", "_hash").orderBy("_whole")))
     return once.where("_nth = 1").select(*[F.col(f"_in{k}").alias(c) for k, c in enumerate(docs.columns)])
 

@@ -39,10 +39,10 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from . import rolling
-from .common import NO_ID, cut_batch, saved, saved_map, table, text_bytes, text_crc
+from .common import NO_ID, cut_batch, numbered, place_of, saved, saved_map, table, text_bytes, text_crc
 
 SPAN = 200
 SEEDS = (64, 168)
@@ -365,7 +365,9 @@ def _removed(span: int, text_at: int):
     return run
 
 
-REPORT = ["_n_bytes", "_n_removed", "_n_spans", "_kept_sha256", "_kept_text", "_ranges"]
+_RANGES = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+_REPORT = {"_n_bytes": LongType(), "_n_removed": LongType(), "_n_spans": LongType(), "_kept_sha256": StringType(), "_kept_text": StringType(), "_ranges": _RANGES}
+REPORT = list(_REPORT)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, seeds: tuple[int, int] = SEEDS) -> DataFrame:
@@ -376,24 +378,24 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, seeds: tuple[int, int] = S
     places = repeated_places(docs, span, seeds)
     # saved, so that the records' shuffle files are gone before the texts are dealt out
     spans = saved(places.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("first", "last")).alias("_spans")), "suffix-spans")
-    left = docs.select(*[F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(docs.columns)], text_crc().alias("_crc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"))
-    at = docs.columns.index("text")
+    at, doc_id = place_of(docs, "text"), f"_in{place_of(docs, 'doc_id')}"
+    left = numbered(docs).select("*", text_crc(f"_in{at}").alias("_crc"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("_id"))
     left = _squeezed(left, f"_in{at}")
     joined = left.join(spans, (F.col("_id") == spans.doc_id) & (F.col("_crc") == spans.crc), "left").drop("doc_id", "crc", "_crc", "_id")
-    keep = ", ".join(f"_in{k} {t.dataType.simpleString()}" for k, t in enumerate(docs.schema.fields))
-    schema = f"{keep}, _n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string, _kept_text string, _ranges array<struct<start:bigint,end:bigint>>"
-    return joined.mapInArrow(_removed(span, at), schema)
+    kept = [StructField(f"_in{k}", f.dataType) for k, f in enumerate(docs.schema.fields)]
+    return joined.mapInArrow(_removed(span, at), StructType(kept + [StructField(c, kind) for c, kind in _REPORT.items()]))
 
 
 def cut_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """The columns of ``docs``, with the texts that hold repeats cut, and their n_chars, where there is one, counted anew."""
     columns = []
+    text, n_chars = (place_of(docs, c) for c in ("text", "n_chars"))
     for k, c in enumerate(docs.columns):
         value = F.col(f"_in{k}")
-        if c == "text":
+        if k == text:
             value = F.when(F.col("_n_removed") > 0, F.col("_kept_text")).otherwise(value)
-        elif c == "n_chars":
-            value = F.when(F.col("_n_removed") > 0, F.length("_kept_text").cast(docs.schema[c].dataType)).otherwise(value)
+        elif k == n_chars:
+            value = F.when(F.col("_n_removed") > 0, F.length("_kept_text").cast(docs.schema.fields[k].dataType)).otherwise(value)
         columns.append(value.alias(c))
     return remove_repeats(docs, span).select(*columns)
 
