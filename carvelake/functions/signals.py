@@ -4,20 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
+from .pattern_index import NATIVE_LIB, PATH, URL, candidates, may_match
 from .patterns import finds
 from .scalars import SAMPLE, entropy, non_ascii_ratio, stratified_sample
 
 ENTROPY = 5.0
 #: Tags that describe a literal and never make it suspicious by themselves.
 ANNOTATIONS = ("entropy>=", "entropy_binary_data", "high_entropy", "literal_truncated")
-# Signals outside the pattern vocabulary.
-NATIVE_LIB = r"(?i)[^\s/\\]{0,200}\.(?:so|dll|dylib)(?:\.[0-9]+)?\b"
-URL = r"(?i)(?:https?|ftp|ftps|sftp|file|ssh|telnet|ldap|smb|nfs)://\S"
-PATH = r"""(?:(?:^|(?<=[\s"'`,;({[]))/[a-zA-Z0-9_.~@%-][a-zA-Z0-9_.~@%/+-]*|[A-Za-z]:[/\\]\S|\\\\[a-zA-Z0-9._-]+[/\\])"""
 PYTHON_TOKENS = {"PY_CALL_SYNTAX_RE", "PY_STMT_STRUCTURE_RE", "PY_CODE_STRING_RE"}
 
 
@@ -36,7 +33,13 @@ def _measured(text: Column, limit: int | None) -> Column:
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    edge = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1))).rlike(r"(?U)\s")
+    return F.when(edge, F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).otherwise(text)
+
+
+def _finds(text: Column, name: str, pattern: str, may: Column | None) -> Column:
+    """`finds`, for candidates only: ``may`` holds the patterns that the text can match, by `pattern_index`."""
+    return may_match(may, "signals", name, finds(text, pattern))
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -52,11 +55,11 @@ def _let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _fired(text: Column, rows: list, allowed: dict[str, str]) -> Column:
+def _fired(text: Column, patterns: list, allowed: dict[str, str], may: Column | None = None) -> Column:
     """Names of the patterns that fire, in their order."""
     hits = []
-    for name, _, _, allow, pattern in rows:
-        hit = finds(text, pattern)
+    for name, _, _, allow, p in patterns:
+        hit = _finds(text, name, p, may)
         if allow:
             hit = hit & ~finds(text, allowed[allow])
         hits.append(F.when(hit, F.lit(name)))
@@ -71,71 +74,68 @@ def _has(fired: Column, names: list[str]) -> Column:
     return F.arrays_overlap(fired, F.array(*[F.lit(n) for n in names]))
 
 
-def shell_rules(text: Column) -> Column:
-    return _fired(_stripped(text), V.SHELL_PATTERNS, {r[0]: r[4] for r in V.SHELL_ALLOWLIST})
-
-
-def _shell_points(text: Column, fired: Column) -> Column:
-    return _score(fired, V.SHELL_PATTERNS) + F.when(_stripped(text).rlike(r"(?U)\s"), 1).otherwise(0)
+def shell_rules(stripped: Column, may: Column | None = None) -> Column:
+    """Names of the shell patterns that fire over a text without white space around it."""
+    return _fired(stripped, V.SHELL_PATTERNS, {r[0]: r[4] for r in V.SHELL_ALLOWLIST}, may)
 
 
-def shell_score(text: Column) -> Column:
-    """Sum of the scores of the patterns that fire, and one for any white space."""
-    return _let(shell_rules(text), lambda fired: _shell_points(text, fired))
-
-
-def is_shell_like(text: Column) -> Column:
+def _shell_like(stripped: Column, fired: Column, score: Column, may: Column | None) -> Column:
     needed = [name for name, _, strong, *_ in V.SHELL_PATTERNS if strong or name == "SHELL_CMD_RE"]
-    t = _stripped(text)
-    enough = _let(shell_rules(text), lambda fired: _has(fired, needed) & (_shell_points(text, fired) >= V.SHELL_DETECTION["score_threshold"]))
-    return _any([finds(t, r[4]) for r in V.SHELL_SHORTCUTS]) | ((F.length(t) >= V.SHELL_DETECTION["min_len"]) & enough)
+    short = _any([_finds(stripped, r[0], r[4], may) for r in V.SHELL_SHORTCUTS])
+    return short | ((F.length(stripped) >= V.SHELL_DETECTION["min_len"]) & _has(fired, needed) & (score >= V.SHELL_DETECTION["score_threshold"]))
 
 
-def python_rules(text: Column) -> Column:
+def python_rules(text: Column, may: Column | None = None) -> Column:
     """Names of the scored Python rules that fire, in their order."""
-    return _fired(text, V.PYTHON_PATTERNS, {})
-
+    return _fired(text, V.PYTHON_PATTERNS, {}, may)
 
-def python_score(text: Column) -> Column:
-    return _let(python_rules(text), lambda fired: _score(fired, V.PYTHON_PATTERNS))
 
-
-def python_evidence(text: Column) -> Column:
+def _python_evidence(text: Column, fired: Column, score: Column, may: Column | None) -> Column:
     """Evidence that a text is Python code, or null: the first shortcut, else the scored rules if they reach the threshold."""
-    first = F.coalesce(*[F.when(finds(text, r[4]), F.array(F.lit(r[0]))) for r in V.PYTHON_SHORTCUTS])
+    first = F.coalesce(*[F.when(_finds(text, r[0], r[4], may), F.array(F.lit(r[0]))) for r in V.PYTHON_SHORTCUTS])
     needed = [name for name, _, strong, *_ in V.PYTHON_PATTERNS if strong or name in PYTHON_TOKENS]
-    enough = lambda fired: F.when((F.length(text) >= V.PYTHON_DETECTION["min_len"]) & _has(fired, needed) & (_score(fired, V.PYTHON_PATTERNS) >= V.PYTHON_DETECTION["score_threshold"]), fired)
-    return F.coalesce(first, _let(python_rules(text), enough))
-
+    enough = (F.length(text) >= V.PYTHON_DETECTION["min_len"]) & _has(fired, needed) & (score >= V.PYTHON_DETECTION["score_threshold"])
+    return F.coalesce(first, F.when(enough, fired))
 
-def text_entropy(text: Column, limit: int | None = None) -> Column:
-    return entropy(_measured(text, limit))
 
-
-def text_tags(text: Column, threshold: float = ENTROPY, limit: int | None = None) -> Column:
-    """Tags of a text literal, in the order in which they are observable; with a ``limit`` (REFERENCE_LIMIT), longer texts are cut and say so."""
-    scan, sample = scanned(text, limit), _measured(text, limit)
+def _entropy_tag(text: Column, sample: Column, e: Column, threshold: float) -> Column:
     share = non_ascii_ratio(sample)
     binary = (share > V.CONTENT_SIGNALS["binary_non_ascii_threshold"]) & (F.length(text) >= V.CONTENT_SIGNALS["binary_min_len"])
-
-    def of_entropy(e: Column) -> Column:
-        shown = F.format_string("%.2f", e)
-        dense = F.concat(F.lit("entropy_binary_data ("), shown, F.lit(", non_ascii="), F.format_string("%.0f", share * 100), F.lit("%)"))
-        return F.when(e >= threshold, F.when(binary, dense).otherwise(F.concat(F.lit(f"entropy>={threshold:.1f} ("), shown, F.lit(")"))))
-
-    tags = [F.when(finds(scan, r[4]), F.lit(r[0])) for r in V.STRUCTURAL_SIGNALS]
+    shown = F.format_string("%.2f", e)
+    dense = F.concat(F.lit("entropy_binary_data ("), shown, F.lit(", non_ascii="), F.format_string("%.0f", share * 100), F.lit("%)"))
+    return F.when(e >= threshold, F.when(binary, dense).otherwise(F.concat(F.lit(f"entropy>={threshold:.1f} ("), shown, F.lit(")"))))
+
+
+def with_signals(rows: DataFrame, text: str = "text", threshold: float = ENTROPY, limit: int | None = None, indexed: bool = True) -> DataFrame:
+    """``rows`` with tags (of the text, in the order in which they are observable), entropy, shell_rules, shell_score, python_rules and python_score.
+
+    Each value is a column of a step of its own, so that later ones read it instead of making it again. With the index (`pattern_index`),
+    a pattern runs over those texts only that hold the strings it requires. With a ``limit`` (REFERENCE_LIMIT), longer texts are cut and say so.
+    """
+    t, scan, strip, e, shell, python = (F.col(c) for c in (f"`{text}`", "_scan", "_strip", "entropy", "shell_rules", "python_rules"))
+    may = F.col("_may") if indexed else None
+    step = rows.select("*", scanned(t, limit).alias("_scan"), entropy(_measured(t, limit)).alias("entropy"), candidates(t, "signals").alias("_may") if indexed else F.lit(0).alias("_may"))
+    step = step.select("*", _stripped(scan).alias("_strip"))
+    step = step.select("*", shell_rules(strip, may).alias("shell_rules"), python_rules(scan, may).alias("python_rules"))
+    blank = F.when(strip.rlike(r"(?U)\s"), 1).otherwise(0)
+    step = step.select("*", (_score(shell, V.SHELL_PATTERNS) + blank).alias("shell_score"), _score(python, V.PYTHON_PATTERNS).alias("python_score"))
+    step = step.select("*", _python_evidence(scan, python, F.col("python_score"), may).alias("_evidence"))
+    tags = [F.when(_finds(scan, r[0], r[4], may), F.lit(r[0])) for r in V.STRUCTURAL_SIGNALS]
     tags += [
-        _let(entropy(sample), of_entropy),
-        F.when(is_shell_like(scan), F.lit("has_shell_pattern")),
-        F.when(finds(scan, NATIVE_LIB), F.lit("native_lib_path")),
-        F.when(finds(scan, URL), F.lit("has_url")).when(finds(scan, PATH), F.lit("has_path")),
-        _let(python_evidence(scan), lambda py: F.when(py.isNotNull(), F.concat(F.lit("has_python_code("), F.array_join(py, ","), F.lit(")")))),
+        _entropy_tag(t, _measured(t, limit), e, threshold),
+        F.when(_shell_like(strip, shell, F.col("shell_score"), may), F.lit("has_shell_pattern")),
+        F.when(_finds(scan, "NATIVE_LIB", NATIVE_LIB, may), F.lit("native_lib_path")),
+        F.when(_finds(scan, "URL", URL, may), F.lit("has_url")).when(_finds(scan, "PATH", PATH, may), F.lit("has_path")),
+        F.when(F.col("_evidence").isNotNull(), F.concat(F.lit("has_python_code("), F.array_join("_evidence", ","), F.lit(")"))),
     ]
-    kept = F.filter(F.array(*tags), lambda x: x.isNotNull())
-    if limit is None:
-        return kept
-    cut = F.concat(F.lit("literal_truncated("), F.length(text).cast("string"), F.lit(")"))
-    return _let(kept, lambda found: F.when((F.length(text) > limit) & (F.size(found) > 0), F.concat(found, F.array(cut))).otherwise(found))
+    step = step.select("*", F.filter(F.array(*tags), lambda x: x.isNotNull()).alias("tags"))
+    if limit is not None:
+        cut = F.concat(F.lit("literal_truncated("), F.length(t).cast("string"), F.lit(")"))
+        step = step.withColumn("tags", F.when((F.length(t) > limit) & (F.size("tags") > 0), F.concat("tags", F.array(cut))).otherwise(F.col("tags")))
+    return step.select(*[F.col(f"`{c}`") for c in rows.columns], *SIGNALS)
+
+
+SIGNALS = ["tags", "entropy", "shell_rules", "shell_score", "python_rules", "python_score"]
 
 
 def suspicious(tags: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carvelake.functions import fixed_values as V
+from carvelake.functions.pattern_index import candidates, may_match
 from carvelake.functions.patterns import flattened
 from carvelake.functions.scalars import entropy
 
@@ -16,9 +17,16 @@ def _any(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns)
 
 
-def rule_columns(text: Column) -> dict[str, Column]:
-    """Rule name -> whether it fires. Rules without an entry here fire when any of their strings occurs."""
-    s = {rule: {n: text.rlike("(?s)" + flattened(("(?i)" if nocase else "") + p, False)) for n, (p, nocase) in body[-1].items()} for rule, body in V.BEHAVIOURS.items()}
+def _strings(text: Column, may: Column | None) -> list[Column]:
+    """Whether each string of each rule occurs, in their order."""
+    found = lambda p, nocase: text.rlike("(?s)" + flattened(("(?i)" if nocase else "") + p, False))
+    return [may_match(may, "behaviours", f"{rule}.{n}", found(p, nocase)) for rule, body in V.BEHAVIOURS.items() for n, (p, nocase) in body[-1].items()]
+
+
+def _rules(strings: Column, dense: Column) -> dict[str, Column]:
+    """Rule name -> whether it fires, from an array of what `_strings` found. Rules without an entry here fire when any of their strings occurs."""
+    places = iter(range(sum(len(body[-1]) for body in V.BEHAVIOURS.values())))
+    s = {rule: {n: F.get(strings, F.lit(next(places))) for n in body[-1]} for rule, body in V.BEHAVIOURS.items()}
     any_of = {rule: _any(list(strings.values())) for rule, strings in s.items()}
     r = dict(any_of)
 
@@ -47,7 +55,6 @@ def rule_columns(text: Column) -> dict[str, Column]:
     r["BuiltinsDictGadget"] = x["b_name"] & (x["b_subscr"] | x["b_getitem"] | x["tag_esc"])
     x = s["ObfuscationBase64"]
     r["ObfuscationBase64"] = (x["b64_kw"] | x["b64_blob"]) & ~(x["tag_path"] | x["tag_winpath"])
-    dense = entropy(text) > 5.0
     x = s["ObfuscationHighEntropy"]
     plain = ~(x["tag_path"] | x["tag_winpath"]) & ~r["ObfuscationBase64"] & ~r["ObfuscationZlib"]
     r["ObfuscationHighEntropy"] = dense & x["ent_text"] & ~x["ent_binary"] & plain
@@ -75,8 +82,14 @@ def rule_columns(text: Column) -> dict[str, Column]:
 LABEL = "array<struct<rule:string,tier:string,category:string,subcategory:string>>"
 
 
-def behaviours(text: Column) -> Column:
-    """The rules that fire, in their order: rule, tier, category, subcategory."""
-    fired = rule_columns(text)
-    rows = [F.when(fired[rule], F.struct(F.lit(rule).alias("rule"), F.lit(body[0]).alias("tier"), F.lit(body[1]).alias("category"), F.lit(body[2]).alias("subcategory"))) for rule, body in V.BEHAVIOURS.items()]
-    return F.filter(F.array(*rows), lambda x: x.isNotNull())
+def with_behaviours(rows: DataFrame, text: str, name: str = "fired", indexed: bool = True) -> DataFrame:
+    """``rows`` with the rules that fire on a text, in their order: rule, tier, category, subcategory.
+
+    Strings are looked for once each, over those texts only that the index (`pattern_index`) doesn't rule out; the rules combine what was found.
+    """
+    t = F.col(text)
+    step = rows.select("*", candidates(t, "behaviours").alias("_may") if indexed else F.lit(0).alias("_may"), (entropy(t) > 5.0).alias("_dense"))
+    step = step.select("*", F.array(*_strings(t, F.col("_may") if indexed else None)).alias("_strings"))
+    fired = _rules(F.col("_strings"), F.col("_dense"))
+    labels = [F.when(fired[rule], F.struct(F.lit(rule).alias("rule"), F.lit(body[0]).alias("tier"), F.lit(body[1]).alias("category"), F.lit(body[2]).alias("subcategory"))) for rule, body in V.BEHAVIOURS.items()]
+    return step.select(*[F.col(f"`{c}`") for c in rows.columns], F.filter(F.array(*labels), lambda x: x.isNotNull()).cast(LABEL).alias(name))

@@ -19,10 +19,10 @@ from pyspark.sql.types import StringType
 
 from carvelake.functions import fixed_values as V
 from carvelake.functions.scalars import base_tag, rule_ids
-from carvelake.functions.signals import ENTROPY, bytes_tags, suspicious, text_entropy, text_tags
+from carvelake.functions.signals import ENTROPY, bytes_tags, suspicious, with_signals
 from carvelake.scratch import saved
 
-from .behaviour import LABEL, behaviours
+from .behaviour import with_behaviours
 from .machine import opcodes, protocol_of, scan_calls
 from .vocabulary import CODE_POSITIONS, NAME_POSITIONS, alias_names, canonical, gateways, use_aliases
 
@@ -106,8 +106,8 @@ def literal_table(calls: DataFrame) -> DataFrame:
 def literal_signals(literals: DataFrame, threshold: float = ENTROPY) -> DataFrame:
     """Tags, entropy, type and nested callables of each distinct literal. threshold: entropy from which a text is tagged as dense."""
     distinct = literals.groupBy("sha").agg(F.first("kind").alias("kind"), F.first("text").alias("text"), F.first("bin").alias("bin"))
-    text = distinct.where("kind = 'text'")
-    text = text.select("sha", F.lit(None).cast("string").alias("shown"), text_tags(F.col("text"), threshold).alias("tags"), text_entropy(F.col("text")).alias("entropy"), F.when(F.col("text").rlike(r"^[\x00-\xff]*$"), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8")).alias("data"))
+    text = with_signals(distinct.where("kind = 'text'"), "text", threshold)
+    text = text.select("sha", F.lit(None).cast("string").alias("shown"), "tags", "entropy", F.when(F.col("text").rlike(r"^[\x00-\xff]*$"), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8")).alias("data"))
     shown = F.concat(F.lit("[BINBYTES:"), F.lower(F.hex(F.substring("bin", 1, 16))), F.lit(" len="), F.octet_length("bin").cast("string"), F.lit(" fmt="), F.array_join(bytes_tags(F.col("bin")), ","), F.lit("]"))
     data = distinct.where("kind = 'bytes'").select("sha", shown.alias("shown"), bytes_tags(F.col("bin")).alias("tags"), F.lit(0.0).alias("entropy"), F.col("bin").alias("data"))
     both = text.unionByName(data)
@@ -240,7 +240,7 @@ def judged(found: DataFrame) -> DataFrame:
     h = h.withColumn("tags", F.array_distinct(F.transform("all_tags", base_tag)))
     said = F.filter("args", lambda a: a["type"] != "T2")
     h = h.withColumn("rule_text", F.concat_ws(" ", "canonical", F.array_join(F.transform(said, lambda a: F.coalesce(a["text"], a["shown"], F.lit(""))), " "), F.concat(F.lit("[TAGS: "), F.array_join("all_tags", " "), F.lit("]"))))
-    h = h.withColumn("fired", behaviours(F.col("rule_text")).cast(LABEL))
+    h = with_behaviours(h, "rule_text")
     gate = F.col("canonical").isin(*sorted(gateways())) | F.col("qualname").isin(*sorted(gateways()))
     fields = ("category", "subcategory")
     standalone, combination = _lookup(F.col("canonical"), V.CALLABLE_STANDALONE, fields), _lookup(F.col("canonical"), V.CALLABLE_COMBINATION, fields)

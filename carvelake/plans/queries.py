@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from carvelake.functions import pattern_index as PI
 from carvelake.functions import scalars as S
 from carvelake.functions import signals as G
 from carvelake.functions.patterns import finds
@@ -20,7 +21,7 @@ from carvelake.operators import evaluate as E
 from carvelake.operators import final_records as R
 from carvelake.operators import machine as M
 from carvelake.operators import verdict as V
-from carvelake.operators.behaviour import behaviours
+from carvelake.operators.behaviour import with_behaviours
 from carvelake.plans.rule_texts import RULE_TEXTS
 from carvelake.sources import detect as D
 
@@ -104,14 +105,41 @@ def literal_tags(spark, d):
     texts = t(spark, d, "documents").select(F.lit("documents").alias("origin"), c("doc_id").alias("id"), "text").unionByName(
         t(spark, d, "conversations").select(F.lit("conversations").alias("origin"), (c("conv_id") * 1000 + c("turn")).alias("id"), "text")
     )
-    tags = G.text_tags(c("text"))
-    return texts.select("origin", "id", tags.alias("tags")).withColumn("suspicious", G.suspicious(c("tags")))
+    return G.with_signals(texts).select("origin", "id", "tags", G.suspicious(c("tags")).alias("suspicious"))
 
 
 @query()
 def shell_and_python_scores(spark, d):
-    texts = t(spark, d, "documents")
-    return texts.select("doc_id", G.shell_score(c("text")).alias("shell_score"), G.python_score(c("text")).alias("python_score"))
+    return G.with_signals(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "shell_score", "python_score")
+
+
+def _requirements() -> str:
+    own = PI.index("signals")
+    lit = lambda g: "'" + g.decode().replace("'", "''") + "'"
+    rows = [f"('{name}', {k}, {len(v)}, {lit(g)})" for name in own.names for k, v in enumerate(own.variants[name]) for g in sorted(v)]
+    return ", ".join(rows)
+
+
+@query(f"""
+WITH needs(pattern, variant, n, gram) AS (VALUES {_requirements()}),
+held AS (SELECT doc_id, gram FROM (SELECT doc_id, lower(text) AS low FROM documents) JOIN (SELECT DISTINCT gram FROM needs) ON contains(low, gram)),
+met AS (SELECT doc_id, pattern FROM held JOIN needs USING (gram) GROUP BY doc_id, pattern, variant, n HAVING count(*) = n)
+SELECT pattern, count(DISTINCT doc_id) AS docs FROM met GROUP BY pattern
+""")
+def pattern_candidates(spark, d):
+    """The required-substring index over all texts: how many of them each pattern has to be run on."""
+    names = F.array(*[F.lit(n) for n in PI.index("signals").names])
+    found = t(spark, d, "documents").select(F.explode(PI.candidates(c("text"), "signals")).alias("k"))
+    return found.groupBy(F.get(names, c("k")).alias("pattern")).agg(F.count("*").alias("docs"))
+
+
+@query(f"""
+SELECT gram, count(*) AS texts FROM (SELECT lower(text) AS low FROM conversations) JOIN (SELECT DISTINCT gram FROM (VALUES {_requirements()}) v(pattern, variant, n, gram)) ON contains(low, gram) GROUP BY gram
+""")
+def required_grams(spark, d):
+    """The index as a relation: in how many turns of conversations each gram that some pattern requires occurs."""
+    rows = t(spark, d, "conversations").select(c("conv_id").alias("key"), "text")
+    return PI.postings(rows, "key", "text", "signals").groupBy("gram").agg(F.count("*").alias("texts"))
 
 
 # --- scalars, detection ---
@@ -631,7 +659,7 @@ def behaviour_rules(spark, d):
     own = F.array(*[F.lit(rule) for rule in RULE_TEXTS])
     k, n = c("event_id") % len(_RULE_CASES), len(RULE_TEXTS)
     e = t(spark, d, "events").select("event_id", k.alias("k"), F.get(texts, k.cast("int")).alias("text"))
-    fired = e.select("event_id", "k", F.explode(F.transform(behaviours(c("text")), lambda r: r["rule"])).alias("rule"))
+    fired = with_behaviours(e, "text").select("event_id", "k", F.explode("fired.rule").alias("rule"))
     return fired.where((c("k") < n) | (c("rule") == F.get(own, (c("k") - n).cast("int")))).select("event_id", "rule")
 
 

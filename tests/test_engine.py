@@ -18,10 +18,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from carvelake.functions import fixed_values as V
+from carvelake.functions import pattern_index
 from carvelake.functions import signals as G
+from carvelake.functions.pattern_index import folded, index, required
 from carvelake.functions.patterns import flattened
 from carvelake.operators import carve, evaluate, machine, verdict
-from carvelake.operators.behaviour import behaviours
+from carvelake.operators.behaviour import with_behaviours
 from carvelake.plans import queries, report
 from carvelake.plans.rule_texts import RULE_TEXTS
 
@@ -137,13 +139,47 @@ TEXTS = ["id", "curl http://x.y/z -o /tmp/a", "import os; os.system('ls')", "/ho
 
 def test_signals_agree_with_python(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "text string")
-    rows = df.select("text", G.shell_rules(F.col("text")).alias("shell"), G.python_rules(F.col("text")).alias("py"), G.text_tags(F.col("text")).alias("tags")).collect()
+    rows = G.with_signals(df).withColumnsRenamed({"shell_rules": "shell", "python_rules": "py"}).collect()
     for r in rows:
         assert r.shell == [n for n, _, _, allow, p in V.SHELL_PATTERNS if re.search(p, r.text.strip()) and not allow]
         assert r.py == [n for n, _, _, _, p in V.PYTHON_PATTERNS if re.search(p, r.text)]
         assert [t for t in r.tags if t in {s[0] for s in V.STRUCTURAL_SIGNALS}] == [s[0] for s in V.STRUCTURAL_SIGNALS if re.search(s[4], r.text)]
 
 
+def test_index_derives_what_a_pattern_requires():
+    need = lambda p: {tuple(sorted(v)) for v in required(p)}
+    assert need("abc") == {("abc",)} and need("a(?:bc|de)f") == {("abcf",), ("adef",)}
+    assert need("a?bcd") == {("abcd",), ("bcd",)} and need("x*bcd") == {("bcd",)} and need("(?:ab)+x") == {("ab", "x")}
+    assert need("ab|c*") == set() and need("[ab]c") == {("ac",), ("bc",)} and need("[^a]b") == {("b",)} and need(r"\bAB\s+cd(?=ef)") == {("ab", "cd")}
+    assert need("a{2,}") == {("a",)} and need(".*") == set() and need("(?i)K") == {("k",)}
+    assert set(index("behaviours").free) == {"ObfuscationBase64.b64_blob"} and not index("signals").free
+
+
+PIECES_OF_TEXT = [*TEXTS, *(x for loud, _, silent in RULE_TEXTS.values() for x in (loud, silent)), "\n", "\r\n\n", "a=1; b", "CURL HTTP://X/Y ", "lambda_ x:", "\u212aeyboard ", "u\u017fermod \u0130d ", "os.\u017fystem", "|", "%x%", "'abcd'", "0>&1", "x" * 50, "A" * 60 + "=", "svch0st.exe"]
+
+
+def test_index_filters_no_firing_text_away(spark):
+    """With and without the index the same patterns fire, over mixtures of all that fires."""
+    import random
+
+    rng = random.Random(4)
+    texts = PIECES_OF_TEXT + [t.upper() for t in PIECES_OF_TEXT] + ["".join(rng.choice(PIECES_OF_TEXT) for _ in range(rng.randint(2, 5))) for _ in range(400)] + [None, ""]
+    texts += [t[rng.randint(0, 5) : -rng.randint(1, 5)] for t in texts if t]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    for f in (lambda i: G.with_signals(df, indexed=i), lambda i: with_behaviours(df, "text", indexed=i)):
+        assert sorted(map(str, f(True).collect())) == sorted(map(str, f(False).collect()))
+    for kind in ("signals", "behaviours"):
+        own = index(kind)
+        assert own.held(texts).tolist() == [[g in folded(t or "") for g in own.grams] for t in texts]
+
+
+def test_index_over_slices_of_a_long_text(monkeypatch):
+    monkeypatch.setattr(pattern_index, "SLICE", 7)
+    own = index("signals")
+    texts = ["some plain words and powershell -enc at the end", None, "x" * 40 + "lambda x:", "", "ab"]
+    assert own.held(texts).tolist() == [[g in folded(t or "") for g in own.grams] for t in texts]
+
+
 def test_signals_late_in_a_long_text_count(spark, tmp_path):
     filler = "plain words go on and on " * 6000
     late = "curl http://x.y/z -o /tmp/a && chmod 755 /tmp/a\nimport os; os.system('ls')\n"
@@ -154,7 +190,8 @@ def test_signals_late_in_a_long_text_count(spark, tmp_path):
     assert {"has_url", "has_python_code"} <= set(tags[2]) and not {"has_url", "has_python_code"} & set(tags[1])
     scores = {r.doc_id: r for r in queries.QUERIES["shell_and_python_scores"](spark, str(tmp_path)).collect()}
     assert scores[2].shell_score > scores[1].shell_score and scores[2].python_score > scores[1].python_score
-    cut = spark.createDataFrame(rows, "doc_id long, turn int, text string").select(G.text_tags(F.col("text"), limit=G.REFERENCE_LIMIT).alias("tags"))
+    cut = spark.createDataFrame(rows, "doc_id long, turn int, text string")
+    cut = G.with_signals(cut, limit=G.REFERENCE_LIMIT)
     assert all("has_url" not in r.tags for r in cut.collect())
 
 
@@ -242,7 +279,7 @@ def test_nothing_is_ever_loaded():
 def test_every_rule_has_a_firing_and_a_silent_text(spark):
     assert set(RULE_TEXTS) == set(V.BEHAVIOURS)
     rows = [(rule, fires, text) for rule, (loud, _, silent) in RULE_TEXTS.items() for fires, text in ((True, loud), (False, silent))]
-    fired = spark.createDataFrame(rows, "rule string, fires boolean, text string").withColumn("found", F.transform(behaviours(F.col("text")), lambda x: x["rule"]))
+    fired = with_behaviours(spark.createDataFrame(rows, "rule string, fires boolean, text string"), "text").withColumn("found", F.col("fired.rule"))
     for r in fired.collect():
         assert sorted(r.found) == sorted([r.rule, *RULE_TEXTS[r.rule][1]]) if r.fires else r.rule not in r.found, r
 
