@@ -25,7 +25,7 @@ def scan(spark: SparkSession, path: str, out: str, threshold: float = ENTROPY, u
     large = detect.large_artifacts(spark, path, recursive, most_bytes)
     blobs = saved(carve.carve(files).unionByName(carve.carve_large(large)), "scan-blobs")
     found = saved(verdict.scan_blobs(blobs, threshold=threshold, use_denylist=use_denylist), "scan-hits")
-    findings = saved(carve.container_findings(files), "scan-findings")
+    findings = saved(carve.container_findings(files).unionByName(carve.large_findings(large)), "scan-findings")
     every = files.select("artifact_id", "path", "length", "kind").unionByName(large.withColumn("kind", F.lit("large")))
     verdicts = verdict.artifact_verdicts(every, blobs, found, findings).join(every, "artifact_id")
     for name, table in {

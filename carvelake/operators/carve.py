@@ -50,20 +50,24 @@ def _numpy_payload(data: bytes) -> bytes:
     return data[at + size :]
 
 
+class TooFar(ValueError):
+    """Something inflates beyond the limits, so it is not scanned."""
+
+
 def _bounded(reader, size: int) -> bytes:
     """Reads to the end, but no more than the limits allow."""
     out, total = [], 0
     while chunk := reader(1 << 20):
         total += len(chunk)
         if total > INFLATE or total > RATIO * max(size, 1):
-            raise ValueError("inflates too far")
+            raise TooFar("inflates too far")
         out.append(chunk)
     return b"".join(out)
 
 
-def inverted(data: bytes) -> list[tuple[str, bytes]]:
-    """Every codec whose magic matches, with what it holds."""
-    found = []
+def inverted(data: bytes) -> list[tuple[str, bytes | None]]:
+    """Every codec whose magic matches, with what it holds; None if that is too much."""
+    found: list[tuple[str, bytes | None]] = []
     opened = {
         "gzip": (data[:2] == b"\x1f\x8b", lambda: _bounded(gzip.GzipFile(fileobj=io.BytesIO(data)).read, len(data))),
         "bz2": (data[:3] == b"BZh", lambda: _bounded(bz2.BZ2File(io.BytesIO(data)).read, len(data))),
@@ -78,6 +82,9 @@ def inverted(data: bytes) -> list[tuple[str, bytes]]:
         if matches:
             try:
                 out = opener()
+            except TooFar:
+                found.append((name, None))
+                continue
             except Exception:  # noqa: BLE001 not this codec after all
                 continue
             if out and out != data:
@@ -92,7 +99,7 @@ def _zlib(data: bytes) -> bytes:
         rest = d.unconsumed_tail
         total += len(part)
         if total > INFLATE or total > RATIO * len(data):
-            raise ValueError("inflates too far")
+            raise TooFar("inflates too far")
         out.append(part)
     return b"".join(out)
 
@@ -175,9 +182,13 @@ def is_tar(data: bytes) -> bool:
         return False
 
 
-def members(data: bytes) -> list[tuple[str, bytes]]:
-    """Admitted members of a zip or tar archive, by falling score."""
-    out: list[tuple[str, bytes]] = []
+def _wanted(name: str, head: bytes) -> bool:
+    return name.split("/")[-1] in ("pickle", "data.pkl") or admits(name, head)
+
+
+def members(data: bytes) -> list[tuple[str, bytes | None]]:
+    """Admitted members of a zip or tar archive, by falling score; None for one that inflates too far."""
+    out: list[tuple[str, bytes | None]] = []
     if data[:4] == b"PK\3\4":
         try:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -186,6 +197,8 @@ def members(data: bytes) -> list[tuple[str, bytes]]:
                         try:
                             with z.open(info) as f:
                                 out.append((info.filename, _bounded(f.read, info.compress_size)))
+                        except TooFar:
+                            out.append((info.filename, None))
                         except Exception:  # noqa: BLE001 one bad member does not stop the others
                             continue
         except zipfile.BadZipFile:
@@ -196,27 +209,30 @@ def members(data: bytes) -> list[tuple[str, bytes]]:
                 out = [(m.name, _bounded(t.extractfile(m).read, len(data))) for m in t.getmembers() if m.isfile()]
         except Exception:  # noqa: BLE001 not a tar archive
             return []
-    kept = [(n, b) for n, b in out if n.split("/")[-1] in ("pickle", "data.pkl") or admits(n, b[:512])]
-    return sorted(kept, key=lambda m: -score(m[0]))
+    return sorted(((n, b) for n, b in out if b is None or _wanted(n, b[:512])), key=lambda m: -score(m[0]))
 
 
-def member_names(data: bytes) -> list[str]:
+def member_names(file) -> list[str]:
+    """Names of the members of a seekable archive file."""
+    head = file.read(4)
+    file.seek(0)
     try:
-        if data[:4] == b"PK\3\4":
-            return zipfile.ZipFile(io.BytesIO(data)).namelist()
-        return tarfile.open(fileobj=io.BytesIO(data), mode="r:*").getnames()
+        if head == b"PK\3\4":
+            with zipfile.ZipFile(file) as z:
+                return z.namelist()
+        with tarfile.open(fileobj=file, mode="r:*") as t:
+            return t.getnames()
     except Exception:  # noqa: BLE001
         return []
 
 
-def findings(data: bytes) -> list[str]:
-    """Names of top-level members that leave their folder, sorted, eight at most; and of duplicates, five at most."""
-    names = member_names(data)
-    return sorted({n for n in names if _UNSAFE.search(n)})[:8]
+def name_findings(names: list[str]) -> tuple[list[str], list[str]]:
+    """Names of members that leave their folder, sorted, eight at most; and of duplicates, five at most."""
+    return sorted({n for n in names if _UNSAFE.search(n)})[:8], sorted(n for n, c in Counter(names).items() if c > 1)[:5]
 
 
-def duplicates(data: bytes) -> list[str]:
-    return sorted(n for n, c in Counter(member_names(data)).items() if c > 1)[:5]
+def findings(data: bytes) -> list[str]:
+    return name_findings(member_names(io.BytesIO(data)))[0]
 
 
 def walk(data: bytes, start: int) -> dict:
@@ -328,20 +344,33 @@ def carve_bytes(data: bytes, label: str = "") -> list[dict]:
                     got |= emit(part[a:b], where, "joblib_pickle_segment", a, b, True)
             if ends_complete(part):
                 got |= emit(part, where, "routed_pickle", 0, len(part), True)
-        own = members(part) if part[:4] == b"PK\3\4" or is_tar(part) else []
+        every = members(part) if part[:4] == b"PK\3\4" or is_tar(part) else []
+        out.extend(not_scanned(f"{where}/{name}", "inflates too far") for name, body in every if body is None)
+        own = [(name, body) for name, body in every if body is not None]
         for name, body in own:
             got |= route(body, f"{where}/{name}", depth + 1)
         if len(own) > 1 and sum(len(b) for _, b in own) <= JOIN_PROBE:
             got |= route(b"".join(b for _, b in own), f"{where}!join", depth + 1)
         for codec, body in inverted(part):
-            got |= route(body, f"{where}!{codec}", depth + 1)
+            if body is None:
+                out.append(not_scanned(f"{where}!{codec}", "inflates too far"))
+            else:
+                got |= route(body, f"{where}!{codec}", depth + 1)
         if not got:
             for f in grammar(part):
                 got |= emit(part[f["start"] : f["end"]], where, f["kind"], f["start"], f["end"], f["complete"], f["resyncs"])
         return got
 
     route(data, label, 0)
-    return out
+    return [b | {"blob_seq": k} for k, b in enumerate(out)]
+
+
+NOT_SCANNED = "not_scanned"
+
+
+def not_scanned(where: str, why: str) -> dict:
+    """The row of something that was given up: no content, and the reason in its name."""
+    return {"blob_seq": 0, "logical_name": f"{where} ({why})", "source_kind": NOT_SCANNED, "sha256": "", "size": 0, "offset_start": 0, "offset_end": 0, "complete": False, "resync_count": 0, "content": b""}
 
 
 #: Bytes that one batch of streams may hold, about.
@@ -382,83 +411,297 @@ def container_findings(artifacts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [c.as_py() or b"" for c in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([findings(d) for d in data], pa.list_(pa.string())), pa.array([duplicates(d) for d in data], pa.list_(pa.string()))], ["artifact_id", "unsafe_names", "duplicate_names"])
+            yield _finding_rows(batch.column(0), [name_findings(member_names(io.BytesIO(c.as_py() or b""))) for c in batch.column(1)])
+
+    return artifacts.select("artifact_id", "content").mapInArrow(run, FINDINGS_DDL)
+
+
+FINDINGS_DDL = "artifact_id string, unsafe_names array<string>, duplicate_names array<string>"
+
+
+def _finding_rows(ids: pa.Array, found: list[tuple[list[str], list[str]]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, *(pa.array([f[k] for f in found], pa.list_(pa.string())) for k in (0, 1))], ["artifact_id", "unsafe_names", "duplicate_names"])
+
+
+def large_findings(files: DataFrame) -> DataFrame:
+    """`container_findings` of files (artifact_id, path) that are too large for a cell: only their directories or headers are read, where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column(1).to_pylist():
+                with opened(path) as file:
+                    found.append(name_findings(member_names(file)))
+            yield _finding_rows(batch.column(0), found)
+
+    n = max(files.count(), 1)
+    return files.select("artifact_id", "path").repartition(n, "artifact_id").mapInArrow(run, FINDINGS_DDL)
+
+
+def opened(path: str):
+    """A file of any store that Arrow knows, opened for reading anywhere in it."""
+    import pyarrow.fs as pafs
+
+    store, inner = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return store.open_input_file(inner)
+
+
+#: Bytes that are searched at once, how far windows overlap, and how far a window grows for one stream.
+WINDOW, OVERLAP, MOST_STREAM = 256 << 20, 1 << 20, 512 << 20
+
+
+class Forward:
+    """A reader that can give back what was read, and that stops where something inflates beyond the ratio.
+
+    read: bytes of at most the size asked for. What was read before damage or the limit comes out first; then ``error`` tells.
+    """
+
+    def __init__(self, read, packed: int | Forward | None = None):
+        """packed: how many bytes it is made of, or the reader that they are taken from."""
+        self._read, self._back, self._total, self._packed = read, b"", 0, packed
+        self.error: Exception | None = None
+
+    def read(self, size: int = -1) -> bytes:
+        if 0 <= size < len(self._back):
+            out, self._back = self._back[:size], self._back[size:]
+            return out
+        parts, self._back = [self._back], b""
+        left = size - len(parts[0]) if size >= 0 else 1 << 62
+        while left > 0 and self.error is None:
+            try:
+                chunk = self._read(min(left, 1 << 20))
+            except Exception as e:  # noqa: BLE001 each codec has errors of its own
+                self.error = e
+                break
+            self._total += len(chunk)
+            packed = self._packed.at if isinstance(self._packed, Forward) else self._packed
+            if packed is not None and self._total > RATIO * max(packed, 1):
+                self.error = TooFar("inflates too far")
+            elif not chunk:
+                break
+            else:
+                parts.append(chunk)
+                left -= len(chunk)
+        found = b"".join(parts)
+        if self.error is not None and not found and size:
+            raise self.error
+        return found
+
+    def back(self, data: bytes) -> None:
+        self._back = data + self._back
+
+    @property
+    def at(self) -> int:
+        """How many bytes have been taken."""
+        return self._total - len(self._back)
+
+    def told(self, where: str) -> Iterator[dict]:
+        if self.error is not None:
+            yield not_scanned(where, f"{type(self.error).__name__}: {self.error}"[:200])
+
+
+class _Inflating:
+    """What a decompressor object of zlib's kind makes of a reader; ``rest`` is what came after its end."""
+
+    def __init__(self, source: Forward, unpack):
+        self.source, self.unpack, self.rest = source, unpack, b""
+
+    def read(self, size: int) -> bytes:
+        while not self.unpack.eof:
+            data = self.unpack.unconsumed_tail or self.source.read(1 << 16)
+            out = self.unpack.decompress(data, size)
+            if out:
+                return out
+            if not data:
+                break
+        if self.unpack.unused_data and not self.rest:
+            self.rest = self.unpack.unused_data
+        return b""
+
+
+def decoder(source: Forward, head: bytes) -> tuple[str, Forward] | None:
+    """The codec that a stream begins with, and what it holds, as a stream."""
+    if head[:2] == b"\x1f\x8b":
+        return "gzip", Forward(gzip.GzipFile(fileobj=source).read, source)
+    if head[:3] == b"BZh":
+        return "bz2", Forward(bz2.BZ2File(source).read, source)
+    if head[:6] == b"\xfd7zXZ\0":
+        return "xz", Forward(lzma.LZMAFile(source).read, source)
+    if head[:1] == b"\x5d" and head[5:13] in (b"\xff" * 8, head[5:10] + bytes(3)):
+        return "lzma", Forward(lzma.LZMAFile(source, format=lzma.FORMAT_ALONE).read, source)
+    if head[:4] == b"\x04\x22\x4d\x18" and lz4_frame is not None:
+        return "lz4", Forward(lz4_frame.LZ4FrameFile(source).read, source)
+    if head[:4] == b"\x28\xb5\x2f\xfd" and zstandard is not None:
+        return "zstd", Forward(zstandard.ZstdDecompressor().stream_reader(source).read, source)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] << 8 | head[1]) % 31 == 0:
+        return "zlib", Forward(_Inflating(source, zlib.decompressobj()).read, source)
+    if head[:6] == b"\x93NUMPY":
+        source.read(len(head) - len(_numpy_payload(head)))
+        return "npy", source
+    return None
+
+
+def local_streams(source: Forward) -> Iterator[tuple[str, Forward, int, int]]:
+    """Members of a zip archive that is read forwards only, by their local headers: name, contents, where the header is, and method. The next one comes when the last was taken."""
+    while (start := source.at) >= 0 and (raw := source.read(30))[:4] == b"PK\3\4" and len(raw) == 30:
+        flags, method = struct.unpack_from("<HH", raw, 6)
+        packed, _, n, extra = struct.unpack_from("<IIHH", raw, 18)
+        name = source.read(n).decode("utf-8", "replace")
+        source.read(extra)
+        if method == 8:
+            inner = _Inflating(source, zlib.decompressobj(-15))
+            yield name, Forward(inner.read), start, method
+            while inner.read(1 << 20):
+                pass
+            source.back(inner.rest)
+        elif flags & 8 and not packed:
+            yield name, source, start, method  # its end is told behind it only
+            return
+        else:
+            left = [packed]
+
+            def read(size: int, left=left) -> bytes:
+                data = source.read(min(size, left[0]))
+                left[0] -= len(data)
+                return data
+
+            yield name, Forward(read), start, method
+            while read(1 << 20):
+                pass
+        if flags & 8:
+            found = source.read(1 << 16)
+            at = min((p for p in (found.find(m) for m in (b"PK\3\4", b"PK\1\2", b"PK\5\6")) if p >= 0), default=len(found))
+            source.back(found[at:])
+
 
-    return artifacts.select("artifact_id", "content").mapInArrow(run, "artifact_id string, unsafe_names array<string>, duplicate_names array<string>")
+def open_stream(data: bytes, rows: list[dict]) -> int:
+    """Where the first stream begins that reaches the end of the bytes without an end of its own; their length if there is none."""
+    ends = {b["offset_start"]: b["offset_end"] for b in rows if b["complete"]}
+    at = 0
+    while m := _HEADER.search(data, at):
+        at = ends.get(m.start(), 0)
+        if not at:
+            f = walk(data, m.start())
+            if not f["complete"] and f["end"] >= len(data) and f["ops"] >= LEAST_OPS:
+                return m.start()
+            at = f["end"] if f["complete"] else m.start() + 1
+    return len(data)
+
+
+def _windows(source: Forward, where: str, window: int, overlap: int) -> Iterator[dict]:
+    """Streams of raw bytes. The next window begins at the first stream that reaches the end of the last one, and grows for a stream that fills it."""
+    at, data, wanted = 0, b"", window
+    while True:
+        data += source.read(wanted - len(data))
+        last = len(data) < wanted
+        rows = carve_bytes(data, where)
+        open_at = len(data) if last else open_stream(data, rows)
+        if not last and open_at == 0 and wanted < MOST_STREAM:
+            wanted = min(2 * wanted, MOST_STREAM)
+            continue
+        if not last and open_at == 0:
+            yield not_scanned(where, "a stream longer than a window may grow")
+            open_at = len(data)
+        yield from (b | {"offset_start": b["offset_start"] + at, "offset_end": b["offset_end"] + at} for b in rows if last or b["offset_start"] < open_at)
+        if last:
+            yield from source.told(where)
+            return
+        step = max(min(open_at, len(data) - overlap), 1)
+        at, data, wanted = at + step, data[step:], max(window, len(data) - step + 1)
+
+
+def _carve_stream(source: Forward, where: str, depth: int, window: int, overlap: int) -> Iterator[dict]:
+    """Streams of a reader of any length, layer by layer, with no more than a window of each in memory; what fits a window is carved as `carve_bytes` does."""
+    if depth > DEPTH:
+        return
+    try:
+        data = source.read(window + 1)
+        if len(data) <= window:
+            yield from carve_bytes(data, where)
+            yield from source.told(where)
+            return
+        source.back(data)
+        layer = decoder(source, data[: 1 << 16])
+        if layer is not None:
+            yield from _carve_stream(layer[1], f"{where}!{layer[0]}", depth + 1, window, overlap)
+        elif data[:4] == b"PK\3\4":
+            yield from _carve_members(((name, body) for name, body, *_ in local_streams(source)), where, depth, window, overlap)
+        elif is_tar(data[:1024] + bytes(1024)):
+            with tarfile.open(fileobj=source, mode="r|") as t:
+                yield from _carve_members(((m.name, Forward(t.extractfile(m).read)) for m in t if m.isfile()), where, depth, window, overlap)
+        else:
+            yield from _windows(source, where, window, overlap)
+    except Exception as e:  # noqa: BLE001 damaged data: what came out so far stays, and the rest is told
+        yield not_scanned(where, f"{type(e).__name__}: {e}"[:200])
 
 
-#: Bytes of a large file that are searched at once, and how far windows overlap.
-WINDOW, OVERLAP = 256 << 20, 1 << 20
+def _carve_members(members: Iterator[tuple[str, Forward]], where: str, depth: int, window: int, overlap: int) -> Iterator[dict]:
+    together: list[bytes] | None = []  # small members are also looked at joined
+    for name, body in members:
+        try:
+            data = body.read(min(JOIN_PROBE, window) + 1)
+        except Exception as e:  # noqa: BLE001 one bad member does not stop the others
+            yield not_scanned(f"{where}/{name}", f"{type(e).__name__}: {e}"[:200])
+            continue
+        body.back(data)
+        if not _wanted(name, data[:512]):
+            continue
+        if together is not None:
+            together = [*together, data] if sum(map(len, together)) + len(data) <= JOIN_PROBE and len(data) <= window else None
+        yield from _carve_stream(body, f"{where}/{name}", depth + 1, window, overlap)
+    if together and len(together) > 1:
+        yield from carve_bytes(b"".join(together), f"{where}!join")
 
 
 def carve_file(file, label: str = "", window: int = WINDOW, overlap: int = OVERLAP) -> Iterator[dict]:
-    """Streams of a seekable file of any size, as `carve_bytes` gives them; a member or a window of it is held at a time.
+    """Streams of a seekable file of any size, as `carve_bytes` gives them, with about a window of each layer in memory.
 
-    Archives are opened member by member. Anything else is searched in windows; the next one begins at the first stream that
-    reaches the end of the last one, so a stream of up to a window comes out whole, and a longer one as far as the window goes.
+    Archives are opened member by member, compressed files are decoded as they are read, and anything else is searched in windows.
+    What has to be given up comes as a row (`not_scanned`).
     """
     seen: set[str] = set()
 
-    def new(rows: list[dict], shift: int = 0) -> Iterator[dict]:
+    def new(rows: Iterator[dict]) -> Iterator[dict]:
         for b in rows:
-            if b["sha256"] not in seen:
+            if b["source_kind"] == NOT_SCANNED or b["sha256"] not in seen:
                 seen.add(b["sha256"])
-                yield b | {"blob_seq": len(seen) - 1, "offset_start": b["offset_start"] + shift, "offset_end": b["offset_end"] + shift}
+                new.n += 1
+                yield b | {"blob_seq": new.n - 1}
 
-    head = file.read(512)
+    new.n = 0
+    head = file.read(4)
     file.seek(0, 2)
     size = file.tell()
     file.seek(0)
-    if head[:4] == b"PK\3\4" and zipfile.is_zipfile(file):
+    if head == b"PK\3\4" and zipfile.is_zipfile(file):
         file.seek(0)
         with zipfile.ZipFile(file) as z:
-            for info in sorted((i for i in z.infolist() if not i.is_dir()), key=lambda i: -score(i.filename)):
-                try:
-                    with z.open(info) as f:
-                        first = f.read(512)
-                        if info.filename.split("/")[-1] in ("pickle", "data.pkl") or admits(info.filename, first):
-                            rest = _bounded(f.read, info.compress_size)
-                            yield from new(carve_bytes(first + rest, f"{label}/{info.filename}"))
-                except (ValueError, OSError, zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError):  # one bad member does not stop the others
-                    continue
-        return
-    file.seek(0)
-    if is_tar(head + bytes(1024)):
-        try:
-            with tarfile.open(fileobj=file, mode="r:") as t:
-                for m in t:
-                    if m.isfile():
-                        f = t.extractfile(m)
-                        first = f.read(512)
-                        if admits(m.name, first):
-                            yield from new(carve_bytes(first + _bounded(f.read, m.size), f"{label}/{m.name}"))
-        except tarfile.TarError:
-            pass
-        return
-    at = 0
-    while at < size:
-        file.seek(at)
-        data = file.read(window)
-        last = at + len(data) >= size
-        rows = carve_bytes(data, label)
-        open_at = min((b["offset_start"] for b in rows if b["offset_end"] >= len(data) and not b["complete"] and b["offset_start"] > 0), default=len(data))
-        yield from new([b for b in rows if last or b["offset_start"] < open_at], at)
-        if last:
-            return
-        at += max(min(open_at, len(data) - overlap), 1)
+
+            def zipped() -> Iterator[tuple[str, Forward]]:
+                for info in sorted((i for i in z.infolist() if not i.is_dir()), key=lambda i: -score(i.filename)):
+                    try:
+                        body = z.open(info)
+                    except Exception:  # noqa: BLE001 one bad member does not stop the others
+                        continue
+                    with body:
+                        yield info.filename, Forward(body.read, info.compress_size)
+
+            yield from new(_carve_members(zipped(), label, 0, window, overlap))
+    else:
+        file.seek(0)
+        yield from new(_carve_stream(Forward(file.read), label, 0, window, overlap))
+    if not new.n:
+        file.seek(0)
+        yield from new(_windows(Forward(file.read), label, max(window, min(size, window)), overlap))
 
 
 def carve_large(files: DataFrame, window: int = WINDOW) -> DataFrame:
     """Streams of files that are too large for a cell (artifact_id, path): a task opens them where they lie. One file is one task's work, a window at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs as pafs
-
         for batch in batches:
             for artifact, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                store, inner = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-                with store.open_input_file(inner) as file:
+                with opened(path) as file:
                     for b in carve_file(file, artifact, window):
                         yield pa.RecordBatch.from_pylist([b | {"artifact_id": artifact, "blob_id": f"{artifact}:{b['blob_seq']}"}], _BLOBS)
 

@@ -23,6 +23,7 @@ from carvelake.functions.signals import ENTROPY, bytes_tags, suspicious, with_si
 from carvelake.scratch import saved
 
 from .behaviour import with_behaviours
+from .carve import NOT_SCANNED
 from .machine import opcodes, protocol_of, scan_calls
 from .vocabulary import CODE_POSITIONS, NAME_POSITIONS, alias_names, canonical, gateways, use_aliases
 
@@ -307,13 +308,14 @@ def scan_blobs(blobs: DataFrame, calls_of=None, threshold: float = ENTROPY, use_
 
 
 def artifact_verdicts(artifacts: DataFrame, blobs: DataFrame, found: DataFrame, unsafe_names: DataFrame) -> DataFrame:
-    """The verdict of each artifact: Unsafe, Review, Low, or No issue, with its counts."""
+    """The verdict of each artifact: Unsafe, Review, Not scanned (a part of it was given up), Low, or No issue, with its counts."""
     per = found.join(blobs.select("blob_id", "artifact_id"), "blob_id").groupBy("artifact_id").agg(
         F.count("*").alias("n_hits"), F.count_if(F.col("verdict") == "Unsafe").alias("n_unsafe"), F.count_if(F.col("verdict") == "Review").alias("n_review"), F.count_if(F.col("verdict") == "Low").alias("n_low"),
         F.array_sort(F.collect_set("canonical")).alias("callables"),
     )
-    counts = blobs.groupBy("artifact_id").agg(F.count("*").alias("n_streams"))
+    given_up = F.col("source_kind") == NOT_SCANNED
+    counts = blobs.groupBy("artifact_id").agg(F.count_if(~given_up).alias("n_streams"), F.count_if(given_up).alias("n_not_scanned"))
     out = artifacts.select("artifact_id").join(counts, "artifact_id", "left").join(per, "artifact_id", "left").join(unsafe_names.select("artifact_id", "unsafe_names"), "artifact_id", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    final = F.when(F.col("n_unsafe") > 0, "Unsafe").when((F.col("n_review") > 0) | (F.size("unsafe_names") > 0), "Review").when(F.col("n_low") > 0, "Low").otherwise("No issue")
-    return out.select("artifact_id", n("n_streams"), n("n_hits"), n("n_unsafe"), n("n_review"), n("n_low"), F.coalesce("callables", F.array().cast("array<string>")).alias("callables"), final.alias("verdict"))
+    final = F.when(F.col("n_unsafe") > 0, "Unsafe").when((F.col("n_review") > 0) | (F.size("unsafe_names") > 0), "Review").when(F.col("n_not_scanned") > 0, "Not scanned").when(F.col("n_low") > 0, "Low").otherwise("No issue")
+    return out.select("artifact_id", n("n_streams"), n("n_not_scanned"), n("n_hits"), n("n_unsafe"), n("n_review"), n("n_low"), F.coalesce("callables", F.array().cast("array<string>")).alias("callables"), final.alias("verdict"))

@@ -6,9 +6,11 @@ import gzip
 import io
 import pickle
 import tarfile
+import uuid
 import zipfile
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,9 @@ from carvelake.operators import machine as M
 from carvelake.operators import verdict as V
 from carvelake.operators.behaviour import with_behaviours
 from carvelake.plans.rule_texts import RULE_TEXTS
+from carvelake.scratch import saved, scratch_root
 from carvelake.sources import detect as D
+from carvelake.sources import members
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -629,6 +633,45 @@ def call_sites(spark, d):
     return calls.select(c("blob_id").cast("long").alias("event_id"), "qualname", F.size("literals").alias("n_literals"), "denied")
 
 
+def _supplier_archives(spark, d) -> str:
+    """A folder with a file for each supplier: a zip archive with one to three members, or a compressed or plain stream."""
+    folder = f"{scratch_root(spark)}/archives-{uuid.uuid4().hex}"
+
+    def run(batches):
+        for batch in batches:
+            store, inner = pafs.FileSystem.from_uri(folder)
+            store.create_dir(inner)
+            for key, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                stream = pickle.dumps([name, key], 2)
+                box = io.BytesIO()
+                if key % 4:
+                    with zipfile.ZipFile(box, "w") as z:
+                        for j in range(key % 4):
+                            z.writestr(f"m{j}/part.{'pkl' if j else 'txt'}", stream + b"0" * j, zipfile.ZIP_DEFLATED if key % 3 == 0 else zipfile.ZIP_STORED)
+                else:
+                    box.write(gzip.compress(stream) if key % 8 else stream)
+                with store.open_output_stream(f"{inner}/{key}.bin") as f:
+                    f.write(box.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    t(spark, d, "supplier").select("s_suppkey", "s_name").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, 15 + length(s_name) + CASE WHEN s_suppkey < 256 THEN 2 WHEN s_suppkey < 65536 THEN 3 ELSE 5 END AS n FROM supplier),
+m AS (SELECT k, n, unnest(range(k % 4)) AS j FROM s WHERE k % 4 > 0)
+SELECT k AS archive, 'zip' AS layout, 'm' || j || CASE WHEN j = 0 THEN '/part.txt' ELSE '/part.pkl' END AS member, CASE WHEN k % 3 = 0 THEN 'deflated' ELSE 'stored' END AS method,
+  CASE WHEN k % 3 > 0 THEN j * (30 + 11 + n) + j * (j - 1) // 2 END AS offset, n + j AS size, CASE WHEN j = 0 THEN 0 ELSE 40 END AS score, 'pickle' AS kind FROM m
+UNION ALL SELECT k, CASE WHEN k % 8 > 0 THEN 'gzip' ELSE 'pickle' END, NULL, CASE WHEN k % 8 > 0 THEN 'gzip' END, NULL, NULL, 0, 'pickle' FROM s WHERE k % 4 = 0
+""")
+def archive_members(spark, d):
+    """Archives made from suppliers, listed by the member source: stored members tell where they lie."""
+    found = members.read_members(spark, _supplier_archives(spark, d))
+    own = F.regexp_extract("path", r"/(\d+)\.bin$", 1).cast("long").alias("archive")
+    return found.select(own, "layout", "member", "method", F.when(c("method") == "stored", c("offset")).alias("offset"), "size", "score", "kind")
+
+
 @query("""
 SELECT event_id, CASE WHEN event_type = 'error' THEN 'Unsafe' ELSE 'Low' END AS verdict FROM events WHERE event_type IN ('error', 'view')
 """)

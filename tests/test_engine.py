@@ -26,6 +26,7 @@ from carvelake.operators import carve, evaluate, machine, verdict
 from carvelake.operators.behaviour import with_behaviours
 from carvelake.plans import queries, report
 from carvelake.plans.rule_texts import RULE_TEXTS
+from carvelake.sources import members
 
 
 def text_op(s):
@@ -342,6 +343,63 @@ def test_large_files_are_carved_by_members_and_windows():
         assert [b["content"] for b in carve.carve_file(io.BytesIO(data))] == [b["content"] for b in carve.carve_bytes(data)]
 
 
+def _layers(rng):
+    """One file of each codec and container, with several streams inside, each far larger than the windows it is read by."""
+    streams = [pickle.dumps([f"stream {k}", rng.random()], 2 + k % 3) for k in range(6)] + [pickle.dumps([rng.random() for _ in range(900)], 4)]
+    noise = lambda: bytes(rng.choice(b"\x01\x7f\xfe") for _ in range(rng.randrange(2000, 9000)))
+    raw = b"\x01" + b"".join(noise() + s for s in streams) + noise()
+    out = {"raw": raw} | {k: boxed(raw, k) for k in ("zip", "tar", "gzip", "bz2", "xz", "zlib")}
+    out["lzma"] = lzma.compress(raw, format=lzma.FORMAT_ALONE)
+    if carve.zstandard:
+        out["zstd"] = carve.zstandard.ZstdCompressor().compress(raw)
+    head = b"{'descr': '|u1', 'fortran_order': False, 'shape': (%d,), }" % len(raw)
+    head += b" " * (-(len(head) + 11) % 64) + b"\n"
+    out["npy"] = b"\x93NUMPY\x01\x00" + len(head).to_bytes(2, "little") + head + raw
+    box = io.BytesIO()
+    with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("model/a.pkl", raw)
+        z.writestr("model/b.pkl", raw[::-1] + streams[0], zipfile.ZIP_STORED)
+        z.writestr("model/c.txt", noise())
+    out["members"] = box.getvalue()
+    out["headers"] = box.getvalue()[: box.getvalue().index(b"PK\1\2")]
+    for outer, inner in (("gzip", "tar"), ("bz2", "zip"), ("tar", "gzip"), ("zip", "xz"), ("xz", "members"), ("gzip", "headers")):
+        out[f"{inner} in {outer}"] = boxed(out[inner], outer)
+    return streams, out
+
+
+def test_large_files_lose_no_stream_of_any_layer():
+    import random
+
+    streams, files = _layers(random.Random(3))
+    for name, data in files.items():
+        whole = {b["sha256"] for b in carve.carve_bytes(data) if b["content"] in streams}
+        assert len(whole) == len(streams), name
+        for window in (len(data) // 10, 4096, 20_000):
+            found = list(carve.carve_file(io.BytesIO(data), window=window, overlap=512))
+            assert whole <= {b["sha256"] for b in found}, (name, window)
+            assert [b["blob_seq"] for b in found] == list(range(len(found))) and not [b for b in found if b["source_kind"] == carve.NOT_SCANNED], (name, window)
+
+
+def test_what_is_given_up_is_told(monkeypatch):
+    monkeypatch.setattr(carve, "RATIO", 20)
+    bomb = {k: boxed(bytes(3_000_000), k) for k in ("zip", "gzip", "xz", "zlib")}
+    for name, data in bomb.items():
+        for found in (carve.carve_bytes(data), list(carve.carve_file(io.BytesIO(data), window=100_000))):
+            told = [b["logical_name"] for b in found if b["source_kind"] == carve.NOT_SCANNED]
+            if name in ("zip", "gzip", "zlib") or found:
+                assert name == "xz" or told, name
+    monkeypatch.setattr(carve, "MOST_STREAM", 1 << 14)
+    long = pickle.dumps(list(range(50_000)), 2)
+    assert any(b["source_kind"] == carve.NOT_SCANNED for b in carve.carve_file(io.BytesIO(b"\x01" + long), window=4096, overlap=64))
+    monkeypatch.undo()
+    import random
+
+    body = random.Random(2).randbytes(40_000) + pickle.dumps(["kept", 1], 2)
+    damaged = gzip.compress(body + random.Random(4).randbytes(40_000))[:-900]
+    found = list(carve.carve_file(io.BytesIO(damaged), window=4096, overlap=64))
+    assert any(b["source_kind"] == carve.NOT_SCANNED for b in found) and any(b["content"] == pickle.dumps(["kept", 1], 2) for b in found)
+
+
 def test_scan_job(spark, tmp_path):
     from carvelake import jobs
 
@@ -369,3 +427,31 @@ def test_json_lines_keep_malformed_rows(spark, tmp_path):
     assert sorted(str((r.a, r.b, r._corrupt_record)) for r in rows) == ["(1, None, None)", "(None, 'x', None)", "(None, None, '{broken')"]
     with pytest.raises(Exception, match="(?i)malformed"):
         records.read_jsonl(spark, str(path), "a int, b string").collect()
+
+
+def test_members_as_a_source(spark, tmp_path):
+    import random
+
+    _, files = _layers(random.Random(3))
+    for name, data in files.items():
+        (tmp_path / name.replace(" ", "_")).write_bytes(data)
+    (tmp_path / "plain.pkl").write_bytes(pickle.dumps([1, "x"], 4))
+    (tmp_path / "broken.zip").write_bytes(b"PK\3\4" + b"\x00" * 40)
+    (tmp_path / "_hidden").write_bytes(b"x")
+    for size in (1 << 28, 20_000, 3_000):
+        rows = members.read_members(spark, str(tmp_path), rangeBytes=size).collect()
+        of = lambda n: sorted((r.member, r.method, r.size) for r in rows if r.path.endswith(f"/{n}"))
+        with zipfile.ZipFile(io.BytesIO(files["members"])) as z:
+            want = [(i.filename, {0: "stored", 8: "deflated"}[i.compress_type], i.file_size) for i in z.infolist()]
+        assert of("members") == of("headers") == sorted(want)
+        assert {r.layout for r in rows if r.path.endswith("/headers")} == {"streaming_zip"}
+        assert of("tar") == [("data.pkl", "stored", len(files["raw"]))] and len(rows) == len(files) + 2 + 4
+        kinds = {os.path.basename(r.path): (r.layout, r.mode, bytes(r.head[:16])) for r in rows if r.member is None}
+        assert kinds["gzip"] == ("gzip", "wrapper_payload_extract", files["raw"][:16]) and kinds["lzma"][0] == "lzma" and kinds["plain.pkl"][:2] == ("pickle", "raw_pickle_file")
+        assert kinds["tar_in_gzip"][2] == files["tar"][:16] and kinds["raw"][0] == "unknown"
+    found = members.read_members(spark, str(tmp_path)).where("member like 'model/%' and length > 0 and path like '%members'")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.member for r in found.collect()) == ["model/a.pkl", "model/b.pkl", "model/c.txt"] and "StartsWith" not in plan.split("Scan")[0]
+    reader = members.MemberReader({"path": str(tmp_path)})
+    left = list(reader.pushFilters([members.GreaterThan(("length",), 10**12), members.EqualTo(("size",), 1)]))
+    assert [f.attribute for f in left] == [("size",)] and reader.partitions() == []
