@@ -15,9 +15,9 @@ from carvelake.session import session, ship
 from carvelake.sources import detect, records
 
 
-def scan(spark: SparkSession, path: str, out: str, threshold: float = ENTROPY, use_denylist: bool = True, recursive: bool = False, most_bytes: int = 512 << 20) -> None:
+def scan(spark: SparkSession, path: str, out: str, threshold: float = ENTROPY, use_denylist: bool = True, recursive: bool = False, most_bytes: int = 512 << 20, most_literal: int | None = verdict.PREVIEW) -> None:
     """Carves and judges all files of a folder and writes, below ``out``: streams (without contents), hits, arguments, labelled
-    (JSON, one record a stream), summary (a row for each stream), findings (of archives) and verdicts (a row for each file).
+    (JSON), summary (a row for each stream), findings (of archives) and verdicts (a row for each file).
 
     Files beyond ``most_bytes`` are carved where they lie, by windows and members.
     """
@@ -29,7 +29,7 @@ def scan(spark: SparkSession, path: str, out: str, threshold: float = ENTROPY, u
     every = files.select("artifact_id", "path", "length", "kind").unionByName(large.withColumn("kind", F.lit("large")))
     verdicts = verdict.artifact_verdicts(every, blobs, found, findings).join(every, "artifact_id")
     for name, table in {
-        "streams": blobs.drop("content"), "hits": found, "arguments": verdict.report_arguments(found), "summary": report.blob_summary(found), "findings": findings, "verdicts": verdicts,
+        "streams": blobs.drop("content"), "hits": found, "arguments": verdict.report_arguments(found, most_literal), "summary": report.blob_summary(found), "findings": findings, "verdicts": verdicts,
     }.items():
         table.write.mode("overwrite").parquet(f"{out}/{name}")
     records.write_labelled(found, f"{out}/labelled")
@@ -43,8 +43,9 @@ def main() -> None:
     p.add_argument("--no-denylist", action="store_true", help="judge by literals only")
     p.add_argument("--recursive", action="store_true")
     p.add_argument("--most-bytes", type=int, default=512 << 20, help="larger files are carved by windows and members")
+    p.add_argument("--max-literal", type=int, default=verdict.PREVIEW, help="characters of a literal that the table of arguments shows; 0: all")
     a = p.parse_args()
-    scan(ship(session("scan")), a.path, a.out, a.entropy, not a.no_denylist, a.recursive, a.most_bytes)
+    scan(ship(session("scan")), a.path, a.out, a.entropy, not a.no_denylist, a.recursive, a.most_bytes, a.max_literal or None)
 
 
 if __name__ == "__main__":

@@ -290,11 +290,11 @@ def judged(found: DataFrame) -> DataFrame:
     return h.withColumn("verdict", verdict).select("blob_id", "call_seq", "qualname", "canonical", "via", "track", "forced", "placeholder", "reasons", "text", "entropy", "args", "acts", "fired", "demotion", "verdict", "slice_start", "slice_end")
 
 
-def report_arguments(found: DataFrame) -> DataFrame:
-    """What a report shows of each hit's arguments, in order: position among them, kind, role, type, tags, and the text or the placeholder of the bytes, cut to PREVIEW characters."""
+def report_arguments(found: DataFrame, most: int | None = PREVIEW) -> DataFrame:
+    """What a report shows of each hit's arguments, in order: position among them, kind, role, type, tags, and the text or the placeholder of the bytes, cut to ``most`` characters (None: whole)."""
     rows = found.select("blob_id", "call_seq", "canonical", "verdict", F.posexplode("args").alias("at", "a"))
     shown = F.coalesce(F.col("a.text"), F.col("a.shown"), F.lit(""))
-    preview = F.when(F.length(shown) > PREVIEW, F.concat(F.substring(shown, 1, PREVIEW), F.lit("..."))).otherwise(shown)
+    preview = shown if most is None else F.when(F.length(shown) > most, F.concat(F.substring(shown, 1, most), F.lit("..."))).otherwise(shown)
     return rows.select("blob_id", "call_seq", "canonical", "verdict", "at", "a.kind", "a.role", "a.type", "a.tags", preview.alias("value"))
 
 

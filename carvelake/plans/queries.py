@@ -22,8 +22,11 @@ from carvelake.operators import carve as C
 from carvelake.operators import evaluate as E
 from carvelake.operators import final_records as R
 from carvelake.operators import machine as M
+from carvelake.operators import slices as SL
 from carvelake.operators import verdict as V
 from carvelake.operators.behaviour import with_behaviours
+from carvelake.operators.slices import in_ranges
+from carvelake.plans import report
 from carvelake.plans.rule_texts import RULE_TEXTS
 from carvelake.scratch import saved, scratch_root
 from carvelake.sources import detect as D
@@ -440,9 +443,10 @@ def placeholder_shadowing(spark, d):
 SELECT h.event_id AS hit, o.event_id AS op FROM events h JOIN events o ON o.user_id = h.user_id AND o.event_id BETWEEN h.event_id - 500 AND h.event_id WHERE h.event_type = 'error'
 """)
 def context_window(spark, d):
-    e = t(spark, d, "events")
-    h, o = e.where("event_type = 'error'").select(c("event_id").alias("hit"), c("user_id").alias("u")), e.select(c("event_id").alias("op"), "user_id")
-    return h.join(o, (h.u == o.user_id) & o.op.between(h.hit - 500, h.hit)).select("hit", "op")
+    """The operators' interval join by bins: earlier events of the same user close to each error."""
+    e = t(spark, d, "events").select("user_id", "event_id", "event_type")
+    hits = e.where("event_type = 'error'").select("user_id", c("event_id").alias("hit"), (c("event_id") - 500).alias("lo"))
+    return in_ranges(e.select("user_id", c("event_id").alias("op")), hits, "user_id", "op", "lo", "hit").select("hit", "op")
 
 
 @query("""
@@ -706,6 +710,46 @@ def behaviour_rules(spark, d):
     return fired.where((c("k") < n) | (c("rule") == F.get(own, (c("k") - n).cast("int")))).select("event_id", "rule")
 
 
+def _argument_streams(spark, d):
+    """A call for each event: one string, two, a marked tuple of three, an empty one, or strings before the callable too."""
+    b = lambda h: F.unhex(F.lit(h))
+    own = _text_op(F.concat(F.lit("id"), c("event_id").cast("string")))
+    word = lambda s: _text_op(F.lit(s))
+    name = F.lit("cos\nsystem\n").cast("binary")
+    body = (
+        F.when(c("event_id") % 5 == 0, F.concat(name, own, b("85")))
+        .when(c("event_id") % 5 == 1, F.concat(name, own, word("two"), b("86")))
+        .when(c("event_id") % 5 == 2, F.concat(name, b("28"), word("a"), own, word("b"), b("74")))
+        .when(c("event_id") % 5 == 3, F.concat(name, b("29")))
+        .otherwise(F.concat(word("before"), b("30"), name, word("x"), word("y"), own, b("87")))
+    )
+    return t(spark, d, "events").select(c("event_id").cast("string").alias("blob_id"), F.concat(b("8002"), body, b("522E")).alias("content"))
+
+
+@query("""
+SELECT event_id, unnest(CASE event_id % 5 WHEN 0 THEN [s] WHEN 1 THEN [s, 'two'] WHEN 2 THEN ['a', s, 'b'] WHEN 3 THEN [] ELSE ['x', 'y', s] END) AS value,
+  unnest(CASE event_id % 5 WHEN 0 THEN [0] WHEN 1 THEN [0, 1] WHEN 2 THEN [0, 1, 2] WHEN 3 THEN [] ELSE [0, 1, 2] END) AS nth FROM (SELECT event_id, 'id' || event_id AS s FROM events)
+""")
+def slice_arguments(spark, d):
+    """Argument strings of each hit, taken from the opcodes of its slice."""
+    streams = _argument_streams(spark, d)
+    found = V.scan_blobs(streams).select("blob_id", "call_seq", "slice_start", "slice_end", "text")
+    rows = SL.slice_arguments(found, M.pickle_ops(streams))
+    nth = F.row_number().over(Window.partitionBy("blob_id", "call_seq").orderBy("at")) - 1
+    return rows.select(c("blob_id").cast("long").alias("event_id"), "value", nth.alias("nth"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN 4 WHEN 1 THEN 5 WHEN 2 THEN 7 WHEN 3 THEN 3 ELSE 6 END AS ops, 'REDUCE' AS last_op FROM events
+""")
+def opcode_context(spark, d):
+    """How many opcodes the report of each hit shows, without padding, and the last of them."""
+    streams = _argument_streams(spark, d)
+    found = V.scan_blobs(streams).select("blob_id", "call_seq", "slice_start", "slice_end")
+    shown = report.opcode_context(found, M.pickle_ops(streams), padding=0)
+    return shown.select(c("blob_id").cast("long").alias("event_id"), F.size("ops").alias("ops"), F.element_at("ops", -1)["opname"].alias("last_op"))
+
+
 @query("""
 SELECT event_id, h.q AS qualname, h.s AS slice_start FROM (
   SELECT event_id, unnest(CASE WHEN event_id % 2 = 0 THEN [{'q': 'os.system', 's': 5}, {'q': 'os.popen', 's': 9}] ELSE [{'q': 'os.popen', 's': 2}] END) AS h FROM events)

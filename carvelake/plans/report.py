@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carvelake.functions.scalars import truncated
+from carvelake.operators.slices import in_ranges
 
 OPS_SHOWN, PADDING, LITERALS_KEPT = 2000, 5, 32
 
@@ -34,8 +35,9 @@ def compacted(hits: DataFrame, most: int = 256, others: int = LITERALS_KEPT) ->
 
 def opcode_context(hits: DataFrame, ops: DataFrame, padding: int = PADDING, most: int = OPS_SHOWN) -> DataFrame:
     """Opcodes of each hit's slice, with ``padding`` before it, at most ``most``, and whether it was cut."""
-    h = hits.select(F.col("blob_id").alias("b"), "call_seq", F.greatest(F.col("slice_start") - padding, F.lit(0)).alias("lo"), F.col("slice_end").alias("hi"))
-    joined = h.join(ops, (h.b == ops.blob_id) & ops.idx.between(F.col("lo"), F.least(F.col("hi"), F.col("lo") + most - 1)))
+    h = hits.select("blob_id", "call_seq", F.greatest(F.col("slice_start") - padding, F.lit(0)).alias("lo"), F.col("slice_end").alias("hi"))
+    h = h.withColumn("shown_hi", F.least(F.col("hi"), F.col("lo") + most - 1))
+    joined = in_ranges(ops.select("blob_id", "idx", "pos", "opname", "arg_str"), h, "blob_id", "idx", "lo", "shown_hi")
     op = F.struct("idx", "pos", "opname", "arg_str")
     return joined.groupBy("blob_id", "call_seq", "lo", "hi").agg(F.array_sort(F.collect_list(op)).alias("ops")).withColumn("truncated", F.col("hi") - F.col("lo") + 1 > most)
 

@@ -22,7 +22,7 @@ from carvelake.functions import pattern_index
 from carvelake.functions import signals as G
 from carvelake.functions.pattern_index import folded, index, required
 from carvelake.functions.patterns import flattened
-from carvelake.operators import carve, evaluate, machine, verdict
+from carvelake.operators import carve, evaluate, machine, slices, verdict
 from carvelake.operators.behaviour import with_behaviours
 from carvelake.plans import queries, report
 from carvelake.plans.rule_texts import RULE_TEXTS
@@ -455,3 +455,71 @@ def test_members_as_a_source(spark, tmp_path):
     reader = members.MemberReader({"path": str(tmp_path)})
     left = list(reader.pushFilters([members.GreaterThan(("length",), 10**12), members.EqualTo(("size",), 1)]))
     assert [f.attribute for f in left] == [("size",)] and reader.partitions() == []
+
+
+def test_interval_join_by_bins_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    points = [(rng.choice("ab"), rng.randint(-300, 3000)) for _ in range(400)] + [("a", None), (None, 5)]
+    ranges = [(k, rng.choice("abc"), lo := rng.randint(-300, 3000), lo + rng.choice([-1, 0, 1, 255, 256, 257, 2000])) for k in range(60)] + [(99, "a", None, 5), (98, None, 0, 9)]
+    p, r = spark.createDataFrame(points, "s string, x int"), spark.createDataFrame(ranges, "id int, s string, lo int, hi int")
+    want = sorted((k, x) for k, s, lo, hi in ranges for t, x in points if s is not None and s == t and None not in (lo, hi, x) and lo <= x <= hi)
+    for width in (1, 7, 256):
+        assert sorted((q.id, q.x) for q in slices.in_ranges(p, r, "s", "x", "lo", "hi", width).collect()) == want
+
+
+def test_a_hot_stream_is_dealt_over_tasks(spark):
+    """A million opcodes of one stream, a thousand hits: the join's rows lie in many partitions."""
+    ops = spark.range(1_000_000).selectExpr("'s' as blob_id", "int(id) as idx")
+    hits = spark.range(1000).selectExpr("'s' as blob_id", "int(id) as call_seq", "int(id * 1000) as lo", "int(id * 1000 + 99) as hi")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = slices.in_ranges(ops, hits, "blob_id", "idx", "lo", "hi").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in found) == 100_000 and len(found) == 4 and max(r["count"] for r in found) < 40_000
+
+
+def test_slice_arguments_against_plain_code(spark):
+    import random
+
+    rng = random.Random(9)
+    names = ["BINUNICODE", "SHORT_BINUNICODE", "GLOBAL", "STACK_GLOBAL", "TUPLE1", "TUPLE2", "TUPLE3", "EMPTY_TUPLE", "TUPLE", "MARK", "MARK", "REDUCE"]
+
+    def plain(ops, a, b, own):
+        part = [o for o in ops if a <= o[0] <= b]
+        at = max((i for i, n, _ in part if n in slices.CALLABLE_OPS), default=-1)
+        texts = [(i, v) for i, n, v in part if n in slices.UNICODE_OPS]
+        arity = next((slices.ARITIES[n] for _, n, _ in reversed(part) if n in slices.ARITIES), None)
+        found = []
+        if arity is not None:
+            found = [v for i, v in texts if i > at][-arity:] if arity else []
+        elif (end := next((i for i, n, _ in part if n == "TUPLE"), None)) is not None:
+            mark = max((i for i, n, _ in part if n == "MARK" and at < i < end), default=None)
+            found = [v for i, v in texts if mark is not None and mark < i < end]
+        return [own, *(v for v in found if v != own)] if own else found
+
+    ops, hits, want = [], [], {}
+    for s in range(60):
+        kinds = names if s % 2 else [n for n in names if not n.startswith("TUPLE") or n == "TUPLE"]
+        own = [(k, n := rng.choice(kinds), f"v{rng.randint(0, 9)}" if "UNICODE" in n else None) for k in range(rng.randint(1, 30))]
+        ops += [(f"b{s}", *o) for o in own]
+        for c in range(4):
+            a, b = sorted((rng.randint(0, 30), rng.randint(0, 30)))
+            text = rng.choice(["", None, "v1", "other"])
+            hits.append((f"b{s}", c, a, b, text))
+            want[f"b{s}", c] = plain(own, a, b, text)
+    got = {}
+    frames = spark.createDataFrame(hits, "blob_id string, call_seq int, slice_start int, slice_end int, text string"), spark.createDataFrame(ops, "blob_id string, idx int, opname string, arg_str string")
+    for r in slices.slice_arguments(*frames).orderBy("at").collect():
+        got.setdefault((r.blob_id, r.call_seq), []).append(r.value)
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_large_numbers_are_shown_whole(spark):
+    data = pickle.dumps([10**600, 2**40_000, 1.5], 2)
+    shown = [r.arg_str for r in machine.pickle_ops(spark.createDataFrame([("a", bytearray(data))], "blob_id string, content binary")).collect()]
+    assert str(10**600) in shown and hex(2**40_000) in shown
