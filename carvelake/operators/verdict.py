@@ -107,16 +107,22 @@ def literal_table(calls: DataFrame) -> DataFrame:
 def literal_signals(literals: DataFrame, threshold: float = ENTROPY) -> DataFrame:
     """Tags, entropy, type and nested callables of each distinct literal. threshold: entropy from which a text is tagged as dense."""
     distinct = literals.groupBy("sha").agg(F.first("kind").alias("kind"), F.first("text").alias("text"), F.first("bin").alias("bin"))
-    text = with_signals(distinct.where("kind = 'text'"), "text", threshold)
-    text = text.select("sha", F.lit(None).cast("string").alias("shown"), "tags", "entropy", F.when(F.col("text").rlike(r"^[\x00-\xff]*$"), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8")).alias("data"))
-    shown = F.concat(F.lit("[BINBYTES:"), F.lower(F.hex(F.substring("bin", 1, 16))), F.lit(" len="), F.octet_length("bin").cast("string"), F.lit(" fmt="), F.array_join(bytes_tags(F.col("bin")), ","), F.lit("]"))
-    data = distinct.where("kind = 'bytes'").select("sha", shown.alias("shown"), bytes_tags(F.col("bin")).alias("tags"), F.lit(0.0).alias("entropy"), F.col("bin").alias("data"))
-    both = text.unionByName(data)
-    magic = F.exists("tags", lambda t: t.isin("zlib_magic", "pickle_magic", "pickle_magic_p0"))
-    both = both.withColumn("type", F.pandas_udf(_types, StringType())("data", magic))
+    latin = F.when(F.col("text").rlike(r"^[\x00-\xff]*$"), F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    # types come before tags: a Python function above the tags would have Spark write all patterns into its arguments
+    text = _typed(distinct.where("kind = 'text'").select("sha", "text", latin.alias("data")), F.lit(False)).select("sha", "text", "type", "nested")
+    text = with_signals(text, "text", threshold).select("sha", F.lit(None).cast("string").alias("shown"), "tags", "entropy", "type", "nested")
+    tags = bytes_tags(F.col("bin"))
+    shown = F.concat(F.lit("[BINBYTES:"), F.lower(F.hex(F.substring("bin", 1, 16))), F.lit(" len="), F.octet_length("bin").cast("string"), F.lit(" fmt="), F.array_join(tags, ","), F.lit("]"))
+    data = distinct.where("kind = 'bytes'").select("sha", shown.alias("shown"), tags.alias("tags"), F.lit(0.0).alias("entropy"), F.col("bin").alias("data"))
+    data = _typed(data, F.exists("tags", lambda t: t.isin("zlib_magic", "pickle_magic", "pickle_magic_p0"))).drop("data")
+    return text.unionByName(data).withColumn("flagged", suspicious(F.col("tags")))
+
+
+def _typed(rows: DataFrame, magic: Column) -> DataFrame:
+    """``rows`` with type and nested (the callables of a pickle) of their data."""
+    rows = rows.withColumn("type", F.pandas_udf(_types, StringType())("data", magic))
     pickled = (F.col("type") == "T3") & (F.hex(F.substring("data", 1, 1)).isin("80", "63", "28"))
-    nested = F.pandas_udf(_nested, StringType())(F.when(pickled, F.col("data")))
-    return both.withColumn("nested", F.filter(F.split(nested, ","), lambda x: x != "")).select("sha", "shown", "tags", "entropy", "type", "nested", suspicious(F.col("tags")).alias("flagged"))
+    return rows.withColumn("nested", F.filter(F.split(F.pandas_udf(_nested, StringType())(F.when(pickled, F.col("data"))), ","), lambda x: x != ""))
 
 
 _HITS = pa.schema(
