@@ -20,6 +20,7 @@ import zipfile
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -439,10 +440,12 @@ def large_findings(files: DataFrame) -> DataFrame:
 
 
 def opened(path: str):
-    """A file of any store that Arrow knows, opened for reading anywhere in it."""
+    """A file of any store that Arrow knows, opened for reading anywhere in it; the path is Hadoop's, so no character of it is escaped."""
     import pyarrow.fs as pafs
 
-    store, inner = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    if path.startswith(("file:/", "/")):
+        return pafs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    store, inner = pafs.FileSystem.from_uri(quote(path, safe=":/@"))
     return store.open_input_file(inner)
 
 

@@ -9,6 +9,7 @@ stream, over sorted partitions.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from carvelake.scratch import saved
 from .behaviour import with_behaviours
 from .carve import NOT_SCANNED
 from .machine import opcodes, protocol_of, scan_calls
+from .vocabularies import as_of_join
 from .vocabulary import CODE_POSITIONS, NAME_POSITIONS, alias_names, canonical, gateways, use_aliases
 
 # Parameters of type recovery.
@@ -227,8 +229,19 @@ def hits(calls: DataFrame, threshold: float = ENTROPY) -> DataFrame:
     return picked.join(full, ["blob_id", "call_seq"])
 
 
-def judged(found: DataFrame) -> DataFrame:
-    """Verdict columns of the hits: canonical, verdict, rank, acts, grounds, demotion."""
+def with_denied(calls: DataFrame, table: DataFrame) -> DataFrame:
+    """``calls`` with a column version, denied by the table of vocabularies as of that version rather than by the library's own list."""
+    names = calls.withColumn("_canonical", canonical_name(F.coalesce("module", F.lit("")), F.col("name"), F.lit(0)))
+    found = as_of_join(as_of_join(names, table, "denylist", "_canonical", "version", "_one"), table, "denylist", "qualname", "version", "_two")
+    listed = F.coalesce(F.col("_one.qualification").isin("gateway", "indicator"), F.lit(False)) | F.coalesce(F.col("_two.qualification").isin("gateway", "indicator"), F.lit(False))
+    return found.withColumn("denied", listed).drop("_canonical", "_one", "_two")
+
+
+def judged(found: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Verdict columns of the hits: canonical, verdict, rank, acts, grounds, demotion.
+
+    With a table of vocabularies, callables mean what it says as of the hits' own version; without one, what the library's own lists say.
+    """
     h = found.withColumn("canonical", canonical_name(F.coalesce("module", F.lit("")), F.col("name"), F.col("protocol")))
     # a constant table of some thirty rows
     places = [(name, CODE_POSITIONS.get(name, []), NAME_POSITIONS.get(name, [])) for name in sorted(CODE_POSITIONS.keys() | NAME_POSITIONS.keys())]
@@ -248,9 +261,16 @@ def judged(found: DataFrame) -> DataFrame:
     said = F.filter("args", lambda a: a["type"] != "T2")
     h = h.withColumn("rule_text", F.concat_ws(" ", "canonical", F.array_join(F.transform(said, lambda a: F.coalesce(a["text"], a["shown"], F.lit(""))), " "), F.concat(F.lit("[TAGS: "), F.array_join("all_tags", " "), F.lit("]"))))
     h = with_behaviours(h, "rule_text")
-    gate = F.col("canonical").isin(*sorted(gateways())) | F.col("qualname").isin(*sorted(gateways()))
     fields = ("category", "subcategory")
-    standalone, combination = _lookup(F.col("canonical"), V.CALLABLE_STANDALONE, fields), _lookup(F.col("canonical"), V.CALLABLE_COMBINATION, fields)
+    if table is None:
+        gate = F.col("canonical").isin(*sorted(gateways())) | F.col("qualname").isin(*sorted(gateways()))
+        standalone, combination = _lookup(F.col("canonical"), V.CALLABLE_STANDALONE, fields), _lookup(F.col("canonical"), V.CALLABLE_COMBINATION, fields)
+    else:
+        h = as_of_join(h, table, "callable", "canonical", "version", "_said")
+        h = as_of_join(as_of_join(h, table, "denylist", "canonical", "version", "_one"), table, "denylist", "qualname", "version", "_two")
+        gate = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"{c}.qualification").isin("gateway", "bytes_gateway"), F.lit(False)) for c in ("_one", "_two")])
+        said = F.struct(F.col("_said.category").alias("category"), F.col("_said.subcategory").alias("subcategory"))
+        standalone, combination = (F.when(F.col("_said.qualification") == q, said) for q in ("standalone", "combination_required"))
     h = h.withColumn("q_call", F.coalesce(standalone, F.when(combination.isNull() & gate, gateway_label(F.col("canonical"))))).withColumn("c_call", F.when(standalone.isNull(), combination))
     ids = F.flatten(F.transform(F.filter("all_tags", lambda t: t.startswith("has_python_code(")), rule_ids))
     first_ids = F.transform(F.filter("args", lambda a: (a["type"] == "T1") & F.exists(a["tags"], lambda t: t.startswith("has_python_code("))), lambda a: F.flatten(F.transform(F.filter(a["tags"], lambda t: t.startswith("has_python_code(")), rule_ids)))
@@ -313,6 +333,12 @@ def scan_blobs(blobs: DataFrame, calls_of=None, threshold: float = ENTROPY, use_
     return judged(hits(calls if use_denylist else calls.withColumn("denied", F.lit(False)), threshold))
 
 
+def scan_as_of(blobs: DataFrame, table: DataFrame, threshold: float = ENTROPY) -> DataFrame:
+    """Judged hits of streams (blob_id, content, version), each under the vocabularies of its own version."""
+    calls = saved(scan_calls(blobs), "calls").join(blobs.select("blob_id", "version"), "blob_id")
+    return judged(hits(saved(with_denied(calls, table), "denied-calls"), threshold), table)
+
+
 def artifact_verdicts(artifacts: DataFrame, blobs: DataFrame, found: DataFrame, unsafe_names: DataFrame) -> DataFrame:
     """The verdict of each artifact: Unsafe, Review, Not scanned (a part of it was given up), Low, or No issue, with its counts."""
     per = found.join(blobs.select("blob_id", "artifact_id"), "blob_id").groupBy("artifact_id").agg(

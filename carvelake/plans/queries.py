@@ -20,10 +20,13 @@ from carvelake.functions import signals as G
 from carvelake.functions.patterns import finds
 from carvelake.operators import carve as C
 from carvelake.operators import evaluate as E
+from carvelake.operators import evidence as EV
 from carvelake.operators import final_records as R
+from carvelake.operators import integrity as IN
 from carvelake.operators import machine as M
 from carvelake.operators import slices as SL
 from carvelake.operators import verdict as V
+from carvelake.operators import vocabularies as VC
 from carvelake.operators.behaviour import with_behaviours
 from carvelake.operators.slices import in_ranges
 from carvelake.plans import report
@@ -750,6 +753,87 @@ def opcode_context(spark, d):
     return shown.select(c("blob_id").cast("long").alias("event_id"), F.size("ops").alias("ops"), F.element_at("ops", -1)["opname"].alias("last_op"))
 
 
+@query("""
+SELECT event_id, v.version, CASE WHEN event_type = 'click' THEN CASE WHEN v.version < 5 THEN 'Unsafe' END WHEN event_type = 'view' THEN CASE WHEN v.version >= 5 THEN 'Unsafe' END
+  WHEN event_type = 'error' THEN CASE WHEN v.version BETWEEN 5 AND 8 THEN 'Review' END END AS verdict FROM events, (VALUES (0), (5), (9)) v(version) WHERE event_type IN ('click', 'view', 'error')
+  AND CASE event_type WHEN 'click' THEN v.version < 5 WHEN 'view' THEN v.version >= 5 ELSE v.version = 5 END
+""")
+def vocabulary_versions(spark, d):
+    """The same calls judged as of three versions of the vocabularies: one callable leaves the lists, one joins them for good, and one for a while and without a meaning of its own."""
+    first = VC.own_vocabularies(spark)
+    change = lambda rows: spark.createDataFrame(rows, "vocabulary string, name string, qualification string, rank int, require array<string>, min_rules int, category string, subcategory string, drop boolean")
+    said = ("Code Execution", "Layer Loading")
+    second = VC.amended(first, change([
+        ("denylist", "os.system", None, None, None, None, None, None, True), ("callable", "os.system", None, None, None, None, None, None, True),
+        ("callable", "models.Layer", "standalone", 0, None, None, *said, False), ("denylist", "models.Layer", "indicator", 0, None, None, None, None, False),
+        ("denylist", "models.Other", "indicator", 0, None, None, None, None, False),
+    ]), 5)
+    table = VC.amended(second, change([("denylist", "models.Other", None, None, None, None, None, None, True)]), 9)
+    b = lambda h: F.unhex(F.lit(h))
+    g = lambda m, n: F.lit(f"c{m}\n{n}\n").cast("binary")
+    name = F.when(c("event_type") == "click", g("os", "system")).when(c("event_type") == "view", g("models", "Layer")).otherwise(g("models", "Other"))
+    e = t(spark, d, "events").where(c("event_type").isin("click", "view", "error"))
+    streams = e.select("event_id", F.explode(F.array(*[F.lit(v).cast("long") for v in (0, 5, 9)])).alias("version"), F.concat(b("8002"), name, _text_op(F.concat(F.lit("value "), c("event_id").cast("string"))), b("85522E")).alias("content"))
+    streams = streams.withColumn("blob_id", F.concat_ws(":", "event_id", "version"))
+    found = V.scan_as_of(streams, table)
+    part = F.split("blob_id", ":")
+    return found.select(part[0].cast("long").alias("event_id"), part[1].cast("long").alias("version"), "verdict")
+
+
+@query("""
+WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_linenumber AS n, l_suppkey % 5 AS s FROM lineitem)
+SELECT k, 'has_python_code' AS tag, CASE WHEN n >= 4 THEN 'standalone' ELSE 'combination_required' END AS qualification, 'Code Execution' AS category, 'Embedded Python Source' AS subcategory,
+  CASE WHEN n >= 4 THEN 'PY_ASSIGN_RE,' ELSE '' END || 'PY_CALL_SYNTAX_RE,PY_CODE_STRING_RE,PY_INNER_STRING_RE' AS rules FROM e WHERE n >= 3
+UNION SELECT k, 'has_python_code', 'combination_required', NULL, NULL, '' FROM e WHERE n < 3
+UNION SELECT k, tag, qualification, category, subcategory, '' FROM e JOIN (VALUES (1, 'entropy>=5.0', 'combination_required', NULL, NULL), (2, 'has_path_traversal', 'standalone', 'File System Access', 'Path Traversal'),
+  (3, 'literal_truncated', 'disqualified', NULL, NULL), (4, 'has_url', 'combination_required', 'Network Connection', 'Embedded URL Literal')) v(s, tag, qualification, category, subcategory) USING (s)
+""")
+def literal_evidence(spark, d):
+    """Both tiers of embedded Python, and plain tags by name and by what they begin with."""
+    ids = F.array(*[F.lit(x) for x in ("PY_CALL_SYNTAX_RE", "PY_CODE_STRING_RE", "PY_INNER_STRING_RE", "PY_ASSIGN_RE")])
+    fired = F.slice(ids, F.lit(1), F.least(c("l_linenumber"), F.lit(4)).cast("int"))
+    code = F.concat(F.lit("has_python_code("), F.array_join(fired, ","), F.lit(")"))
+    plain = F.get(F.array(*map(F.lit, ["nothing_known", "entropy>=5.0 (5.31)", "has_path_traversal", "literal_truncated(20000)", "has_url"])), (c("l_suppkey") % 5).cast("int"))
+    arg = lambda kind, *tags: F.struct(F.lit(kind).alias("type"), F.array(*tags).alias("tags"))
+    fewer = F.concat(F.lit("has_python_code("), F.array_join(F.slice(fired, 1, 2), ","), F.lit(")"))
+    k = c("l_orderkey") * 10 + c("l_linenumber")
+    hits = t(spark, d, "lineitem").select(k.alias("k"), k.cast("string").alias("blob_id"), F.lit(0).alias("call_seq"), F.array(plain).alias("reasons"), F.array(arg("T1", fewer), arg("T2", F.lit("has_url2")), arg("T1", code, plain)).alias("args"))
+    found = EV.literal_evidence(hits, VC.as_of(VC.own_vocabularies(spark), 0))
+    return found.select(c("blob_id").cast("long").alias("k"), "tag", "qualification", "category", "subcategory", F.array_join("rules_fired", ",").alias("rules"))
+
+
+@query("""
+SELECT s_suppkey AS sample, 's' || s_suppkey || '.txt' AS name, CASE s_suppkey % 6 WHEN 0 THEN 'missing' WHEN 1 THEN 'size' WHEN 2 THEN 'digest' ELSE 'ok' END AS state FROM supplier
+UNION ALL SELECT NULL, 'x' || s_suppkey || '.txt', 'extra' FROM supplier WHERE s_suppkey % 6 = 3
+""")
+def ledger_check(spark, d):
+    """A ledger of suppliers against files that were written from the same rows, some of them missing, longer, changed or unknown to the ledger."""
+    k = c("s_suppkey")
+    said = F.concat_ws("|", "s_name", "s_nationkey")
+    ledger = t(spark, d, "supplier").select(k.alias("sample_id"), F.concat(F.lit("s"), k, F.lit(".txt")).alias("path"), F.sha2(said, 256).alias("sha256"), F.octet_length(said).cast("long").alias("size_bytes"))
+    rows = t(spark, d, "supplier").withColumn("data", F.when(k % 6 == 1, F.concat(said, F.lit("!"))).when(k % 6 == 2, F.translate(said, "S|", "Z!")).otherwise(said))
+    files = rows.where(k % 6 != 0).select(F.concat(F.lit("s"), k, F.lit(".txt")).alias("name"), "data").union(rows.where(k % 6 == 3).select(F.concat(F.lit("x"), k, F.lit(".txt")), "data"))
+    folder = _written(spark, files)
+    return IN.verified(ledger, IN.listing(spark, folder)).select(c("sample_id").alias("sample"), "name", "state")
+
+
+def _written(spark, files: DataFrame) -> str:
+    """A folder with a file of each row (name, data)."""
+    folder = f"{scratch_root(spark)}/files-{uuid.uuid4().hex}"
+
+    def run(batches):
+        for batch in batches:
+            store, inner = pafs.FileSystem.from_uri(folder)
+            store.create_dir(inner)
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_output_stream(f"{inner}/{name}") as f:
+                    f.write(data.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    files.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
 @query("""
 SELECT event_id, h.q AS qualname, h.s AS slice_start FROM (
   SELECT event_id, unnest(CASE WHEN event_id % 2 = 0 THEN [{'q': 'os.system', 's': 5}, {'q': 'os.popen', 's': 9}] ELSE [{'q': 'os.popen', 's': 2}] END) AS h FROM events)
