@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carvelake.sources.members import read_listing
+
 from .carve import opened
 
 PIECE = 4 << 20
@@ -22,7 +24,7 @@ PIECE = 4 << 20
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """name (below the root), path and length of all files, without their contents."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    files = read_listing(spark, root)
     return files.select(F.regexp_replace(F.substring_index("path", root.rstrip("/").rpartition(":")[2].lstrip("/") + "/", -1), "^/+", "").alias("name"), "path", "length")
 
 

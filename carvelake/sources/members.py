@@ -68,14 +68,17 @@ class MemberReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Files]:
+    def listed(self) -> list[tuple[str, int]]:
+        """Path and length of all files that pass the filters, hidden ones left out."""
         store, inner = pafs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (pafs.LocalFileSystem(), self.path)
         found = store.get_file_info(pafs.FileSelector(inner, recursive=self.recursive))
         prefix = self.path[: len(self.path) - len(inner.lstrip("/"))].rstrip("/") if "://" in self.path else "file://"
         files = sorted((f"{prefix}/{i.path.lstrip('/')}", i.size) for i in found if i.type is pafs.FileType.File and not posixpath.basename(i.path).startswith(("_", ".")))
-        files = [f for f in files if kept(self.filters, "path", f[0]) and kept(self.filters, "length", f[1])]
+        return [f for f in files if kept(self.filters, "path", f[0]) and kept(self.filters, "length", f[1])]
+
+    def partitions(self) -> list[Files]:
         out, group, size = [], [], 0
-        for path, length in files:
+        for path, length in self.listed():
             if length > self.range and _begins(path, b"PK\3\4"):
                 out += [Files([(path, length)], at, at + self.range) for at in range(0, length, self.range)]
                 continue
@@ -97,6 +100,29 @@ class MemberReader(DataSourceReader):
                     yield (path, length, *_row("unknown", error=f"{type(e).__name__}: {e}"[:200]))
 
 
+class ListingReader(MemberReader):
+    """Paths and lengths only: no file is opened."""
+
+    def partitions(self) -> list[Files]:
+        files = self.listed()
+        return [Files(files[k : k + GROUP_FILES * 10]) for k in range(0, len(files), GROUP_FILES * 10)]
+
+    def read(self, partition: Files) -> Iterator[tuple]:
+        yield from partition.files
+
+
+class ListingSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "artifact_listing"
+
+    def schema(self) -> str:
+        return "path string, length long"
+
+    def reader(self, schema) -> ListingReader:
+        return ListingReader(dict(self.options))
+
+
 class MemberSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -162,6 +188,13 @@ def layout_rows(file, start: int, end: int, wanted) -> Iterator[tuple]:
             yield _row("pickle" if is_prefix(head) else "unknown", head=head[:HEAD])
 
 
+def read_listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """path and length of the files of a folder, empty ones too, which Spark's own file sources leave out."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ListingSource)
+    return spark.read.format("artifact_listing").option("recursive", str(recursive)).load(path)
+
+
 def read_members(spark: SparkSession, path: str, **options) -> DataFrame:
     """`MemberSource` over a folder, with kind, what the head of a member or of a compressed file's contents is by its magic."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
