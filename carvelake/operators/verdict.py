@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -127,65 +128,63 @@ def _typed(rows: DataFrame, magic: Column) -> DataFrame:
     return rows.withColumn("nested", F.filter(F.split(F.pandas_udf(_nested, StringType())(F.when(pickled, F.col("data"))), ","), lambda x: x != ""))
 
 
-_HITS = pa.schema(
-    [("blob_id", pa.string()), ("call_seq", pa.int32()), ("track", pa.string()), ("forced", pa.bool_()), ("placeholder", pa.bool_()), ("primary", pa.int32()), ("reasons", pa.list_(pa.string())), ("text", pa.string()), ("entropy", pa.float64())]
-)
-_HITS_DDL = "blob_id string, call_seq int, track string, forced boolean, placeholder boolean, primary int, reasons array<string>, text string, entropy double"
-
-
-def chosen(calls: list[dict]) -> list[dict]:
-    """Hits of one stream: calls in order, each claiming its range of opcodes unless it is a placeholder or a resolver."""
-    # calls come by rising ends, so a range is free if it begins behind the last claimed end
-    claimed = -1
-    out: list[dict] = []
-    byte_list = set(V.BYTES_DENYLIST)
-    for c in calls:
-        a, b, leaves = c["slice_start"], c["slice_end"], c["leaves"] or []
-        row = {"blob_id": c["blob_id"], "call_seq": c["call_seq"], "forced": False, "placeholder": False, "text": "", "entropy": 0.0, "end": b}
-        if c["invoke_op"].startswith("EXT"):
-            if a > claimed:
-                claimed = b
-                out.append(row | {"track": "unresolvable", "primary": b, "reasons": ["unresolvable_extension"]})
-            continue
-        texts = [x for x in leaves if x["kind"] == "text" and (c["denied"] or x["flagged"])]
-        if (c["denied"] or texts) and a > claimed:
-            row |= {"forced": c["denied"], "track": "forced_callable" if c["denied"] else "content"}
-            if texts:
-                p = min(texts, key=lambda x: x["opcode_idx"])
-                row |= {"primary": p["opcode_idx"], "reasons": p["tags"], "text": p["text"] or "", "entropy": p["entropy"]}
-            else:
-                row |= {"primary": c["callable_idx"], "reasons": ["no_argument_literal"], "placeholder": True}
-            if texts and not c["is_resolver"]:
-                claimed = b
-            out.append(row)
-        forced = c["qualname"] in byte_list
-        found = [x for x in leaves if x["kind"] == "bytes" and (forced or x["flagged"])]
-        if found and a > claimed:
-            claimed = b
-            out.append(row | {"track": "bytes", "forced": forced, "placeholder": False, "primary": found[0]["opcode_idx"], "reasons": found[0]["tags"], "text": "", "entropy": found[0]["entropy"]})
-    real = {r["end"] for r in out if not r["placeholder"]}
-    kept, seen = [], set()
-    for r in out:
-        if not r["placeholder"] or (r["end"] not in real and r["end"] not in seen):
-            seen.add(r["end"] if r["placeholder"] else -1)
-            kept.append({n: r[n] for n in _HITS.names})
-    return kept
+_HITS = pa.schema([("blob_id", pa.string()), ("call_seq", pa.int32()), ("track", pa.string()), ("forced", pa.bool_()), ("placeholder", pa.bool_()), ("leaf", pa.int32())])
+_HITS_DDL = "blob_id string, call_seq int, track string, forced boolean, placeholder boolean, leaf int"
+_SEEN = ["blob_id", "call_seq", "invoke_op", "qualname", "denied", "is_resolver", "slice_start", "slice_end", "any_text", "flagged_text", "any_bytes", "flagged_bytes"]
+
+
+class Chooser:
+    """Picks the hits of a stream from its calls in order: each claims its range of opcodes unless it is a placeholder or a resolver.
+
+    Calls come by rising ends, so a range is free if it begins behind the last claimed end, and rows of one end come together: nothing else of a stream is held.
+    """
+
+    def __init__(self) -> None:
+        self.claimed, self.end = -1, -1
+        self.held: list[tuple] = []
+
+    def flush(self) -> list[tuple]:
+        """The rows of the last end: a placeholder stands only where nothing else does, and once."""
+        real = [r for r in self.held if not r[4]]
+        out, self.held = real or self.held[:1], []
+        return out
+
+    def call(self, blob, seq, op, qualname, denied, resolver, a, b, any_text, flagged_text, any_bytes, flagged_bytes) -> list[tuple]:
+        done = self.flush() if b != self.end else []
+        self.end = b
+        if op.startswith("EXT"):
+            if a > self.claimed:
+                self.claimed = b
+                self.held.append((blob, seq, "unresolvable", False, False, None))
+            return done
+        text = any_text if denied else flagged_text
+        if (denied or text is not None) and a > self.claimed:
+            if text is not None and not resolver:
+                self.claimed = b
+            self.held.append((blob, seq, "forced_callable" if denied else "content", denied, text is None, text))
+        forced = qualname in _BYTES_DENYLIST
+        data = any_bytes if forced else flagged_bytes
+        if data is not None and a > self.claimed:
+            self.claimed = b
+            self.held.append((blob, seq, "bytes", forced, False, data))
+        return done
+
+
+_BYTES_DENYLIST = frozenset(V.BYTES_DENYLIST)
 
 
 def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams come one after another, their calls in order; only one stream's calls are held."""
-    key, held = None, []
-    for batch in batches:
-        out: list[dict] = []
-        for row in batch.to_pylist():
-            if row["blob_id"] != key:
-                out += chosen(held)
-                key, held = row["blob_id"], []
-            held.append(row)
+    """Streams come one after another, their calls in order (`_SEEN`)."""
+    blob, chooser = None, Chooser()
+    for batch in chain(batches, [None]):
+        out = chooser.flush() if batch is None else []
+        for row in zip(*(c.to_pylist() for c in batch.columns)) if batch is not None else ():
+            if row[0] != blob:
+                out += chooser.flush()
+                blob, chooser = row[0], Chooser()
+            out += chooser.call(*row)
         if out:
-            yield pa.RecordBatch.from_pylist(out, _HITS)
-    if held and (out := chosen(held)):
-        yield pa.RecordBatch.from_pylist(out, _HITS)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _HITS)], schema=_HITS)
 
 
 def _lookup(key: Column, rows: list[tuple], fields: tuple[str, str]) -> Column:
@@ -218,15 +217,33 @@ def _present(acts: list[Column]) -> Column:
 
 
 def hits(calls: DataFrame, threshold: float = ENTROPY) -> DataFrame:
-    """Hits with the call's columns and its leaves (with tags, types and nested callables)."""
+    """Hits with the call's columns and its leaves (with tags, types and nested callables).
+
+    Leaves stay rows until the hits are chosen: of each call only the places of its first text and bytes leaves, flagged or not, go through the choice, and only leaves of hits are gathered.
+    """
+    at = ["blob_id", "call_seq"]
     literals = literal_table(calls)
-    known = literals.join(literal_signals(literals, threshold), "sha")
+    known = literals.select(*at, "leaf", "arg_pos", "kind", "opcode_idx", "origin_idx", "sha").join(literal_signals(literals, threshold), "sha")
+    known = saved(known, "known-leaves")
+    text, flagged = F.col("kind") == "text", F.col("flagged")
+    # a text is chosen by its opcode, then by its place; both in one number, so that the aggregate is a hash one
+    place = F.shiftleft(F.col("opcode_idx").cast("long"), 32) + F.col("leaf")
+    first = lambda which, value, name: F.min(F.when(which, value)).alias(name)
+    facts = known.groupBy(*at).agg(first(text, place, "t"), first(text & flagged, place, "ft"), first(F.col("kind") == "bytes", F.col("leaf"), "any_bytes"), first((F.col("kind") == "bytes") & flagged, F.col("leaf"), "flagged_bytes"))
+    low = lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1)).cast("int")
+    facts = facts.select(*at, low("t").alias("any_text"), low("ft").alias("flagged_text"), "any_bytes", "flagged_bytes")
+    seen = calls.drop("literals").join(facts, at, "left").select(*_SEEN)
+    picked = saved(seen.repartition("blob_id").sortWithinPartitions(*at).mapInArrow(_hits, _HITS_DDL), "picked")
+    mine = picked.select(*at).distinct()
     leaf = F.struct("leaf", "arg_pos", "kind", "opcode_idx", "origin_idx", "text", "shown", "tags", "entropy", "type", "nested", "flagged")
-    per_call = known.groupBy("blob_id", "call_seq").agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
-    full = calls.drop("literals").join(per_call, ["blob_id", "call_seq"], "left")
-    seen = full.select("blob_id", "call_seq", "invoke_op", "qualname", "denied", "is_resolver", "slice_start", "slice_end", "callable_idx", "leaves")
-    picked = seen.repartition("blob_id").sortWithinPartitions("blob_id", "call_seq").mapInArrow(_hits, _HITS_DDL)
-    return picked.join(full, ["blob_id", "call_seq"])
+    leaves = known.join(mine, at).join(literals.select(*at, "leaf", "text"), [*at, "leaf"]).groupBy(*at).agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
+    found = picked.withColumnRenamed("leaf", "_leaf").join(calls.drop("literals"), at).join(leaves, at, "left")
+    own = F.get(F.filter("leaves", lambda x: x["leaf"] == F.col("_leaf")), F.lit(0))
+    reasons = F.when(F.col("track") == "unresolvable", F.array(F.lit("unresolvable_extension"))).when(F.col("placeholder"), F.array(F.lit("no_argument_literal"))).otherwise(F.col("_own.tags"))
+    primary = F.coalesce("_own.opcode_idx", F.when(F.col("placeholder"), F.col("callable_idx")).otherwise(F.col("slice_end")))
+    shown = F.when(F.col("track") == "bytes", "").otherwise(F.coalesce("_own.text", F.lit("")))
+    found = found.withColumn("_own", own).withColumns({"primary": primary, "reasons": reasons, "text": shown, "entropy": F.coalesce("_own.entropy", F.lit(0.0))})
+    return found.drop("_own", "_leaf")
 
 
 def with_denied(calls: DataFrame, table: DataFrame) -> DataFrame:

@@ -523,3 +523,59 @@ def test_large_numbers_are_shown_whole(spark):
     data = pickle.dumps([10**600, 2**40_000, 1.5], 2)
     shown = [r.arg_str for r in machine.pickle_ops(spark.createDataFrame([("a", bytearray(data))], "blob_id string, content binary")).collect()]
     assert str(10**600) in shown and hex(2**40_000) in shown
+
+
+def plain_hits(calls):
+    """All calls of a stream at once, as plain rules: claims in order, placeholders only where nothing real ends."""
+    claimed, out = -1, []
+    for seq, op, name, denied, resolver, a, b, any_text, text, any_bytes, data in calls:
+        if op == "EXT1":
+            if a > claimed:
+                claimed = b
+                out.append((seq, "unresolvable", False, False, None, b))
+            continue
+        chosen = any_text if denied else text
+        if (denied or chosen is not None) and a > claimed:
+            if chosen is not None and not resolver:
+                claimed = b
+            out.append((seq, "forced_callable" if denied else "content", denied, chosen is None, chosen, b))
+        forced = name in V.BYTES_DENYLIST
+        chosen = any_bytes if forced else data
+        if chosen is not None and a > claimed:
+            claimed = b
+            out.append((seq, "bytes", forced, False, chosen, b))
+    real = {r[-1] for r in out if not r[3]}
+    kept, seen = [], set()
+    for r in out:
+        if not r[3] or (r[-1] not in real and r[-1] not in seen):
+            kept.append(r[:-1])
+            if r[3]:
+                seen.add(r[-1])
+    return kept
+
+
+def test_hits_are_chosen_as_plain_rules_say():
+    import random
+
+    rng = random.Random(12)
+    for _ in range(300):
+        calls, end = [], 0
+        for seq in range(rng.randint(1, 12)):
+            end += rng.choice([0, 1, 1, 5])
+            pick = lambda: rng.choice([None, rng.randint(0, 4)])
+            text, data = pick(), pick()
+            calls.append((seq, rng.choice(["REDUCE", "REDUCE", "BUILD", "EXT1"]), rng.choice(["x", V.BYTES_DENYLIST[0]]), rng.random() < 0.4, rng.random() < 0.3, rng.randint(0, end), end, text if text is not None else pick(), text, data if data is not None else pick(), data))
+        chooser, got = verdict.Chooser(), []
+        for c in calls:
+            got += chooser.call("b", *c)
+        got += chooser.flush()
+        assert [r[1:] for r in got] == plain_hits(calls)
+
+
+def test_a_stream_of_many_calls_holds_few_rows():
+    """A million calls of one stream: only the rows of one end are held."""
+    chooser, n = verdict.Chooser(), 0
+    for k in range(1_000_000):
+        n += len(chooser.call("b", k, "REDUCE", "m.x", True, False, 3 * k, 3 * k + 2, 0, None, None, None))
+        assert len(chooser.held) <= 1
+    assert n + len(chooser.flush()) == 1_000_000
