@@ -53,12 +53,15 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["path", "digest"])
 
 
+def digests(paths: DataFrame) -> DataFrame:
+    """path and digest (SHA-256 in hex; null for a file that is gone) of each path once; dealt out anew, for reading files is far more work than their rows' sizes tell."""
+    return paths.distinct().repartition("path").mapInArrow(_digests, "path string, digest string")
+
+
 def verified(ledger: DataFrame, files: DataFrame, quick: bool = False) -> DataFrame:
     """sample_id, name and state (ok, missing, extra, size, digest) of each row of the ledger (sample_id, path, sha256, size_bytes) and of each further file."""
     rows = compared(ledger, files)
     if quick:
         return rows.select("sample_id", "name", F.coalesce("state", F.lit("ok")).alias("state"))
-    # dealt out anew, for reading files is far more work than their rows' sizes tell
-    digests = rows.where("state is null").select("path").distinct().repartition("path").mapInArrow(_digests, "path string, digest string")
     state = F.coalesce("state", F.when(F.col("digest").isNull(), "missing").when(F.col("digest") == F.lower("sha256"), "ok").otherwise("digest"))
-    return rows.join(digests, "path", "left").select("sample_id", "name", state.alias("state"))
+    return rows.join(digests(rows.where("state is null").select("path")), "path", "left").select("sample_id", "name", state.alias("state"))

@@ -24,6 +24,7 @@ from carvelake.operators import evidence as EV
 from carvelake.operators import final_records as R
 from carvelake.operators import integrity as IN
 from carvelake.operators import machine as M
+from carvelake.operators import remeasure as RM
 from carvelake.operators import slices as SL
 from carvelake.operators import verdict as V
 from carvelake.operators import vocabularies as VC
@@ -817,9 +818,9 @@ def ledger_check(spark, d):
     return IN.verified(ledger, IN.listing(spark, folder)).select(c("sample_id").alias("sample"), "name", "state")
 
 
-def _written(spark, files: DataFrame) -> str:
-    """A folder with a file of each row (name, data)."""
-    folder = f"{scratch_root(spark)}/files-{uuid.uuid4().hex}"
+def _written(spark, files: DataFrame, folder: str | None = None) -> str:
+    """A folder, new or given, with a file of each row (name, data)."""
+    folder = folder or f"{scratch_root(spark)}/files-{uuid.uuid4().hex}"
 
     def run(batches):
         for batch in batches:
@@ -834,6 +835,35 @@ def _written(spark, files: DataFrame) -> str:
     return folder
 
 
+@query("""
+SELECT name, CASE WHEN k % 5 = 0 OR name LIKE 'new%' THEN 2 ELSE 1 END AS run, length(s) AS bytes, sha256(s) AS sha FROM (
+  SELECT s_suppkey AS k, 's' || s_suppkey || '.txt' AS name, s_name || CASE WHEN s_suppkey % 5 = 0 THEN '?' ELSE '' END AS s FROM supplier WHERE s_suppkey % 7 > 0
+  UNION ALL SELECT s_suppkey, 'new' || s_suppkey || '.txt', s_name FROM supplier WHERE s_suppkey % 10 = 1)
+""")
+def remeasured_files(spark, d):
+    """Files of suppliers measured twice; between the runs some change, some go and some come. The run tells when a file was measured last."""
+    k = c("s_suppkey")
+    rows = t(spark, d, "supplier").select(k, "s_name", F.concat(F.lit("s"), k, F.lit(".txt")).alias("name"))
+    folder, store = _written(spark, rows.select("name", c("s_name").alias("data"))), f"{scratch_root(spark)}/measured-{uuid.uuid4().hex}"
+    measure = lambda files: files.join(IN.digests(files.select("path")), "path").select("path", c("length").alias("bytes"), c("digest").alias("sha"))
+    RM.remeasure(spark, folder, store, measure, 16)
+    later = rows.where(k % 5 == 0).select("name", F.concat("s_name", F.lit("?")).alias("data")).union(rows.where(k % 10 == 1).select(F.concat(F.lit("new"), k, F.lit(".txt")), "s_name"))
+    _written(spark, later, folder)
+    _removed(rows.where(k % 7 == 0).select("name"), folder)
+    return RM.remeasure(spark, folder, store, measure, 16).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "run", "bytes", "sha")
+
+
+def _removed(names: DataFrame, folder: str) -> None:
+    def run(batches):
+        for batch in batches:
+            store, inner = pafs.FileSystem.from_uri(folder)
+            for name in batch.column(0).to_pylist():
+                store.delete_file(f"{inner}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    names.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 @query("""
 SELECT event_id, h.q AS qualname, h.s AS slice_start FROM (
   SELECT event_id, unnest(CASE WHEN event_id % 2 = 0 THEN [{'q': 'os.system', 's': 5}, {'q': 'os.popen', 's': 9}] ELSE [{'q': 'os.popen', 's': 2}] END) AS h FROM events)

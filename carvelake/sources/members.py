@@ -15,6 +15,7 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +47,7 @@ def kept(filters: list[Filter], column: str, value) -> bool:
 class Files(InputPartition):
     """Whole files, or of one archive the members whose headers begin in a range of bytes."""
 
-    files: list[tuple[str, int]]
+    files: list[tuple]
     start: int = 0
     end: int = 1 << 62
 
@@ -68,17 +69,17 @@ class MemberReader(DataSourceReader):
             else:
                 yield f
 
-    def listed(self) -> list[tuple[str, int]]:
-        """Path and length of all files that pass the filters, hidden ones left out."""
+    def listed(self) -> list[tuple[str, int, datetime]]:
+        """Path, length and time of all files that pass the filters, hidden ones left out."""
         store, inner = pafs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (pafs.LocalFileSystem(), self.path)
         found = store.get_file_info(pafs.FileSelector(inner, recursive=self.recursive))
         prefix = self.path[: len(self.path) - len(inner.lstrip("/"))].rstrip("/") if "://" in self.path else "file://"
-        files = sorted((f"{prefix}/{i.path.lstrip('/')}", i.size) for i in found if i.type is pafs.FileType.File and not posixpath.basename(i.path).startswith(("_", ".")))
+        files = sorted((f"{prefix}/{i.path.lstrip('/')}", i.size, i.mtime) for i in found if i.type is pafs.FileType.File and not posixpath.basename(i.path).startswith(("_", ".")))
         return [f for f in files if kept(self.filters, "path", f[0]) and kept(self.filters, "length", f[1])]
 
     def partitions(self) -> list[Files]:
         out, group, size = [], [], 0
-        for path, length in self.listed():
+        for path, length, _ in self.listed():
             if length > self.range and _begins(path, b"PK\3\4"):
                 out += [Files([(path, length)], at, at + self.range) for at in range(0, length, self.range)]
                 continue
@@ -101,7 +102,7 @@ class MemberReader(DataSourceReader):
 
 
 class ListingReader(MemberReader):
-    """Paths and lengths only: no file is opened."""
+    """Paths, lengths and times only: no file is opened."""
 
     def partitions(self) -> list[Files]:
         files = self.listed()
@@ -117,7 +118,7 @@ class ListingSource(DataSource):
         return "artifact_listing"
 
     def schema(self) -> str:
-        return "path string, length long"
+        return "path string, length long, modified timestamp"
 
     def reader(self, schema) -> ListingReader:
         return ListingReader(dict(self.options))
@@ -189,7 +190,7 @@ def layout_rows(file, start: int, end: int, wanted) -> Iterator[tuple]:
 
 
 def read_listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """path and length of the files of a folder, empty ones too, which Spark's own file sources leave out."""
+    """path, length and modified (time) of the files of a folder, empty ones too, which Spark's own file sources leave out."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ListingSource)
     return spark.read.format("artifact_listing").option("recursive", str(recursive)).load(path)

@@ -111,3 +111,46 @@ def test_ledger_in_two_phases(spark, tmp_path):
     assert quick == {(k, n, "ok" if s == "digest" else s) for k, n, s in want}
     plan = integrity.compared(rows, listed)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
+
+
+def test_a_second_run_measures_changed_files_only(spark, tmp_path):
+    from carvelake.operators import remeasure
+
+    root, store = tmp_path / "in", str(tmp_path / "store")
+    root.mkdir()
+    for k in range(30):
+        (root / f"f{k}").write_bytes(bytes([k]) * (k + 1))
+    asked = []
+
+    def measure(files):
+        asked.append({r.path.rsplit("/", 1)[1] for r in files.collect()})
+        return files.select("path", F.col("length").alias("bytes"))
+
+    def state():
+        return {r.path.rsplit("/", 1)[1]: (r.run, r.bytes) for r in remeasure.remeasure(spark, str(root), store, measure, 8).collect()}
+
+    assert state() == {f"f{k}": (1, k + 1) for k in range(30)} and asked[-1] == {f"f{k}" for k in range(30)}
+    n = len(asked)
+    assert state() == {f"f{k}": (1, k + 1) for k in range(30)} and len(asked) == n  # nothing changed, nothing measured or written
+    (root / "f3").write_bytes(b"other")
+    (root / "f4").write_bytes(bytes([4]) * 5)  # the same contents at another time
+    (root / "f5").unlink()
+    (root / "g").write_bytes(b"new")
+    want = {f"f{k}": (1, k + 1) for k in range(30) if k not in (3, 5)} | {"f3": (2, 5), "g": (2, 3)}
+    assert state() == want and asked[-1] == {"f3", "g"}
+    assert state() == want and len(asked) == n + 1
+    for k in range(30):
+        (root / f"f{k}").unlink(missing_ok=True)
+    assert set(state()) == {"g"}
+    whole = {r.path: r.bytes for r in remeasure.remeasure(spark, str(root), str(tmp_path / "other"), measure, 8).collect()}
+    assert list(whole.values()) == [3]
+
+
+def test_scans_are_measured(spark, tmp_path):
+    from carvelake.operators import remeasure
+
+    (tmp_path / "in").mkdir()
+    for name in ("command", "path", "plain", "gzip"):
+        (tmp_path / "in" / name).write_bytes(EXAMPLES[name][0])
+    found = {r.path.rsplit("/", 1)[1]: (r.verdict, r.run) for r in remeasure.remeasure(spark, str(tmp_path / "in"), str(tmp_path / "store")).collect()}
+    assert found == {n: (EXAMPLES[n][1], 1) for n in ("command", "path", "plain", "gzip")}
