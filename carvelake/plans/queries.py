@@ -19,6 +19,7 @@ from carvelake.functions import scalars as S
 from carvelake.functions import signals as G
 from carvelake.functions.patterns import finds
 from carvelake.operators import carve as C
+from carvelake.operators import compaction as CO
 from carvelake.operators import evaluate as E
 from carvelake.operators import evidence as EV
 from carvelake.operators import final_records as R
@@ -864,6 +865,61 @@ def _removed(names: DataFrame, folder: str) -> None:
     names.mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
+def _leaves_of_suppliers(spark, d) -> DataFrame:
+    """A hit for each supplier's number modulo 500, with its line items as leaves."""
+    leaf = (c("l_orderkey") * 8 + c("l_linenumber")).cast("long")
+    value = F.when(c("l_linenumber") == 7, F.concat(F.lit("cos\nsystem\n"), F.repeat(F.lit("x"), F.lit(300)), F.lit("."))).otherwise(F.repeat(c("l_returnflag"), (c("l_quantity") * 10).cast("int")))
+    rows = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(x).alias(x) for x in ("l_suppkey", "l_returnflag", "l_quantity")])
+    return rows.select(
+        (c("l_suppkey") % 500).cast("string").alias("blob_id"), F.lit(0).alias("call_seq"), leaf.alias("leaf"), c("l_returnflag").alias("kind"), F.when(c("l_returnflag") == "R", "T2").otherwise("T1").alias("type"),
+        (c("l_quantity") > 49).alias("flagged"), F.lit(False).alias("nested"), value.alias("value"), (c("l_suppkey") % 2 == 0).alias("low"),
+    )
+
+
+_LEAVES_SQL = """
+WITH l AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS k, min(l_returnflag) AS f, min(l_quantity) AS q FROM lineitem GROUP BY ALL),
+v AS (SELECT k % 500 AS hit, l_orderkey * 8 + l_linenumber AS leaf, f AS kind, f = 'R' OR q > 49 AS essential, k % 2 = 0 AS low, l_linenumber = 7 AS nested,
+  CASE WHEN l_linenumber = 7 THEN 'cos' || chr(10) || 'system' || chr(10) || repeat('x', 300) || '.' ELSE repeat(f, (q * 10)::INTEGER) END AS value FROM l),
+m AS (SELECT *, essential OR NOT low AND row_number() OVER (PARTITION BY hit, essential, low ORDER BY leaf) <= 32 AS kept FROM v)
+"""
+
+
+@query(_LEAVES_SQL + """
+SELECT hit, leaf, CASE WHEN length(value) > 256 AND NOT nested THEN value[1:256] ELSE value END AS value, CASE WHEN length(value) > 256 AND NOT nested THEN length(value) END AS value_len,
+  CASE WHEN length(value) > 256 AND NOT nested THEN sha256(value) END AS value_sha256 FROM m WHERE kept
+""")
+def compacted_leaves(spark, d):
+    """Leaves that a compact report keeps, cut to its limit."""
+    found = CO.compact_leaves(_leaves_of_suppliers(spark, d))
+    return found.select(c("blob_id").cast("long").alias("hit"), "leaf", "value", "value_len", "value_sha256")
+
+
+@query(_LEAVES_SQL + """
+SELECT hit, count(*) AS total, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS omitted, count(*) FILTER (NOT kept AND kind = 'A') AS a, count(*) FILTER (NOT kept AND kind = 'N') AS n,
+  count(*) FILTER (NOT kept) AS t1 FROM m GROUP BY hit HAVING count(*) FILTER (NOT kept) > 0
+""")
+def omissions(spark, d):
+    """What a compact report leaves out, by kind and type."""
+    found = CO.omission_summary(_leaves_of_suppliers(spark, d))
+    of = lambda m, k: F.coalesce(F.try_element_at(c(m), F.lit(k)), F.lit(0))
+    return found.select(c("blob_id").cast("long").alias("hit"), "total", "kept", "omitted", of("omitted_by_kind", "A").alias("a"), of("omitted_by_kind", "N").alias("n"), of("omitted_by_type", "T1").alias("t1"))
+
+
+@query("""
+WITH r AS (SELECT user_id % 40 AS hit, event_id AS nth, event_type AS kind, event_id % 3 AS d FROM events WHERE user_id % 40 < 30 OR event_id % 50 = 0),
+g AS (SELECT hit, d, kind, count(*) AS refs, min(nth) AS nth, list(nth ORDER BY nth)[1:8] AS s FROM r GROUP BY ALL),
+c AS (SELECT hit, sum(refs) >= 64 AND count(*) < sum(refs) AS grouped FROM g GROUP BY hit)
+SELECT hit, nth, d, kind, refs, array_to_string(s, ' ') AS sample, TRUE AS grouped FROM g JOIN c USING (hit) WHERE grouped
+UNION ALL SELECT hit, nth, d, kind, 1, nth::VARCHAR, FALSE FROM r JOIN c USING (hit) WHERE NOT grouped
+""")
+def grouped_memo_reads(spark, d):
+    """Memo reads of a hit grouped by origin where there are many and grouping is smaller."""
+    e = t(spark, d, "events").where("user_id % 40 < 30 or event_id % 50 = 0")
+    reads = e.select((c("user_id") % 40).cast("string").alias("blob_id"), F.lit(0).alias("call_seq"), c("event_id").alias("nth"), c("event_id").alias("get_idx"), (c("event_id") % 3).alias("defined_at"), c("event_type").alias("kind"), F.lit(None).cast("string").alias("callable"))
+    found = CO.grouped_reads(reads)
+    return found.select(c("blob_id").cast("long").alias("hit"), "nth", c("defined_at").alias("d"), "kind", "refs", F.array_join(F.transform("get_idx_sample", lambda x: x.cast("string")), " ").alias("sample"), "grouped")
+
+
 @query("""
 SELECT event_id, h.q AS qualname, h.s AS slice_start FROM (
   SELECT event_id, unnest(CASE WHEN event_id % 2 = 0 THEN [{'q': 'os.system', 's': 5}, {'q': 'os.popen', 's': 9}] ELSE [{'q': 'os.popen', 's': 2}] END) AS h FROM events)

@@ -154,3 +154,72 @@ def test_scans_are_measured(spark, tmp_path):
         (tmp_path / "in" / name).write_bytes(EXAMPLES[name][0])
     found = {r.path.rsplit("/", 1)[1]: (r.verdict, r.run) for r in remeasure.remeasure(spark, str(tmp_path / "in"), str(tmp_path / "store")).collect()}
     assert found == {n: (EXAMPLES[n][1], 1) for n in ("command", "path", "plain", "gzip")}
+
+
+def test_compaction_against_plain_code(spark):
+    from pyspark.sql import Observation
+
+    from carvelake.operators import compaction
+
+    rng = random.Random(5)
+    texts = ["short", "y" * 40, None, "\x80\x04" + "z" * 60, "cos\nsystem\n(tR. \n", "\x78\x9c" + "q" * 50, "é" * 33, "漢" * 40]
+    leaves = [(f"b{h}", 0, k, rng.choice(["text", "bytes"]), rng.choice(["T1", "T1", "T1", "T2", None]), rng.random() < 0.1, rng.random() < 0.1, rng.choice(texts), h % 3 == 0) for h in range(12) for k in range(rng.randint(0, 20))]
+    rows = spark.createDataFrame(leaves, "blob_id string, call_seq int, leaf int, kind string, type string, flagged boolean, nested boolean, value string, low boolean")
+
+    def nested(v):
+        try:
+            raw = (v or "").encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return (raw[:1] == b"\x80" and len(raw) > 1 and raw[1] <= 5) or raw[:2] in (b"\x78\x9c", b"\x78\x01", b"\x78\xda") or (raw[:1] in (b"c", b"(") and raw.rstrip()[-1:] == b".")
+
+    want, counts, sampled, left = [], dict.fromkeys(("meta_values_truncated", "meta_entries_omitted", "nested_kept", "chars_dropped"), 0), {}, {}
+    for b, c, k, kind, t, flag, nest, v, low in leaves:
+        essential = flag or nest or t not in (None, "", "T1")
+        if not essential:
+            sampled[b] = sampled.get(b, 0) + 1
+        if not essential and (low or sampled[b] > 3):
+            counts["meta_entries_omitted"] += 1
+            counts["chars_dropped"] += len(v or "")
+            left.setdefault(b, []).append((kind, t))
+        elif nested(v):
+            counts["nested_kept"] += 1
+            want.append((b, k, v, None))
+        elif v is not None and len(v) > 32:
+            counts["meta_values_truncated"] += 1
+            counts["chars_dropped"] += len(v) - 32
+            want.append((b, k, v[:32], len(v)))
+        else:
+            want.append((b, k, v, None))
+    seen = Observation("leaves")
+    got = [(r.blob_id, r.leaf, r.value, r.value_len) for r in compaction.compact_leaves(rows, 32, 3, seen).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and seen.get == counts
+    for r in compaction.omission_summary(rows, 3).collect():
+        own = left.pop(r.blob_id)
+        assert (r.omitted, r.total - r.kept) == (len(own), len(own)) and r.omitted_by_kind == {k: [x for x, _ in own].count(k) for k in {x for x, _ in own}}
+        assert (r.omitted_by_type or {}) == {t: [x for _, x in own].count(t) for t in {x for _, x in own} if t}
+    assert not left
+    assert compaction.compact_leaves(rows, 0).count() == len(leaves)
+
+
+def test_grouped_reads_against_plain_code(spark):
+    from pyspark.sql import Observation
+
+    from carvelake.operators import compaction
+
+    rng = random.Random(8)
+    reads = [(f"b{h}", 0, k, 100 + k, rng.randint(0, 3 if h else 10**6), rng.choice(["x", None]), None) for h in range(5) for k in range([90, 64, 63, 200, 1][h])]
+    want = []
+    for b in {r[0] for r in reads}:
+        own = [r for r in reads if r[0] == b]
+        groups = {}
+        for r in own:
+            groups.setdefault(r[4:7], []).append(r)
+        if len(own) >= 64 and len(groups) < len(own):
+            want += [(b, g[0][2], *key, len(g), [r[3] for r in g[:8]], True) for key, g in groups.items()]
+        else:
+            want += [(b, r[2], *r[4:7], 1, [r[3]], False) for r in own]
+    seen = Observation("reads")
+    rows = spark.createDataFrame(reads, "blob_id string, call_seq int, nth int, get_idx int, defined_at int, kind string, callable string")
+    got = [(r.blob_id, r.nth, r.defined_at, r.kind, r.callable, r.refs, r.get_idx_sample, r.grouped) for r in compaction.grouped_reads(rows, observation=seen).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and seen.get == {"memo_origins_grouped": len(reads) - len(want)}
