@@ -38,23 +38,28 @@ def compared(ledger: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("sample_id", "name", "path", "sha256", state.alias("state"))
 
 
+def digests_of(paths: list[str]) -> list[str | None]:
+    """SHA-256 of each file, read a piece at a time; None for one that can't be read."""
+    found: list[str | None] = []
+    for path in paths:
+        try:
+            digest = hashlib.sha256()
+            with opened(path) as file:
+                while piece := file.read(PIECE):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        except OSError:
+            found.append(None)
+    return found
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = []
-        for path in batch.column(0).to_pylist():
-            try:
-                digest = hashlib.sha256()
-                with opened(path) as file:
-                    while piece := file.read(PIECE):
-                        digest.update(piece)
-                found.append(digest.hexdigest())
-            except FileNotFoundError:
-                found.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["path", "digest"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests_of(batch.column(0).to_pylist()), pa.string())], ["path", "digest"])
 
 
 def digests(paths: DataFrame) -> DataFrame:
-    """path and digest (SHA-256 in hex; null for a file that is gone) of each path once; dealt out anew, for reading files is far more work than their rows' sizes tell."""
+    """path and digest (SHA-256 in hex; null for a file that can't be read) of each path once; dealt out anew, for reading files is far more work than their rows' sizes tell."""
     return paths.distinct().repartition("path").mapInArrow(_digests, "path string, digest string")
 
 

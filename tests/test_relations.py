@@ -223,3 +223,26 @@ def test_grouped_reads_against_plain_code(spark):
     rows = spark.createDataFrame(reads, "blob_id string, call_seq int, nth int, get_idx int, defined_at int, kind string, callable string")
     got = [(r.blob_id, r.nth, r.defined_at, r.kind, r.callable, r.refs, r.get_idx_sample, r.grouped) for r in compaction.grouped_reads(rows, observation=seen).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and seen.get == {"memo_origins_grouped": len(reads) - len(want)}
+
+
+def test_a_content_is_judged_once_over_restarts(spark, tmp_path):
+    """Three runs of the same stream: copies of what was seen pass no more, also under other names, and a large file doesn't end it."""
+    from carvelake.streaming.watch import watch
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def run():
+        watch(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "ck"), most_bytes=100_000).awaitTermination(240)
+        return sorted((r.path.rsplit("/", 1)[1], r.verdict) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    (folder / "a.pkl").write_bytes(EXAMPLES["command"][0])
+    (folder / "b.pkl").write_bytes(EXAMPLES["plain"][0])
+    (folder / "b2.pkl").write_bytes(EXAMPLES["plain"][0])
+    first = [("a.pkl", "Unsafe"), ("b.pkl", "No issue")]
+    assert run() == first
+    (folder / "copy of a.pkl").write_bytes(EXAMPLES["command"][0])
+    (folder / "large.bin").write_bytes(b"\x01" * 200_000 + EXAMPLES["command"][0])
+    assert run() == sorted([*first, ("large.bin", "Unsafe")])
+    (folder / "c.pkl").write_bytes(EXAMPLES["plain"][0])
+    assert run() == sorted([*first, ("large.bin", "Unsafe")])
