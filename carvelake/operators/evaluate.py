@@ -116,11 +116,11 @@ def ratio(a: Column, b: Column, places: int = 3) -> Column:
     return F.round(a / F.nullif(b, F.lit(0)), places)
 
 
-def metrics(table: DataFrame) -> DataFrame:
+def metrics(table: DataFrame, places: int = 4) -> DataFrame:
     tp, fn, fp, tn = (F.col(c) for c in ("tp", "fn", "fp", "tn"))
+    share = lambda a, b, name: ratio(a, b, places).alias(name)
     return table.select(
-        "*", ratio(tp, tp + fn, 4).alias("recall"), ratio(fn, tp + fn, 4).alias("fnr"), ratio(fp, fp + tn, 4).alias("fpr"), ratio(tp, tp + fp, 4).alias("precision"),
-        ratio(2 * tp, 2 * tp + fp + fn, 4).alias("f1"), ratio(tp + tn, tp + tn + fp + fn, 4).alias("accuracy"),
+        "*", share(tp, tp + fn, "recall"), share(fn, tp + fn, "fnr"), share(fp, fp + tn, "fpr"), share(tp, tp + fp, "precision"), share(2 * tp, 2 * tp + fp + fn, "f1"), share(tp + tn, tp + tn + fp + fn, "accuracy"),
         (tp + fp).alias("judged_t"), (tn + fn - F.col("inc_m")).alias("judged_f"), (F.col("inc_m") + F.col("inc_b")).alias("inconclusive"),
     )
 

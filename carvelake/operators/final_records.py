@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .evaluate import chain_label, depth, hops, rarest_item, side_of, used_in
+from .evaluate import SEVERITIES, chain_label, confusion, depth, effective_label, hops, metrics, rarest_item, refusal, side_of, unreached, used_in, with_priority
 
 
 def traced(ledger: DataFrame, traces: DataFrame, question: int) -> DataFrame:
@@ -66,6 +66,37 @@ def attributed_records(results: DataFrame, ledger: DataFrame, items: DataFrame)
     )
 
 
+#: Tools of the detection table in its order, main ones and other cut-offs, as columns of `detection_records`.
+DETECTORS = ["engine", "ps", "ms", "fk_loose", "wo", "engine_confirmed", "fk_strict", "wo_refused"]
+LOOSE, STRICT = "SUSPICIOUS", "LIKELY_OVERTLY_MALICIOUS"
+
+
+def detection_records(results: DataFrame, stream_verdicts: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """One row for each compared file: its effective label and what each tool said: 1, 0, or null for no judgement.
+
+    results: sample_id, tier, label, group, origin, format, size, warned, confirmed, references, and tools, a struct of ps and ms (status, verdict, seen), fk (status, idx) and wo (status, verdict, refused).
+    stream_verdicts: sample_id, loose, strict, n_streams, status of another tool over the carved streams; rows of ``more`` override them.
+    """
+    said = stream_verdicts if more is None else with_priority(stream_verdicts, more, "sample_id")
+    said = said.select("sample_id", *[F.col(c).cast("int").alias(f"fk_stream_{c}") for c in ("loose", "strict")], F.col("status").alias("_status"), F.col("n_streams").alias("_n"), F.lit(True).alias("_there"))
+    seen = lambda tool: F.when(~unreached(F.col(f"tools.{tool}.status"), F.col("references"), F.col(f"tools.{tool}.seen")), F.col(f"tools.{tool}.verdict").cast("int"))
+    at_least = lambda least: F.when(F.col("tools.fk.status") == "ok", (F.coalesce("tools.fk.idx", F.lit(-1)) >= SEVERITIES.index(least)).cast("int"))
+    return results.join(said, "sample_id", "left").select(
+        "sample_id", "tier", effective_label(F.col("label"), F.col("tier")).alias("label"), F.coalesce("group", F.lit("main")).alias("group"), "origin", "format", "size",
+        F.col("warned").cast("int").alias("engine"), seen("ps").alias("ps"), seen("ms").alias("ms"), at_least(LOOSE).alias("fk_loose"), F.col("tools.wo.verdict").cast("int").alias("wo"),
+        F.col("confirmed").cast("int").alias("engine_confirmed"), at_least(STRICT).alias("fk_strict"), refusal(F.col("tools.wo.status"), F.col("tools.wo.refused")).alias("wo_refused"),
+        "fk_stream_loose", "fk_stream_strict", F.coalesce("_status", F.lit("no_data")).alias("fk_stream_status"), F.coalesce("_n", F.lit(0)).alias("n_streams"), F.coalesce("_there", F.lit(False)).alias("has_streams"),
+    )
+
+
+def detection_table(records: DataFrame, tools: list[str] = DETECTORS) -> DataFrame:
+    """block (each group, and Combined), tool, its confusion and metrics to three places, and the block's files and true labels; files without a true label are inspected, not graded."""
+    blocks = records.withColumn("block", F.explode(F.array("group", F.lit("Combined"))))
+    graded = blocks.where(F.col("label").isin("T", "F")).withColumn("_truth", (F.col("label") == "T").cast("int"))
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("inspected"), F.count_if(F.col("label") == "T").alias("truth_t"), F.count_if(F.col("label") == "F").alias("truth_f"))
+    return metrics(confusion(graded, "_truth", tools, ["block"]), 3).join(sizes, "block")
+
+
 def item_table(records: DataFrame) -> DataFrame:
     """One row for each denylisted item and a subtotal of each kind: files of both sides, and how many of them are at Review or above, and Unsafe.
 

@@ -465,6 +465,52 @@ def file_measurement(spark, d):
 
 # --- final records and their tables ---
 
+
+def _detections(spark, d) -> DataFrame:
+    """A compared file for each order, what the tools said of it, and verdicts over its streams for some, with corrections for fewer."""
+    o, k = t(spark, d, "orders"), c("o_orderkey")
+    status = lambda n: F.when(k % n == 0, "error").otherwise("ok")
+    tools = F.struct(
+        F.struct(status(11).alias("status"), (k % 3 == 0).alias("verdict"), (k % 4).alias("seen")).alias("ps"), F.struct(F.lit("ok").alias("status"), (k % 2 == 0).alias("verdict"), F.when(k % 6 > 0, k % 6 - 1).alias("seen")).alias("ms"),
+        F.struct(status(13).alias("status"), (k % 6).alias("idx")).alias("fk"), F.struct(F.when(k % 17 == 0, "child_failed").otherwise("ok").alias("status"), F.when(k % 9 > 0, k % 5 == 0).alias("verdict"), (k % 7 == 0).alias("refused")).alias("wo"),
+    )
+    results = o.select(
+        k.cast("string").alias("sample_id"), F.when(k % 8 == 0, "1-C").otherwise("2-A").alias("tier"), F.when(k % 5 == 0, "T").when(k % 5 == 1, "F").otherwise("").alias("label"), F.when(k % 3 == 0, "Real-world").when(k % 3 == 1, "Variants").alias("group"),
+        c("o_orderstatus").alias("origin"), F.lit("pkl").alias("format"), F.lit(1).alias("size"), (k % 4 == 0).alias("warned"), (k % 8 == 0).alias("confirmed"), (k % 2).alias("references"), tools.alias("tools"),
+    )
+    of = lambda n, add: o.where(k % n == 0).select(k.cast("string").alias("sample_id"), ((k + add) % 3 == 0).alias("loose"), ((k + add) % 6 == 0).alias("strict"), (k % 10).alias("n_streams"), F.lit("ok").alias("status"))
+    return R.detection_records(results, of(2, 0), of(10, 1))
+
+
+_DETECTIONS_SQL = """
+WITH k AS (SELECT o_orderkey AS k FROM orders), r AS (
+  SELECT k::VARCHAR AS sample_id, CASE WHEN k % 5 = 0 THEN 'T' WHEN k % 5 = 1 OR k % 8 = 0 THEN 'F' ELSE '' END AS label, CASE k % 3 WHEN 0 THEN 'Real-world' WHEN 1 THEN 'Variants' ELSE 'main' END AS grp,
+    (k % 4 = 0)::INT AS engine, CASE WHEN NOT (k % 11 > 0 AND k % 2 > 0 AND k % 4 = 0) THEN (k % 3 = 0)::INT END AS ps, CASE WHEN NOT (k % 2 > 0 AND k % 6 = 1) THEN (k % 2 = 0)::INT END AS ms,
+    CASE WHEN k % 13 > 0 THEN (k % 6 >= 2)::INT END AS fk_loose, CASE WHEN k % 9 > 0 THEN (k % 5 = 0)::INT END AS wo, (k % 8 = 0)::INT AS engine_confirmed, CASE WHEN k % 13 > 0 THEN (k % 6 >= 4)::INT END AS fk_strict,
+    CASE WHEN k % 17 > 0 THEN (k % 7 = 0)::INT END AS wo_refused, CASE WHEN k % 10 = 0 THEN ((k + 1) % 3 = 0)::INT WHEN k % 2 = 0 THEN (k % 3 = 0)::INT END AS fk_stream_loose,
+    CASE WHEN k % 10 = 0 THEN ((k + 1) % 6 = 0)::INT WHEN k % 2 = 0 THEN (k % 6 = 0)::INT END AS fk_stream_strict, CASE WHEN k % 2 = 0 THEN 'ok' ELSE 'no_data' END AS fk_stream_status, CASE WHEN k % 2 = 0 THEN k % 10 ELSE 0 END AS n_streams FROM k)
+"""
+
+
+@query(_DETECTIONS_SQL + "SELECT sample_id, label, grp, engine, ps, ms, fk_loose, wo, engine_confirmed, fk_strict, wo_refused, fk_stream_loose, fk_stream_strict, fk_stream_status, n_streams FROM r")
+def detection_records(spark, d):
+    """What each tool said of each compared file: 1, 0 or nothing."""
+    return _detections(spark, d).withColumnRenamed("group", "grp").drop("tier", "origin", "format", "size", "has_streams")
+
+
+@query(_DETECTIONS_SQL + """
+, b AS (SELECT grp AS block, * FROM r UNION ALL SELECT 'Combined', * FROM r), v AS (SELECT block, label, unnest(['engine', 'ps', 'ms', 'fk_loose', 'wo', 'engine_confirmed', 'fk_strict', 'wo_refused']) AS tool, unnest([engine, ps, ms, fk_loose, wo, engine_confirmed, fk_strict, wo_refused]) AS v FROM b WHERE label <> ''),
+m AS (SELECT block, tool, count(*) FILTER (label = 'T' AND v = 1) AS tp, count(*) FILTER (label = 'T' AND v IS DISTINCT FROM 1) AS fn, count(*) FILTER (label = 'F' AND v = 1) AS fp, count(*) FILTER (label = 'F' AND v = 0) AS tn,
+  count(*) FILTER (label = 'T' AND v IS NULL) AS inc_m, count(*) FILTER (label = 'F' AND v IS NULL) AS inc_b FROM v GROUP BY ALL)
+SELECT m.*, round(tp / (tp + fn), 3) AS recall, round(fp / (fp + tn), 3) AS fpr, round(2 * tp / (2 * tp + fp + fn), 3) AS f1, tp + fp AS judged_t, tn + fn - inc_m AS judged_f, inc_m + inc_b AS inconclusive, inspected, truth_t, truth_f
+FROM m JOIN (SELECT block, count(*) AS inspected, count(*) FILTER (label = 'T') AS truth_t, count(*) FILTER (label = 'F') AS truth_f FROM b GROUP BY block) USING (block)
+""")
+def detection_table(spark, d):
+    """The tools' confusion and metrics over each group of compared files and over all."""
+    return R.detection_table(_detections(spark, d)).drop("fnr", "precision", "accuracy")
+
+
+
 #: The driver's tables as a ledger, traces and measurements: orders are files, their lines are streams.
 _RECORDS_SQL = """
 WITH ledger AS (
