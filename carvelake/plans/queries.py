@@ -14,6 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from carvelake.functions import fixed_values as FV
 from carvelake.functions import pattern_index as PI
 from carvelake.functions import scalars as S
 from carvelake.functions import signals as G
@@ -966,6 +967,20 @@ def grouped_memo_reads(spark, d):
     return found.select(c("blob_id").cast("long").alias("hit"), "nth", c("defined_at").alias("d"), "kind", "refs", F.array_join(F.transform("get_idx_sample", lambda x: x.cast("string")), " ").alias("sample"), "grouped")
 
 
+@query(f"""
+WITH n AS (SELECT unnest({sorted(FV.DANGEROUS_NAMES)!r}) AS name), o AS (SELECT list(name ORDER BY name) AS names FROM n),
+v AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN w WHEN 1 THEN p_type || '.' || w WHEN 2 THEN lower(p_type) || '_' || w || '_' || p_size WHEN 3 THEN w || '.' || p_type ELSE p_type END AS value
+  FROM (SELECT *, names[1 + p_partkey % len(names)] AS w FROM part, o))
+SELECT p_partkey, CASE WHEN value IN (SELECT name FROM n) THEN value WHEN string_split(value, '.')[-1] IN (SELECT name FROM n) THEN string_split(value, '.')[-1] ELSE (SELECT min(name) FROM n WHERE contains(value, name)) END AS matched FROM v
+""")
+def dangerous_names(spark, d):
+    """The dangerous name that each of many values holds: itself, its last component, or the first that it contains."""
+    names = F.array(*[F.lit(n) for n in sorted(FV.DANGEROUS_NAMES)])
+    k, w = c("p_partkey"), F.get(names, (c("p_partkey") % len(FV.DANGEROUS_NAMES)).cast("int"))
+    value = F.when(k % 5 == 0, w).when(k % 5 == 1, F.concat_ws(".", "p_type", w)).when(k % 5 == 2, F.concat_ws("_", F.lower("p_type"), w, "p_size")).when(k % 5 == 3, F.concat_ws(".", w, "p_type")).otherwise(c("p_type"))
+    return t(spark, d, "part").select("p_partkey", V.dangerous_name(value).alias("matched"))
+
+
 @query("""
 SELECT event_id, h.q AS qualname, h.s AS slice_start FROM (
   SELECT event_id, unnest(CASE WHEN event_id % 2 = 0 THEN [{'q': 'os.system', 's': 5}, {'q': 'os.popen', 's': 9}] ELSE [{'q': 'os.popen', 's': 2}] END) AS h FROM events)

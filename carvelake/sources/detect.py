@@ -65,7 +65,7 @@ def unsafe_member(name: Column) -> Column:
     return name.rlike(r"(^|[/\\])\.\.([/\\]|$)") | name.rlike(r"^[/\\]") | name.rlike(r"^[A-Za-z]:")
 
 
-def read_artifacts(spark: SparkSession, path: str, recursive: bool = False, most_bytes: int = 512 << 20) -> DataFrame:
+def read_artifacts(spark: SparkSession, path: str | list[str], recursive: bool = False, most_bytes: int = 512 << 20) -> DataFrame:
     """artifact_id, path, length, content and kind of the files in a folder. The size limit is pushed to the scan.
 
     Files beyond ``most_bytes`` do not fit a cell; list them with ``large_artifacts`` and carve them with ``carve.carve_large``.
@@ -74,7 +74,7 @@ def read_artifacts(spark: SparkSession, path: str, recursive: bool = False, most
     return files.select(F.sha2("path", 256).alias("artifact_id"), "path", "length", "content", file_kind(F.col("content")).alias("kind"))
 
 
-def large_artifacts(spark: SparkSession, path: str, recursive: bool = False, most_bytes: int = 512 << 20) -> DataFrame:
+def large_artifacts(spark: SparkSession, path: str | list[str], recursive: bool = False, most_bytes: int = 512 << 20) -> DataFrame:
     """artifact_id, path and length of the files that ``read_artifacts`` leaves out; their contents are not read here."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     return files.where(F.col("length") > most_bytes).select(F.sha2("path", 256).alias("artifact_id"), "path", "length")

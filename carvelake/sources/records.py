@@ -55,8 +55,13 @@ def write_blobs(blobs: DataFrame, path: str) -> None:
     blobs.withColumn("file_name", name).withColumn("prefix", F.substring("sha256", 1, 2)).write.mode("overwrite").partitionBy("prefix").parquet(path)
 
 
+#: Calls whose hits share one labelled record.
+CALLS_A_RECORD = 256
+
+
 def write_labelled(found: DataFrame, path: str) -> None:
-    """One JSON record a stream: its worst verdict, its hits in order, and what each was judged by."""
+    """JSON records of each stream, one for every ``CALLS_A_RECORD`` calls that has hits, so that none grows with the stream: part, its worst verdict, its hits in order, and what each was judged by."""
     hit = F.struct("call_seq", "qualname", "canonical", "track", "forced", "reasons", "text", "entropy", "acts", "demotion", "verdict", "slice_start", "slice_end")
     rank = F.when(F.col("verdict") == "Unsafe", 0).when(F.col("verdict") == "Review", 1).otherwise(2)
-    found.groupBy("blob_id").agg(F.min_by("verdict", rank).alias("verdict"), F.array_sort(F.collect_list(hit)).alias("hits")).write.mode("overwrite").json(path)
+    parts = found.withColumn("part", F.expr(f"call_seq div {CALLS_A_RECORD}"))
+    parts.groupBy("blob_id", "part").agg(F.min_by("verdict", rank).alias("verdict"), F.array_sort(F.collect_list(hit)).alias("hits")).write.mode("overwrite").json(path)

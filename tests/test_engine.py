@@ -416,6 +416,14 @@ def test_scan_job(spark, tmp_path):
     jobs.scan(spark, str(tmp_path / "in"), str(tmp_path / "out2"), use_denylist=False, most_bytes=1500)
     plain = {os.path.basename(r.path): r.verdict for r in spark.read.parquet(str(tmp_path / "out2/verdicts")).collect()}
     assert plain["placeholder"] == plain["plain"] == "No issue" and plain["path"] == "Low"
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "twice").write_bytes(b"".join(call("os", "system", args(text_op(f"id {k}")))[2 * (k > 0) : -1] + b"0" for k in range(600)) + b"N.")
+    jobs.scan(spark, [str(tmp_path / "more"), str(tmp_path / "gone"), str(tmp_path / "in" / "command")], str(tmp_path / "out3"), most_literal=None)
+    assert {os.path.basename(r.path): r.verdict for r in spark.read.parquet(str(tmp_path / "out3/verdicts")).collect()} == {"twice": "Unsafe", "command": "Unsafe"}
+    assert [r.path for r in spark.read.parquet(str(tmp_path / "out3/skipped")).collect()] == [str(tmp_path / "gone")]
+    assert sorted((r.part, len(r.hits)) for r in spark.read.json(str(tmp_path / "out3/labelled")).collect()) == [(0, 1), (0, 256), (1, 256), (2, 88)]
+    with pytest.raises(FileNotFoundError):
+        jobs.scan(spark, str(tmp_path / "gone"), str(tmp_path / "out4"))
 
 
 def test_json_lines_keep_malformed_rows(spark, tmp_path):
