@@ -4,7 +4,8 @@ A payload becomes the samples of a grey image ``WIDTH`` pixels wide (red = green
 format's height, several after another. Reading decodes the stored bytes in full; features are computed from the pixels.
 
 Defined cases: a null text is an empty one, and its payload one row of spaces; equal texts give equal bytes and features;
-repeated rows repeat; a null doc_id stays null; an empty table gives an empty table; other columns are not read.
+repeated rows repeat; a null doc_id stays null; an empty table gives an empty table; other columns are not read. An image of 16
+values or fewer is stored with a palette of bundled pixels, any other with subtract-green; both are lossless, and the values alone decide.
 """
 
 from __future__ import annotations
