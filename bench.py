@@ -9,6 +9,7 @@ import time
 HEADLINE = [
     "literal_entropy", "sha256_dedup", "byte_ratios", "vocabulary_match", "longest_prefix_join", "upsert_overlay", "confusion_metrics", "reachability", "rarest_item",
     "head_and_tail", "overlap_suppression", "placeholder_shadowing", "context_window", "roundtrip_carve", "call_sites", "verdict_counts", "synthetic_verdicts", "reach_records", "item_table",
+    "pattern_candidates", "slice_arguments", "literal_evidence", "compacted_leaves", "detection_table",
 ]
 
 
