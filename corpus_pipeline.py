@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality classifier, near-dedup by shingle similarity, suffix-array dedup, best-fit packing.
+"""The corpus pipeline: quality classifier, near-dedup by SimHash and by shingle similarity, suffix-array dedup, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and all that its predecessor kept. The first three return the columns of their
 input: documents that the classifier rejects go, one document of each group of near duplicates stays, and repeated
@@ -25,17 +25,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """op8's own groups, by 3-word fingerprints within 3 bits: for light edits only, and no stage of STAGES."""
+    """op8's own groups, by 3-word fingerprints within 3 bits, through its byte-position index and count filter."""
     ship(spark)
     return keep_one(docs)
 
 
 def similar_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's near-dedup: five-word shingles, similarity 0.8 or more, by op8's byte-position index and count filter over minimum hashes."""
+    """Near duplicates that fingerprints of 64 bits can't reach: five-word shingles, similarity 0.8 or more, each link verified."""
     ship(spark)
     return similar.keep_one(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pipeline's near-dedup: SimHash first, then similarity among the rows that it keeps."""
+    return similar_near_dedup(spark, saved(simhash_near_dedup(spark, docs, sf_dir), "pipeline-simhash"), sf_dir)
+
+
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     return cut_repeats(docs)
@@ -48,7 +53,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality_classifier", quality_classifier),
-    ("simhash_near_dedup", similar_near_dedup),
+    ("simhash_near_dedup", near_dedup),
     ("suffix_dedup", suffix_dedup),
     ("best_fit_packing", best_fit_packing),
 ]

@@ -290,6 +290,17 @@ def test_near_dedup_stage_reaches_similarity(spark, sf, docs, none):
     assert stage(spark, none, sf).count() == 0 and stage(spark, docs, sf).columns == docs.columns
 
 
+def test_near_dedup_stage_links_by_fingerprints(spark, sf):
+    """Texts within 3 bits whose five-word sets are not similar: SimHash counts repeats, the sets don't."""
+    import corpus_pipeline as p
+
+    rows = [(k, "one two three " * 400 + " ".join(f"{name}{j * j}" for j in range(12))) for k, name in enumerate(("ash", "birch"))] + [(7, "an unrelated text of a few words")]
+    assert len(set(similar_by_force(rows).values())) == 3
+    assert [c for _, _, c in simhash.brute_force(rows)] == [0, 0, 7]
+    got = dict(p.STAGES)["simhash_near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert sorted(r.doc_id for r in got.collect()) == [0, 7]
+
+
 def similar_by_force(rows):
     sets = []
     for _, text in rows:
