@@ -18,6 +18,7 @@ from re import _parser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -134,8 +135,12 @@ class Index:
         number = {g: k for k, g in enumerate(self.grams)}
         each = [v for n in self.names for v in self.variants[n]]
         self.flat = np.array([number[g] for v in each for g in sorted(v)], np.int64)
-        self.starts = np.cumsum([0, *(len(v) for v in each)])[:-1]
-        self.owners = np.cumsum([0, *(len(self.variants[n]) for n in self.names)])[:-1]
+        # of each gram, the variants that require it; of each variant, how many grams it requires, and its pattern
+        variant = np.repeat(np.arange(len(each)), [len(v) for v in each])
+        order = np.argsort(self.flat, kind="stable")
+        self.of_gram, self.first = variant[order], np.searchsorted(self.flat[order], np.arange(len(self.grams) + 1))
+        self.needed = np.array([len(v) for v in each], np.int64)
+        self.owner = np.repeat(np.arange(len(self.names)), [len(self.variants[n]) for n in self.names])
         none = len(self.grams)
         self.tables = []  # for each length below Q: the number of the gram, or none
         for q in (1, 2):
@@ -170,29 +175,53 @@ class Index:
         if pieces:
             yield _joined(pieces, rows)
 
-    def held(self, texts: list[str | None]) -> np.ndarray:
-        """For each text, whether it holds each gram of the vocabulary."""
+    def pairs(self, texts: list[str | None]) -> np.ndarray:
+        """Sorted, text * grams + gram: each gram of the vocabulary that each text holds, once."""
         none = len(self.grams)
-        found = np.zeros((len(texts), none), bool)
+        found = [np.empty(0, np.int64)]
         for data, starts, rows in self._slices(texts):
             two = data[:-1].astype(np.uint32) << np.uint32(8) | data[1:]
             three = two[:-1] << np.uint32(8) | data[2:]
             for grams, table in ((data, self.tables[0]), (two, self.tables[1])):
                 at = np.flatnonzero(table[grams] != none)
-                found[rows[np.searchsorted(starts, at, "right") - 1], table[grams[at]]] = True
+                found.append(np.unique(rows[np.searchsorted(starts, at, "right") - 1] * none + table[grams[at]]))
             at = np.flatnonzero(self.sieve[self._slot(three)])
             place = np.minimum(np.searchsorted(self.long, three[at]), max(len(self.long) - 1, 0))
             at, place = (x[self.long[place] == three[at]] for x in (at, place))
-            found[rows[np.searchsorted(starts, at, "right") - 1], self.first_long + place] = True
-        return found
+            found.append(np.unique(rows[np.searchsorted(starts, at, "right") - 1] * none + self.first_long + place))
+        return np.unique(np.concatenate(found))
+
+    def held(self, texts: list[str | None]) -> np.ndarray:
+        """For each text, whether it holds each gram of the vocabulary."""
+        found = np.zeros(len(texts) * len(self.grams), bool)
+        found[self.pairs(texts)] = True
+        return found.reshape(len(texts), len(self.grams))
+
+    def matches(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of texts and numbers of the patterns that may match them, sorted."""
+        text, gram = np.divmod(self.pairs(texts), max(len(self.grams), 1))
+        many = self.first[gram + 1] - self.first[gram]
+        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        seen = np.repeat(text, many) * len(self.needed) + self.of_gram[np.repeat(self.first[gram], many) + inside]
+        kinds, count = np.unique(seen, return_counts=True)
+        text, variant = np.divmod(kinds, max(len(self.needed), 1))
+        whole = count == self.needed[variant]
+        return np.divmod(np.unique(text[whole] * len(self.names) + self.owner[variant[whole]]), max(len(self.names), 1))
+
+    def lists(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the patterns that may match each text, one text after another, and where each one's begin and end."""
+        numbers, sizes = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+        for k in range(0, len(texts), TOGETHER):
+            part = texts[k : k + TOGETHER]
+            text, pattern = self.matches(part)
+            numbers.append(pattern.astype(np.int32))
+            sizes.append(np.bincount(text, minlength=len(part)))
+        return np.concatenate(numbers), np.cumsum(np.concatenate(sizes))
 
     def candidates(self, texts: list[str | None]) -> list[np.ndarray]:
         """For each text the numbers of the patterns that may match it."""
-        out: list[np.ndarray] = []
-        for k in range(0, len(texts), TOGETHER):
-            variants = np.logical_and.reduceat(self.held(texts[k : k + TOGETHER])[:, self.flat], self.starts, axis=1)
-            out += [np.flatnonzero(x).astype(np.int32) for x in np.logical_or.reduceat(variants, self.owners, axis=1)]
-        return out
+        numbers, ends = self.lists(texts)
+        return [numbers[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 def _joined(pieces: list[bytes], rows: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,11 +247,11 @@ def index(kind: str) -> Index:
 def candidates(text: Column, kind: str) -> Column:
     """Numbers of the indexed patterns that may match a text, as an array; empty for null."""
 
-    def run(texts: pd.Series) -> pd.Series:
-        own = index(kind)
-        return pd.Series(own.candidates(texts.tolist()), dtype=object)
+    def run(texts: pa.Array) -> pa.Array:
+        numbers, ends = index(kind).lists(texts.to_pylist())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers, pa.int32()))
 
-    return F.pandas_udf(run, ArrayType(IntegerType()))(text)
+    return F.arrow_udf(run, ArrayType(IntegerType()))(text)
 
 
 def may_match(may: Column | None, kind: str, name: str, then: Column) -> Column:

@@ -38,7 +38,7 @@ TIER_RULES = ["PY_CALL_SYNTAX_RE", "PY_CODE_STRING_RE", "PY_INNER_STRING_RE"]
 PATH_TAGS = ["has_path", "has_windows_path"]
 BORDERLINE = 5.5
 PREVIEW = 200
-_PRINTABLE = np.isin(np.arange(256), [*range(0x20, 0x7F), 9, 10, 13])
+_PRINTABLE = bytes([*range(0x20, 0x7F), 9, 10, 13])
 ACT = "array<struct<category:string,subcategory:string,evidence:string>>"
 
 
@@ -48,9 +48,9 @@ def recover_type(data: bytes, tagged: bool = False) -> str:
         return "T1"
     if tagged or data.startswith(_MAGIC) or (data[0] == 0x80 and len(data) > 1 and data[1] <= 5) or (data[:1] in (b"c", b"(") and data.rstrip()[-1:] == b"."):
         return "T3"
-    raw = np.frombuffer(data, np.uint8)
-    printable = _PRINTABLE[raw].mean()
+    printable = (len(data) - len(data.translate(None, _PRINTABLE))) / len(data)
     if printable < PRINTABLE_CEIL:
+        raw = np.frombuffer(data, np.uint8)
         for width, band in _BANDS:
             col = raw[width - 1 :: width] & 0x7F
             if len(col) >= N_MIN and ((col >= band[0]) & (col <= band[-1])).mean() >= TAU:

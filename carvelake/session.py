@@ -13,6 +13,8 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 #: Spark's own default of 64 MB a batch is several times that in a Python worker, and each task has one or two of them.
 BATCH, SPARK_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
+#: The JVM never compiles methods beyond 8000 bytes of bytecode; Spark's own limit lets whole stages of many rules become such methods, which are then interpreted row by row.
+HUGE, SPARK_HUGE, COMPILED = "spark.sql.codegen.hugeMethodLimit", "65535", "8000"
 
 
 def session(app: str = "carvelake", **conf: str) -> SparkSession:
@@ -24,9 +26,11 @@ def session(app: str = "carvelake", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors' Python workers, once for each application, and bounds Arrow batches unless the user has."""
+    """Sends this package to the executors' Python workers, once for each application, and bounds Arrow batches and generated methods unless the user has."""
     if spark.conf.get(BATCH) == SPARK_BATCH:
         spark.conf.set(BATCH, BATCH_BYTES)
+    if spark.conf.get(HUGE) == SPARK_HUGE:
+        spark.conf.set(HUGE, COMPILED)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         root = Path(__file__).resolve().parent

@@ -587,3 +587,13 @@ def test_a_stream_of_many_calls_holds_few_rows():
         n += len(chooser.call("b", k, "REDUCE", "m.x", True, False, 3 * k, 3 * k + 2, 0, None, None, None))
         assert len(chooser.held) <= 1
     assert n + len(chooser.flush()) == 1_000_000
+
+
+def test_calls_made_field_by_field_and_generated_methods_are_compiled(spark):
+    """Rows of calls are what `from_pylist` makes of them; whole stages of many rules stay below the size from which the JVM only interprets."""
+    from carvelake.operators import machine
+
+    data = b"\x80\x02cos\nsystem\n\x8c\x02idq\x00\x85Rcos\npopen\nh\x00C\x01x\x86R\x82\x01."
+    held = [c | {"blob_id": "b", "protocol": 2} for c in machine.each_call(data)]
+    assert len(held) == 3 and machine._call_batch(held).equals(machine.pa.RecordBatch.from_pylist(held, machine.CALLS))
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
