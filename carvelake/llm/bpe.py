@@ -4,7 +4,8 @@ Each Arrow batch is a small corpus: its texts are split into pieces, the distinc
 inverted index from merge rank to positions says where each mergeable pair stands. Ranks are taken from a heap in
 order; all positions of a rank are merged together and only the touched neighbours get new pairs. Texts whose white
 space is all single characters are first cut at spaces, which no piece crosses, so that the pattern runs over
-distinct chunks only. The worker remembers two generations of ``CACHE`` chunks: those seen again live on, so memory is bounded.
+distinct chunks only; Arrow cuts and numbers them, and puts ids, their decimals and the bytes they stand for together again
+from columns of distinct values. The worker remembers two generations of ``CACHE`` chunks: those seen again live on, so memory is bounded.
 
 Merging all places of one rank together equals the reference order (lowest rank first, leftmost first, piece by
 piece) unless a merge makes a pair of a lower rank; pieces where that happens are done again one merge at a time.
@@ -25,15 +26,19 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut_batch, table
 
 CACHE = 150_000
-#: Characters of text whose pieces are replayed together.
+#: Bytes of text whose pieces are replayed together.
 TOGETHER = 4 << 20
+#: What the pattern's \s stands for, and texts that can't be cut at spaces, for Arrow's expressions.
+SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+DOUBLE_SPACE = f"{SPACE}{{2}}|^{SPACE}|{SPACE}$"
 
 
 class Vocabulary:
@@ -71,13 +76,13 @@ class Vocabulary:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return [self.ranks[p] for p in parts]
 
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, all words together."""
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as 32-bit numbers; all words together."""
         lens = np.array([len(w) for w in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
         n = len(data)
         if not n:
-            return [[] for _ in words]
+            return [b""] * len(words)
         tok = self.byte[data]
         ends = np.cumsum(lens)
         after = np.arange(1, n + 1)
@@ -142,97 +147,116 @@ class Vocabulary:
                 if (low := some & (rank < r)).any():
                     odd.append(left[low])
                 post(rank[some], left[some])
-        ids = tok[alive].tolist()
-        edges = np.concatenate([[0], np.cumsum(alive)[ends[lens > 0] - 1]]).tolist()
-        out: list[list[int]] = []
-        k = 0
-        for w in words:
-            if w:
-                out.append(ids[edges[k] : edges[k + 1]])
-                k += 1
-            else:
-                out.append([])
+        ids = tok[alive].astype(np.int32).tobytes()
+        edges = (4 * np.concatenate([[0], np.cumsum(alive)])[np.concatenate([[0], ends])]).tolist()
+        out = [ids[a:b] for a, b in zip(edges, edges[1:])]
         for w in set(np.searchsorted(ends, np.concatenate(odd), side="right").tolist()) if odd else ():
-            out[w] = self.one_by_one(words[w])
+            out[w] = np.array(self.one_by_one(words[w]), np.int32).tobytes()
         return out
 
 
 class Encoder:
-    """Encodes batches of texts; keeps the ids of chunks seen before."""
+    """Encodes batches of texts; keeps the ids of chunks seen before.
+
+    Texts are split, numbered by distinct chunks and put together again as Arrow columns, so Python handles distinct chunks only.
+    """
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = Vocabulary(path)
         self.find = regex.compile(pattern).findall
-        self.double_space = regex.compile(r"\s\s|^\s|\s$").search
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        """Parts of a text that no piece crosses."""
-        if self.double_space(text):
-            return self.find(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + c for c in rest]]
-
-    def encode(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str]]]:
-        """For each text, its chunks' ids, and the same as decimal text."""
-        split = [self.chunks(t) if t else [] for t in texts]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.token = pa.array(self.vocabulary.token, pa.large_binary())
+        self.written = pa.array([b"%d " % k for k in range(self.vocabulary.size)], pa.large_binary())
+
+    def numbers(self, chunks: list[str], words: list[str]) -> list[bytes]:
+        """Ids, as 32-bit numbers, of each chunk, and of each word with the space before it."""
+        spaced = [" " + w for w in words]
         if len(self.known) > CACHE:
             self.known, self.older = {}, self.known
-        new = dict.fromkeys(chain.from_iterable(split))
-        new = [c for c in new if c not in self.known]
-        if self.older:
-            self.known.update((c, self.older[c]) for c in new if c in self.older)
-            new = [c for c in new if c not in self.known]
+        known, older = self.known, self.older
+        new, more = ([c for c in dict.fromkeys(part) if c not in known] for part in (chunks, spaced))
+        if older:
+            known.update((c, older[c]) for c in chain(new, more) if c in older)
+            new, more = ([c for c in part if c not in known] for part in (new, more))
         pieces = [self.find(c) for c in new]
-        kinds = {p: k for k, p in enumerate(dict.fromkeys(chain.from_iterable(pieces)))}
-        ids = self.vocabulary.replay([p.encode() for p in kinds])
-        for c, parts in zip(new, pieces):
-            own = tuple(chain.from_iterable([ids[kinds[p]] for p in parts]))
-            self.known[c] = (own, " ".join(map(str, own)))
-        got = self.known.__getitem__
-        return [[got(c) for c in s] for s in split]
+        # words have no space inside, so of all their pieces those that begin with one begin a word
+        run = self.find("".join(more))
+        starts = [k for k, p in enumerate(run) if p[0] == " "]
+        kinds = [p for p in dict.fromkeys(chain(chain.from_iterable(pieces), run)) if p not in known]
+        known.update(zip(kinds, self.vocabulary.replay([p.encode() for p in kinds])))
+        known.update((c, b"".join([known[p] for p in parts])) for c, parts in zip(new, pieces))
+        known.update((c, b"".join([known[p] for p in run[a:b]])) for c, a, b in zip(more, starts, [*starts[1:], len(run)]) if b - a > 1)
+        return [known[c] for c in chain(chunks, spaced)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin and the last one's end."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, DOUBLE_SPACE)
+        parts = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        ends = np.asarray(parts.offsets, np.int64)
+        chunks = parts.flatten().dictionary_encode()
+        words = chunks.dictionary.to_pylist()
+        at = np.array(chunks.indices, np.int64)
+        first = at[ends[:-1]]  # the first chunk of a text has no space before it
+        heads, place = np.unique(first, return_inverse=True)
+        own = [words[k] for k in heads.tolist()]
+        rest = np.delete(at, ends[:-1])
+        used, again = np.unique(rest, return_inverse=True)
+        whole = {k: self.find(texts[k].as_py()) for k in np.flatnonzero(np.asarray(odd)).tolist()}
+        extra = dict.fromkeys(chain.from_iterable(whole.values()))
+        single = [*own, *extra]
+        table = pa.array(self.numbers(single, [words[k] for k in used.tolist()]), pa.large_binary())
+        order = np.empty(len(at), np.int64)
+        inner = np.ones(len(at), bool)
+        inner[ends[:-1]] = False
+        order[ends[:-1]] = place
+        order[inner] = again + len(single)
+        if whole:  # in place of their empty first chunk
+            number = {c: len(own) + k for k, c in enumerate(extra)}
+            count = np.ones(len(at), np.int64)
+            count[ends[list(whole)]] = [len(w) for w in whole.values()]
+            fill = np.repeat(np.isin(np.arange(len(at)), ends[list(whole)]), count)
+            order = np.repeat(order, count)
+            order[fill] = [number[c] for w in whole.values() for c in w]
+            ends = np.concatenate([[0], np.cumsum(count)])[ends]
+        found = table.take(pa.array(order))
+        return _values(found).view(np.int32), _edges(found)[ends] // 4
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.token.__getitem__, ids))
 
 
+def _edges(column: pa.LargeBinaryArray) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1] if len(column) else np.zeros(1, np.int64)
+
+
+def _values(column: pa.LargeBinaryArray) -> np.ndarray:
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[: _edges(column)[-1]] if data is not None else np.empty(0, np.uint8)
+
+
+def _digests(column: pa.LargeBinaryArray, edges: np.ndarray, less: int = 0) -> list[str]:
+    """SHA-256 of the values from each edge to the next, put together, without the last ``less`` bytes."""
+    data, at = memoryview(_values(column)), _edges(column)[edges].tolist()
+    return [hashlib.sha256(data[a : max(b - less, a)]).hexdigest() for a, b in zip(at, at[1:])]
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def groups(texts: list[str | None], size: int = TOGETHER) -> Iterator[list[str]]:
-    part, n = [], 0
-    for t in texts:
-        part.append(t or "")
-        n += len(part[-1])
-        if n >= size:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
-
-
 def _encoded(name: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(public_tokenizers.path(name), public_tokenizers.PATTERN)
         for batch in batches:
-            at = 0
-            for texts in groups(batch.column(1).to_pylist()):
-                rows: list[list] = [[], [], [], []]
-                for parts in coder.encode(texts):
-                    ids = list(chain.from_iterable([p[0] for p in parts]))
-                    written = " ".join([p[1] for p in parts if p[0]])
-                    back = coder.decode(ids)
-                    for o, v in zip(rows, (len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), ids if keep_ids else None)):
-                        o.append(v)
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), *(pa.array(o, t) for o, t in zip(rows, kinds))],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"],
-                )
-                at += len(texts)
+            for part in cut_batch(batch, 1, TOGETHER):
+                ids, edges = coder.encode(part.column(1))
+                kept = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids)) if keep_ids else pa.nulls(part.num_rows, pa.list_(pa.int32()))
+                back, written = coder.token.take(pa.array(ids)), coder.written.take(pa.array(ids))
+                columns = (pa.array(np.diff(edges)), pa.array(_digests(written, edges, 1), pa.string()), pa.array(_digests(back, edges), pa.string()), kept)
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     return run
 

@@ -8,7 +8,10 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -89,6 +92,31 @@ def test_bpe_equals_tiktoken(docs, none):
     assert bpe.encode_documents(none).count() == 0
 
 
+def test_bpe_numbers_distinct_chunks_only(monkeypatch):
+    """Texts of all white space the pattern knows, empty ones and repeats in one batch, with a cache that turns over; Python sees each chunk once."""
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    coder = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    every = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    assert pc.match_substring_regex(pa.array(every), bpe.SPACE).to_pylist() == [bool(regex.match(r"\s", x)) for x in every]
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    parts = [*"ab  \n\t.,'1é漢\u0301\x1c\x85\u3000\0", "'s", " the", " Word.\nNext", "<|endoftext|>", "  ", " it's"]
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        texts = [None if n == 0 else "".join(parts[k] for k in rng.integers(0, len(parts), n - 1)) for n in rng.integers(0, 40, rng.integers(1, 30))]
+        want = [theirs.encode_ordinary(t or "") for t in texts]
+        ids, edges = coder.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == want
+        run = bpe._encoded("byte_bpe_50k.tiktoken", False)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])]))
+        rows = [r for b in run for r in b.to_pylist()]
+        assert [(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows] == [(len(w), hashlib.sha256(" ".join(map(str, w)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for w, t in zip(want, texts)]
+    seen = []
+    coder.find = lambda c, find=coder.find: (seen.append(len(c)), find(c))[1]
+    coder.encode(pa.array(["of words that many texts repeat"] * 10_000))
+    assert sum(seen) < 100
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
