@@ -96,6 +96,18 @@ def test_evidence_against_plain_code(spark):
     assert sorted(got, key=str) == want
 
 
+def test_evidence_is_one_hash_aggregate_over_meanings(spark):
+    """Of two rows of a hit the best tier counts once; an argument without tags takes none from the others; only meanings are shuffled, once."""
+    code = lambda n: f"has_python_code({','.join([*vocabularies.RULE_TIERS[0][1], 'PY_ASSIGN_RE'][:n])})"
+    hits = [("a", 0, None, [("T1", None), ("T1", ["has_url", None, code(3)])]), ("a", 0, ["has_url", None], [("T2", [code(4)]), ("T1", [code(4), "has_path_traversal"])]), ("b", 0, ["unknown"], None), (None, 1, [code(4)], [])]
+    rows = spark.createDataFrame(hits, "blob_id string, call_seq int, reasons array<string>, args array<struct<type:string,tags:array<string>>>")
+    found = evidence.literal_evidence(rows, saved(vocabularies.own_vocabularies(spark), "own"))
+    got = {(r.blob_id, r.call_seq, r.tag, r.qualification, len(r.rules_fired)) for r in found.collect()}
+    assert got == {("a", 0, "has_python_code", "standalone", 4), ("a", 0, "has_url", "combination_required", 0), ("a", 0, "has_path_traversal", "standalone", 0), (None, 1, "has_python_code", "combination_required", 0)}
+    plan = found._jdf.queryExecution().executedPlan().toString().rpartition("== Initial Plan ==")[2]
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan and "SortMergeJoin" not in plan
+
+
 def test_ledger_in_two_phases(spark, tmp_path):
     (tmp_path / "in" / "sub dir").mkdir(parents=True)
     files = {"a.bin": b"a" * 10, "sub dir/b.bin": b"b" * 20, "c.bin": b"c", "extra.bin": b"e", "empty": b""}
