@@ -19,6 +19,7 @@ from carvelake.functions import pattern_index as PI
 from carvelake.functions import scalars as S
 from carvelake.functions import signals as G
 from carvelake.functions.patterns import finds
+from carvelake.heap import steady_heap
 from carvelake.operators import carve as C
 from carvelake.operators import compaction as CO
 from carvelake.operators import evaluate as E
@@ -622,6 +623,7 @@ def item_origins(spark, d):
 
 def _pack(batches):
     """Serialises texts as pickles and wraps them; nothing is ever loaded."""
+    steady_heap()
     for batch in batches:
         out = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -1,7 +1,11 @@
 """Versioned vocabularies, evidence of literals, ledgers against files."""
 
 import hashlib
+import platform
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -258,3 +262,33 @@ def test_a_content_is_judged_once_over_restarts(spark, tmp_path):
     assert run() == sorted([*first, ("large.bin", "Unsafe")])
     (folder / "c.pkl").write_bytes(EXAMPLES["plain"][0])
     assert run() == sorted([*first, ("large.bin", "Unsafe")])
+
+
+def test_a_carving_worker_gives_memory_back():
+    """Blocks freed between small ones that stay: as after many files of all sizes. In a process of its own, after large blocks were freed, which makes glibc keep later ones."""
+    code = r"""
+import re
+import pyarrow as pa
+from carvelake.operators import carve, machine
+
+class Rows:
+    select = lambda self, *columns: self
+    mapInArrow = lambda self, run, schema: run
+
+batch = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([b"x"])], ["artifact_id", "content"])
+for run in (carve.carve(Rows()), machine.pickle_ops(Rows())):
+    list(run(iter([batch])))
+for k in range(8):
+    bytearray(4 << k << 20 if k < 3 else 16 << 20)
+held = lambda: sum(map(int, re.findall(r"Pss_Anon:\s+(\d+)", open("/proc/self/smaps_rollup").read()))) // 1024
+before, blocks, small = held(), [], []
+for _ in range(100):
+    blocks.append(b"x" * (1 << 20))
+    small += [bytes(600) for _ in range(50)]
+blocks.clear()
+print(held() - before)
+"""
+    if not (sys.platform == "linux" and platform.libc_ver()[0] == "glibc"):
+        pytest.skip("another C library")
+    found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[1])
+    assert int(found.stdout) < 25
