@@ -51,13 +51,17 @@ def depth(chain: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(chain, F.lit("")), ">"), lambda x: x != ""))
 
 
+def label_of(kinds: Column, via: Column, opaque: Column) -> Column:
+    """A file's label from how many hop sequences its streams have, one of them, and whether a stream ends opaque (null: none does)."""
+    plain = F.when(opaque, "Opaque").otherwise("Serialization")
+    return F.when(kinds > 1, "Mixed").when(via == "", plain).otherwise(F.concat(via, F.when(opaque, "→opaque").otherwise("")))
+
+
 def chain_label(streams: DataFrame, file: str, chain: str, terminal: str) -> DataFrame:
     """One label for each file from its streams' hop sequences and terminal classes."""
     rows = streams.select(file, F.array_join(hops(F.col(chain)), "→").alias("_via"), F.col(terminal).alias("_end"))
     per = rows.groupBy(file).agg(F.countDistinct("_via").alias("_kinds"), F.min("_via").alias("_via"), F.max(F.col("_end") == "Opaque").alias("_opaque"))
-    plain = F.when(F.col("_opaque"), "Opaque").otherwise("Serialization")
-    label = F.when(F.col("_kinds") > 1, "Mixed").when(F.col("_via") == "", plain).otherwise(F.concat("_via", F.when(F.col("_opaque"), "→opaque").otherwise("")))
-    return per.select(file, label.alias("chain_label"))
+    return per.select(file, label_of(F.col("_kinds"), F.col("_via"), F.col("_opaque")).alias("chain_label"))
 
 
 def severity_at_least(severity: Column, status: Column, least: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .evaluate import SEVERITIES, chain_label, confusion, depth, effective_label, hops, metrics, rarest_item, refusal, side_of, unreached, used_in, with_priority
+from .evaluate import SEVERITIES, confusion, depth, effective_label, hops, label_of, metrics, rarest_item, refusal, side_of, unreached, used_in, with_priority
 
 
 def traced(ledger: DataFrame, traces: DataFrame, question: int) -> DataFrame:
@@ -31,20 +31,32 @@ def members_hit(wanted: Column, hits: Column) -> Column:
     return F.size(F.filter(wanted, lambda x: F.array_contains(F.coalesce(hits, F.array().cast("array<string>")), x)))
 
 
+def opaque_digests(measured: DataFrame) -> DataFrame:
+    """sample_id, n_found and the digests of each file whose last measured stream is opaque, as a list. Sorted by digest and place, the last of each is the one before another digest."""
+    places = F.sort_array(F.transform("streams", lambda s, at: F.struct(s["sha"].alias("sha"), at.alias("at"), s["final_cls"].alias("end"))))
+    last = lambda x, i: (F.lower(x["end"]) == "opaque") & ~x["sha"].eqNullSafe(F.get("_places", i + 1)["sha"])
+    rows = measured.select("sample_id", F.coalesce("n_found", F.lit(0)).alias("n_found"), places.alias("_places"))
+    return rows.select("sample_id", "n_found", F.transform(F.filter("_places", last), lambda x: x["sha"]).alias("opaque"))
+
+
 def reach_records(ledger: DataFrame, traces: DataFrame, measured: DataFrame, question: int = 1) -> DataFrame:
     """One row for each traced file: its chain label, and what the engine and two other tools reached.
 
-    Files that were not measured keep null figures; files without reference streams are labelled 'No stream' and covered.
+    Traces and measurements have one row a file, which holds its streams as a list, so a label is made within the row: all joins are on sample_id, and each table is shuffled by it once at most.
+    Labels are those of `chain_label` over `stream_records`. Files that were not measured keep null figures; files without reference streams are labelled 'No stream' and covered.
     """
     corpus = traced(ledger, traces, question)
     corpus = corpus.withColumn("oracle", F.coalesce("oracle", F.array().cast(corpus.schema["oracle"].dataType)))
-    labels = chain_label(stream_records(corpus, measured).withColumn("final_cls", F.initcap("final_cls")), "sample_id", "chain", "final_cls")
-    found = measured.select("sample_id", F.coalesce("n_found", F.lit(0)).alias("n_found"), F.lit(True).alias("_measured"))
-    need, wanted = F.size("oracle"), F.transform("oracle", lambda o: o["sha"])
+    found = opaque_digests(measured).withColumn("_measured", F.lit(True))
+    chains = F.array_distinct(F.transform("oracle", lambda o: o["chain"]))
+    rows = corpus.join(found, "sample_id", "left").withColumns({
+        "_wanted": F.transform("oracle", lambda o: o["sha"]), "_vias": F.array_distinct(F.transform(chains, lambda x: F.array_join(hops(x), "→"))),
+    })
+    need, wanted = F.size("oracle"), F.col("_wanted")
+    label = label_of(F.size("_vias"), F.get("_vias", F.lit(0)), F.arrays_overlap(wanted, "opaque"))
     cover = F.when((need == 0) | (F.col("n_found") >= need), 1.0).otherwise(F.round(F.col("n_found") / need, 4))
-    rows = corpus.join(found, "sample_id", "left").join(labels, "sample_id", "left")
     return rows.select(
-        "sample_id", "label", need.alias("n_oracle"), F.coalesce("chain_label", F.lit("No stream")).alias("chain_label"), F.coalesce("_measured", F.lit(False)).alias("measured"), "n_found",
+        "sample_id", "label", need.alias("n_oracle"), F.when(need > 0, label).otherwise("No stream").alias("chain_label"), F.coalesce("_measured", F.lit(False)).alias("measured"), "n_found",
         (F.col("n_found") >= 1).alias("reached"), F.when(F.col("_measured"), cover).alias("stream_cover"), members_hit(wanted, F.col("ps_hit")).alias("ps_reached"), members_hit(wanted, F.col("ms_hit")).alias("ms_reached"),
     )
 

@@ -529,19 +529,21 @@ WITH ledger AS (
 
 
 def _ledger_tables(spark, d):
+    """Traces and measurements are made of one list of each order's lines, so that the lines are shuffled once; the key's largest value keeps the filter of the measured above that list."""
     text = lambda x: x.cast("string")
     o, li = t(spark, d, "orders"), t(spark, d, "lineitem")
     used = F.when(c("o_orderkey") % 4 == 3, "2").otherwise("1;2")
     ledger = o.select(text(c("o_orderkey")).alias("sample_id"), c("o_orderstatus").alias("label"), used.alias("used_in_RQ"))
-    k = c("l_orderkey") % 5
-    chain = F.when(k == 0, "").when(k == 1, "zip").when(k == 2, "zip>gz").when(k == 3, F.when(c("l_linenumber") % 2 == 0, "gz").otherwise("tar")).otherwise("x>gz")
-    lines = li.select(text(c("l_orderkey")).alias("sample_id"), "l_orderkey", "l_linenumber", text(c("l_partkey") % 5).alias("sha"), text(c("l_suppkey") % 5).alias("hit"), chain.alias("chain"))
-    listed = lambda s: F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", s.alias("s")))), lambda x: x["s"])
-    traces = lines.groupBy("sample_id", "l_orderkey").agg(listed(F.struct("sha", "chain")).alias("oracle"), F.collect_set("hit").alias("ps_hit"))
-    traces = traces.select("sample_id", F.when(c("l_orderkey") % 7 != 0, c("oracle")).alias("oracle"), "ps_hit", F.lit(None).cast("array<string>").alias("ms_hit"))
-    kind = F.when(c("l_linenumber") % 3 == 0, "Opaque").otherwise("Serialization")
-    stream = F.struct("sha", kind.alias("final_cls"), (c("l_linenumber") % 2 == 0).alias("found"))
-    measured = lines.where(c("l_orderkey") % 3 != 0).groupBy("sample_id").agg(F.expr("count(*) div 2 + 1").alias("n_found"), listed(stream).alias("streams"))
+    line = F.struct("l_linenumber", (c("l_partkey") % 5).alias("part"), (c("l_suppkey") % 5).alias("supplier"))
+    orders = li.select(text(c("l_orderkey")).alias("sample_id"), "l_orderkey", line.alias("line")).groupBy("sample_id").agg(F.max("l_orderkey").alias("key"), F.collect_list("line").alias("lines"))
+    k, ordered = c("key") % 5, F.sort_array("lines")
+    chain = lambda at: F.when(k == 0, "").when(k == 1, "zip").when(k == 2, "zip>gz").when(k == 3, F.when(at % 2 == 0, "gz").otherwise("tar")).otherwise("x>gz")
+    oracle = F.transform(ordered, lambda x: F.struct(text(x["part"]).alias("sha"), chain(x["l_linenumber"]).alias("chain")))
+    hit = F.array_distinct(F.transform("lines", lambda x: text(x["supplier"])))
+    traces = orders.select("sample_id", F.when(c("key") % 7 != 0, oracle).alias("oracle"), hit.alias("ps_hit"), F.lit(None).cast("array<string>").alias("ms_hit"))
+    kind = lambda at: F.when(at % 3 == 0, "Opaque").otherwise("Serialization")
+    stream = lambda x: F.struct(text(x["part"]).alias("sha"), kind(x["l_linenumber"]).alias("final_cls"), (x["l_linenumber"] % 2 == 0).alias("found"))
+    measured = orders.where(c("key") % 3 != 0).select("sample_id", F.expr("size(lines) div 2 + 1").alias("n_found"), F.transform(ordered, stream).alias("streams"))
     return ledger, traces, measured
 
 

@@ -10,7 +10,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from carvelake.operators import evidence, integrity, verdict, vocabularies
+from carvelake.operators import evaluate, evidence, final_records, integrity, verdict, vocabularies
+from carvelake.plans import queries
 from carvelake.scratch import saved
 from test_engine import EXAMPLES, RESOLVED, args, call, text_op
 
@@ -112,6 +113,41 @@ def test_evidence_is_one_hash_aggregate_over_meanings(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan and "SortMergeJoin" not in plan
 
 
+def test_labels_within_rows_are_those_of_joined_streams(spark):
+    """Random files with repeated, missing and null digests, chains and classes: the label of each row is what a join of all streams says."""
+    rng = random.Random(5)
+    some = lambda make, most=6: [make() for _ in range(rng.randint(0, most))]
+    digest = lambda: rng.choice(["a", "b", "c", None])
+    names = [f"f{k}" for k in range(400)]
+    own = {n: rng.sample(["", "zip", "tar", "npz>gz", "x>gz", "odd", None], rng.choice([1, 1, 3])) for n in names}
+    traces = [(n, rng.choice([None, *[some(lambda n=n: rng.choice([None, *[(digest(), rng.choice(own[n]))] * 9]))] * 9]), rng.choice([None, ["a", None], ["b", "c"]]), None) for n in names]
+    measured = [(n, rng.choice([None, 0, 1, 2, 9]), rng.choice([None, *[some(lambda: rng.choice([None, *[(digest(), rng.choice(["Opaque", "opaque", "OPAQUE", "Serialization", None]), True)] * 9]))] * 9])) for n in names if rng.random() < 0.8]
+    ledger = spark.createDataFrame([(n, "T", rng.choice(["1;2", "1", "2", None])) for n in names], "sample_id string, label string, used_in_RQ string")
+    traces = spark.createDataFrame(traces, "sample_id string, oracle array<struct<sha: string, chain: string>>, ps_hit array<string>, ms_hit array<string>")
+    measured = spark.createDataFrame(measured, "sample_id string, n_found int, streams array<struct<sha: string, final_cls: string, found: boolean>>")
+    streams = final_records.stream_records(final_records.traced(ledger, traces, 1), measured).withColumn("final_cls", F.initcap("final_cls"))
+    said = {r.sample_id: r.chain_label for r in evaluate.chain_label(streams, "sample_id", "chain", "final_cls").collect()}
+    got = final_records.reach_records(ledger, traces, measured).collect()
+    assert {r.sample_id: r.chain_label for r in got} == {r.sample_id: said.get(r.sample_id, "No stream") for r in got}
+    assert {"Mixed", "No stream", "Opaque", "Serialization", "Streaming→opaque", "Container→Streaming", "Container"} <= {r.chain_label for r in got} and len({r.sample_id for r in got}) == len(got)
+
+
+def test_reach_records_shuffles_each_table_once(spark, sf):
+    """Orders and lines go by their file's name once each; the lines' second use reads the same exchange."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        plan = queries.QUERIES["reach_records"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    lines = plan.split("\n")
+    assert sum("Exchange hashpartitioning" in x and "ReusedExchange" not in x for x in lines) == 2
+    assert sum("ReusedExchange" in x for x in lines) == 1
+
+
 def test_ledger_in_two_phases(spark, tmp_path):
     (tmp_path / "in" / "sub dir").mkdir(parents=True)
     files = {"a.bin": b"a" * 10, "sub dir/b.bin": b"b" * 20, "c.bin": b"c", "extra.bin": b"e", "empty": b""}
