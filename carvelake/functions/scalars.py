@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
 SAMPLE, CHUNKS = 16_384, 32
 
@@ -96,6 +97,29 @@ def entropy(data: Column) -> Column:
     return F.pandas_udf(_entropies, DoubleType())(data.cast("binary")) + F.lit(0.0)
 
 
+def _byte_counts(values: pa.Array) -> pa.Array:
+    found, many, ends = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [0]
+    for v in values.to_pylist():
+        counts = np.bincount(np.frombuffer(v or b"", np.uint8), minlength=256)
+        own = np.flatnonzero(counts)
+        found.append(own)
+        many.append(counts[own])
+        ends.append(ends[-1] + len(own))
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(found), pa.int32()), pa.array(np.concatenate(many), pa.int64())], names=["byte", "n"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+
+def byte_counts(data: Column) -> Column:
+    """Each byte value of a text or binary column and how often it occurs, as an array of pairs; empty for none."""
+    pair = StructType().add("byte", IntegerType()).add("n", LongType())
+    return F.arrow_udf(_byte_counts, ArrayType(pair))(data.cast("binary"))
+
+
+def entropy_of_counts(counts: Column, total: Column) -> Column:
+    """Shannon entropy in bits of values that occur so many times, ``total`` times together."""
+    return F.aggregate(F.array_sort(counts), F.lit(0.0), lambda e, n: e + n / total * F.log2(total / n))
+
+
 def human_size(n: Column) -> Column:
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):

@@ -66,7 +66,10 @@ c = F.col
 SELECT doc_id, round(entropy(b), 4) AS entropy FROM (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents) GROUP BY doc_id
 """)
 def literal_entropy(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.round(S.entropy(c("text")), 4).alias("entropy"))
+    """Of all bytes under a doc_id, however many rows have it; none without bytes. Counts are added up by id and byte, so no id's rows meet in one task."""
+    counts = t(spark, d, "documents").select("doc_id", F.inline(S.byte_counts(c("text")))).groupBy("doc_id", "byte").agg(F.sum("n").alias("n"))
+    ids = counts.groupBy("doc_id").agg(F.collect_list("n").alias("counts"), F.sum("n").alias("total"))
+    return ids.select("doc_id", F.round(S.entropy_of_counts(c("counts"), c("total")), 4).alias("entropy"))
 
 
 @query("""

@@ -252,6 +252,18 @@ def test_query_equals_its_sql(spark, sf, name):
     assert shown(queries.QUERIES[name](spark, sf).toPandas()) == shown(con.sql(queries.SQL[name]).df())
 
 
+def test_entropy_is_of_all_bytes_under_an_id(spark, tmp_path):
+    """Empty and null texts have no bytes, so no row; ids in several rows have one. The last texts' entropy is 1.96875, a tie, in one row or two."""
+    tie = "".join(x * n for x, n in zip("abcdefg", (1, 1, 2, 4, 8, 16, 32)))
+    texts = [(1, "aab"), (1, "bcc"), (1, None), (2, ""), (3, None), (4, ""), (4, "é€"), (None, "xy"), (None, "z"), (5, "a"), (6, tie), (7, tie[::2]), (7, tie[1::2])]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = queries.literal_entropy(spark, str(tmp_path))
+    assert shown(found.toPandas()) == shown(con.sql(queries.SQL["literal_entropy"]).df())
+    assert {r.doc_id: r.entropy for r in found.collect()} == {1: 1.585, 4: 2.3219, None: 1.585, 5: 0.0, 6: 1.9688, 7: 1.9688}
+
+
 def test_plans_prune_and_push(spark, sf):
     plan = queries.semi_and_anti_joins(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)" in plan
